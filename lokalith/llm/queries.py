@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokalith.llm import decontam, exact_dedup, simhash
-from lokalith.llm.shared import table
+from lokalith.llm import binids, decontam, exact_dedup, langid, licenses, packing, simhash, token_counts, toxicity, warc
+from lokalith.llm.shared import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,9 +27,53 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _held_out():
+    return (fold_of("doc_id") == 2).alias("held_out")
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.learn(docs, fold_of("doc_id") != 2))
+    return found.select("doc_id", _held_out(), "lang_pred", "score", "rejected")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), capacity=2048, end_id=0, with_ids=False)
+
+
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binids.round_trip(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1, with_ids=False)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), fold_of("doc_id") != 2)
+    return toxicity.score(docs, model, threshold=0.3).select("doc_id", _held_out(), "score", "predicted", "gain")
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_spans(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_exact_dedup)}
+    return {f.__name__: f for f in _OPERATORS}
+
 
+_OPERATORS = (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language_id, op5_warc, op6_best_fit_packing, op7_token_ids, op8_toxicity, op9_license_scan, op10_token_counts)
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -49,6 +93,13 @@ items AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT it
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(s, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+        "op5_warc": """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+f AS (SELECT digest, min(page_id) AS first FROM p GROUP BY 1)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (digest)""",
         "op3_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
