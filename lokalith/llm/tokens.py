@@ -10,19 +10,19 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import cache
 from itertools import chain
 
-import numpy as np
-
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CONTROL = re.compile(r"[\x1c-\x1f]")
-_LOOSE = re.compile(r"\s\s|^\s|\s$")
+_LOOSE = re.compile(r"\s\s")
 _PIECES = re.compile(rf" ?[{_LETTERS}]+(?=[.,]*(?:\s|$))|[.,]+(?=\s|$)| ?\S+|\s+(?!\S)|\s")
 _WORDS = re.compile(rf"[{_LETTERS}]+(?=[.,]*(?:\s|$))|[.,]+(?=\s|$)|\S+")
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+|[.,]+")
-#: Entries a cache may hold; a full one starts anew, so memory stays bounded and results do not depend on it.
-CACHE_ENTRIES = 250_000
+#: Entries a cache may hold, for pieces and for white-space-bounded words; a full one starts anew, so memory
+#: stays bounded and results do not depend on it. Pieces cost a call to the library, words only a few look-ups.
+PIECE_ENTRIES, WORD_ENTRIES = 700_000, 100_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -32,13 +32,17 @@ def _byte_letters() -> dict[int, str]:
     return table | {b: chr(256 + n) for n, b in enumerate(x for x in range(256) if x not in table)}
 
 
+def _little(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Cache(dict):
-    def __init__(self, make):
+    def __init__(self, make, most):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
         return value
@@ -61,25 +65,25 @@ class Encoder:
         self.model = self.tokenizer.model
         self.folds = config["normalizer"] is not None
         self.letters = _byte_letters()
-        self.pieces = _Cache(self._piece)
-        self.words = _Cache(lambda w: b"".join(map(self.pieces.__getitem__, (_WORDS if self.folds else _PIECES).findall(w))))
-        self.spaced = _Cache(lambda w: b"".join(map(self.pieces.__getitem__, _PIECES.findall(" " + w))))
+        self.pieces = _Cache(self._piece, PIECE_ENTRIES)
+        self.words = _Cache(lambda w: b"".join(map(self.pieces.__getitem__, (_WORDS if self.folds else _PIECES).findall(w))), WORD_ENTRIES)
+        self.spaced = _Cache(lambda w: b"".join(map(self.pieces.__getitem__, _PIECES.findall(" " + w))), WORD_ENTRIES)
 
     def _piece(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
             return self.whole(piece)
         raw = (piece.lower() if self.folds else piece).encode()
-        return np.array([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
+        return _little([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))])
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         if _CONTROL.search(text):
             return self.whole(text)
         if self.folds:
             return b"".join(map(self.words.__getitem__, text.split()))
-        if _LOOSE.search(text):
+        if text[:1].isspace() or text[-1:].isspace() or _LOOSE.search(text):
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
         first, *lines = text.split("\n")
         out = [self._line(first)]
