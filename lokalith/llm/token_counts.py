@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lokalith.llm.shared import text_of
+from lokalith.llm.tokens import encoder
 
 
 def line_sections(text: str) -> list[tuple[int, int]]:
@@ -41,7 +42,7 @@ def attribute(spans: np.ndarray, sections: np.ndarray) -> np.ndarray:
     return best
 
 
-def section_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sections=line_sections, batch: int = 32) -> DataFrame:
+def section_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", sections=line_sections, batch: int = 256) -> DataFrame:
     """One row per section: ``doc_id, section, start_char, end_char, n_tokens, doc_tokens``.
 
     ``sections`` gives ascending disjoint character spans of a text (at least one). Null texts are empty: one
@@ -49,22 +50,15 @@ def section_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer)
-        tok.encode_special_tokens = True
+        enc = encoder(tokenizer)
         for rows in batches:
             for k in range(0, rows.num_rows, batch):
                 part = rows.slice(k, batch)
                 texts = part.column(1).to_pylist()
                 source, number, start, end, count, total = [], [], [], [], [], []
-                for j, (text, enc) in enumerate(zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True)):
+                for j, text in enumerate(texts):
                     cuts = np.array(sections(text), dtype=np.int64).reshape(-1, 2)
-                    offsets = enc.offsets
-                    spans = np.fromiter((x for o in offsets for x in o), dtype=np.int64, count=2 * len(offsets)).reshape(-1, 2)
+                    spans = enc.spans(text)
                     source += [j] * len(cuts)
                     number += range(len(cuts))
                     start += cuts[:, 0].tolist()

@@ -14,6 +14,8 @@ import struct
 from functools import cache
 from itertools import chain
 
+import numpy as np
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CONTROL = re.compile(r"[\x1c-\x1f]")
 _LOOSE = re.compile(r"\s\s")
@@ -65,6 +67,7 @@ class Encoder:
         self.model = self.tokenizer.model
         self.folds = config["normalizer"] is not None
         self.letters = _byte_letters()
+        self.widths: np.ndarray | None = None
         self.pieces = _Cache(self._piece, PIECE_ENTRIES)
         self.words = _Cache(lambda w: b"".join(map(self.pieces.__getitem__, (_WORDS if self.folds else _PIECES).findall(w))), WORD_ENTRIES)
         self.spaced = _Cache(lambda w: b"".join(map(self.pieces.__getitem__, _PIECES.findall(" " + w))), WORD_ENTRIES)
@@ -91,6 +94,23 @@ class Encoder:
             out += [self.pieces["\n"], self._line(line)]
         return b"".join(out)
 
+    def spans(self, text: str) -> np.ndarray:
+        """Character spans ``(start, end)`` of the ids of ``text``, as the library's offsets.
+
+        Without a normalizer the tokens' bytes are the text's bytes, so ends follow from their lengths; a token
+        that holds part of a character spans that character.
+        """
+        if self.folds:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+        if self.widths is None:
+            vocabulary = self.tokenizer.get_vocab()
+            self.widths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+            self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        width = self.widths[np.frombuffer(self.encode(text), dtype="<u4")]
+        ends = np.cumsum(width)
+        place = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
+        return np.stack([place[ends - width], place[ends - 1] + 1], axis=1) if len(ends) else np.zeros((0, 2), dtype=np.int64)
+
     def _line(self, line: str) -> bytes:
         if not line:
             return b""

@@ -240,6 +240,7 @@ def test_encoder_equals_library(text):
     for path in (GPT, CLIP):
         enc = encoder(path)
         assert enc.encode(text) == enc.whole(text)
+        assert enc.spans(text).tolist() == [list(o) for o in enc.tokenizer.encode(text, add_special_tokens=False).offsets]
 
 
 def test_encoder_equals_library_on_documents(spark, sf):
