@@ -24,7 +24,7 @@ _WORDS = re.compile(rf"[{_LETTERS}]+(?=[.,]*(?:\s|$))|[.,]+(?=\s|$)|\S+")
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+|[.,]+")
 #: Entries a cache may hold, for pieces and for white-space-bounded words; a full one starts anew, so memory
 #: stays bounded and results do not depend on it. Pieces cost a call to the library, words only a few look-ups.
-PIECE_ENTRIES, WORD_ENTRIES = 700_000, 100_000
+PIECE_ENTRIES, WORD_ENTRIES = 700_000, 300_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -75,7 +75,11 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
             return self.whole(piece)
-        raw = (piece.lower() if self.folds else piece).encode()
+        if self.folds:
+            piece = piece.lower()
+        if piece.isascii():
+            return _little([t.id for t in self.model.tokenize(piece.replace(" ", self.letters[32]))])
+        raw = piece.encode()
         return _little([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.letters))])
 
     def whole(self, text: str) -> bytes:
