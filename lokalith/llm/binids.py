@@ -119,8 +119,8 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
         doc_ids, lengths, parts = [], [], []
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
-            for t in batch.column(1).to_pylist():
-                parts.append(enc.encode(t) + end)
+            for data in enc.encode_many(batch.column(1).to_pylist()):
+                parts.append(data + end)
                 lengths.append(len(parts[-1]) // 4)
         if not doc_ids:
             return

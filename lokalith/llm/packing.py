@@ -106,8 +106,8 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             source, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, text in enumerate(batch.column(2).to_pylist()):
-                data = enc.encode(text) + end
+            for k, data in enumerate(enc.encode_many(batch.column(2).to_pylist())):
+                data += end
                 n = len(data) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
                 for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

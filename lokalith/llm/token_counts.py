@@ -56,9 +56,8 @@ def section_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 part = rows.slice(k, batch)
                 texts = part.column(1).to_pylist()
                 source, number, start, end, count, total = [], [], [], [], [], []
-                for j, text in enumerate(texts):
+                for j, (text, spans) in enumerate(zip(texts, enc.spans_many(texts), strict=True)):
                     cuts = np.array(sections(text), dtype=np.int64).reshape(-1, 2)
-                    spans = enc.spans(text)
                     source += [j] * len(cuts)
                     number += range(len(cuts))
                     start += cuts[:, 0].tolist()

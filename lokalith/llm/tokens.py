@@ -1,9 +1,10 @@
 """Cached encoding of whole texts with a public tokenizer file.
 
-Byte-pair encoding does not look past a pre-token, and pre-tokens do not cross single white space. So a text is
-cut at white space, each piece is looked up, and only pieces not seen before go to the tokenizers library. Texts
-in which white space could matter (runs of it, control separators) take the library's own path. Ids are exactly
-those of ``Tokenizer.encode(text, add_special_tokens=False)`` with special strings taken as ordinary text.
+Byte-pair encoding does not look past a pre-token. So texts are cut into pieces of one or more whole pre-tokens,
+the pieces of many texts are numbered by Arrow, only distinct pieces are looked up, and only those not seen
+before go to the tokenizers library. Texts with control separators, which count as white space in one place and
+not in another, take the library's own path. Ids are exactly those of
+``Tokenizer.encode(text, add_special_tokens=False)`` with special strings taken as ordinary text.
 """
 
 from __future__ import annotations
@@ -11,20 +12,22 @@ from __future__ import annotations
 import json
 import re
 import struct
+from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _CONTROL = re.compile(r"[\x1c-\x1f]")
-_LOOSE = re.compile(r"\s\s")
-_PIECES = re.compile(rf" ?[{_LETTERS}]+(?=[.,]*(?:\s|$))|[.,]+(?=\s|$)| ?\S+|\s+(?!\S)|\s")
-_WORDS = re.compile(rf"[{_LETTERS}]+(?=[.,]*(?:\s|$))|[.,]+(?=\s|$)|\S+")
-_PLAIN = re.compile(rf" ?[{_LETTERS}]+|[.,]+")
-#: Entries a cache may hold, for pieces and for white-space-bounded words; a full one starts anew, so memory
-#: stays bounded and results do not depend on it. Pieces cost a call to the library, words only a few look-ups.
-PIECE_ENTRIES, WORD_ENTRIES = 700_000, 300_000
+_MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which may start a pre-token of its own
+_PIECES = re.compile(rf" ?[{_LETTERS}]+(?=[{_MARKS}]*(?:\s|$))|[{_MARKS}]+(?=\s|$)| ?\S+|\s+(?!\S)|\s")
+_WORDS = re.compile(rf"[{_LETTERS}]+(?=[{_MARKS}]*(?:\s|$))|[{_MARKS}]+(?=\s|$)|\S+")
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+|[{_MARKS}]+")
+#: Pieces that the cache may hold; a full one starts anew, so memory stays bounded and results do not depend on it.
+PIECE_ENTRIES = 1_000_000
+#: Characters of text, about, whose pieces are numbered at once; longer texts are taken alone.
+BLOCK_CHARS = 4 << 20
 
 
 def _byte_letters() -> dict[int, str]:
@@ -69,8 +72,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.widths: np.ndarray | None = None
         self.pieces = _Cache(self._piece, PIECE_ENTRIES)
-        self.words = _Cache(lambda w: b"".join(map(self.pieces.__getitem__, (_WORDS if self.folds else _PIECES).findall(w))), WORD_ENTRIES)
-        self.spaced = _Cache(lambda w: b"".join(map(self.pieces.__getitem__, _PIECES.findall(" " + w))), WORD_ENTRIES)
+        self.cut = (_WORDS if self.folds else _PIECES).findall
 
     def _piece(self, piece: str) -> bytes:
         if not _PLAIN.fullmatch(piece):
@@ -86,40 +88,58 @@ class Encoder:
         return _little(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
-        if _CONTROL.search(text):
-            return self.whole(text)
-        if self.folds:
-            return b"".join(map(self.words.__getitem__, text.split()))
-        if text[:1].isspace() or text[-1:].isspace() or _LOOSE.search(text):
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
-        first, *lines = text.split("\n")
-        out = [self._line(first)]
-        for line in lines:
-            out += [self.pieces["\n"], self._line(line)]
-        return b"".join(out)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, block by block."""
+        out, at, size = [], 0, 0
+        for k, text in enumerate(texts, 1):
+            size += len(text)
+            if size >= BLOCK_CHARS or k == len(texts):
+                out += self._block(texts[at:k])
+                at, size = k, 0
+        return out
+
+    def _block(self, texts: list[str]) -> list[bytes]:
+        alone = {k: self.whole(t) for k, t in enumerate(texts) if _CONTROL.search(t)}
+        pieces, ends = [], [0]
+        for k, text in enumerate(texts):
+            if k not in alone:
+                pieces += self.cut(text)
+            ends.append(len(pieces))
+        numbered = pa.array(pieces, pa.string()).dictionary_encode()
+        found = list(map(self.pieces.__getitem__, numbered.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        data, sizes = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        number = numbered.indices.to_numpy()
+        n = sizes[number]
+        until = np.concatenate([[0], np.cumsum(n)])
+        ids = data[np.repeat((np.cumsum(sizes) - sizes)[number] - until[:-1], n) + np.arange(until[-1])]
+        cuts = until[ends].tolist()
+        return [alone[k] if k in alone else ids[a:b].tobytes() for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
 
     def spans(self, text: str) -> np.ndarray:
-        """Character spans ``(start, end)`` of the ids of ``text``, as the library's offsets.
+        """Character spans ``(start, end)`` of the ids of ``text``, as the library's offsets."""
+        return next(self.spans_many([text]))
+
+    def spans_many(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The spans of each text.
 
         Without a normalizer the tokens' bytes are the text's bytes, so ends follow from their lengths; a token
         that holds part of a character spans that character.
         """
         if self.folds:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+            for text in texts:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).offsets, dtype=np.int64).reshape(-1, 2)
+            return
         if self.widths is None:
             vocabulary = self.tokenizer.get_vocab()
             self.widths = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
             self.widths[list(vocabulary.values())] = [len(t) for t in vocabulary]
-        width = self.widths[np.frombuffer(self.encode(text), dtype="<u4")]
-        ends = np.cumsum(width)
-        place = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
-        return np.stack([place[ends - width], place[ends - 1] + 1], axis=1) if len(ends) else np.zeros((0, 2), dtype=np.int64)
-
-    def _line(self, line: str) -> bytes:
-        if not line:
-            return b""
-        first, *rest = line.split(" ")
-        return b"".join(chain((self.words[first],), map(self.spaced.__getitem__, rest)))
+        for text, ids in zip(texts, self.encode_many(texts), strict=True):
+            width = self.widths[np.frombuffer(ids, dtype="<u4")]
+            ends = np.cumsum(width)
+            place = np.cumsum((np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80) - 1
+            yield np.stack([place[ends - width], place[ends - 1] + 1], axis=1) if len(ends) else np.zeros((0, 2), dtype=np.int64)
 
 
 @cache

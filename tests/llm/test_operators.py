@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lokalith.llm import binids, decontam, exact_dedup, langid, licenses, packing, queries, simhash, token_counts, toxicity, warc
+from lokalith.llm import binids, decontam, exact_dedup, langid, licenses, packing, queries, simhash, token_counts, tokens, toxicity, warc
 from lokalith.llm.shared import fold_of, table
 from lokalith.llm.tokens import encoder
 
@@ -231,7 +231,7 @@ def test_warc_salvage(zipped):
     assert sum(n for _, n, _, _ in found) == len(data) and list(warc.salvage(b"")) == []
 
 
-TEXTS = st.lists(st.sampled_from(list("abIt's.,!\n  \t\"-9ßéÉ中́Σ\x1c\x85 ") + ["<|endoftext|>", "word ", " 've", "é"]), max_size=40).map("".join)
+TEXTS = st.lists(st.sampled_from(list("abIt's.,!\n  \t\"-9ßéÉ中́Σ\x1c\x85 ") + list("&#$%*(){}[]`~^|<>=+@\\/_:;") + ["<|endoftext|>", "word ", " 've", "é", "&&&", "end### ", "ok.)\n"]), max_size=40).map("".join)
 
 
 @settings(max_examples=300, deadline=None)
@@ -243,6 +243,16 @@ def test_encoder_equals_library(text):
         assert enc.spans(text).tolist() == [list(o) for o in enc.tokenizer.encode(text, add_special_tokens=False).offsets]
 
 
+def test_many_texts_over_blocks(monkeypatch):
+    texts = ["", "one two", "a\x1cb", "one, two### é", "", "  one", "two\n\none"] * 3
+    for path in (GPT, CLIP):
+        enc = encoder(path)
+        for size in (1, 12, 1 << 20):
+            monkeypatch.setattr(tokens, "BLOCK_CHARS", size)
+            assert enc.encode_many(texts) == [enc.whole(t) for t in texts] and enc.encode_many([]) == []
+            assert [s.tolist() for s in enc.spans_many(texts)] == [enc.spans(t).tolist() for t in texts]
+
+
 def test_encoder_equals_library_on_documents(spark, sf):
     for path in (GPT, CLIP):
         enc = encoder(path)
