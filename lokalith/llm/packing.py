@@ -25,6 +25,8 @@ from lokalith.llm.tokens import encoder
 
 #: Pieces in a bucket of one length, about.
 BUCKET_ROWS = 1024
+#: Documents that are encoded together.
+ENCODE_ROWS = 512
 
 
 class RoomTree:
@@ -99,14 +101,15 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, i
     return plan
 
 
-def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0) -> DataFrame:
-    """``doc_id, row_key, piece, start, length, ids_crc32, ids``: a row per piece; ``ids`` little-endian uint32."""
+def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+    """``doc_id, row_key, piece, start, length, ids_crc32`` (and ``ids``, little-endian uint32): a row per piece."""
+    names = ["doc_id", "row_key", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        for part in (batch.slice(k, ENCODE_ROWS) for batch in batches for k in range(0, batch.num_rows, ENCODE_ROWS)):
             source, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, data in enumerate(enc.encode_many(batch.column(2).to_pylist())):
+            for k, data in enumerate(enc.encode_many(part.column(2).to_pylist())):
                 data += end
                 n = len(data) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
@@ -115,14 +118,16 @@ def token_pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
                     piece.append(p)
                     start.append(a)
                     length.append(b - a)
-                    ids.append(data[4 * a : 4 * b])
-                    crc.append(zlib.crc32(ids[-1]))
+                    own = data[4 * a : 4 * b]
+                    crc.append(zlib.crc32(own))
+                    if with_ids:
+                        ids.append(own)
             keep = pa.array(source, type=pa.int32())
-            columns = [batch.column(0).take(keep), batch.column(1).take(keep), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(ids, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row_key", "piece", "start", "length", "ids_crc32", "ids"])
+            columns = [part.column(0).take(keep), part.column(1).take(keep), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.binary())] if with_ids else [])], names=names)
 
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text_of(text_col)).alias("row_key"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row_key long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = True) -> DataFrame:
@@ -133,8 +138,7 @@ def pack(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str =
     as often as they come, null ids like others; an empty table gives an empty result.
     """
     spark = df.sparkSession
-    pieces = token_pieces(df, tokenizer, id_col, text_col, capacity, end_id)
-    pieces = materialise(pieces if with_ids else pieces.drop("ids"), "pieces")
+    pieces = materialise(token_pieces(df, tokenizer, id_col, text_col, capacity, end_id, with_ids), "pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # capacity rows at most
     plan = best_fit_plan(histogram, capacity)
     ranges: dict[int, list] = {}

@@ -25,7 +25,7 @@ _PIECES = re.compile(rf" ?[{_LETTERS}]+(?=[{_MARKS}]*(?:\s|$))|[{_MARKS}]+(?=\s|
 _WORDS = re.compile(rf"[{_LETTERS}]+(?=[{_MARKS}]*(?:\s|$))|[{_MARKS}]+(?=\s|$)|\S+")
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+|[{_MARKS}]+")
 #: Pieces that the cache may hold; a full one starts anew, so memory stays bounded and results do not depend on it.
-PIECE_ENTRIES = 700_000
+PIECE_ENTRIES = 500_000
 #: Characters of text, about, whose pieces are numbered at once; longer texts are taken alone.
 BLOCK_CHARS = 2 << 20
 

@@ -129,7 +129,7 @@ def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
             else:
                 toxic, ordinary, steps, shares = shared.value
                 judge = scorer(toxic, ordinary)
-                gains = np.array([judge.gain(t) for t in batch.column(1).to_pylist()], dtype=np.int32)
+                gains = np.array([judge.gain(t.as_py()) for t in batch.column(1)], dtype=np.int32)
                 scores = np.array([shares[max(0, bisect_right(steps, g) - 1)] for g in gains.tolist()], dtype=np.float64)
             columns = [batch.column(0), pa.array(gains), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "gain", "score", "predicted"])
@@ -148,8 +148,8 @@ def drop_toxic(df: DataFrame, model: Model | None, text_col: str = "text", thres
             if shared.value is not None:
                 toxic, ordinary, steps, shares = shared.value
                 judge = scorer(toxic, ordinary)
-                texts = batch.column(names.index(text_col)).to_pylist()
-                keep = [shares[max(0, bisect_right(steps, judge.gain(t)) - 1)] < threshold for t in texts]
+                texts = batch.column(names.index(text_col))
+                keep = [shares[max(0, bisect_right(steps, judge.gain(t.as_py())) - 1)] < threshold for t in texts]
                 batch = batch.filter(pa.array(keep, pa.bool_()))
             yield batch
 
