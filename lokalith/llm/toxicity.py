@@ -1,11 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text: each holds the words of its class
-that the other class lacks most. A text is scored in windows of ``WINDOW`` words. A window is compressed with both; what
-the toxic dictionary saves over the ordinary one is its gain, and the largest gain of all windows is the text's.
-Windows are prefixed by a fixed carrier that both dictionaries hold, so that a block's overhead is the same in
-both and a single short match already shows. Gains become scores through a monotone calibration on the training
-rows: the share of toxic rows at each gain.
+Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both hold the same ordinary text of every
+language; the toxic one also holds the words and word starts of toxic text that a likelihood-ratio test within
+their language sets apart. A text is compressed whole, in windows of ``WINDOW`` words, with both. What the toxic
+dictionary saves over the ordinary one, less an allowance a word, is the text's gain. The allowance and a monotone
+calibration, a lower bound of the share of toxic rows at each gain, are learned on training rows whose
+own half of the sample did not make the dictionaries.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
+from math import log, sqrt
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,49 +28,100 @@ from lokalith.llm.shared import text_of
 
 #: Bound of the training sample: about so many rows of each class, so many characters of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 1500, 20_000
-WINDOW, LEVEL, CACHE_WINDOWS = 1, 3, 300_000
-#: A word enters a dictionary at this share of the strongest contrast between the classes, most first.
-CONTRAST, DICTIONARY_WORDS = 0.33, 4000
+WINDOW, LEVEL = 4, 7
+#: A word or word start enters the toxic dictionary from so many rows and so large a G statistic on.
+LEAST_ROWS, LEAST_G = 3, 20.0
+#: Characters of a word start with the space before it; bytes of ordinary text, dealt evenly to the languages.
+SHORTEST, LONGEST, SHARED_BYTES = 5, 24, 4 << 10
+#: Standard errors that a score lies below the share of its step.
+ERRORS = 3.0
 CARRIER = b"#0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ#"
 
-Model = tuple[bytes, bytes, tuple[int, ...], tuple[float, ...]]
+#: Toxic and ordinary dictionary, allowance a word, steps of the gain, shares of toxic rows.
+Model = tuple[bytes, bytes, float, tuple[int, ...], tuple[float, ...]]
+#: Text, language, toxic.
+Row = tuple[str, str, int]
 
 
-def _dictionary(here: Counter, n: int, there: Counter, m: int) -> bytes:
-    contrast = {w: c / n - there[w] / m for w, c in here.items() if c > 1}
-    top = max(contrast.values(), default=0.0)
-    words = sorted((w for w, x in contrast.items() if x >= CONTRAST * top > 0), key=lambda w: (contrast[w], w))[-DICTIONARY_WORDS:]
-    return b" " + b" ".join(words) + b" " + CARRIER
+def _starts(word: str) -> list[str]:
+    return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)]
+
+
+def _marks(text: str) -> set[str]:
+    return {s for w in set(normal(text).decode().split()) for s in _starts(f" {w} ")}
+
+
+def _g(a: int, n: int, b: int, m: int) -> float:
+    """G statistic of ``a`` of ``n`` toxic against ``b`` of ``m`` ordinary rows."""
+    share = (a + b) / (n + m)
+    return 2 * sum(x * log(x / k / p) for x, k, p in ((a, n, share), (n - a, n, 1 - share), (b, m, share), (m - b, m, 1 - share)) if x)
+
+
+def segments(toxic: list[str], ordinary: list[str]) -> set[str]:
+    """Of each word of toxic text the start, or the whole word, that sets toxic rows apart most, where it does enough."""
+    if not toxic or not ordinary:
+        return set()
+    counts: Counter = Counter()
+    for text in toxic:
+        counts.update(_marks(text))
+    here, there = {s: c for s, c in counts.items() if c >= LEAST_ROWS}, Counter()
+    del counts
+    for text in ordinary:
+        there.update(s for s in _marks(text) if s in here)
+    n, m = len(toxic), len(ordinary)
+    apart = {s: g for s, c in here.items() if c / n > there[s] / m and (g := _g(c, n, there[s], m)) >= LEAST_G}
+    words = {f" {w} " for text in toxic for w in normal(text).decode().split()}
+    return {max(found, key=lambda s: (apart[s], len(s))) for w in words if (found := [s for s in _starts(w) if s in apart])}
+
+
+def dictionaries(rows: list[Row]) -> tuple[bytes, bytes]:
+    """Toxic and ordinary dictionary of the sampled rows. The shared text lies last, so both reach it at the same cost."""
+    langs, found = sorted({lang for _, lang, _ in rows}), set()
+    texts = {lang: ([t for t, x, y in rows if x == lang and y], [t for t, x, y in rows if x == lang and not y]) for lang in langs}
+    for toxic, ordinary in texts.values():
+        found |= segments(toxic, ordinary)
+    bare, shared = tuple(sorted(s.strip() for s in found)), b""
+    for _, ordinary in texts.values():
+        share = SHARED_BYTES // len(langs)
+        slices = (" ".join(w for w in normal(t[:2000]).decode().split() if not w.startswith(bare)) for t in ordinary)
+        shared += b"".join(f" {x}".encode()[: max(60, share // len(ordinary) + 1)] for x in slices)[:share]
+    return "".join(sorted(found)).encode() + shared + b" " + CARRIER, shared + b" " + CARRIER
 
 
 class Scorer:
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = _compressor(toxic, LEVEL), _compressor(ordinary, LEVEL)
-        self.known: dict[bytes, int] = {}
-
-    def window_gain(self, window: bytes) -> int:
-        gain = self.known.get(window)
-        if gain is None:
-            data = CARRIER + b" " + window + b" "
-            gain = len(self.ordinary.compress(data)) - len(self.toxic.compress(data))
-            if len(self.known) >= CACHE_WINDOWS:
-                self.known.clear()
-            self.known[window] = gain
-        return gain
+    def __init__(self, toxic: bytes, ordinary: bytes, allowance: float = 0.0):
+        self.toxic, self.ordinary, self.allowance = _compressor(toxic, LEVEL), _compressor(ordinary, LEVEL), allowance
 
-    def gain(self, text: str | None) -> int:
+    def saved(self, text: str | None) -> tuple[int, int]:
+        """Bytes that the toxic dictionary saves over all windows, and the number of words."""
         words = normal(text or "").split()
-        windows = words if WINDOW == 1 else [b" ".join(words[i : i + WINDOW]) for i in range(max(1, len(words) - WINDOW + 1))]
-        return max(map(self.window_gain, set(windows)), default=0)
+        windows = (CARRIER + b" " + b" ".join(words[i : i + WINDOW]) + b" " for i in range(0, len(words), WINDOW))
+        return sum(len(self.ordinary.compress(x)) - len(self.toxic.compress(x)) for x in windows), len(words)
+
+    def gain(self, text: str | None) -> int:
+        """Tenths of a byte."""
+        return net(*self.saved(text), self.allowance)
+
+
+def net(saved: int, words: int, allowance: float) -> int:
+    return round(10 * (saved - allowance * words))
 
 
 @lru_cache(maxsize=4)
-def scorer(toxic: bytes, ordinary: bytes) -> Scorer:
-    return Scorer(toxic, ordinary)
+def scorer(toxic: bytes, ordinary: bytes, allowance: float) -> Scorer:
+    return Scorer(toxic, ordinary, allowance)
+
+
+def best_f1(gains: list[int], marks: list[int]) -> float:
+    best, hits, total = 0.0, 0, sum(marks)
+    for n, (_, y) in enumerate(sorted(zip(gains, marks, strict=True), key=lambda x: (-x[0], x[1])), 1):
+        hits += y
+        best = max(best, 2 * hits / (n + total))
+    return best
 
 
 def calibrate(gains: list[int], toxic: list[int]) -> tuple[tuple[int, ...], tuple[float, ...]]:
-    """Steps ``(gain, share of toxic rows from there on)``, not falling, by pooling adjacent violators."""
+    """Steps ``(gain, lower bound of the share of toxic rows from there on)``, not falling, by pooling adjacent violators."""
     total, hits = Counter(gains), Counter(g for g, y in zip(gains, toxic, strict=True) if y)
     pools: list[list[float]] = []
     for g in sorted(total):
@@ -76,14 +130,16 @@ def calibrate(gains: list[int], toxic: list[int]) -> tuple[tuple[int, ...], tupl
             _, h, n = pools.pop()
             pools[-1][1] += h
             pools[-1][2] += n
-    return tuple(int(p[0]) for p in pools), tuple(p[1] / p[2] for p in pools)
+    shares = [(h / n, n) for _, h, n in pools]
+    return tuple(int(p[0]) for p in pools), tuple(accumulate((max(0.0, x - ERRORS * sqrt(x * (1 - x) / n)) for x, n in shares), max))
 
 
-def learn(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
+def learn(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", lang_col: str = "lang") -> Model | None:
     """Dictionaries and calibration from the labelled rows of ``df`` where ``usable``; None where a class is missing.
 
     The sample of labels is bounded (SAMPLE_ROWS a class, by hash of the id at a rate from the counts over all
-    labels) and is what is broadcast to the documents. Equal texts count once.
+    labels) and is what is broadcast to the documents. Equal texts count once. Without ``lang_col`` all rows are
+    of one language.
     """
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(usable).groupBy(F.col(id_col).alias("i")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -91,27 +147,34 @@ def learn(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         return None
     rate = F.when(F.col("y") == 1, F.lit(int(min(1.0, SAMPLE_ROWS / counts[1]) * (1 << 20)))).otherwise(F.lit(int(min(1.0, SAMPLE_ROWS / counts[0]) * (1 << 20))))
     chosen = marked.where(F.pmod(F.xxhash64("i"), F.lit(1 << 20)) < rate)
-    rows = df.select(F.col(id_col).alias("i"), F.left(text_of(text_col), F.lit(SAMPLE_CHARS)).alias("text")).join(F.broadcast(chosen), "i").collect()
-    texts: dict[str, int] = {}
-    for r in sorted(rows, key=lambda r: (r["i"], r["text"])):
-        texts[r["text"]] = max(texts.get(r["text"], 0), r["y"])
-    words = {1: Counter(), 0: Counter()}
-    sizes = Counter(texts.values())
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in df.columns else F.lit("")
+    rows = df.select(F.col(id_col).alias("i"), F.left(text_of(text_col), F.lit(SAMPLE_CHARS)).alias("text"), lang.alias("lang")).join(F.broadcast(chosen), "i").collect()
+    texts: dict[str, tuple[str, int]] = {}
+    for r in sorted(rows, key=lambda r: (r["i"], r["text"], r["lang"])):
+        known = texts.get(r["text"], (r["lang"], 0))
+        texts[r["text"]] = known[0], max(known[1], r["y"])
+    sample: list[Row] = [(t, lang, y) for t, (lang, y) in texts.items()]
+    sizes = Counter(y for _, _, y in sample)
     if len(sizes) < 2:
         return None
-    for text, y in texts.items():
-        words[y].update(set(normal(text).split()))
-    toxic, ordinary = _dictionary(words[1], sizes[1], words[0], sizes[0]), _dictionary(words[0], sizes[0], words[1], sizes[1])
-    judge = Scorer(toxic, ordinary)
+    whole = dictionaries(sample)
+    halves = [[r for r in sample if crc32(r[0].encode("utf-8", "surrogatepass")) % 2 == k] for k in (0, 1)]
+    saved: list[tuple[int, int]] = []
+    for k, half in enumerate(halves):
+        judge = Scorer(*(dictionaries(halves[1 - k]) if len({y for _, _, y in halves[1 - k]}) == 2 else whole))
+        saved += [judge.saved(t) for t, _, _ in half]
+    marks = [y for half in halves for _, _, y in half]
+    means = [sum(s for (s, _), y in zip(saved, marks, strict=True) if y == k) / max(1, sum(n for (_, n), y in zip(saved, marks, strict=True) if y == k)) for k in (0, 1)]
+    allowance = max((means[0] + part * (means[1] - means[0]) for part in (0.05, 0.1, 0.2, 0.3, 0.4, 0.5)), key=lambda a: best_f1([net(s, n, a) for s, n in saved], marks))
     # rows weigh as often as their class is sampled, so shares are those of all labels
     weight = {y: counts[y] / sizes[y] for y in counts}
     less = min(weight.values())
-    gains, marks = [], []
-    for text, y in texts.items():
+    gains, repeated = [], []
+    for (s, n), y in zip(saved, marks, strict=True):
         times = max(1, round(weight[y] / less))
-        gains += [judge.gain(text)] * times
-        marks += [y] * times
-    return (toxic, ordinary, *calibrate(gains, marks))
+        gains += [net(s, n, allowance)] * times
+        repeated += [y] * times
+    return (*whole, allowance, *calibrate(gains, repeated))
 
 
 def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -120,15 +183,15 @@ def score(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col:
     Null and empty texts have gain 0. Without a model every score is 0. Repeated rows get equal answers; an
     empty table gives an empty result.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # DICTIONARY_WORDS a class
+    shared = df.sparkSession.sparkContext.broadcast(model)  # SHARED_BYTES and the segments
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if shared.value is None:
                 gains, scores = np.zeros(batch.num_rows, dtype=np.int32), np.zeros(batch.num_rows)
             else:
-                toxic, ordinary, steps, shares = shared.value
-                judge = scorer(toxic, ordinary)
+                toxic, ordinary, allowance, steps, shares = shared.value
+                judge = scorer(toxic, ordinary, allowance)
                 gains = np.array([judge.gain(t.as_py()) for t in batch.column(1)], dtype=np.int32)
                 scores = np.array([shares[max(0, bisect_right(steps, g) - 1)] for g in gains.tolist()], dtype=np.float64)
             columns = [batch.column(0), pa.array(gains), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
@@ -146,8 +209,8 @@ def drop_toxic(df: DataFrame, model: Model | None, text_col: str = "text", thres
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if shared.value is not None:
-                toxic, ordinary, steps, shares = shared.value
-                judge = scorer(toxic, ordinary)
+                toxic, ordinary, allowance, steps, shares = shared.value
+                judge = scorer(toxic, ordinary, allowance)
                 texts = batch.column(names.index(text_col))
                 keep = [shares[max(0, bisect_right(steps, judge.gain(t.as_py())) - 1)] < threshold for t in texts]
                 batch = batch.filter(pa.array(keep, pa.bool_()))

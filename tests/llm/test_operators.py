@@ -354,6 +354,17 @@ def test_toxicity_held_out(spark, edge, none):
     assert toxicity.drop_toxic(edge, model).columns == edge.columns
 
 
+def test_toxicity_recall_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = toxicity.learn(docs, labels, fold_of("doc_id") != 2)
+    held = docs.join(labels, "doc_id").where((fold_of("doc_id") == 2) & (F.col("toxic") == 1))
+    langs = {r["doc_id"]: r["lang"] for r in held.select("doc_id", "lang").collect()}
+    total, hits = Counter(langs.values()), Counter(langs[r["doc_id"]] for r in toxicity.score(held, model).collect() if r["predicted"])
+    recall = {lang: hits[lang] / n for lang, n in total.items()}
+    assert set(recall) == {"en", "de", "fr", "es"} and min(recall.values()) >= 0.3 and sum(hits.values()) >= 0.7 * len(langs), recall
+
+
 def test_license_scan(spark, sf, edge, none):
     def brute(text):
         """Exact word-sequence occurrences of the templates."""
