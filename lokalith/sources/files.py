@@ -64,14 +64,24 @@ def append_journal(rows: DataFrame, path: str) -> None:
     rows.select(F.concat_ws("\t", text.escape(F.col("source")), text.escape(F.col("translation")))).write.mode("append").text(path)
 
 
-def walk_json(df: DataFrame, column: str, *keep: str, depth: int = 8) -> DataFrame:
+def json_depth(df: DataFrame, column: str) -> int:
+    """The deepest nesting of objects and arrays in the JSON texts of ``column``; texts that do not parse do not count."""
+    bare = F.regexp_replace(F.regexp_replace(column, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
+    state = lambda now, top: F.struct(now.alias("now"), top.alias("top"))
+    step = lambda acc, c: acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
+    depth = F.aggregate(F.split(bare, ""), state(F.lit(0), F.lit(0)), lambda acc, c: state(step(acc, c), F.greatest(acc["top"], step(acc, c))), lambda acc: acc["top"])
+    return df.where(F.try_parse_json(column).isNotNull()).agg(F.max(depth)).head()[0] or 0
+
+
+def walk_json(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """Objects at any depth with non-empty ``Key`` and ``SourceString``: ``keep..., namespace, key, source``.
 
-    One variant explosion per level, ``depth`` levels at most; matched objects are searched as well.
+    One variant explosion per level, as many as the deepest text has, counted first; matched objects are searched
+    as well. The plan grows with the depth.
     """
     level = df.select(*keep, F.try_parse_json(column).alias("v"))
     found = None
-    for _ in range(depth):
+    for _ in range(max(1, json_depth(df, column))):
         field = lambda name: F.try_variant_get("v", f"$.{name}", "string")
         here = level.select(*keep, field("Namespace").alias("namespace"), field("Key").alias("key"), field("SourceString").alias("source")).where("key <> '' and source <> '' and namespace is not null")
         found = here if found is None else found.unionByName(here)

@@ -109,6 +109,18 @@ def test_files_round_trip(spark, tmp_path):
     assert locres.read_locres(spark, str(tmp_path / "d")).count() == 2
 
 
+def test_json_walk_has_no_depth_limit(spark):
+    def nested(n, key):
+        text = f'{{"Namespace": "n", "Key": "{key}", "SourceString": "braces }}}} {{{{ [ \\\\\\" in a string"}}'
+        for k in range(n):
+            text = f'{{"a": {text}}}' if k % 2 else f"[{text}]"
+        return text
+
+    df = spark.createDataFrame([(n, nested(n, f"k{n}")) for n in (0, 7, 8, 14)] + [(99, "[" * 40), (100, None)], "id int, j string")
+    assert sorted((r["id"], r["key"]) for r in files.walk_json(df, "j", "id").collect()) == [(0, "k0"), (7, "k7"), (8, "k8"), (14, "k14")]
+    assert files.walk_json(df.where("id > 98"), "j", "id").count() == 0
+
+
 def test_stream_merges_batches(spark, tmp_path):
     from lokalith.streaming.incremental import merge_stream
 
