@@ -4,7 +4,8 @@ An id is split into 8-bit chunks, lowest first. Level 0 holds the first chunk of
 says which ids go on, and level 1 holds the next chunk of those only, and so forth. A rank directory (ones before
 every 512 bits) gives an id's place in the next level in constant time.
 
-File layout, little endian: ``LKDA``, u16 version 1, u16 levels, u64 documents, u64 tokens; document ids i64 each;
+File layout, little endian: ``LKDA``, u16 version 2, u16 levels, u64 documents, u64 tokens, u64 documents without an
+id (they come first, and hold 0 as id); document ids i64 each;
 document starts u64 each plus the end; then for each level u64 chunks, the chunks, padding to 8 bytes, the bitmap
 in u64 words, the directory u64 each. The last level has an empty bitmap all the same.
 
@@ -26,14 +27,16 @@ from pyspark.sql import functions as F
 from lokalith.llm.shared import fresh_path, materialise, text_of
 from lokalith.llm.tokens import encoder
 
-MAGIC, VERSION, RANK_BITS = b"LKDA", 1, 512
-_HEAD = struct.Struct("<4sHHQQ")
+MAGIC, VERSION, RANK_BITS = b"LKDA", 2, 512
+_HEAD = struct.Struct("<4sHHQQQ")
 #: Bytes of text that one file takes, about.
 FILE_BYTES = 16 << 20
+#: Documents that are encoded together; tokens, about, that are decoded together.
+ENCODE_ROWS, DECODE_TOKENS = 512, 1 << 18
 
 
-def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One file for documents in order; ``ids`` are all their ids, concatenated."""
+def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """One file for documents in order, those without an id first; ``ids`` are all their ids, concatenated."""
     left, levels = np.asarray(ids, dtype=np.uint32), []
     while True:
         more = left > 0xFF
@@ -47,14 +50,16 @@ def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> by
         if not len(left):
             break
     starts = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-    return _HEAD.pack(MAGIC, VERSION, len(levels), len(doc_ids), int(starts[-1])) + np.asarray(doc_ids, dtype="<i8").tobytes() + starts.tobytes() + b"".join(levels)
+    nulls = sum(d is None for d in doc_ids)
+    named = np.array([0] * nulls + list(doc_ids[nulls:]), dtype="<i8")
+    return _HEAD.pack(MAGIC, VERSION, len(levels), len(doc_ids), int(starts[-1]), nulls) + named.tobytes() + starts.tobytes() + b"".join(levels)
 
 
 class IdFile:
-    """Reads what :func:`encode_file` wrote: ``get(k)`` for one token, ``document(d)`` and ``all()`` for many."""
+    """Reads what :func:`encode_file` wrote: ``get(k)`` for one token, ``slice(a, b)`` and ``document(d)`` for neighbours."""
 
     def __init__(self, data: bytes):
-        magic, version, levels, docs, self.tokens = _HEAD.unpack_from(data)
+        magic, version, levels, docs, self.tokens, self.nulls = _HEAD.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token-id file")
         at = _HEAD.size
@@ -72,42 +77,52 @@ class IdFile:
             at += 8 * len(ones)
             self.levels.append((chunks, bits, ones))
 
+    def _rank(self, level: int, k: int) -> int:
+        """Ids before ``k`` of the level that go on."""
+        _, bits, ones = self.levels[level]
+        block = min(k // RANK_BITS, len(ones) - 1)
+        part = np.unpackbits(bits[block * RANK_BITS // 8 : (k + 7) >> 3], bitorder="little")[: k - block * RANK_BITS]
+        return int(ones[block]) + int(part.sum())
+
     def get(self, k: int) -> int:
         value, shift = 0, 0
-        for chunks, bits, ones in self.levels:
+        for level, (chunks, bits, _) in enumerate(self.levels):
             value |= int(chunks[k]) << shift
             if not bits[k >> 3] >> (k & 7) & 1:
                 break
-            block = k // RANK_BITS
-            before = np.unpackbits(bits[block * RANK_BITS // 8 : (k >> 3) + 1], bitorder="little")[: k - block * RANK_BITS]
-            k, shift = int(ones[block]) + int(before.sum()), shift + 8
+            k, shift = self._rank(level, k), shift + 8
         return value
 
-    def all(self) -> np.ndarray:
-        """Every id; levels are merged from the last one back."""
-        values = np.zeros(0, dtype=np.uint32)
-        for chunks, bits, _ in reversed(self.levels):
-            more = np.unpackbits(bits, bitorder="little")[: len(chunks)].astype(bool)
-            here = chunks.astype(np.uint32)
-            here[more] |= values << np.uint32(8)
-            values = here
+    def slice(self, a: int, b: int) -> np.ndarray:
+        """Ids ``a`` to ``b``: of each level the neighbours that belong to them, found by rank."""
+        values, place = np.zeros(b - a, dtype=np.uint32), np.arange(b - a)
+        for level, (chunks, bits, _) in enumerate(self.levels):
+            if a == b:
+                break
+            values[place] |= chunks[a:b].astype(np.uint32) << np.uint32(8 * level)
+            more = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 :][: b - a].astype(bool)
+            place = place[more]
+            a = self._rank(level, a)
+            b = a + len(place)
         return values
 
+    def all(self) -> np.ndarray:
+        return self.slice(0, self.tokens)
+
     def document(self, d: int) -> np.ndarray:
-        return np.array([self.get(k) for k in range(self.starts[d], self.starts[d + 1])], dtype=np.uint32)
+        return self.slice(int(self.starts[d]), int(self.starts[d + 1]))
 
 
 def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> DataFrame:
     """Write ``df`` as files ``part-<n>.lkda`` below ``path`` (any file system pyarrow opens), ascending by id.
 
     Returns one row per file: ``file, documents, tokens``. A task writes under a name of its own and renames, so
-    a repeated or speculative task leaves the same file. Null texts are empty, a null id is written as the smallest
-    long, repeated rows as often as they come, in the order of their texts' hashes. An empty table writes no file.
+    a repeated or speculative task leaves the same file. Null texts are empty, null ids come first, repeated rows as
+    often as they come, in the order of their texts' hashes. An empty table writes no file.
     """
     text = text_of(text_col)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     total = df.agg(F.sum(F.octet_length(text))).head()[0] or 0
-    rows = df.select(key.alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
     files = int(1 + total // FILE_BYTES)
     ordered = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h")
 
@@ -117,7 +132,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
 
         enc, end = encoder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         doc_ids, lengths, parts = [], [], []
-        for batch in batches:
+        for batch in (rows.slice(k, ENCODE_ROWS) for rows in batches for k in range(0, rows.num_rows, ENCODE_ROWS)):
             doc_ids += batch.column(0).to_pylist()
             for data in enc.encode_many(batch.column(1).to_pylist()):
                 parts.append(data + end)
@@ -125,7 +140,9 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id",
         if not doc_ids:
             return
         number = TaskContext.get().partitionId()
-        data = encode_file(np.array(doc_ids), np.array(lengths), np.frombuffer(b"".join(parts), dtype="<u4"))
+        joined = np.frombuffer(b"".join(parts), dtype="<u4")
+        parts.clear()
+        data = encode_file(doc_ids, np.array(lengths), joined)
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
         draft, final = f"{folder}/.draft-{uuid.uuid4().hex}", f"{folder}/part-{number:08d}.lkda"
@@ -145,11 +162,16 @@ def read_ids(spark, path: str, with_ids: bool = True) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 source = IdFile(content.as_buffer())
-                data = source.all().astype("<u4").tobytes()
-                cut = [data[4 * a : 4 * b] for a, b in zip(source.starts, source.starts[1:], strict=False)]
-                number = int(name.rsplit("part-", 1)[1].split(".")[0])
-                columns = [pa.array(source.doc_ids), pa.array(np.full(len(cut), number)), pa.array(source.starts[:-1]), pa.array(np.diff(source.starts)), pa.array([zlib.crc32(x) for x in cut], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *([pa.array(cut, pa.binary())] if with_ids else [])], names=names)
+                number, docs, at = int(name.rsplit("part-", 1)[1].split(".")[0]), len(source.doc_ids), 0
+                while at < docs:  # whole documents, about DECODE_TOKENS at once
+                    until = max(at + 1, int(np.searchsorted(source.starts, source.starts[at] + DECODE_TOKENS, side="right")) - 1)
+                    starts = source.starts[at : until + 1]
+                    data = source.slice(int(starts[0]), int(starts[-1])).astype("<u4").tobytes()
+                    cut = [data[4 * a : 4 * b] for a, b in zip(starts - starts[0], starts[1:] - starts[0], strict=False)]
+                    named = pa.array(source.doc_ids[at:until], mask=np.arange(at, until) < source.nulls)
+                    columns = [named, pa.array(np.full(len(cut), number)), pa.array(starts[:-1]), pa.array(np.diff(starts)), pa.array([zlib.crc32(x) for x in cut], pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*columns, *([pa.array(cut, pa.binary())] if with_ids else [])], names=names)
+                    at = until
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.lkda").load(path).select("path", "content")
     return files.mapInArrow(run, "doc_id long, file long, start_in_file long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))

@@ -1,9 +1,9 @@
 """Language identification by compression.
 
 For each language a zstandard dictionary holds raw text of it. A text is compressed whole with every dictionary;
-the language whose dictionary makes it smallest wins. Dictionaries are digested once per worker. Short texts use
-the strongest level, where three matching bytes already count; long ones a fast level. A narrow margin between
-the two smallest sizes, relative to the text, marks the row as rejected.
+the language whose dictionary makes it smallest wins. Dictionaries are digested once per worker. All texts are compressed
+with the same settings, where four matching bytes already count. A narrow margin between the two smallest sizes,
+relative to the text, marks the row as rejected.
 """
 
 from __future__ import annotations
@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from lokalith.llm.shared import text_of
 
 UNKNOWN = "und"
-#: Bound of the training sample: about so many rows a language, so many characters of each.
-SAMPLE_ROWS, SAMPLE_CHARS = 400, 2000
+#: Bound of the training sample: about so many rows a language, at most twice as many in all, a stretch of so many
+#: characters of each; so many languages, the most frequent ones.
+SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 400, 300, 256
 DICTIONARY_BYTES = 112 << 10
-#: Texts of fewer bytes are compressed at the strong level.
-SHORT_BYTES, SHORT_LEVEL, LONG_LEVEL = 600, 19, 3
+#: Settings of the compressor, fixed so that they do not follow input sizes.
+SETTINGS = {"window_log": 21, "hash_log": 17, "chain_log": 17, "search_log": 2, "min_match": 4, "target_length": 32, "strategy": 6}
 #: A margin of fewer bytes per byte of text is narrow.
 NARROW = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -40,43 +40,47 @@ def normal(text: str) -> bytes:
 def learn(df: DataFrame, usable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:
     """Raw dictionaries by language from the rows of ``df`` where ``usable`` and ``lang_col`` is not null.
 
-    The sample is bounded by SAMPLE_ROWS and SAMPLE_CHARS a language: rows are taken by hash of the id at a rate
-    that follows from the counts over all rows.
+    The sample is bounded: of the LANGUAGES most frequent languages about SAMPLE_ROWS rows each, by hash of id and
+    text at a rate that follows from the counts over all rows; equal texts of a language are one row, and of all these
+    the first by hash up to twice the expected number. Of each text SAMPLE_CHARS characters are taken, from a
+    place that its hash decides. Null and empty texts are not used.
     """
-    rows = df.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per language
+    text = text_of(text_col)
+    rows = df.where(usable & F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(id_col, text).alias("h"))
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return {}
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, SAMPLE_ROWS / n) * (1 << 20)))])
-    sample = rows.where(F.pmod("h", F.lit(1 << 20)) < rate[F.col("lang")]).select("lang", "h", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    place = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < rate[F.col("lang")]).groupBy("lang", F.xxhash64("text").alias("t")).agg(F.min(F.substr("text", place, F.lit(SAMPLE_CHARS))).alias("text"))
+    sample = chosen.orderBy(F.xxhash64("t", "lang"), "lang").limit(2 * SAMPLE_ROWS * len(counts)).collect()
     out: dict[str, bytes] = {}
     for lang in sorted(counts):
-        texts = [normal(r["text"]) for r in sorted((r for r in sample if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))]
-        share = max(1, DICTIONARY_BYTES // max(1, len(texts)))
-        out[lang] = b"".join(t[: max(share, 256)] for t in texts)[-DICTIONARY_BYTES:]
+        out[lang] = b"".join(normal(r["text"]) for r in sample if r["lang"] == lang)[-DICTIONARY_BYTES:]
     return {lang: raw for lang, raw in out.items() if len(raw) >= 8}
 
 
-def _compressor(raw: bytes, level: int):
+def _compressor(raw: bytes):
     import zstandard as z
 
+    settings = z.ZstdCompressionParameters(**SETTINGS, write_content_size=False, write_checksum=False, write_dict_id=False)
     dictionary = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
-    dictionary.precompute_compress(level)
-    return z.ZstdCompressor(level=level, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
+    dictionary.precompute_compress(compression_params=settings)
+    return z.ZstdCompressor(dict_data=dictionary, compression_params=settings)
 
 
 @lru_cache(maxsize=4)
-def _compressors(model: tuple[tuple[str, bytes], ...]) -> tuple[list, list]:
-    return [_compressor(raw, SHORT_LEVEL) for _, raw in model], [_compressor(raw, LONG_LEVEL) for _, raw in model]
+def _compressors(model: tuple[tuple[str, bytes], ...]) -> list:
+    return [_compressor(raw) for _, raw in model]
 
 
 def classify(text: str | None, model: tuple[tuple[str, bytes], ...]) -> tuple[str, float, bool]:
     """``(language, score, rejected)``; UNKNOWN with score 0 where the text is null, has no letter, or nothing was learned."""
-    if text is None or not model or not _LETTER.search(text):
+    if text is None or not model or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0, True
     data = normal(text)
-    short, long = _compressors(model)
-    sizes = [len(c.compress(data)) for c in (short if len(data) < SHORT_BYTES else long)]
+    sizes = [len(c.compress(data)) for c in _compressors(model)]
     best = min(range(len(sizes)), key=sizes.__getitem__)
     others = [s - sizes[best] for k, s in enumerate(sizes) if k != best]
     score = 1 / (1 + sum(math.exp(-min(d, 700) / 2) for d in others))

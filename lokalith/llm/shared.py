@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +14,15 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of this session only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one on a single machine; an error on a cluster."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir")
     if not root:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _LOCAL.setdefault(sc.applicationId, "")
         if not root:
             root = _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="lokalith-")
@@ -27,8 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/lokalith/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; known to the innermost :func:`scratch`."""
+    path = f"{shared_dir(spark)}/lokalith/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -38,12 +45,39 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove_cut_points(spark: SparkSession) -> None:
-    """Delete every table that this application has cut off with :func:`materialise`."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lokalith/{spark.sparkContext.applicationId}")
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes on leaving what was cut off inside. What outlives it must be written elsewhere before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """The result of ``make`` in the shared folder, and its path; what was cut off on the way is deleted."""
+    path = fresh_path(spark, name)
+    with scratch(spark):
+        df = make()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove_cut_points(spark: SparkSession) -> None:
+    """Delete every table that this application has cut off."""
+    remove(spark, f"{shared_dir(spark)}/lokalith/{spark.sparkContext.applicationId}")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -28,8 +28,6 @@ from lokalith.llm.components import components
 from lokalith.llm.shared import materialise, text_of
 
 BITS = 64
-#: The allocation is costed for at least so many nodes, so that small and large corpora get the same plan.
-PLANNED_NODES = 10**9
 _BLOCK = 1 << 15
 
 
@@ -58,15 +56,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(doc_id, fp)``: one row per input row, ``fp`` as a signed long."""
+    """``(doc_id, h, fp)``: one row per input row, ``fp`` as a signed long, ``h`` a hash of the text.
+
+    Null and empty texts have fingerprint 0; null ids and repeated rows come as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
-    rows = df.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    text = text_of(text_col)
+    rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h long, fp long")
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -134,7 +136,7 @@ def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int) -> t
 def probe_masks(n: int, both: np.ndarray, distance: int) -> list[int]:
     """Masks of the bits that a key keeps: one for each partition probed and each choice of ignored bits."""
     p = np.diag(both) / max(n, 1)
-    found = [(*allocate(max(n, PLANNED_NODES), p, g, distance), g) for g in (correlated_partitions(n, both, k) for k in range(1, distance + 2))]
+    found = [(*allocate(n, p, g, distance), g) for g in (correlated_partitions(n, both, k) for k in range(1, distance + 2))]
     _, thresholds, groups = min(found, key=lambda x: x[0])
     return [sum(1 << b for b in bits if b not in out) for bits, t in zip(groups, thresholds, strict=True) if t >= 0 for out in combinations(bits, t)]
 
@@ -162,22 +164,36 @@ def near_links(nodes: DataFrame, distance: int = 2) -> DataFrame:
     return links.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance).select(F.col("fp").alias("a"), "b").distinct()
 
 
+def _grouped(docs: DataFrame, distance: int) -> DataFrame:
+    """``docs(doc_id, h, fp)`` with ``lead``, the smallest ``(id, h)`` of the component; null ids come after all others."""
+    rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
+    nodes = materialise(docs.groupBy("fp").agg(F.min(rank).alias("first")), "nodes")
+    roots = components(near_links(nodes, distance))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    lowest = placed.groupBy("root").agg(F.min("first").alias("lead"))
+    return docs.join(placed.join(lowest, "root").select("fp", "lead"), "fp")
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
     """One row per input row: ``doc_id, fp, component_id`` (the smallest id of the component).
 
     Null, empty and blank texts have fingerprint 0 and link like any other. Fewer than ``width`` words: the
-    whole sequence is the one shingle. Repeated rows are returned as often as they come. Null ids are ignored
-    for ``component_id`` (null where a component has no other). An empty table gives an empty result.
+    whole sequence is the one shingle. Repeated rows, and rows of one id, are returned as often as they come. Null ids
+    are ignored for ``component_id`` (null where a component has no other). An empty table gives an empty result.
     """
     docs = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
-    nodes = materialise(docs.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    roots = components(near_links(nodes, distance))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return docs.join(placed.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, distance).select("doc_id", "fp", F.col("lead.id").alias("component_id"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
-    """``df`` without the documents whose component holds a smaller id; null ids stay."""
-    gone = near_groups(df, id_col, text_col, width, distance).where("doc_id > component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return df.join(gone, id_col, "left_anti").select(*df.columns)
+    """``df`` with one document of each component, that with the smallest id; all columns stay.
+
+    A document is an id with a text: where an id repeats with other texts each is judged by its own, and of one id's
+    texts in one component that with the smallest hash stays; rows that repeat both are the same document and stay
+    together. A null id stays only where its component has no other. Null and empty texts are one group. An
+    empty table stays empty.
+    """
+    docs = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
+    mine = F.col("doc_id").eqNullSafe(F.col("lead.id")) & (F.col("h") == F.col("lead.h"))
+    gone = _grouped(docs, distance).where(~mine).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    return df.join(gone, df[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(text_of(text_col)) == gone["gone_h"]), "left_anti")

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from lokalith.llm.shared import fresh_path, materialise, text_of
 
 REVISIT_BYTES = 100
+#: Bytes of a file after which a task starts another one; parts of all pages from which a payload counts as frequent.
+FILE_BYTES, FREQUENT = 128 << 20, 1000
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 _ONCE = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 _MEMBER = b"\x1f\x8b\x08"
@@ -52,14 +54,21 @@ def record(page_id: object, url: str | None, payload: bytes, digest: str, refers
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write ``pages`` below ``path`` (any file system pyarrow opens); returns ``file, records`` per file, lazily.
 
-    Null html is an empty payload. Rows that repeat the smallest id of a payload are responses each. A task writes
-    under a name of its own and renames, so a repeated task leaves the same file.
+    Null html is an empty payload; a null id is never the one that others revisit while there is another. Rows that
+    repeat the smallest id of a payload are responses each. An empty table writes no file. Payloads that make up a
+    FREQUENT-th part of the pages or more, at most FREQUENT of them, are looked up by broadcast, so their pages
+    spread over all tasks. A task writes under names of its own and renames, so a repeated task leaves the same files.
     """
     html = text_of(html_col)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first"))
+    firsts = materialise(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "payloads")
+    total = firsts.agg(F.sum("n")).head()[0] or 0
+    frequent = firsts.where(F.col("n") * FREQUENT >= total).select("digest", F.struct("first").alias("known"))
+    key = F.when(F.col("known").isNull(), F.col("digest")).otherwise(F.concat_ws("#", "digest", F.xxhash64("page_id", "url")))
+    known = rows.join(F.broadcast(frequent), "digest", "left").withColumn("key", key)
+    found = known.join(firsts.select(F.col("digest").alias("key"), "first"), "key", "left").withColumn("first", F.coalesce("known.first", "first"))
     revisits = (F.octet_length("html") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    planned = rows.join(firsts, "digest").select("page_id", "url", "html", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
+    planned = found.select("page_id", "url", "html", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -67,19 +76,25 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
         store, folder = fs.FileSystem.from_uri(path)
         store.create_dir(folder, recursive=True)
-        number, n = TaskContext.get().partitionId(), 0
-        draft, final = f"{folder}/.draft-{uuid.uuid4().hex}", f"{folder}/part-{number:08d}.warc.gz"
-        with store.open_output_stream(draft, compression=None) as out:
-            for batch in batches:
-                for page_id, url, text, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    member = zlib.compressobj(3, zlib.DEFLATED, 31)
-                    out.write(member.compress(record(page_id, url, text.encode(), digest, refers_to)) + member.flush())
-                    n += 1
-        if n:
-            store.move(draft, final)
+        number, made, n, out, draft = TaskContext.get().partitionId(), 0, 0, None, ""
+        for batch in batches:
+            for page_id, url, text, digest, refers_to in zip(*batch.columns, strict=True):
+                if out is None:
+                    draft = f"{folder}/.draft-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(draft, compression=None)
+                member = zlib.compressobj(3, zlib.DEFLATED, 31)
+                raw = record(page_id.as_py(), url.as_py(), text.as_py().encode(), digest.as_py(), refers_to.as_py())
+                out.write(member.compress(raw) + member.flush())
+                n += 1
+                if out.tell() >= FILE_BYTES:
+                    out.close()
+                    store.move(draft, f"{folder}/part-{number:08d}-{made:04d}.warc.gz")
+                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n])], names=["file", "records"])
+                    made, n, out = made + 1, 0, None
+        if out is not None:
+            out.close()
+            store.move(draft, f"{folder}/part-{number:08d}-{made:04d}.warc.gz")
             yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([n])], names=["file", "records"])
-        else:
-            store.delete_file(draft)
 
     return planned.mapInArrow(run, "file long, records long")
 
@@ -126,41 +141,60 @@ def _member(data: bytes, at: int) -> tuple[bytes | None, int, str]:
     return out, len(data) - len(unzip.unused_data), ""
 
 
+def _records(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
+    """Records and gaps of uncompressed bytes: ``(offset, length, record or None, reason)``."""
+    at, gap, why = 0, None, ""
+    while 0 <= at < len(data):
+        found, end, reason = parse(data, at)
+        if found is None:
+            if gap is None:
+                gap, why = at, reason
+            m = _VERSION.search(data, at + 1)
+            at = m.start() if m else -1
+            continue
+        if gap is not None:
+            yield gap, at - gap, None, why
+            gap = None
+        yield at, end - at, found, ""
+        at = end
+    if gap is not None:
+        yield gap, len(data) - gap, None, why
+
+
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
-    """``(offset, length, record, "")`` for each record and ``(offset, length, None, reason)`` for each gap, in order."""
-    zipped = data[:3] == _MEMBER or (not _VERSION.match(data) and (z := data.find(_MEMBER)) >= 0 and (z < (v.start() if (v := _VERSION.search(data)) else len(data))))
+    """``(offset, length, record, "")`` for each record and ``(offset, length, None, reason)`` for each gap, in order.
+
+    A gzip member may hold several records: the first carries the member's offset and length, the others its offset
+    and length 0, and what does not parse inside it is a gap of length 0 whose reason names the bytes of the member.
+    So the lengths add up to the file.
+    """
+    if not (data[:3] == _MEMBER or (not _VERSION.match(data) and (z := data.find(_MEMBER)) >= 0 and (z < (v.start() if (v := _VERSION.search(data)) else len(data))))):
+        yield from _records(data)
+        return
     at, gap, why = 0, None, ""
     view = memoryview(data)
-    while at < len(data):
-        if zipped:
-            window = 1 << 16  # a member is tried on growing windows, so a file is not copied for each
-            while True:
-                inner, end, reason = _member(bytes(view[at : at + window]), 0)
-                if inner is not None or at + window >= len(data):
-                    break
-                window *= 8
-            found, inside, reason = parse(inner) if inner is not None else (None, 0, reason)
-            if found is not None and inside != len(inner):
-                found, reason = None, "length"
-            end += at
-        else:
-            found, end, reason = parse(data, at)
-        if found is not None:
-            if gap is not None:
-                yield gap, at - gap, None, why
-                gap = None
-            yield at, end - at, found, ""
-            at = end
-            continue
-        if gap is None:
-            gap, why = at, reason
-        if zipped:
+    while 0 <= at < len(data):
+        window = 1 << 16  # a member is tried on growing windows, so a file is not copied for each
+        while True:
+            inner, end, reason = _member(bytes(view[at : at + window]), 0)
+            if inner is not None or at + window >= len(data):
+                break
+            window *= 8
+        inside = list(_records(inner)) if inner is not None else []
+        if not any(r for _, _, r, _ in inside):
+            reason = inside[0][3] if inside else reason or "header"
+            if gap is None:
+                gap, why = at, reason
             at = data.find(_MEMBER, at + 1)
-        else:
-            m = _VERSION.search(data, at + 1)
-            at = m.start() if m else -1
-        if at < 0:
-            break
+            continue
+        if gap is not None:
+            yield gap, at - gap, None, why
+            gap = None
+        size = end
+        for k, n, found, reason in inside:
+            yield at, size, found, reason and f"{reason}, bytes {k} to {k + n} of the member"
+            size = 0
+        at += end
     if gap is not None:
         yield gap, len(data) - gap, None, why
 
@@ -170,7 +204,8 @@ def read_warc(spark, path: str, with_payload: bool = True) -> DataFrame:
 
     ``file, offset, length, kind`` (response, revisit, ... or ``gap``), ``reason`` (of a gap), ``record_id, url,
     refers_to, header_digest, payload_bytes, payload_digest`` (of the payload as read) and ``payload``. A file is
-    read whole by one task; the writer keeps files at the size of a partition.
+    read whole by one task; the writer starts a new file at FILE_BYTES. Empty files give no row; a payload that is empty
+    has 0 bytes, that of a revisit is null.
     """
     names = ["file", "offset", "length", "kind", "reason", "record_id", "url", "refers_to", "header_digest", "payload_bytes", "payload_digest", *(["payload"] if with_payload else [])]
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), *([pa.binary()] if with_payload else [])]
@@ -205,7 +240,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """Write ``pages`` as archives in the shared folder and read them back, one row per page.
 
     ``page_id, payload_bytes, payload_digest, record_type, refers_to``; a revisit takes length and digest from the
-    response it names. An empty table gives an empty result.
+    response it names. A byte gap in what was just written is an error. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
@@ -213,7 +248,10 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     if materialise(write_warc(pages, path, id_col, url_col, html_col), "warc-files").isEmpty():
         return spark.createDataFrame([], f"page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}")
     number = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("")).cast(kind)
-    read = materialise(read_warc(spark, path, with_payload=False).where("kind <> 'gap'").drop("file", "offset", "length", "reason", "url"), "warc-records")
+    found = materialise(read_warc(spark, path, with_payload=False).drop("url"), "warc-records")
+    if gaps := found.where("kind = 'gap'").count():
+        raise RuntimeError(f"{gaps} byte gaps in the archives below {path}")
+    read = found.drop("file", "offset", "length", "reason")
     told = read.select(number(F.col("record_id")).alias("page_id"), "kind", number(F.col("refers_to")).alias("refers_to"), "header_digest", "payload_bytes", "payload_digest")
     full = told.where("kind = 'response'").select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), F.col("payload_bytes").alias("r_bytes")).distinct()
     joined = told.join(full, (told["refers_to"] == full["r_id"]) & (told["header_digest"] == full["r_digest"]), "left")
