@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lokalith.llm import decontam, exact_dedup, packing, simhash, toxicity
-from lokalith.llm.shared import fold_of, materialise, table
+from lokalith.llm.shared import fold_of, remove, settled, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,10 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is cut off in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder, and its predecessor deleted then."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs, path = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
