@@ -4,7 +4,7 @@
 2. Equal fingerprints become one node. All later steps see nodes only, so groups of copies cost nothing.
 3. From all nodes: a 64 x 64 bit co-occurrence matrix (fixed size). Bits that vary together are put in the
    same partition, and a dynamic program gives each partition its own threshold ``t_i`` with
-   ``sum(t_i) = max_distance - partitions + 1`` (``-1``: not probed), at the least estimated cost. Two
+   ``sum(t_i) = max_distance - partitions + 1`` (``-1``: not probed), at the least cost estimated from the counts. Two
    fingerprints within ``max_distance`` then agree up to ``t_i`` bits in at least one partition.
 4. Probe: a node emits one key for each way of ignoring ``t_i`` bits of partition ``i``. Nodes that share no
    key with another node cannot have a partner and leave.
@@ -28,6 +28,8 @@ from lokalith.llm.components import components
 from lokalith.llm.shared import materialise, text_of
 
 BITS = 64
+#: Candidates by chance grow with the square of the nodes, so the plan is the cheapest one for a corpus so many times as large.
+HEADROOM = 64
 _BLOCK = 1 << 15
 
 
@@ -136,7 +138,7 @@ def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int) -> t
 def probe_masks(n: int, both: np.ndarray, distance: int) -> list[int]:
     """Masks of the bits that a key keeps: one for each partition probed and each choice of ignored bits."""
     p = np.diag(both) / max(n, 1)
-    found = [(*allocate(n, p, g, distance), g) for g in (correlated_partitions(n, both, k) for k in range(1, distance + 2))]
+    found = [(*allocate(HEADROOM * max(n, 1), p, g, distance), g) for g in (correlated_partitions(n, both, k) for k in range(1, distance + 2))]
     _, thresholds, groups = min(found, key=lambda x: x[0])
     return [sum(1 << b for b in bits if b not in out) for bits, t in zip(groups, thresholds, strict=True) if t >= 0 for out in combinations(bits, t)]
 
