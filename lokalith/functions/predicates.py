@@ -19,6 +19,7 @@ PATH = r"\\[^\n]*\\|/[^\n]*/"
 STRING_DIGIT = r"\A[\p{L}\p{Mn}\p{Nd}\p{Pc}]*?\p{Nd}"
 SHORT = rf"\A[{_WS}]*[^{_WS}\x{{10000}}-\x{{10FFFF}}]?[{_WS}]*\z"
 NOT_UPPER = r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]"
+NOT_LOWER = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}]"
 UPPER_ONLY = r"\A[\p{Lu} ]*\z"
 
 
@@ -93,3 +94,45 @@ def is_developer_namespace(c: Column) -> Column:
 
 def path_contains(path: Column, part: str) -> Column:
     return F.contains(F.lower(F.replace(path, F.lit("\\"), F.lit("/"))), F.lit(part.replace("\\", "/").lower()))
+
+
+def is_lower(c: Column) -> Column:
+    """All letters are lower case; true where there is none."""
+    return ~c.rlike(NOT_LOWER)
+
+
+def is_upper_lower(c: Column) -> Column:
+    """No white space, two upper-case letters at least, and more lower-case ones."""
+    upper = F.regexp_count(c, F.lit(r"\p{Lu}"))
+    return ~c.rlike(rf"[{_WS}]") & (upper >= 2) & (F.regexp_count(c, F.lit(r"\p{Ll}")) > upper)
+
+
+def is_valid_decode(c: Column) -> Column:
+    """Does not start with three NULs."""
+    return ~c.startswith("\0\0\0")
+
+
+def has_extension(path: Column, *extensions: str) -> Column:
+    return F.lower(path).rlike("(?:" + "|".join(e.lower().replace(".", r"\.") for e in extensions) + r")\z")
+
+
+def wanted_source(c: Column, no_underscore: bool = False, no_uppercase: bool = False) -> Column:
+    """The optional row filters: sources with an underscore, and sources whose letters are all upper case."""
+    keep = F.lit(True)
+    if no_underscore:
+        keep = keep & ~F.contains(c, F.lit("_"))
+    return keep & ~is_upper(c) if no_uppercase else keep
+
+
+def cell_test(cells: Column, index: int, width: int, test: str, value: str = "", ignore_case: bool = False) -> Column:
+    """``equals``, ``contains``, ``starts``, ``ends`` or ``empty`` on one cell of a row of ``width`` columns.
+
+    Missing cells are empty. Beyond the width ``empty`` holds and the others do not.
+    """
+    if not 0 <= index < width:
+        return F.lit(test == "empty")
+    cell, wanted = F.coalesce(F.get(cells, F.lit(index)), F.lit("")), F.lit(value)
+    if ignore_case:
+        cell, wanted = F.lower(cell), F.lower(wanted)
+    tests = {"equals": cell == wanted, "contains": F.contains(cell, wanted), "starts": F.startswith(cell, wanted), "ends": F.endswith(cell, wanted), "empty": cell == ""}
+    return tests[test]

@@ -12,6 +12,13 @@ UNESCAPES = [("<cf>", "\\r\\n"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ('
 REPAIRS = [("\u0019 ", "\u2019"), ("\u0018 ", "\u2018"), ("\u001c ", "\u201c"), ("\u001d ", "\u201d"), ("& ", "\u2026"), ("\u0014 ", "\u2014"), ("\u0013 ", "\u2013")]
 
 
+#: How the title with encrypted string tables is named, in full and in part.
+ENCRYPTED_TITLE = ("NTE", "NEVERNESS")
+_CONTENT = r"\\([^\\]+)\\Content(?!.*Paks)\\.+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LOWER = {ord(x): x.lower() for x in _UPPER}
+
+
 def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
     for old, new in pairs:
         c = F.replace(c, F.lit(old), F.lit(new))
@@ -98,9 +105,64 @@ def byte_find(content: Column, pattern: bytes) -> Column:
     return F.instr(F.decode(content, "ISO-8859-1"), pattern.decode("latin-1")) - 1
 
 
+def byte_find_from(content: Column, pattern: bytes, start: Column) -> Column:
+    """0-based place of a byte pattern at or after ``start``, -1 where absent."""
+    return F.call_function("locate", F.lit(pattern.decode("latin-1")), F.decode(content, "ISO-8859-1"), start.cast("int") + 1) - 1
+
+
+def byte_find_ignore_case(content: Column, pattern: bytes) -> Column:
+    """0-based place of a byte pattern, ASCII letters in any case; -1 where absent."""
+    return F.instr(F.translate(F.decode(content, "ISO-8859-1"), _UPPER, _UPPER.lower()), pattern.decode("latin-1").translate(_LOWER)) - 1
+
+
+def masked_finds(content: Column, pattern: list[int | None]) -> Column:
+    """All 0-based places, overlapping ones too, of a byte pattern in which None stands for any byte."""
+    regex = "".join("." if b is None else f"\\x{b:02x}" for b in pattern)
+    raw = F.decode(content, "ISO-8859-1")
+    pieces = F.split(raw, f"(?s)(?={regex})")  # cut before every occurrence; one at 0 leaves no piece before it
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+    step = lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"), F.array_append(acc["found"], acc["at"]).alias("found"))
+    starts = F.aggregate(pieces, start, step, lambda acc: acc["found"])
+    return F.when(raw.rlike(f"(?s)\\A{regex}"), starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
+
+
+def to_bytes(c: Column) -> Column:
+    """The low byte of each UTF-16 unit."""
+    return F.unhex(F.regexp_replace(F.hex(F.encode(c, "UTF-16LE")), "([0-9A-F]{2})[0-9A-F]{2}", "$1"))
+
+
+def bytes_to_hex(content: Column) -> Column:
+    return F.hex(content)
+
+
+def hex_to_bytes(c: Column) -> Column:
+    """Null where the text is no hex number."""
+    return F.unhex(c)
+
+
+def asset_path(path: Column, with_name: bool = True) -> Column:
+    """The part from the folder above ``Content`` on, unless container folders follow; the path itself where there is none."""
+    found = F.rtrim(F.regexp_extract(path, _CONTENT, 0), F.lit('"'))
+    if not with_name:
+        found = F.replace(found, F.regexp_extract(path, r"[^\\/]*\z", 0), F.lit(""))
+    return F.when(F.trim(found) == "", path).otherwise(found)
+
+
+def title_key(c: Column, program: bool = False) -> Column:
+    """A folder name without blanks, dashes and underscores, or a program's without dashes and underscores, in lower case."""
+    return F.lower(F.translate(c, "_-" if program else "_- ", ""))
+
+
 def version_name(c: Column) -> Column:
+    """``UE`` before a leading digit, dots as underscores; blank texts stay as they are."""
+    named = F.when(c.rlike(r"\A\p{Nd}"), F.concat(F.lit("UE"), c)).otherwise(c)
+    return F.when(F.trim(c) == "", c).otherwise(F.replace(named, F.lit("."), F.lit("_")))
+
+
+def asks_for_encryption(c: Column) -> Column:
+    """Whether a version text names the title whose string tables are encrypted."""
     plain = F.upper(F.translate(c, "_- ", ""))
-    return F.when(plain.rlike("^[0-9]"), F.concat(F.lit("UE"), F.replace(plain, F.lit("."), F.lit("_")))).otherwise(F.replace(plain, F.lit("."), F.lit("_")))
+    return (plain == ENCRYPTED_TITLE[0]) | F.contains(plain, F.lit(ENCRYPTED_TITLE[1]))
 
 
 def encrypt_value(c: Column, key: Column, sentinel: str) -> Column:

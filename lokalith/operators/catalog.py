@@ -24,9 +24,14 @@ def _pick(df: DataFrame, keys: tuple[str, ...], by: Callable, order: str) -> Dat
     return df.groupBy(*keys).agg(by(F.struct(*others), F.col(order)).alias("r")).select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in df.columns])
 
 
+def _same_source() -> Column:
+    """Aggregate: all sources of the group are equal. Digests stand for the texts, so no text is compared twice or shuffled for it."""
+    return F.min(F.md5("source")) == F.max(F.md5("source"))
+
+
 def conflicting_keys(df: DataFrame) -> DataFrame:
     """``src_path, key`` with more than one source within a file."""
-    return df.groupBy("src_path", "key").agg((F.min("source") != F.max("source")).alias("bad")).where("bad").select("src_path", "key")
+    return df.groupBy("src_path", "key").agg((~_same_source()).alias("bad")).where("bad").select("src_path", "key")
 
 
 def without_conflicts(df: DataFrame) -> DataFrame:
@@ -34,9 +39,14 @@ def without_conflicts(df: DataFrame) -> DataFrame:
 
 
 def conflict_report(df: DataFrame) -> DataFrame:
+    """All rows of conflicting keys; :func:`by_key` orders them for people."""
     return df.join(conflicting_keys(df), ["src_path", "key"], "left_semi").select(*df.columns)
 
 
+def by_key(report: DataFrame) -> DataFrame:
+    return report.orderBy("key", "src_path", "ord")
+
+
 def merge(new: DataFrame, old: DataFrame) -> DataFrame:
     """Full outer merge on ``key``: an earlier translation wins, else the earlier source where the text changed.
 
@@ -106,14 +116,36 @@ def unique_sources(rows: DataFrame, order: str = "ord") -> DataFrame:
     return first_wins(rows, "source", order=order)
 
 
-def translation_batches(rows: DataFrame, size: int = 150, group: str = "src_path") -> DataFrame:
-    """``group, batch, n, payload``: untranslated sources in order, joined by ``|||`` for one request each.
+def running(df: DataFrame, group: str, order: str = "ord", amount: Column | None = None, width: int = 1 << 16) -> DataFrame:
+    """``df`` with ``index`` (0-based within the group, in order) and, given ``amount``, ``before`` (its running sum, exclusive).
 
-    Numbering runs within a group, so no global sort is needed.
+    Groups are split into ranges of ``width`` order values, numbered within each, and shifted by the sums of the
+    ranges before, so no group is sorted by one task.
     """
-    number = F.floor((F.row_number().over(Window.partitionBy(group).orderBy("ord")) - 1) / size).alias("batch")
-    open_ = rows.where("trim(source) <> '' and trim(translation) = ''").select(group, "ord", F.replace("source", F.lit("|||"), F.lit("")).alias("s"), number)
-    return open_.groupBy(group, "batch").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "s"))), lambda x: x["s"]), "|||").alias("payload"))
+    cut = df.withColumn("_range", F.floor(F.col(order) / width)).withColumn("_amount", F.lit(0) if amount is None else amount)
+    inside = Window.partitionBy(group, "_range").orderBy(order)
+    own = cut.withColumn("_n", F.row_number().over(inside) - 1).withColumn("_sum", F.coalesce(F.sum("_amount").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranges = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_amount").alias("_total"))
+    earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranges.select(
+        F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_total")
+    )
+    joined = own.join(shift, F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
+    added = [(F.col("_n") + F.col("_rows")).alias("index"), *([(F.col("_sum") + F.col("_total")).alias("before")] if amount is not None else [])]
+    return joined.select(*df.columns, *added)
+
+
+def open_rows(rows: DataFrame) -> DataFrame:
+    """Rows that wait for a translation."""
+    return rows.where("trim(source) <> '' and trim(translation) = ''")
+
+
+def translation_batches(rows: DataFrame, size: int = 150, group: str = "src_path") -> DataFrame:
+    """``group, batch, n, payload``: untranslated sources in order, joined by ``|||`` for one request each."""
+    waiting = open_rows(rows).select(group, "ord", F.replace("source", F.lit("|||"), F.lit("")).alias("s"))
+    numbered = running(waiting, group).withColumn("batch", F.floor(F.col("index") / size))
+    parts = F.array_sort(F.collect_list(F.struct("ord", "s")))
+    return numbered.groupBy(group, "batch").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(parts, lambda x: x["s"]), "|||").alias("payload"))
 
 
 def split_segments(df: DataFrame, column: str, *keep: str) -> DataFrame:
@@ -134,9 +166,8 @@ def namespace_order(rows: DataFrame) -> DataFrame:
 
 def layout(rows: DataFrame, group: str = "src_path") -> DataFrame:
     """Byte offsets and string numbers of the entries of each file: running sums in the file's order."""
-    w = Window.partitionBy(group).orderBy("ord")
-    size = text.fstring_size(F.col("key")) + 8
-    return rows.select(group, "ord", (F.row_number().over(w) - 1).alias("str_idx"), F.coalesce(F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), size.alias("size"))
+    sized = rows.select(group, "ord", (text.fstring_size(F.col("key")) + 8).alias("size"))
+    return running(sized, group, amount=F.col("size")).select(group, "ord", F.col("index").alias("str_idx"), F.col("before").alias("offset"), "size")
 
 
 def disambiguated_names(paths: DataFrame, path: str = "path", container: str = "container") -> DataFrame:
@@ -157,13 +188,108 @@ def entropy(df: DataFrame, key: str, column: str) -> DataFrame:
     return total.select(key, F.round(F.log2("t") - F.col("s") / F.col("t"), 6).alias("entropy"))
 
 
-def csv_lines(rows: DataFrame) -> DataFrame:
-    """Rendered lines with their sort column (what precedes the first ``::``, else the line)."""
-    line = F.concat_ws(",", text.csv_field(F.col("key")), text.csv_field(F.col("source")), text.csv_field(F.col("translation")))
+def csv_lines(rows: DataFrame, separator: str = ",", plain_translation: bool = False) -> DataFrame:
+    """Rendered lines with their sort column (what precedes the first ``::``, else the line).
+
+    ``plain_translation`` wraps every source in quotes and leaves source and translation unescaped.
+    """
+    key, source, translation = (F.coalesce(F.col(x), F.lit("")) for x in ("key", "source", "translation"))
+    rest = [F.concat(F.lit('"'), source, F.lit('"')), translation] if plain_translation else [text.csv_field(source), text.csv_field(translation)]
+    line = F.concat_ws(separator, text.csv_field(key), *rest)
     return rows.select(line.alias("line")).withColumn("sort_key", F.when(F.instr("line", "::") > 0, F.substring_index("line", "::", 1)).otherwise(F.col("line")))
 
 
+def in_csv_order(lines: DataFrame, *before: str, collation: str | None = None) -> DataFrame:
+    """Lines by sort column, then line; binary order, or that of a collation such as ``UNICODE``."""
+    by = [F.col(x) if collation is None else F.collate(F.col(x), collation) for x in ("sort_key", "line")]
+    return lines.orderBy(*before, *by, *([] if collation is None else ["line"]))
+
+
+def last_rows(rows: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """Without conflicting keys and developer namespaces, the last writer of each key: that with the greatest ``(src_path, ord)``.
+
+    One aggregate a file and key finds conflicts and the last row at once, a second one the last file. Rows that are not
+    ``wanted`` count for conflicts but are not written.
+    """
+    others = [c for c in rows.columns if c not in ("src_path", "key")]
+    written = ~predicates.is_developer_namespace(F.col("namespace")) & (F.lit(True) if wanted is None else wanted)
+    row = F.when(written, F.struct(*others))
+    per_file = rows.groupBy("src_path", "key").agg(_same_source().alias("_same"), F.max_by(row, F.when(written, F.col("ord"))).alias("_r"))
+    kept = per_file.where(F.col("_same") & F.col("_r").isNotNull())
+    last = kept.groupBy("key").agg(F.max_by(F.struct("src_path", "_r"), F.struct("src_path", "_r.ord")).alias("_f"))
+    return last.select(*[F.col(c) if c == "key" else F.col("_f.src_path") if c == "src_path" else F.col(f"_f._r.{c}").alias(c) for c in rows.columns])
+
+
 def extract(rows: DataFrame) -> DataFrame:
-    """The flagship chain: noise out, conflicts out, developer namespaces out, first per key."""
-    kept = without_conflicts(rows.where(~predicates.is_not_allowed(F.col("source")) & ~predicates.is_developer_namespace(F.col("namespace"))))
-    return first_wins(kept, "key")
+    """The flagship chain: conflicts out, developer namespaces out, the last writer of each key, noise out.
+
+    Noise goes last, so a placeholder beside a text is a conflict; the costly predicates see what is left.
+    """
+    return last_rows(rows).where(~predicates.is_not_allowed(F.col("source")))
+
+
+def distinct_ignoring_case(df: DataFrame, column: str, order: str = "ord") -> DataFrame:
+    """Of rows whose ``column`` differs in case only, the first by ``order``."""
+    return first_wins(df.withColumn("_low", F.lower(column)), "_low", order=order).drop("_low")
+
+
+def first_extensions(paths: DataFrame, path: str = "path", order: str = "ord", n: int = 20) -> DataFrame:
+    """``extension``: the first ``n`` different extensions in order of appearance."""
+    seen = paths.select(F.regexp_extract(path, r"\.[^./\\]*\z", 0).alias("extension"), order).where("length(extension) > 1")
+    return seen.groupBy("extension").agg(F.min(order).alias("first")).orderBy("first", "extension").limit(n).select("extension")
+
+
+def patch_counters(strings: DataFrame) -> DataFrame:
+    """``translated, kept, total`` of patched strings; strings without a key are neither translated nor kept."""
+    return strings.agg(F.count_if("translated").alias("translated"), F.count_if(~F.col("translated") & F.col("key").isNotNull()).alias("kept"), F.count(F.lit(1)).alias("total"))
+
+
+def process_counters(decoded: DataFrame, path: str = "path", error: str = "error") -> DataFrame:
+    """``processed, errors``: files read, and files that gave an error."""
+    files = decoded.groupBy(path).agg(F.max(F.col(error).isNotNull()).alias("bad"))
+    return files.agg(F.count(F.lit(1)).alias("processed"), F.count_if("bad").alias("errors"))
+
+
+def candidates(scored: DataFrame, least: float, denied: DataFrame, key: str = "key", score: str = "entropy") -> DataFrame:
+    """Rows of at least ``least`` whose key, in upper case, is not among ``denied(key)``."""
+    names = denied.select(F.upper("key").alias("_denied")).distinct()
+    return scored.where(F.col(score) >= least).join(names, F.upper(F.col(key)) == F.col("_denied"), "left_anti")
+
+
+def top(scored: DataFrame, n: int = 1, key: str = "key", score: str = "entropy") -> DataFrame:
+    """The ``n`` best, equal scores by key. A top-k report: the limit is the feature."""
+    return scored.orderBy(F.desc(score), key).limit(n)
+
+
+def first_matching(df: DataFrame, condition: Column, order: str = "ord") -> DataFrame:
+    """The first row by ``order`` that meets the condition, none where none does."""
+    return df.where(condition).groupBy().agg(F.min_by(F.struct(*df.columns), order).alias("r")).where("r is not null").select("r.*")
+
+
+def preview(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in a stated order, for reports."""
+    return df.orderBy(*order).limit(n)
+
+
+def text_search(rows: DataFrame, part: str) -> DataFrame:
+    """``src_path, key, source`` of the rows whose source holds ``part``."""
+    return rows.where(F.contains("source", F.lit(part))).select("src_path", "key", "source")
+
+
+def with_title(games: DataFrame, titles: DataFrame, name: str = "folder", program: bool = False) -> DataFrame:
+    """``games`` with ``title`` from ``titles(name, title)``, names compared without case, dashes and underscores.
+
+    The titles are a short list that the caller or :data:`lokalith.plans.games.TITLES` gives.
+    """
+    known = titles.groupBy(F.lower("name").alias("_name")).agg(F.max("title").alias("title"))
+    return games.withColumn("_key", text.title_key(F.col(name), program)).join(F.broadcast(known), F.col("_key") == F.col("_name"), "left").drop("_key", "_name")
+
+
+def engine_version(explicit: Column, program_version: Column, title: Column, known: Column, oldest: str = "UE4_LATEST", newest: str = "UE5_LATEST") -> Column:
+    """An explicit version, else the title's profile, else the program's version, else the newest.
+
+    ``known`` holds the versions that exist: one that is stated but unknown counts as ``oldest``.
+    """
+    checked = lambda c: F.when(F.array_contains(known, c), c).otherwise(oldest)
+    given = F.coalesce(explicit, F.lit("")) != ""
+    return F.when(given, checked(text.version_name(explicit))).otherwise(F.coalesce(title, F.when(program_version.isNotNull(), checked(program_version)), F.lit(newest)))

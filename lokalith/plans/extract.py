@@ -2,29 +2,93 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lokalith.functions import text
+from lokalith.functions import predicates, text
 from lokalith.operators import catalog
 from lokalith.schema import catalog_from
-from lokalith.sources import binscan
+from lokalith.sources import binscan, files
+
+#: Extensions of assets, and the folder that no project text lies in.
+ASSETS, ENGINE_FOLDER = (".uasset", ".uexp", ".umap"), "Engine/"
 
 
 def document_catalog(documents: DataFrame) -> DataFrame:
-    """Documents as a catalog: key from the id, namespace from the source, escaped text."""
-    return catalog_from(
-        documents, key=F.upper(F.md5(F.col("doc_id").cast("string"))), namespace=F.col("source"), source=text.escape(F.coalesce("text", F.lit(""))), src_path=F.col("lang"), ord=F.col("doc_id")
-    )
+    """Documents as a catalog: key from the first word, namespace from the source, escaped text, a file a language."""
+    whole = F.coalesce("text", F.lit(""))
+    return catalog_from(documents, key=F.split_part(whole, F.lit(" "), F.lit(1)), namespace=F.col("source"), source=text.escape(whole), src_path=F.col("lang"), ord=F.col("doc_id"))
 
 
 def flagship(documents: DataFrame) -> DataFrame:
     return catalog.extract(document_catalog(documents)).select("key", "namespace", "source").orderBy("namespace", "key")
 
 
-def scan_assets(files: DataFrame) -> DataFrame:
-    """Both record scans over ``files(path, content)``, noise and conflicts removed."""
-    named = files.where(~binscan.outside_text(F.col("path")))
-    exports = binscan.scan(named.where(F.lower("path").endswith(".uexp")), "export")
-    packages = binscan.scan(named.where(F.lower("path").endswith(".uasset")), "package")
-    return catalog.extract(catalog_from(exports.unionByName(packages), key=F.col("key"), source=F.col("source"), src_path=F.col("path"), ord=F.col("ord")))
+def asset_paths(listing: DataFrame, path: str = "path", part: str = "", all_folders: bool = False, skip_packages: bool = False, skip_exports: bool = False) -> DataFrame:
+    """Of a listing the assets: by extension, outside the engine's folder and, unless ``all_folders``, those without text."""
+    c = F.col(path)
+    keep = predicates.has_extension(c, *ASSETS) & ~F.contains(c, F.lit(ENGINE_FOLDER))
+    if part:
+        keep = keep & F.contains(F.lower(c), F.lit(part.lower()))
+    if not all_folders:
+        keep = keep & ~binscan.outside_text(c)
+    for skip, extension in ((skip_packages, ".uasset"), (skip_exports, ".uexp")):
+        if skip:
+            keep = keep & ~c.endswith(extension)
+    return listing.where(keep)
+
+
+def read_assets(spark, path: str, **options) -> DataFrame:
+    """``path, container, content`` of the assets below ``path``; extensions are matched before any byte is read.
+
+    ``container`` is the folder a file was unpacked to, directly below ``path``; one virtual path may come from several.
+    """
+    glob = "*.{" + ",".join("".join(f"[{x.lower()}{x.upper()}]" for x in e[1:]) for e in ASSETS) + "}"
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    inside = F.regexp_extract("path", r"^" + _quoted(path.rstrip("/").removeprefix("file:").replace("//", "/")) + r"/+([^/]+)/", 1)
+    return asset_paths(found, **options).select("path", inside.alias("container"), "content")
+
+
+def _quoted(path: str) -> str:
+    return r"(?:[a-z]+:/*)?\Q/" + path.lstrip("/") + r"\E"
+
+
+def asset_kind(path: Column, content: Column) -> Column:
+    """Kind of an asset: packages by their header, all by the path rules."""
+    return binscan.export_kind(F.when(path.endswith(".uasset"), content).otherwise(F.lit(b"")), path)
+
+
+def asset_rows(assets: DataFrame, exports: DataFrame | None = None, strict_anti: bool = False) -> DataFrame:
+    """``assets(path, content)`` -> catalog rows of every kind, a bag.
+
+    Files of no kind are scanned for both kinds of record; package records stay where the file has no export record, or one
+    with another key (``strict_anti``: none with that key). Sounds and textures hold no text. Tables and blueprints
+    are read from ``exports(path, json)``, what a package reader made of them; without it they give nothing.
+    """
+    kinds = assets.withColumn("kind", asset_kind(F.col("path"), F.col("content")))
+    plain = kinds.where("kind = 'none'")
+    first, second = binscan.scan(plain, "export"), binscan.scan(plain, "package")
+    kept = catalog.other_key_semi(second, first, group="path", strict_anti=strict_anti)
+    records = first.unionByName(kept).select("path", "ord", F.lit("").alias("namespace"), "key", "source")
+    if exports is not None:
+        wanted = exports.join(kinds.where("kind in ('table', 'blueprint')").select("path"), "path", "left_semi")
+        objects = files.walk_json(wanted, "json", "path").withColumn("source", text.escape(F.col("source")))
+        records = records.unionByName(objects.select("path", F.xxhash64("key").alias("ord"), "namespace", "key", "source"))
+    return catalog_from(records, key=F.col("key"), namespace=F.col("namespace"), source=F.col("source"), src_path=F.col("path"), ord=F.col("ord"))
+
+
+def scan_assets(assets: DataFrame, exports: DataFrame | None = None, tables: DataFrame | None = None, no_underscore: bool = False, no_uppercase: bool = False) -> DataFrame:
+    """The whole chain over assets: rows of every kind, optional row filters, conflicts, last writers, string tables, noise.
+
+    ``tables(ns, ns_hash, key, key_hash, value, path, ord)`` are decoded string tables; of these only keys that assets
+    do not have, and values that are not blank, are added.
+    """
+    rows = asset_rows(assets, exports)
+    found = catalog.last_rows(rows, predicates.wanted_source(F.col("source"), no_underscore, no_uppercase))
+    if tables is not None:
+        more = catalog_from(
+            tables, key=text.composite_key(F.col("ns"), F.col("key")), namespace=F.col("ns"), source=text.escape(F.col("value")), ns_hash=F.col("ns_hash"), key_hash=F.col("key_hash"),
+            src_path=F.col("path"), ord=F.col("ord"),
+        )
+        found = catalog.union_missing(found, more)
+    return found.where(~predicates.is_not_allowed(F.col("source")))

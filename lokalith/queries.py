@@ -5,59 +5,26 @@ Every query reads its whole tables and whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lokalith.functions import predicates, text
 from lokalith.operators import catalog
 from lokalith.plans import extract
+from lokalith.oracle import BAD as _BAD
+from lokalith.oracle import ESC as _ESC
+from lokalith.oracle import REASONS as _REASON_SQL
+from lokalith.oracle import UNESC as _UNESC
+from lokalith.oracle import matches as _m
+from lokalith.registry import QUERIES, SQL, Query, query
+from lokalith.registry import table as _t
 from lokalith.schema import catalog_from
 from lokalith.sources import binscan, files, locres
 
-Query = Callable[[SparkSession, str], DataFrame]
-_Q: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 c = F.col
 
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        _Q[f.__name__] = f
-        if sql is not None:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-_ESC = "replace(replace(replace(replace(replace({0}, chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t'), '\\r\\n', '<cf>'), '\"', '\"\"')"
-_UNESC = "replace(replace(replace(replace(replace({0}, '<cf>', '\\r\\n'), '\\n', chr(10)), '\\r', chr(13)), '\\t', chr(9)), '\"\"', '\"')"
-
-
-def _m(pattern: str, s: str = "s") -> str:
-    return f"regexp_matches({s}, '{pattern}')"
-
-
 _WORDS_SQL = "SELECT DISTINCT unnest(regexp_split_to_array(t, '[ \\n\\t\\r]+')) AS s FROM (SELECT text AS t FROM documents UNION ALL SELECT html FROM pages)"
-_REASON_SQL = {
-    "placeholder": "s IN ('TextBlockDefaultValue', 'None')",
-    "short": _m(predicates.SHORT),
-    "guid": _m(predicates.GUID),
-    "all_number": _m(predicates.ALL_NUMBER),
-    "all_dot": _m(predicates.ALL_DOT),
-    "boolean": f"(s IN ('True', 'False') OR {_m(predicates.TRUE)})",
-    "path": f"(NOT contains(s, '\"') AND {_m(predicates.PATH)})",
-    "all_same": "length(replace(s, left(s, 1), '')) = 0",
-    "string_digit": _m(predicates.STRING_DIGIT),
-}
-_BAD = "(" + " OR ".join(_REASON_SQL.values()) + ")"
-_CAT = f"SELECT doc_id, upper(md5(CAST(doc_id AS VARCHAR))) AS key, source AS namespace, {_ESC.format('text')} AS s, lang AS src_path FROM documents"
+_CAT = f"SELECT doc_id AS ord, split_part(text, ' ', 1) AS key, source AS namespace, {_ESC.format('text')} AS s, lang AS src_path FROM documents"
 
 
 def _words(spark: SparkSession, d: str) -> DataFrame:
@@ -65,7 +32,11 @@ def _words(spark: SparkSession, d: str) -> DataFrame:
     return both.select(F.explode(F.split("t", "[ \n\t\r]+")).alias("s")).distinct()
 
 
-@query(f"SELECT key, namespace, s AS source FROM ({_CAT}) WHERE NOT {_BAD}")
+@query(
+    f"WITH r AS (SELECT *, min(s) OVER w = max(s) OVER w AS one FROM ({_CAT}) WINDOW w AS (PARTITION BY src_path, key)), "
+    "l AS (SELECT * FROM r WHERE one AND namespace <> 'UMG' AND NOT starts_with(namespace, 'UnrealEd') QUALIFY row_number() OVER (PARTITION BY key ORDER BY src_path DESC, ord DESC) = 1) "
+    f"SELECT key, namespace, s AS source FROM l WHERE NOT {_BAD}"
+)
 def catalog_extract(spark, d):
     return extract.flagship(_t(spark, d, "documents"))
 
@@ -97,12 +68,14 @@ def csv_line_render(spark, d):
     return catalog.csv_lines(rows)
 
 
-@query(f"SELECT 'k' || doc_id AS key, {_ESC.format('text')} AS source, lang AS translation, '' AS namespace FROM documents")
+_RELOADED = f"CASE WHEN contains({_ESC.format('text')}, '\"') OR contains(text, ',') THEN replace({_ESC.format('text')}, '\"\"', '\"') ELSE {_ESC.format('text')} END"
+
+
+@query(f"SELECT 'k' || doc_id AS key, {_RELOADED} AS source, lang AS translation, '' AS namespace FROM documents")
 def csv_reload(spark, d):
+    """Quotes that a catalog holds doubled are not doubled again on the way out, so they come back single."""
     rows = _t(spark, d, "documents").select(F.concat(F.lit("k"), "doc_id").alias("key"), text.escape(c("text")).alias("source"), c("lang").alias("translation"))
-    # an escaped quote comes back doubled only where a field was already doubled on the way out
-    lines = catalog.csv_lines(rows)
-    return files.load_catalog(lines, "line").withColumn("source", F.replace("source", F.lit('"'), F.lit('""')))
+    return files.load_catalog(catalog.csv_lines(rows), "line")
 
 
 @query(
@@ -167,7 +140,7 @@ def key_decoration(spark, d):
 @query("SELECT page_id, contains(lower(replace(url, '\\', '/')), 'example') AS on_path, contains(url, '_') AS underscore, regexp_matches(lower(url), '" + "|".join(binscan.NO_TEXT_FOLDERS) + "') AS excluded, starts_with(regexp_extract(url, '//([^/]*)', 1), 'UnrealEd') AS developer FROM pages")
 def skip_filters(spark, d):
     return _t(spark, d, "pages").select(
-        "page_id", predicates.path_contains(c("url"), "example").alias("on_path"), F.contains("url", F.lit("_")).alias("underscore"), binscan.outside_text(c("url")).alias("excluded"), predicates.is_developer_namespace(F.regexp_extract("url", "//([^/]*)", 1)).alias("developer")
+        "page_id", predicates.path_contains(c("url"), "example").alias("on_path"), (~predicates.wanted_source(c("url"), no_underscore=True)).alias("underscore"), binscan.outside_text(c("url")).alias("excluded"), predicates.is_developer_namespace(F.regexp_extract("url", "//([^/]*)", 1)).alias("developer")
     )
 
 
@@ -410,14 +383,12 @@ def verify_counters(spark, d):
     return catalog.verify_counters(_t(spark, d, "documents").select(c("source").alias("namespace"), c("text").alias("source")))
 
 
-@query("SELECT page_id, sha256(html) AS sha256, strlen(html) AS length FROM pages")
-def content_manifest(spark, d):
-    return _t(spark, d, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("length"))
+from lokalith import queries_files  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:
-    return dict(_Q)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

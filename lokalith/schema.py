@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CATALOG = "key string, namespace string, source string, translation string, url string, hash string, ns_hash bigint, key_hash bigint, src_path string, ord bigint"
+CATALOG = "key string, namespace string, source string, translation string, url string, hash string, ns_hash bigint, key_hash bigint, src_path string, container string, ord bigint"
 
 
 def catalog_from(df: DataFrame, **columns: Column) -> DataFrame:

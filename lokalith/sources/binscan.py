@@ -27,8 +27,8 @@ PATH_KINDS = [("/Blueprints/", "blueprint"), ("/DataTables/", "table"), ("BP_",
 #: Folders without text.
 NO_TEXT_FOLDERS = ["/sound/", "/effects/", "/fx/", "/vfx/", "/meshes/", "/mesh/", "/textures/", "/megascans/", "/music/"]
 HEADER_BYTES = 1024
-#: Start and separator of a record in a package.
-PACKAGE_START, PACKAGE_SEPARATOR = b"\x29\x01", b"\x00\x1f"
+#: Start, separator and filler byte of a record in a package.
+PACKAGE_START, PACKAGE_SEPARATOR, PACKAGE_FILLER = b"\x29\x01", b"\x00\x1f", b"\x1f"
 
 _HASH = re.compile(rb"[0-9A-Fa-f]{32}")
 
@@ -63,28 +63,55 @@ def export_records(data: bytes) -> Iterator[tuple[int, str, str, bool]]:
         at = max(end, i + 1)
 
 
+def _valid(digest: bytes) -> bool:
+    """As :func:`lokalith.functions.predicates.is_valid_hash`, for bytes that are hex digits already."""
+    return not digest.isdigit() and len(set(digest)) > 1
+
+
+def _final_units(s: str, repair: bool) -> int:
+    """UTF-16 units of the text as it is kept."""
+    for old, new in [*(text.REPAIRS if repair else []), *([("\0", "")] if repair else []), *text.ESCAPES]:
+        s = s.replace(old, new)
+    return len(s.encode("utf-16-le", "surrogatepass")) // 2
+
+
 def package_records(data: bytes) -> Iterator[tuple[int, str, str, bool]]:
-    """``(offset, hash, text, repair)``: ``repair`` where the text had to be read byte for byte; start mark, text, separator and 32 bytes of hash."""
+    """``(offset, hash, text, repair)``: start mark, text, separator and 32 bytes of hash; ``repair`` where the text had
+    to be read byte for byte.
+
+    A text begins again behind a start mark with a filler byte inside it, and behind leading fillers. After a
+    record with an invalid hash, or a text of one unit, the search goes on one byte after its start mark.
+    """
     at = 0
     while (i := data.find(PACKAGE_START, at)) >= 0:
+        at = i + 1
         j = data.find(PACKAGE_SEPARATOR, i + 2)
         if j < 0:
             return
-        digest = data[j + 2 : j + 34]
-        if _HASH.fullmatch(digest):
-            raw = data[i + 2 : j].lstrip(b"\x1f")
-            s = raw.decode("utf-8", "replace")
-            yield i, digest.decode(), raw.decode("latin-1")[1:] if "\0" in s else s, "\0" in s
-            at = j + 34
-        else:
-            at = i + 1
+        if j == i + 2:
+            continue
+        raw = data[i + 2 : j]
+        if PACKAGE_START + PACKAGE_FILLER in raw and (k := raw.find(PACKAGE_START[1:] + PACKAGE_FILLER, 1)) >= 0:
+            raw = raw[k + 2 :]
+        raw = raw.lstrip(PACKAGE_FILLER) or raw[-1:]
+        digest = data[j + 2 : j + 34].strip()
+        if not _HASH.fullmatch(digest) or not _valid(digest):
+            continue
+        s = raw.decode("utf-8", "replace")
+        repair = "\0" in s
+        s = raw.decode("latin-1")[1:] if repair else s
+        if _final_units(s, repair) == 1:
+            continue
+        yield i, digest.decode(), s, repair
+        at = j + 36
 
 
 def scan(files: DataFrame, kind: str) -> DataFrame:
-    """``files(path, content)`` -> ``path, ord, key, source`` (escaped), valid hashes only, the first per key and file.
+    """``files(path, content)`` -> ``path, ord, key, source`` (escaped), valid hashes only.
 
-    ``kind`` is ``export`` or ``package``. Texts of one character, and export texts that start with three zero
-    bytes, are left out.
+    ``kind`` is ``export`` or ``package``. Texts of one character are left out. Of an export the first record of each
+    key stays, and texts that start with three zero bytes are left out; of a package every record stays, so that
+    conflicts are seen later. Null and empty content gives nothing.
     """
     records = {"export": export_records, "package": package_records}[kind]
 
@@ -99,6 +126,11 @@ def scan(files: DataFrame, kind: str) -> DataFrame:
 
     found = files.select("path", "content").mapInArrow(run, "path string, ord long, key string, raw string, repair boolean")
     source = text.escape(F.when(F.col("repair"), text.repair_latin1(F.col("raw"))).otherwise(F.col("raw")))
-    kept = found.where(predicates.is_valid_hash(F.col("key")) & ~F.col("raw").startswith("\0\0\0")).withColumn("source", source).where(text.utf16_length(F.col("source")) != 1)
+    valid = found.where(predicates.is_valid_hash(F.col("key")))
+    if kind == "export":
+        valid = valid.where(predicates.is_valid_decode(F.col("raw")))
+    kept = valid.withColumn("source", source).where(text.utf16_length(F.col("source")) != 1).select("path", "ord", "key", "source")
+    if kind == "package":
+        return kept
     firsts = kept.groupBy("path", "key").agg(F.min_by(F.struct("ord", "source"), "ord").alias("r"))
     return firsts.select("path", "r.ord", "key", "r.source")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lokalith.functions import text
-from lokalith.operators.catalog import csv_lines
+from lokalith.operators.catalog import csv_lines, in_csv_order
 
 _FIELD = r'(?:^|,)("(?:[^"]++|"")*+"|[^,]*+)'
 
@@ -29,21 +34,65 @@ def read_catalog(spark, path: str) -> DataFrame:
     return load_catalog(spark.read.text(path))
 
 
-def write_catalog(rows: DataFrame, path: str, header: bool = True) -> None:
-    """Sorted lines; a range sort, so the parts in name order are the file."""
-    lines = csv_lines(rows)
-    if header:
-        first = rows.sparkSession.createDataFrame([("key,source,Translation", "")], "line string, sort_key string").withColumn("h", F.lit(0))
-        lines = first.unionByName(lines.withColumn("h", F.lit(1))).orderBy("h", "sort_key", "line")
-    else:
-        lines = lines.orderBy("sort_key", "line")
-    lines.select("line").write.mode("overwrite").text(path)
+def csv_header(with_hash: bool = False, with_url: bool = False) -> str:
+    return f"{'[url]' if with_url else ''}{'[key][hash]' if with_hash else 'key'},source,Translation"
+
+
+def catalog_lines(
+    rows: DataFrame, table: bool = False, banner: str = "", footer: str = "", plain_translation: bool = False, with_hash: bool = False, with_url: bool = False
+) -> DataFrame:
+    """``place, line, sort_key``: banner, header, rendered rows and footer, by place and then in CSV order.
+
+    ``table`` separates by ``|`` and leaves the header out. An empty catalog gives the fixed lines only.
+    """
+    lines = csv_lines(rows, "|" if table else ",", plain_translation)
+    fixed = [(0, banner)] * bool(banner) + [(1, csv_header(with_hash, with_url))] * (not table) + [(3, footer)] * bool(footer)
+    out = lines.select(F.lit(2).alias("place"), "line", "sort_key")
+    return out.unionByName(rows.sparkSession.createDataFrame([(n, x, "") for n, x in fixed], "place int, line string, sort_key string")) if fixed else out
+
+
+def write_catalog(rows: DataFrame, path: str, collation: str | None = None, **options) -> None:
+    """Sorted lines; a range sort, so the parts in name order are the file. Options as :func:`catalog_lines`."""
+    in_csv_order(catalog_lines(rows, **options), "place", collation=collation).select("line").write.mode("overwrite").text(path)
+
+
+def write_catalog_folder(rows: DataFrame, path: str, name: str = "csv_base_name") -> None:
+    """One sorted folder of lines for each value of ``name``; files of one name are not merged into one task."""
+    lines = csv_lines_by(rows, name)
+    lines.repartitionByRange(name, "sort_key", "line").sortWithinPartitions(name, "sort_key", "line").select(name, "line").write.mode("overwrite").partitionBy(name).text(path)
+
 
+def csv_lines_by(rows: DataFrame, name: str) -> DataFrame:
+    held = rows.select(F.col(name).alias("_name"), "key", "source", "translation")
+    line = F.concat_ws(",", *[text.csv_field(F.col(x)) for x in ("key", "source", "translation")])
+    return held.select(F.col("_name").alias(name), line.alias("line"), F.when(F.instr(line, "::") > 0, F.substring_index(line, "::", 1)).otherwise(line).alias("sort_key"))
 
-def sidecar_json(rows: DataFrame, group: str = "src_path") -> DataFrame:
-    """One JSON object per group: key -> [ns_hash, key_hash]; rows with both 0 are left out, later keys win."""
+
+def skipped_lines(rows: DataFrame, column: str = "line") -> DataFrame:
+    """``line``: rejected text, escaped, with the carriage return that ends it."""
+    return rows.select(F.concat(text.escape(F.coalesce(column, F.lit(""))), F.lit("\r")).alias("line"))
+
+
+def write_skipped(rows: DataFrame, path: str, column: str = "line", append: bool = False) -> None:
+    """Replaces what an earlier run left unless ``append``. Without a path nothing is written."""
+    if path:
+        skipped_lines(rows, column).write.mode("append" if append else "overwrite").text(path)
+
+
+#: Entries of one JSON object of a sidecar, about.
+SIDECAR_ENTRIES = 100_000
+
+
+def sidecar_json(rows: DataFrame, group: str = "src_path", entries: int = SIDECAR_ENTRIES) -> DataFrame:
+    """``group, json``: objects key -> [ns_hash, key_hash]; rows with both 0 are left out, later keys win.
+
+    A group of more than ``entries`` keys is dealt to several objects by the hash of the key, so none is gathered
+    whole; readers take any number of objects.
+    """
     kept = rows.where("ns_hash <> 0 or key_hash <> 0").groupBy(group, "key").agg(F.max_by(F.array("ns_hash", "key_hash"), "ord").alias("v"))
-    return kept.groupBy(group).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "v"))))).alias("json"))
+    parts = kept.groupBy(F.col(group).alias("_g")).agg((F.floor((F.count(F.lit(1)) - 1) / entries) + 1).alias("_parts"))
+    dealt = kept.join(parts, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_part", F.pmod(F.xxhash64("key"), F.col("_parts")))
+    return dealt.groupBy(group, "_part").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "v"))))).alias("json")).drop("_part")
 
 
 def sidecar_rows(df: DataFrame, column: str = "json") -> DataFrame:
@@ -59,35 +108,88 @@ def journal_rows(lines: DataFrame, column: str = "value", order: str = "ord") ->
     return split.groupBy("source").agg(F.max_by("translation", order).alias("translation"))
 
 
-def append_journal(rows: DataFrame, path: str) -> None:
-    """Escaped on the way out, so a line stays a line."""
-    rows.select(F.concat_ws("\t", text.escape(F.col("source")), text.escape(F.col("translation")))).write.mode("append").text(path)
+#: Fixed order: what would break a journal line, and how it is written there.
+_JOURNAL_MARKS = [("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")]
+
 
+def append_journal(rows: DataFrame, path: str, *order: str) -> None:
+    """A line for each ``source, translation``: a number that grows with every append, then both.
+
+    Tab, line ends and backslashes are written so that a line stays a line; catalog escapes and quotes stay as they are.
+    """
+    line = lambda x: _marked(F.coalesce(F.col(x), F.lit("")))
+    batch = F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSSSSS")
+    rows.select(F.concat_ws("\t", batch, line("source"), line("translation"))).write.mode("append").text(path)
+
+
+def _marked(c: Column) -> Column:
+    for mark, written in _JOURNAL_MARKS:
+        c = F.replace(c, F.lit(mark), F.lit(written))
+    return c
+
+
+def _unmarked(c: Column) -> Column:
+    """Backslashes first become a unit that no text holds."""
+    c = F.replace(c, F.lit("\\\\"), F.lit("\uf8ff\0"))
+    for mark, written in _JOURNAL_MARKS[1:]:
+        c = F.replace(c, F.lit(written), F.lit(mark))
+    return F.replace(c, F.lit("\uf8ff\0"), F.lit("\\"))
+
+
+def read_journal(spark, path: str) -> DataFrame:
+    """``source, translation`` of what :func:`append_journal` wrote; the last append of a source wins.
+
+    Files are named one by one, so a reading before and one after an append are not taken for the same scan.
+    """
+    cells = F.split("value", "\t", 3)
+    lines = spark.read.text(f"{path}/part-*").where(F.size(cells) == 3).select(cells[0].alias("batch"), _unmarked(cells[1]).alias("source"), _unmarked(cells[2]).alias("translation"))
+    return lines.groupBy("source").agg(F.max_by("translation", F.struct("batch", "translation")).alias("translation"))
 
-def json_depth(df: DataFrame, column: str) -> int:
-    """The deepest nesting of objects and arrays in the JSON texts of ``column``; texts that do not parse do not count."""
-    bare = F.regexp_replace(F.regexp_replace(column, r'"(?:[^"\\]++|\\.)*+"', ""), r"[^\[\]{}]", "")
-    state = lambda now, top: F.struct(now.alias("now"), top.alias("top"))
-    step = lambda acc, c: acc["now"] + F.when(c.isin("{", "["), 1).when(c.isin("}", "]"), -1).otherwise(0)
-    depth = F.aggregate(F.split(bare, ""), state(F.lit(0), F.lit(0)), lambda acc, c: state(step(acc, c), F.greatest(acc["top"], step(acc, c))), lambda acc: acc["top"])
-    return df.where(F.try_parse_json(column).isNotNull()).agg(F.max(depth)).head()[0] or 0
+
+def _objects(root: object) -> Iterator[dict]:
+    """Objects at any depth, parents before children, without recursion."""
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, dict):
+            yield node
+            todo += reversed(list(node.values()))
+        elif isinstance(node, list):
+            todo += reversed(node)
 
 
 def walk_json(df: DataFrame, column: str, *keep: str) -> DataFrame:
-    """Objects at any depth with non-empty ``Key`` and ``SourceString``: ``keep..., namespace, key, source``.
+    """Objects at any depth with ``Namespace`` and non-empty ``Key`` and ``SourceString``: ``keep..., namespace, key, source``.
 
-    One variant explosion per level, as many as the deepest text has, counted first; matched objects are searched
-    as well. The plan grows with the depth.
+    Each text is parsed and walked once, inside Arrow batches; matched objects are searched as well. Texts that do not
+    parse, null and empty ones, and ones nested deeper than the parser goes (thousands of levels) give nothing.
+    Values that are no strings are taken as their JSON.
     """
-    level = df.select(*keep, F.try_parse_json(column).alias("v"))
-    found = None
-    for _ in range(max(1, json_depth(df, column))):
-        field = lambda name: F.try_variant_get("v", f"$.{name}", "string")
-        here = level.select(*keep, field("Namespace").alias("namespace"), field("Key").alias("key"), field("SourceString").alias("source")).where("key <> '' and source <> '' and namespace is not null")
-        found = here if found is None else found.unionByName(here)
-        level.createOrReplaceTempView("_lokalith_level")
-        level = df.sparkSession.sql(f"select {', '.join([*keep, ''])} e.value as v from _lokalith_level, lateral variant_explode(v) e where e.value is not null")
-    return found
+    fields = ("Namespace", "Key", "SourceString")
+
+    def told(value: object) -> str | None:
+        return value if value is None or isinstance(value, str) else json.dumps(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            source, found = [], []
+            for k, raw in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                try:
+                    root = json.loads(raw or "null")
+                except (ValueError, RecursionError):
+                    continue
+                for node in _objects(root):
+                    values = [told(node.get(f)) for f in fields]
+                    if values[0] is not None and values[1] and values[2]:
+                        source.append(k)
+                        found.append(values)
+            rows = batch.take(pa.array(source, pa.int32()))
+            texts = [pa.array([v[i] for v in found], pa.string()) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *texts], names=[*keep, "namespace", "key", "source"])
+
+    rows = df.select(*keep, F.col(column).alias("_json"))
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, f"{kept}{', ' if keep else ''}namespace string, key string, source string")
 
 
 def string_tables(df: DataFrame, namespace: str, entries: str) -> DataFrame:
@@ -95,6 +197,44 @@ def string_tables(df: DataFrame, namespace: str, entries: str) -> DataFrame:
 
 
 def manifest(spark, path: str) -> DataFrame:
-    """Path, size and SHA-256 of every file below ``path``."""
+    """Path, size and SHA-256 of every file below ``path``; :meth:`orderBy` the path for the printed list."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def containers(spark, path: str) -> DataFrame:
+    """``path, length`` of archive containers below ``path``; no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{utoc,pak}").load(path)
+    return container_paths(found.select("path", "length"))
+
+
+def container_paths(files: DataFrame, path: str = "path") -> DataFrame:
+    """Of a listing, the containers: their extensions, inside a ``Content/Paks`` folder."""
+    plain = F.replace(F.col(path), F.lit("\\"), F.lit("/"))
+    return files.where(plain.rlike(r"\.(?:utoc|pak)\z") & F.contains(plain, F.lit("/Content/Paks")))
+
+
+def dump(files: DataFrame, target: str, name: str = "name") -> DataFrame:
+    """Copies ``content`` of each row to ``target/<name>``, byte for byte: ``name, bytes``, lazily.
+
+    Any file system pyarrow opens. A file is written under a name of its own and renamed; rows of one name overwrite
+    each other, so names should be made distinct before. Null content is an empty file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(target)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            sizes = []
+            for own, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = content.as_py() or b""
+                draft = f"{folder}/.draft-{uuid.uuid4().hex}"
+                with store.open_output_stream(draft, compression=None) as out:
+                    out.write(raw)
+                store.move(draft, f"{folder}/{own}")
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    return files.select(F.col(name).alias("name"), "content").mapInArrow(run, "name string, bytes long")

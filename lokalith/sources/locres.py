@@ -1,6 +1,8 @@
 """Compiled string tables: codec, reader, writer, patch and verification.
 
-Decoding and encoding work on one file at a time inside Arrow batches; everything else is DataFrame operations.
+Decoding and encoding work on one file at a time inside Arrow batches, as a string table is one file with offsets
+from its start; everything else is DataFrame operations. Values of encrypted tables are encrypted and decrypted by
+Column expressions; key and end mark are the caller's.
 """
 
 from __future__ import annotations
@@ -10,8 +12,14 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from lokalith.functions import text
+from lokalith.functions.hashes import city64
+from lokalith.operators.catalog import disambiguated_names
+from lokalith.sources.files import dump
 
 #: Fixed values of the format: magic, and the version number of encrypted files.
 MAGIC = bytes.fromhex("0E147475674A03FC4A15909DC3377F1B")
@@ -66,16 +74,21 @@ def header_of(data: bytes) -> dict:
     return {"version": version, "number": number, "encrypted": bool(encrypted), "offset": offset, "entries": entries, "keys_at": r.at}
 
 
-def decode(data: bytes) -> tuple[dict, list[tuple]]:
-    """Header and entries ``(ns, ns_hash, key, key_hash, source_crc, str_idx, value)`` in file order."""
-    head = header_of(data)
-    hashed = head["version"] == ENCRYPTED
+def strings_of(data: bytes, head: dict) -> tuple[list[str], int]:
+    """All strings of the table and where it ends."""
     strings, r = [], _Reader(data, head["offset"])
     for _ in range(r.number("I")):
         strings.append(r.string())
-        if hashed:
+        if head["version"] == ENCRYPTED:
             r.number("i")
-    head["end"] = r.at
+    return strings, r.at
+
+
+def decode(data: bytes) -> tuple[dict, list[tuple]]:
+    """Header and entries ``(ns, ns_hash, key, key_hash, source_crc, str_idx, value)`` in file order."""
+    head = header_of(data)
+    hashed = head["version"] == ENCRYPTED
+    strings, head["end"] = strings_of(data, head)
     r, out = _Reader(data, head["keys_at"]), []
     for _ in range(r.number("I")):
         ns_hash = r.number("I") if hashed else 0
@@ -136,27 +149,112 @@ def read_locres(spark, path: str) -> DataFrame:
     return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.locres").load(path))
 
 
-def encoded(rows: DataFrame, group: str = "src_path", version: int = COMPACT) -> DataFrame:
+def encoded(rows: DataFrame, group: str = "src_path", version: int = COMPACT, number: int | None = None) -> DataFrame:
     """One file per group: ``group, content``; rows are a catalog with ``value`` and ``source_crc``.
 
-    A string table is one file by format, so a group is what one task holds.
+    A string table is one file by format, so a group is what one task holds: its entries' texts and the file, some
+    4 times the file in memory. ``number`` writes the explicit version number of a compact file.
     """
     kind = rows.schema[group].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
         t = table.sort_by("ord").to_pylist()
-        content = encode([(r["namespace"], r["ns_hash"], r["key"], r["key_hash"], r["source_crc"], r["value"]) for r in t], version)
+        content = encode([(r["namespace"], r["ns_hash"], r["key"], r["key_hash"], r["source_crc"], r["value"]) for r in t], version, number)
         return pa.table({group: [t[0][group]], "content": [content]})
 
     wanted = rows.select(group, "ord", "namespace", "ns_hash", "key", "key_hash", "source_crc", "value")
     return wanted.groupBy(group).applyInArrow(run, f"{group} {kind}, content binary")
 
 
+@F.arrow_udf(LongType())
+def fallback_hash(texts: pa.Array) -> pa.Array:
+    """Upper half of CityHash64 over the UTF-16 text, 0 for an empty one.
+
+    For keys without a stored hash only: which half a reader expects depends on what built the file.
+    """
+    return pa.array([city64(t.encode("utf-16-le", "surrogatepass")) >> 32 if t else 0 for t in texts.to_pylist()], pa.int64())
+
+
+def table_rows(rows: DataFrame, version: int = COMPACT, key: Column | None = None, mark: str | None = None) -> DataFrame:
+    """Catalog rows as string-table entries, ready for :func:`encoded`.
+
+    Keys lose every leading ``namespace::``, empty ones are dropped; ``source_crc`` is of the unescaped source; ``value``
+    is the translation, else the source, unescaped. Encrypted tables need the caller's ``key`` and ``mark``, and keys
+    and namespaces whose stored hash is 0 get the fallback hash.
+    """
+    bare = rows.withColumn("key", text.actual_key(F.col("namespace"), F.col("key"))).where("key <> ''")
+    out = bare.withColumn("source_crc", text.string_crc32(text.unescape(F.col("source")))).withColumn("value", text.effective_text(F.col("translation"), F.col("source")))
+    if version != ENCRYPTED:
+        return out
+    if key is None or mark is None:
+        raise ValueError("an encrypted table needs a key and a mark")
+    stored = lambda name, of: F.when(F.col(name) != 0, F.col(name)).otherwise(fallback_hash(F.col(of)))
+    hashed = out.withColumn("ns_hash", stored("ns_hash", "namespace")).withColumn("key_hash", stored("key_hash", "key"))
+    return hashed.withColumn("value", text.encrypt_value(F.col("value"), key, mark))
+
+
+def write_locres(rows: DataFrame, target: str, group: str = "src_path", version: int = COMPACT, number: int | None = None, key: Column | None = None, mark: str | None = None) -> DataFrame:
+    """Writes one ``<base name>.locres`` for each group below ``target``: ``name, bytes``, lazily."""
+    files = encoded(table_rows(rows, version, key, mark), group, version, number)
+    return dump(files.select(F.concat(text.base_name(F.col(group)), F.lit(".locres")).alias("name"), "content"), target)
+
+
+def table_strings(files: DataFrame) -> DataFrame:
+    """``path, str_idx, raw`` of every string of encrypted tables with an explicit flag; other files are an error."""
+    names = ["path", "str_idx", "raw"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                head = header_of(content)
+                if head["version"] != ENCRYPTED or head["number"] < ENCRYPTED_VERSION or not head["encrypted"]:
+                    raise ValueError(f"{path}: only encrypted tables can be patched")
+                found, _ = strings_of(content, head)
+                yield pa.RecordBatch.from_arrays([pa.array([path] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()), pa.array(found, pa.string())], names=names)
+
+    return files.select("path", "content").mapInArrow(run, "path string, str_idx int, raw string")
+
+
+def string_keys(entries: DataFrame) -> DataFrame:
+    """``path, str_idx, ns, key``: of entries that share a string the last one in the file names it."""
+    last = entries.groupBy("path", "str_idx").agg(F.max_by(F.struct("ns", "key"), "ord").alias("r"))
+    return last.select("path", "str_idx", "r.ns", "r.key")
+
+
+def patched_strings(files: DataFrame, catalog: DataFrame, key: Column, mark: str) -> DataFrame:
+    """``path, str_idx, key, value, translated`` of every string of the templates.
+
+    ``catalog(key, source, translation, ord)`` holds composite keys; of a repeated key the last row counts, its source where the
+    translation is blank, rows with neither not at all. A translation that is empty once unescaped keeps the original.
+    """
+    plain = F.when(F.trim(F.coalesce("translation", F.lit(""))) != "", F.col("translation")).otherwise(F.coalesce("source", F.lit("")))
+    usable = catalog.select(F.col("key").alias("c_key"), plain.alias("t"), "ord").where("trim(t) <> ''")
+    new = usable.groupBy("c_key").agg(F.max_by("t", "ord").alias("t")).select("c_key", text.unescape(F.col("t")).alias("t"))
+    named = table_strings(files).join(string_keys(decoded(files)), ["path", "str_idx"], "left").withColumn("c_key", text.composite_key(F.col("ns"), F.col("key")))
+    joined = named.join(new, "c_key", "left").withColumn("translated", F.coalesce(F.col("t") != "", F.lit(False)))
+    return joined.select("path", "str_idx", F.col("c_key").alias("key"), F.when(F.col("translated"), F.col("t")).otherwise(text.decrypt_value(F.col("raw"), key, mark)).alias("value"), "translated")
+
+
+def patch_files(files: DataFrame, catalog: DataFrame, key: Column, mark: str) -> DataFrame:
+    """``path, content``: each template with its header and keys as they are and a string table of the patched values."""
+    sealed = patched_strings(files, catalog, key, mark).select("path", "str_idx", text.encrypt_value(F.col("value"), key, mark).alias("raw"))
+
+    def run(template: pa.Table, strings: pa.Table) -> pa.Table:
+        rows = template.to_pylist()
+        for row in rows:
+            raw = row["content"]
+            values = strings.sort_by("str_idx").column("raw").to_pylist()
+            table = b"".join(pack_string(v) + struct.pack("<i", 1) for v in values)
+            row["content"] = raw[: header_of(raw)["offset"]] + struct.pack("<I", len(values)) + table
+        return pa.Table.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+    return files.select("path", "content").groupBy("path").cogroup(sealed.groupBy("path")).applyInArrow(run, "path string, content binary")
+
+
 def patched(entries: DataFrame, translations: DataFrame) -> DataFrame:
     """Entries of a template with translated values by composite key; ``translated`` says which were."""
     t = translations.select(F.col("key").alias("t_key"), F.col("value").alias("t_value"))
-    key = F.when(F.col("ns") != "", F.concat("ns", F.lit("::"), "key")).otherwise(F.col("key"))
-    joined = entries.join(t, key == F.col("t_key"), "left")
+    joined = entries.join(t, text.composite_key(F.col("ns"), F.col("key")) == F.col("t_key"), "left")
     done = F.coalesce(F.col("t_value") != "", F.lit(False))
     return joined.withColumn("value", F.when(done, F.col("t_value")).otherwise(F.col("value"))).withColumn("translated", done).drop("t_key", "t_value")
 
@@ -165,3 +263,39 @@ def inspect(data: bytes) -> dict:
     """Diagnostics: header, counts, and whether the key section ends where the strings begin."""
     head, entries = decode(data)
     return head | {"namespaces": len({e[0] for e in entries}), "keys": len(entries), "filled": sum(bool(e[6]) for e in entries), "consistent": head["keys_end"] == head["offset"] and head["end"] == len(data)}
+
+
+def inspected(files: DataFrame) -> DataFrame:
+    """``path, version, encrypted, namespaces, keys, filled, consistent, error``: diagnostics of each file."""
+    names = ["path", "version", "encrypted", "namespaces", "keys", "filled", "consistent", "error"]
+    kinds = [pa.string(), pa.int32(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    found = inspect(content)
+                    row = [path, *(found[n] for n in names[1:-1]), None]
+                except (ValueError, struct.error, IndexError) as e:
+                    row = [path, *[None] * 6, str(e)]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names=names)
+
+    schema = "path string, version int, encrypted boolean, namespaces int, keys long, filled long, consistent boolean, error string"
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
+def grouped(files: DataFrame) -> DataFrame:
+    """Entries with a value of ``files(path, container, content)``, with ``csv_base_name`` of their file.
+
+    Names are told apart before any table is decoded: where two base names are equal, all get their container.
+    """
+    named = disambiguated_names(files.select("path", "container").distinct()).withColumnRenamed("path", "n_path").withColumnRenamed("container", "n_container")
+    entries = decoded(files.select(F.to_json(F.struct("path", "container")).alias("path"), "content")).where("error is null and value <> ''")
+    origin = F.from_json("path", "path string, container string")
+    told = entries.withColumn("o", origin).withColumn("path", F.col("o.path")).withColumn("container", F.col("o.container")).drop("o", "error")
+    return told.join(F.broadcast(named), (F.col("path") == F.col("n_path")) & F.col("container").eqNullSafe(F.col("n_container"))).drop("n_path", "n_container")
+
+
+def keyed(entries: DataFrame) -> DataFrame:
+    """Grouped mode: entries under their composite key; empty keys are dropped, blank values stay."""
+    return entries.where("key <> ''").withColumn("key", text.composite_key(F.col("ns"), F.col("key")))

@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from lokalith.functions import predicates, text
+from lokalith.functions.hashes import city64
 from lokalith.operators import catalog
+from lokalith.plans import extract, translate
+from lokalith.schema import catalog_from
 from lokalith.sources import binscan, files, locres
 
 #: Fixed value: a compact string table of two entries.
@@ -100,9 +103,6 @@ def test_files_round_trip(spark, tmp_path):
     back = files.read_catalog(spark, str(tmp_path / "csv")).collect()
     assert sorted((r["key"], r["source"], r["translation"], r["namespace"]) for r in back) == [("N::k", 'say "x", y', "t", "N"), ("b", "plain", "", "")]
     rows.write.parquet(str(tmp_path / "t"))
-    files.append_journal(rows, str(tmp_path / "journal"))
-    lines = spark.read.text(str(tmp_path / "journal")).withColumn("ord", F.monotonically_increasing_id())
-    assert files.journal_rows(lines).count() == 2
     assert files.manifest(spark, str(tmp_path / "t")).count() > 0
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "x.locres").write_bytes(GOLDEN)
@@ -116,9 +116,9 @@ def test_json_walk_has_no_depth_limit(spark):
             text = f'{{"a": {text}}}' if k % 2 else f"[{text}]"
         return text
 
-    df = spark.createDataFrame([(n, nested(n, f"k{n}")) for n in (0, 7, 8, 14)] + [(99, "[" * 40), (100, None)], "id int, j string")
-    assert sorted((r["id"], r["key"]) for r in files.walk_json(df, "j", "id").collect()) == [(0, "k0"), (7, "k7"), (8, "k8"), (14, "k14")]
-    assert files.walk_json(df.where("id > 98"), "j", "id").count() == 0
+    df = spark.createDataFrame([(n, nested(n, f"k{n}")) for n in (0, 7, 8, 14, 400)] + [(99, "[" * 40), (100, None)], "id int, j string")
+    assert sorted((r["id"], r["key"]) for r in files.walk_json(df, "j", "id").collect()) == [(0, "k0"), (7, "k7"), (8, "k8"), (14, "k14"), (400, "k400")]
+    assert files.walk_json(df.where("id in (99, 100)"), "j", "id").count() == 0
 
 
 def test_stream_merges_batches(spark, tmp_path):
@@ -136,5 +136,170 @@ def test_stream_merges_batches(spark, tmp_path):
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
-    assert entry.entry(spark).count() == 41
+    assert entry.entry(spark).columns == ["key", "namespace", "source"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def rows_of(spark, rows):
+    df = spark.createDataFrame(rows, "src_path string, ord long, key string, source string, namespace string")
+    return catalog_from(df, **{c: F.col(c) for c in df.columns})
+
+
+def test_extract_order(spark):
+    """Conflicts are found before noise goes; the last file, then the last row, writes a key; developer rows do not write."""
+    rows = rows_of(spark, [
+        ("a", 1, "k1", "good text", ""), ("a", 2, "k1", "None", ""),
+        ("a", 9, "k2", "first file", ""), ("b", 1, "k2", "second file", ""),
+        ("a", 3, "k3", "same text", "x"), ("a", 4, "k3", "same text", "y"),
+        ("a", 5, "k4", "kept text", "x"), ("b", 6, "k4", "other text", "UMG"), ("b", 7, "k5", "12345", ""),
+    ])
+    got = sorted((r["key"], r["source"], r["namespace"]) for r in catalog.extract(rows).collect())
+    assert got == [("k2", "second file", ""), ("k3", "same text", "y"), ("k4", "kept text", "x")]
+    assert catalog.extract(rows.where("false")).count() == 0
+
+
+def test_package_records():
+    good, other = b"D41D8CD98F00B204E9800998ECF8427E", b"E41D8CD98F00B204E9800998ECF8427E"
+    one = lambda body, digest: b"\x29\x01" + body + b"\x00\x1f" + digest
+    data = one(b"first", good) + b"zz" + one(b"second", good)
+    assert [(d, s) for _, d, s, _ in binscan.package_records(data)] == [(good.decode(), "first"), (good.decode(), "second")]
+    data = one(b"bad \x29\x01inner", b"0" * 32) + one(b"after", other)
+    assert [s for _, _, s, _ in binscan.package_records(data)] == ["after"]
+    data = one(b"x", good) + b"--" + one(b"noise\x29\x01\x1f\x1ftext", good)
+    assert [s for _, _, s, _ in binscan.package_records(data)] == ["text"]
+    assert [(s, r) for _, _, s, r in binscan.package_records(one(b"?it\x19 s\0", good))] == [("it\x19 s\0", True)]
+    assert [s for _, _, s, _ in binscan.package_records(one(b"\0\0\0abc", good))] == ["\0\0abc"]
+    assert list(binscan.package_records(b"")) == list(binscan.package_records(b"\x29\x01 no end")) == []
+
+
+def test_asset_kinds_and_reader(spark, tmp_path):
+    digest = b"D41D8CD98F00B204E9800998ECF8427E"
+    export = digest + b"\0" + struct.pack("<i", 6) + b"hello\0"
+    for name, raw in {
+        "p1/Game/a.uexp": export, "p1/Game/Sound/b.uexp": export, "p1/Engine/c.uexp": export, "p2/Game/d.UMAP": b"\x29\x01map text\x00\x1f" + digest,
+        "p2/Game/e.uasset": b"SoundWave\x29\x01noise\x00\x1f" + digest, "p2/Game/f.txt": export,
+    }.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(raw)
+    found = extract.read_assets(spark, str(tmp_path))
+    assert sorted((r["path"].rsplit("/", 1)[1], r["container"]) for r in found.collect()) == [("a.uexp", "p1"), ("d.UMAP", "p2"), ("e.uasset", "p2")]
+    assert sorted(r["source"] for r in extract.scan_assets(found).collect()) == ["map text"]  # one key, the later path writes it
+    assert sorted(r["source"] for r in extract.asset_rows(found).collect()) == ["hello", "map text"]
+    assert extract.read_assets(spark, str(tmp_path), part="/P1/", all_folders=True).count() == 2
+
+
+def test_journal_round_trip(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    odd = [('say ""x""', "t\\n1"), ("tab\there", "line\nend\r"), ("back\\slash \\t", ""), ("twice", "old")]
+    files.append_journal(spark.createDataFrame(odd, "source string, translation string"), path)
+    files.append_journal(spark.createDataFrame([("twice", "new")], "source string, translation string"), path)
+    assert sorted(map(tuple, files.read_journal(spark, path).collect())) == sorted([*odd[:3], ("twice", "new")])
+
+
+def test_translation_asks_again_only_for_what_is_missing(spark, tmp_path):
+    rows = rows_of(spark, [("f", n, f"k{n}", f"text {n % 7}", "") for n in range(20)]).withColumn("translation", F.when(F.col("ord") == 19, "own").otherwise(""))
+    asked = spark.sparkContext.accumulator(0)
+
+    def ask(payload):
+        asked.add(len(payload.split("|||")))
+        return payload.upper() + "|||extra" if "text 2" in payload and fail else payload.upper()
+
+    fail = True
+    first = translate.translate(rows, ask, str(tmp_path / "j"), size=3)
+    got = {r["ord"]: r["translation"] for r in first.collect()}
+    assert got[3] == "TEXT 3" and got[0] == got[2] == "" and asked.value == 7
+    assert got[19] == "TEXT 5"  # a source that was asked for overwrites its twins
+    fail, before = False, asked.value
+    got = {r["ord"]: r["translation"] for r in translate.translate(rows, ask, str(tmp_path / "j"), size=3).collect()}
+    assert all(got[n] == f"TEXT {n % 7}" for n in range(19)) and asked.value - before == 3 and got[19] == "own"
+
+
+def test_requests_are_retried():
+    def server(errors):
+        def ask(payload):
+            if errors:
+                raise errors.pop(0)
+            return payload
+
+        return ask
+
+    waits = []
+    assert translate.ask_with_retry(server([OSError("a"), OSError("b")]), "p", wait=waits.append) == ("p", None, 3) and waits == [2.0, 4.0]
+    assert translate.ask_with_retry(server([OSError("x")] * 3), "p", wait=waits.append) == (None, "x", 3)
+    assert translate.ask_with_retry(server([translate.Refused("no key")]), "p", wait=waits.append) == (None, "no key", 1)
+
+
+def test_one_group_is_numbered_in_ranges(spark):
+    rows = spark.range(3000).select(F.lit("one").alias("src_path"), (F.col("id") * 7 % 3001).alias("ord"), F.lit("abc").alias("key"))
+    got = catalog.running(rows, "src_path", amount=F.length("key"), width=100).orderBy("ord").collect()
+    assert [r["index"] for r in got] == list(range(3000)) and [r["before"] for r in got] == list(range(0, 9000, 3))
+    many = rows.select("src_path", F.col("ord").cast("string").alias("key"), F.lit(1).alias("ns_hash"), F.lit(2).alias("key_hash"), "ord")
+    objects = files.sidecar_json(many, entries=1000)
+    assert objects.count() == 3 and files.sidecar_rows(objects).count() == 3000
+
+
+def test_csv_options_and_order(spark, tmp_path):
+    rows = spark.createDataFrame([("b", "x", ""), ("a::2", "x,y", "t"), ("a::10", 'q"', None), ("B", "x", "")], "key string, source string, translation string")
+    path = str(tmp_path / "c")
+    lines = lambda: [line for f in sorted(p for p in (tmp_path / "c").iterdir() if p.name.startswith("part")) for line in f.read_text().splitlines()]
+    files.write_catalog(rows, path, banner="# b", footer="# e")
+    assert lines() == ["# b", "key,source,Translation", "B,x,", 'a::10,"q""",', 'a::2,"x,y",t', "b,x,", "# e"]
+    files.write_catalog(rows, path, collation="UNICODE", table=True)
+    assert lines() == ['a::10|"q"""|', 'a::2|"x,y"|t', "b|x|", "B|x|"]
+    assert files.csv_header(True, True) == "[url][key][hash],source,Translation"
+    files.write_skipped(spark.createDataFrame([("a\tb",)], "line string"), str(tmp_path / "s"))
+    files.write_skipped(spark.createDataFrame([("c",)], "line string"), str(tmp_path / "s"), append=True)
+    assert sorted(r["value"] for r in spark.read.option("lineSep", "\n").text(str(tmp_path / "s")).collect()) == ["a\\tb\r", "c\r"]
+    files.write_skipped(rows, "", "key")
+
+
+def test_table_with_version_number_decodes():
+    entries = [("ns", 0, "k", 0, 9, "value"), ("ns", 0, "k2", 0, 3, "")]
+    head, found = locres.decode(locres.encode(entries, locres.COMPACT, 1))
+    assert head["number"] == 1 and [(e[0], e[2], e[4], e[6]) for e in found] == [("ns", "k", 9, "value"), ("ns", "k2", 3, "")]
+
+
+def test_golden_table_through_dataframes(spark, tmp_path):
+    strings = [("FED912BD4D41A7463FFD82BBE165BDE2", 'Allows for opening and closing a ""gate"" to control the execution flow.'), ("FB19F4DC4B50C3CC96755DBA24440843", "Alternates between A and B outputs, starting with A")]
+    rows = rows_of(spark, [("x/golden.csv", n, k, v, "") for n, (k, v) in enumerate(strings)])
+    written = locres.write_locres(rows, str(tmp_path / "out")).collect()
+    assert [tuple(r) for r in written] == [("golden.locres", 262)] and (tmp_path / "out" / "golden.locres").read_bytes() == GOLDEN
+
+
+def test_patch_keeps_the_template(spark):
+    key, mark = F.lit(bytes(range(32))), "|end|"
+    rows = rows_of(spark, [("f", n, k, v, "ns") for n, (k, v) in enumerate((("ns::a", "one"), ("b", "two"), ("c", "three")))])
+    made = locres.encoded(locres.table_rows(rows, locres.ENCRYPTED, key, mark), version=locres.ENCRYPTED).select(F.col("src_path").alias("path"), "content")
+    template = bytes(made.head()["content"])
+    catalog_rows = spark.createDataFrame([("ns::a", "x", "eins", 1), ("ns::a", "x", "uno", 2), ("ns::b", "zwei", " ", 3), ("ns::c", "", "", 4)], "key string, source string, translation string, ord int")
+    frame = spark.createDataFrame([("f", bytearray(template))], "path string, content binary")
+    patched = bytes(locres.patch_files(frame, catalog_rows, key, mark).head()["content"])
+    at = locres.header_of(template)["offset"]
+    assert patched[:at] == template[:at] and locres.inspect(patched)["consistent"]
+    entries = locres.decoded(spark.createDataFrame([("f", bytearray(patched))], "path string, content binary"))
+    assert [r["v"] for r in entries.orderBy("ord").select(text.decrypt_value(F.col("value"), key, mark).alias("v")).collect()] == ["uno", "zwei", "three"]
+    assert tuple(catalog.patch_counters(locres.patched_strings(frame, catalog_rows, key, mark)).head()) == (2, 1, 3)
+    assert [(e[1], e[3]) for e in locres.decode(template)[1]] == [(city64("ns".encode("utf-16-le")) >> 32, city64(k.encode("utf-16-le")) >> 32) for k in "abc"]
+    with pytest.raises(Exception, match="only encrypted tables"):
+        locres.table_strings(spark.createDataFrame([("g", bytearray(GOLDEN))], "path string, content binary")).count()
+
+
+def test_string_keys_last_wins(spark):
+    entries = spark.createDataFrame([("f", 0, "n", "a", 1), ("f", 0, "n", "b", 2), ("f", 1, "n", "c", 3)], "path string, str_idx int, ns string, key string, ord int")
+    assert sorted((r["str_idx"], r["key"]) for r in locres.string_keys(entries).collect()) == [(0, "b"), (1, "c")]
+
+
+def test_city_hash():
+    assert city64(b"") == 0x9AE16A3B2F90404F and city64(b"a") == 0xB3454265B6DF75E3
+    assert len({city64(b"x" * n) for n in range(300)}) == 300
+
+
+def test_masked_search(spark):
+    df = spark.createDataFrame([(bytearray(b"aXaYaa\x00a"),), (bytearray(b"zz"),), (bytearray(b""),)], "b binary")
+    assert [r["f"] for r in df.select(text.masked_finds(F.col("b"), [ord("a"), None, ord("a")]).alias("f")).collect()] == [[0, 2, 5], [], []]
+
+
+def test_grouped_names_get_their_container(spark):
+    raw = locres.encode([("", 0, "k", 0, 1, "v")])
+    frame = spark.createDataFrame([("x/Game.locres", "p1", bytearray(raw)), ("y/game.locres", "p2", bytearray(raw))], "path string, container string, content binary")
+    assert sorted((r["csv_base_name"], r["container"], r["key"]) for r in locres.grouped(frame).collect()) == [("Game_p1", "p1", "k"), ("game_p2", "p2", "k")]
