@@ -1,76 +1,93 @@
 """SimHash near-duplicate groups by a generalised pigeonhole over correlated bit partitions.
 
-1. Each document gets a 64-bit fingerprint (Arrow batches; the only Python on the data path).
+1. Each document gets a 64-bit fingerprint and, where asked for, a wide one of 128 bits over longer shingles (Arrow batches).
 2. Equal fingerprints become one node. All later steps see nodes only, so groups of copies cost nothing.
 3. From all nodes: a 64 x 64 bit co-occurrence matrix (fixed size). Bits that vary together are put in the
    same partition, and a dynamic program gives each partition its own threshold ``t_i`` with
-   ``sum(t_i) = max_distance - partitions + 1`` (``-1``: not probed), at the least cost estimated from the counts. Two
-   fingerprints within ``max_distance`` then agree up to ``t_i`` bits in at least one partition.
-4. Probe: a node emits one key for each way of ignoring ``t_i`` bits of partition ``i``. Nodes that share no
-   key with another node cannot have a partner and leave.
-5. Verify: the rest emit every point within ``max_distance / 2`` bits. Two fingerprints lie within
-   ``max_distance`` exactly when they share such a point, so linking the members of a point to the smallest
-   one is exact, and no bucket ever expands into pairs: a point has at most 65 possible members at distance 2.
-6. Components of those links; every document reads its component over its fingerprint.
+   ``sum(t_i) = max_distance - partitions + 1`` (``-1``: not probed), at the least cost estimated from the counts:
+   keys that a node emits, and pairs that then share a key. Two fingerprints within ``max_distance`` then agree up
+   to ``t_i`` bits in at least one partition.
+4. Probe: a node emits one key for each way of ignoring ``t_i`` bits of partition ``i``. One shuffle brings the nodes of a
+   key together; keys of a single node leave at once.
+5. Verify: within a key all pairs are compared by exclusive or and bit count, many keys at a time, and only links that
+   join two so far separate parts of the key's nodes are emitted. So no link between different texts is lost and a
+   key never gives more links than nodes. Keys of more than ``TILE`` nodes are cut into tiles, and each pair of tiles
+   is a task of its own, so none is gathered whole.
+6. Components of those links; every document reads its component over its node.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lokalith.llm.components import components
 from lokalith.llm.shared import materialise, text_of
 
-BITS = 64
-#: Candidates by chance grow with the square of the nodes, so the plan is the cheapest one for a corpus so many times as large.
-HEADROOM = 64
+BITS, WIDE_BITS = 64, 128
+#: Cost of comparing a pair, where emitting, moving and sorting a key is 1.
+PAIR_COST = 1 / 128
+#: Nodes of a key that are verified in one go.
+TILE = 4096
 _BLOCK = 1 << 15
 
 
-def shingle_digests(text: str, width: int, start: int, words: list[bytes], joined: bytes, starts: list[int], ends: list[int]) -> bytes:
-    """XXH64 digests (seed 42, big endian) of a block of shingles from word ``start`` on."""
-    from xxhash import xxh64_digest
-
-    last = ends[width - 1 :]
-    return b"".join([xxh64_digest(joined[a:b], 42) for a, b in zip(starts[start : start + _BLOCK], last[start : start + _BLOCK], strict=False)])
-
-
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Unsigned 64-bit SimHash of the word shingles of ``text``, repeats included; 0 without a word."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+def _sketch(words: list[bytes], width: int, digest: Callable[[bytes, int], bytes], bits: int) -> bytes:
+    """Big-endian bits that are set in over half of the digests (seed 42) of the shingles, repeats included."""
     if not words:
-        return 0
+        return bytes(bits // 8)
     width = min(width, len(words))
     joined = b" ".join(words)
     ends = [e + n for n, e in enumerate(accumulate(map(len, words)))]
     starts = [0, *(e + 1 for e in ends[:-1])]
-    total, n = np.zeros(BITS, dtype=np.int64), len(words) - width + 1
+    last, n = ends[width - 1 :], len(words) - width + 1
+    total = np.zeros(bits, dtype=np.int64)
     for at in range(0, n, _BLOCK):
-        block = np.frombuffer(shingle_digests(text, width, at, words, joined, starts, ends), dtype=np.uint8)
-        total += np.unpackbits(block.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
+        raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[at : at + _BLOCK], last[at : at + _BLOCK], strict=False)])
+        total += np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(-1, bits // 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(total * 2 > n).tobytes()
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Unsigned 64-bit SimHash of the word shingles of ``text`` (XXH64), repeats included; 0 without a word."""
+    from xxhash import xxh64_digest
+
+    return int.from_bytes(_sketch(words_of(text), width, xxh64_digest, BITS), "big")
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(doc_id, h, fp)``: one row per input row, ``fp`` as a signed long, ``h`` a hash of the text.
+def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, wide_width: int | None = None) -> DataFrame:
+    """``(doc_id, h, fp, w1, w2)``: one row per input row; ``fp`` as a signed long, ``h`` a hash of the text, ``w1`` and
+    ``w2`` the halves of the wide fingerprint of ``wide_width`` words (XXH3, 128 bits), 0 where none is asked for.
 
-    Null and empty texts have fingerprint 0; null ids and repeated rows come as they are.
+    Null and empty texts have fingerprints 0; null ids and repeated rows come as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest, xxh64_digest
+
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
+            raw = bytearray()
+            for t in batch.column(2):
+                words = words_of(t.as_py())
+                raw += _sketch(words, width, xxh64_digest, BITS)
+                raw += _sketch(words, wide_width, xxh3_128_digest, WIDE_BITS) if wide_width else bytes(WIDE_BITS // 8)
+            three = np.frombuffer(bytes(raw), dtype=">i8").astype(np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(three[:, k]) for k in range(3))], names=["doc_id", "h", "fp", "w1", "w2"])
 
     text = text_of(text_col)
     rows = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h long, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h long, fp long, w1 long, w2 long")
 
 
 def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -111,23 +128,19 @@ def correlated_partitions(n: int, both: np.ndarray, parts: int) -> list[list[int
 
 
 def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
-    """Thresholds of the partitions by dynamic programming: the least estimated probes plus candidates a node."""
+    """Thresholds of the partitions by dynamic programming: the least keys, plus pairs that share one, a node."""
     from math import comb
 
     same = 1 - 2 * p * (1 - p)  # two nodes agree in a bit
     spend = distance - len(groups) + 1
     costs = []
     for bits in groups:
-        agree = float(np.prod(same[bits]))
-        odds, cost = (1 - same[bits]) / np.maximum(same[bits], 1e-9), {-1: 0.0}
-        symmetric, masks = [1.0], 0
-        for t in range(0, distance + 1):
-            if t > len(bits):
-                break
-            if t:
-                symmetric.append(symmetric[-1] * float(odds.sum()) / t)
-            masks = comb(len(bits), t)
-            cost[t] = masks + (BITS + 1) * n * agree * sum(symmetric)
+        agree, ignored, cost = float(np.prod(same[bits])), [1.0] + [0.0] * distance, {-1: 0.0}
+        for b in bits:  # elementary symmetric sums: over all choices of ignored bits, how much likelier the rest agrees
+            for t in range(distance, 0, -1):
+                ignored[t] += ignored[t - 1] / max(float(same[b]), 1e-9)
+        for t in range(min(distance, len(bits)) + 1):
+            cost[t] = comb(len(bits), t) + PAIR_COST * n * agree * ignored[t]
         costs.append(cost)
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in costs:
@@ -138,7 +151,7 @@ def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int) -> t
 def probe_masks(n: int, both: np.ndarray, distance: int) -> list[int]:
     """Masks of the bits that a key keeps: one for each partition probed and each choice of ignored bits."""
     p = np.diag(both) / max(n, 1)
-    found = [(*allocate(HEADROOM * max(n, 1), p, g, distance), g) for g in (correlated_partitions(n, both, k) for k in range(1, distance + 2))]
+    found = [(*allocate(n, p, g, distance), g) for g in (correlated_partitions(n, both, k) for k in range(1, distance + 2))]
     _, thresholds, groups = min(found, key=lambda x: x[0])
     return [sum(1 << b for b in bits if b not in out) for bits, t in zip(groups, thresholds, strict=True) if t >= 0 for out in combinations(bits, t)]
 
@@ -147,33 +160,125 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def near_links(nodes: DataFrame, distance: int = 2) -> DataFrame:
-    """``nodes(fp)`` without repeats -> links ``(a, b)`` that connect exactly what lies within ``distance`` bits.
-
-    Links are a spanning set: fingerprints within ``distance`` are connected over others that also are; every
-    link itself is within ``distance``. ``distance`` must be 0, or even.
+def verified(key: np.ndarray, node: np.ndarray, sketches: list[np.ndarray], distance: int, wide_distance: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the nodes of each run of equal ``key``: those within the distances, as few as keep what they connect."""
+    n = len(key)
+    parent = np.arange(n)
+    cut = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) + 1 if n else np.zeros(0, dtype=np.int64)
+    left = np.repeat(cut, np.diff(np.concatenate([[0], cut]))) - np.arange(n)  # rows of the key from here on
+    fp, w1, w2 = sketches
+    rows, k, a, b = np.flatnonzero(left > 1), 1, [], []
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return int(x)
+
+    root = parent.copy()
+    while len(rows):
+        i = rows[root[rows] != root[rows + k]]
+        near = np.bitwise_count(fp[i] ^ fp[i + k]) <= distance
+        if wide_distance is not None:
+            i = i[near]
+            near = np.bitwise_count(w1[i] ^ w1[i + k]) + np.bitwise_count(w2[i] ^ w2[i + k]) <= wide_distance
+        i = i[near]
+        for x in i.tolist():
+            u, v = find(x), find(x + k)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                a.append(x)
+                b.append(x + k)
+        if len(i):
+            root = parent[parent]
+            while (root != parent).any():
+                parent[:] = root
+                root = parent[parent]
+        k += 1
+        rows = rows[left[rows] > k]
+    return node[a], node[b]
+
+
+def _arrays(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
+    node, *sketches = (table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in ("node", "fp", "w1", "w2"))
+    return node, [x.astype(np.int64).view(np.uint64) for x in sketches]
+
+
+def near_links(nodes: DataFrame, distance: int = 2, wide_distance: int | None = None) -> DataFrame:
+    """``nodes(node, fp, w1, w2)`` -> links ``(a, b)`` of nodes whose fingerprints differ in ``distance`` bits at most and,
+    where it is given, whose wide ones differ in ``wide_distance`` bits at most.
+
+    Every link is of that kind, and whatever such links connect is connected. An empty table gives none.
     """
-    if distance % 2 or distance < 0:
-        raise ValueError("distance must be even")
+    if distance < 0:
+        raise ValueError("distance must not be negative")
     n, both = bit_statistics(nodes)
     masks = [_signed(m) for m in probe_masks(n, both, distance)]
-    keys = nodes.select("fp", F.explode(F.array(*map(F.lit, masks))).alias("mask")).select("fp", "mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"))
-    shared = keys.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    candidates = materialise(keys.join(shared, ["mask", "value"], "left_semi").select("fp").distinct(), "candidates")
-    flips = [0, *(_signed(sum(1 << b for b in bits)) for k in range(1, distance // 2 + 1) for bits in combinations(range(BITS), k))]
-    points = candidates.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    links = points.withColumn("b", F.min("fp").over(Window.partitionBy("point"))).where("fp <> b")
-    return links.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("b"))) <= distance).select(F.col("fp").alias("a"), "b").distinct()
+    keys = nodes.select("node", "fp", "w1", "w2", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("value", F.col("mask").bitwiseAND(F.col("fp")))
+    shared = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mask", "value"))).where("n > 1")
+    fields = ["mask", "value", "n", "node", "fp", "w1", "w2"]
+    none = pa.nulls
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(none(len(a), pa.int64()) for _ in fields)], names=["a", "b", *fields])
 
+        def links(table: pa.Table) -> pa.RecordBatch:
+            mask, value = (table.column(c).to_numpy() for c in ("mask", "value"))
+            key = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]))
+            node, sketches = _arrays(table)
+            return told(*verified(key, node, sketches, distance, wide_distance))
 
-def _grouped(docs: DataFrame, distance: int) -> DataFrame:
-    """``docs(doc_id, h, fp)`` with ``lead``, the smallest ``(id, h)`` of the component; null ids come after all others."""
+        for batch in batches:
+            large = pc.greater(batch.column("n"), TILE)
+            if pc.any(large).as_py():
+                rest = batch.filter(large)
+                yield pa.RecordBatch.from_arrays([none(rest.num_rows, pa.int64()), none(rest.num_rows, pa.int64()), *rest.columns], names=["a", "b", *fields])
+                batch = batch.filter(pc.invert(large))
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            mask, value = (table.column(c).to_numpy() for c in ("mask", "value"))
+            other = np.flatnonzero((mask != mask[-1]) | (value != value[-1]))
+            whole = int(other[-1]) + 1 if len(other) else 0  # the last key may go on in the next batch
+            if whole:
+                yield links(table.slice(0, whole))
+            held = table.slice(whole).combine_chunks()
+        if held is not None and held.num_rows:
+            yield links(held)
+
+    schema = ", ".join(f"{c} long" for c in ["a", "b", *fields])
+    found = materialise(shared.select(*fields).mapInArrow(run, schema), "verified")
+    large = found.where("a is null").select(*fields)
+    if large.isEmpty():
+        return found.where("a is not null").select("a", "b").distinct()
+
+    def tile(table: pa.Table) -> pa.Table:
+        node, sketches = _arrays(table)
+        a, b = verified(np.zeros(len(node), dtype=np.int64), node, sketches, distance, wide_distance)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    cut = large.withColumn("tiles", F.floor((F.col("n") - 1) / TILE) + 1).withColumn("r", F.pmod(F.xxhash64("node"), "tiles"))
+    paired = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("mask", "value", F.least("r", "o").alias("lo"), F.greatest("r", "o").alias("hi"), "node", "fp", "w1", "w2")
+    more = paired.groupBy("mask", "value", "lo", "hi").applyInArrow(tile, "a long, b long")
+    return found.where("a is not null").select("a", "b").unionByName(more).distinct()
+
+
+def _grouped(docs: DataFrame, node: Column, distance: int, wide_distance: int | None = None) -> DataFrame:
+    """``docs(doc_id, h, fp, w1, w2)`` with ``lead``, the smallest ``(id, h)`` of the component; null ids come after all others.
+
+    ``node`` stands for all that is compared: documents of one node are never told apart.
+    """
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
-    nodes = materialise(docs.groupBy("fp").agg(F.min(rank).alias("first")), "nodes")
-    roots = components(near_links(nodes, distance))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    sketches = [F.any_value(c).alias(c) for c in ("fp", "w1", "w2")]
+    nodes = materialise(docs.groupBy(node.alias("node")).agg(F.min(rank).alias("first"), *sketches), "nodes")
+    roots = components(near_links(nodes, distance, wide_distance)).withColumnRenamed("node", "of")
+    placed = nodes.join(roots, nodes["node"] == roots["of"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("first").alias("lead"))
-    return docs.join(placed.join(lowest, "root").select("fp", "lead"), "fp")
+    return docs.withColumn("node", node).join(placed.join(lowest, "root").select("node", "lead"), "node")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
@@ -184,18 +289,32 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     are ignored for ``component_id`` (null where a component has no other). An empty table gives an empty result.
     """
     docs = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
-    return _grouped(docs, distance).select("doc_id", "fp", F.col("lead.id").alias("component_id"))
+    return _grouped(docs, F.col("fp"), distance).select("doc_id", "fp", F.col("lead.id").alias("component_id"))
+
+
+def wide_bound(similarity: float) -> int:
+    """Bits of the wide fingerprint in which texts of that Jaccard similarity differ, plus one standard deviation.
+
+    Sets of equal size and similarity ``s`` have the cosine ``2 s / (1 + s)``; a bit differs with the angle's share of pi.
+    """
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return round(WIDE_BITS * share + sqrt(WIDE_BITS * share * (1 - share)))
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
+def keep_first(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 7, wide_width: int = 5, similarity: float = 0.8
+) -> DataFrame:
     """``df`` with one document of each component, that with the smallest id; all columns stay.
 
-    A document is an id with a text: where an id repeats with other texts each is judged by its own, and of one id's
-    texts in one component that with the smallest hash stays; rows that repeat both are the same document and stay
-    together. A null id stays only where its component has no other. Null and empty texts are one group. An
-    empty table stays empty.
+    Two texts are linked where their fingerprints of ``width`` words differ in ``distance`` bits at most, and their wide
+    fingerprints of ``wide_width`` words in no more than texts of that Jaccard ``similarity`` mostly do
+    (:func:`wide_bound`). A document is an id with a text: where an id repeats with other texts each is judged by
+    its own, and of one id's texts in one component that with the smallest hash stays; rows that repeat both are
+    the same document and stay together. A null id stays only where its component has no other. Null and empty
+    texts are one group. An empty table stays empty.
     """
-    docs = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
+    docs = materialise(fingerprints(df, id_col, text_col, width, wide_width), "fingerprints")
     mine = F.col("doc_id").eqNullSafe(F.col("lead.id")) & (F.col("h") == F.col("lead.h"))
-    gone = _grouped(docs, distance).where(~mine).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
+    grouped = _grouped(docs, F.xxhash64("fp", "w1", "w2"), distance, wide_bound(similarity))
+    gone = grouped.where(~mine).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
     return df.join(gone, df[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(text_of(text_col)) == gone["gone_h"]), "left_anti")

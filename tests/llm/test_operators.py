@@ -128,23 +128,48 @@ def test_simhash_matches_brute_force(spark, sf):
     assert got == {d: (f"{f:016x}", comp[f]) for d, f in fps.items()}
 
 
-def test_simhash_links_dense_and_sparse(spark):
+@pytest.mark.parametrize("distance,wide,tile", [(2, None, 4096), (2, None, 16), (3, None, 4096), (6, None, 4096), (6, 20, 4096), (6, 20, 16)])
+def test_simhash_links_dense_and_sparse(spark, monkeypatch, distance, wide, tile):
+    """Components of the links equal those of all pairs within the distances, also where keys are cut into tiles."""
+    from lokalith.llm.components import components
+
+    monkeypatch.setattr(simhash, "TILE", tile)
     rng = np.random.default_rng(7)
+    flip = lambda x, n, bits: x ^ sum(1 << int(k) for k in rng.choice(bits, size=n, replace=False))
     base = [int(x) for x in rng.integers(0, 1 << 63, 40, dtype=np.int64)]
-    near = [b ^ sum(1 << int(k) for k in rng.choice(64, size=n, replace=False)) for b in base[:10] for n in (1, 2, 2, 3, 4) for _ in range(12)]
+    near = [flip(b, n, 64) for b in base[:10] for n in (1, 2, 2, 3, 4, 5, 7) for _ in range(8)]
     fps = list(dict.fromkeys([*base, *near, 0, 3, 7, (1 << 64) - 1]))
-    nodes = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
-    from lokalith.llm.components import components
-
-    links = simhash.near_links(nodes, 2)
-    roots = {r["node"]: r["root"] for r in components(links).collect()}
-    got, want = defaultdict(set), defaultdict(set)
-    comp = brute_components([(n, f) for n, f in enumerate(fps)])
-    for f in fps:
-        s = simhash._signed(f)
-        got[roots.get(s, s)].add(f)
-        want[comp[f]].add(f)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    wides = [flip(0, int(rng.integers(0, 16)), 128) for _ in fps]
+    signed, low = simhash._signed, (1 << 64) - 1
+    nodes = spark.createDataFrame([(n, signed(f), signed(w >> 64), signed(w & low)) for n, (f, w) in enumerate(zip(fps, wides))], "node long, fp long, w1 long, w2 long")
+    links = simhash.near_links(nodes, distance, wide).collect()
+    close = lambda x, y: (fps[x] ^ fps[y]).bit_count() <= distance and (wide is None or (wides[x] ^ wides[y]).bit_count() <= wide)
+    assert all(close(r["a"], r["b"]) for r in links)
+    parts = {n: {n} for n in range(len(fps))}
+    for x in range(len(fps)):
+        for y in range(x):
+            if parts[x] is not parts[y] and close(x, y):
+                parts[x] |= parts[y]
+                for k in parts[y]:
+                    parts[k] = parts[x]
+    roots = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert [roots.get(n, n) for n in range(len(fps))] == [min(parts[n]) for n in range(len(fps))]
+    assert simhash.near_links(nodes.where("false"), distance, wide).count() == 0
+
+
+def test_near_copies_of_five_word_shingles(spark):
+    """Texts that share four fifths of their five-word shingles: most are found; unrelated ones stay."""
+    rng = np.random.default_rng(3)
+    word = lambda: "w" + str(rng.integers(0, 50_000))
+    rows, want = [], 0
+    for n in range(200):
+        ws = [word() for _ in range(400)]
+        rows.append((2 * n, " ".join(ws)))
+        for k in rng.choice(400, size=5, replace=False):
+            ws[k] = word()
+        rows.append((2 * n + 1, " ".join(ws)))
+    kept = {r["doc_id"] for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2 * n for n in range(200)} <= kept and len(kept) <= 200 + 60
 
 
 def test_simhash_edges(edge, none):
