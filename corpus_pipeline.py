@@ -27,8 +27,8 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document with the smallest doc_id stays."""
-    return simhash.keep_first(docs, width=3, distance=2)
+    """Of each component of near copies (five words, similarity 0.8) the document with the smallest doc_id stays."""
+    return simhash.keep_first(docs, distance=7, wide_width=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
