@@ -79,7 +79,10 @@ def window_hits(docs: DataFrame, prefixes: DataFrame) -> DataFrame:
     return _union(found)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW,
+) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, h, n_words, n_hit, items, contaminated``.
 
     ``n_hit`` counts the words inside any occurrence of a window, ``items`` lists (sorted as strings) the items

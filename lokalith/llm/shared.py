@@ -2,37 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one on a single machine; an error on a cluster."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir")
-    if not root:
-        known = sc._jsc.sc().getCheckpointDir()
-        if known.isDefined():
-            return known.get()
-        if sc.master.split("[")[0] != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = _LOCAL.setdefault(sc.applicationId, "")
-        if not root:
-            root = _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="lokalith-")
-            sc.setCheckpointDir(root)
-    return root.rstrip("/")
+from lokalith import workspace
+from lokalith.workspace import shared_dir
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses; known to the innermost :func:`scratch`."""
-    path = f"{shared_dir(spark)}/lokalith/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = workspace.fresh_path(spark, name)
     if _SCOPES:
         _SCOPES[-1].append(path)
     return path

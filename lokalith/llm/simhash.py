@@ -262,7 +262,9 @@ def near_links(nodes: DataFrame, distance: int = 2, wide_distance: int | None =
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     cut = large.withColumn("tiles", F.floor((F.col("n") - 1) / TILE) + 1).withColumn("r", F.pmod(F.xxhash64("node"), "tiles"))
-    paired = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("mask", "value", F.least("r", "o").alias("lo"), F.greatest("r", "o").alias("hi"), "node", "fp", "w1", "w2")
+    paired = cut.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select(
+        "mask", "value", F.least("r", "o").alias("lo"), F.greatest("r", "o").alias("hi"), "node", "fp", "w1", "w2",
+    )
     more = paired.groupBy("mask", "value", "lo", "hi").applyInArrow(tile, "a long, b long")
     return found.where("a is not null").select("a", "b").unionByName(more).distinct()
 

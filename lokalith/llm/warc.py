@@ -127,7 +127,10 @@ def parse(data: bytes, at: int = 0, limit: int | None = None) -> tuple[dict | No
     if kind == "response" and digest.startswith("sha256:") and digest[7:] != hashlib.sha256(payload).hexdigest():
         return None, at, "digest"
     text = {k: header.get(k, b"").decode("utf-8", "replace") for k in (b"warc-record-id", b"warc-refers-to", b"warc-target-uri")}
-    return {"kind": kind, "record_id": text[b"warc-record-id"], "refers_to": text[b"warc-refers-to"] or None, "url": text[b"warc-target-uri"] or None, "payload": payload if kind != "revisit" else None, "digest": digest.removeprefix("sha256:") or None}, stop + 4, ""
+    return {
+        "kind": kind, "record_id": text[b"warc-record-id"], "refers_to": text[b"warc-refers-to"] or None, "url": text[b"warc-target-uri"] or None,
+        "payload": payload if kind != "revisit" else None, "digest": digest.removeprefix("sha256:") or None,
+    }, stop + 4, ""
 
 
 def _member(data: bytes, at: int) -> tuple[bytes | None, int, str]:
@@ -207,8 +210,14 @@ def read_warc(spark, path: str, with_payload: bool = True) -> DataFrame:
     read whole by one task; the writer starts a new file at FILE_BYTES. Empty files give no row; a payload that is empty
     has 0 bytes, that of a revisit is null.
     """
-    names = ["file", "offset", "length", "kind", "reason", "record_id", "url", "refers_to", "header_digest", "payload_bytes", "payload_digest", *(["payload"] if with_payload else [])]
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), *([pa.binary()] if with_payload else [])]
+    names = [
+        "file", "offset", "length", "kind", "reason", "record_id", "url", "refers_to", "header_digest", "payload_bytes", "payload_digest",
+        *(["payload"] if with_payload else []),
+    ]
+    kinds = [
+        pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(),
+        *([pa.binary()] if with_payload else []),
+    ]
 
     def rows(name: str, data: bytes) -> Iterator[list]:
         for at, size, r, why in salvage(data):
@@ -255,4 +264,7 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     told = read.select(number(F.col("record_id")).alias("page_id"), "kind", number(F.col("refers_to")).alias("refers_to"), "header_digest", "payload_bytes", "payload_digest")
     full = told.where("kind = 'response'").select(F.col("page_id").alias("r_id"), F.col("payload_digest").alias("r_digest"), F.col("payload_bytes").alias("r_bytes")).distinct()
     joined = told.join(full, (told["refers_to"] == full["r_id"]) & (told["header_digest"] == full["r_digest"]), "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "r_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "r_digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+    return joined.select(
+        "page_id", F.coalesce("payload_bytes", "r_bytes").alias("payload_bytes"), F.coalesce("payload_digest", "r_digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"), "refers_to",
+    )
