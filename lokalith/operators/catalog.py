@@ -71,7 +71,8 @@ def collapse_old(old: DataFrame, order: str = "ord") -> DataFrame:
 
 def merge_counters(merged: DataFrame) -> DataFrame:
     return merged.agg(
-        F.count_if(F.col("state") != "added").alias("extracted"), F.count_if(F.col("state") == "merged").alias("merged"), F.count_if(F.col("state") == "added").alias("added"), F.count(F.lit(1)).alias("total")
+        F.count_if(F.col("state") != "added").alias("extracted"), F.count_if(F.col("state") == "merged").alias("merged"),
+        F.count_if(F.col("state") == "added").alias("added"), F.count(F.lit(1)).alias("total")
     )
 
 
@@ -128,7 +129,8 @@ def running(df: DataFrame, group: str, order: str = "ord", amount: Column | None
     ranges = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_amount").alias("_total"))
     earlier = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shift = ranges.select(
-        F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"), F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_total")
+        F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"),
+        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_total")
     )
     joined = own.join(shift, F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
     added = [(F.col("_n") + F.col("_rows")).alias("index"), *([(F.col("_sum") + F.col("_total")).alias("before")] if amount is not None else [])]
@@ -174,7 +176,9 @@ def disambiguated_names(paths: DataFrame, path: str = "path", container: str = "
     """Base names; where any repeats (ignoring case), all get ``_<container>``."""
     named = paths.withColumn("base", text.base_name(F.col(path)))
     repeats = named.groupBy(F.lower("base")).count().agg(F.coalesce(F.max("count"), F.lit(0)).alias("most"))
-    return named.crossJoin(F.broadcast(repeats)).select(path, container, F.when(F.col("most") > 1, F.concat("base", F.lit("_"), container)).otherwise(F.col("base")).alias("csv_base_name"))
+    return named.crossJoin(F.broadcast(repeats)).select(
+        path, container, F.when(F.col("most") > 1, F.concat("base", F.lit("_"), container)).otherwise(F.col("base")).alias("csv_base_name"),
+    )
 
 
 def verify_counters(rows: DataFrame) -> DataFrame:

@@ -51,7 +51,10 @@ def unescape_text(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.unescape(text.escape(c("text"))).alias("unescaped"))
 
 
-_CSV = "CASE WHEN contains({0}, ',') OR contains({0}, '\"') THEN '\"' ELSE '' END || CASE WHEN contains({0}, '\"\"') THEN {0} ELSE replace({0}, '\"', '\"\"') END || CASE WHEN contains({0}, ',') OR contains({0}, '\"') THEN '\"' ELSE '' END"
+_CSV = (
+    "CASE WHEN contains({0}, ',') OR contains({0}, '\"') THEN '\"' ELSE '' END || CASE WHEN contains({0}, '\"\"') THEN {0} ELSE replace({0}, '\"', '\"\"') "
+    "END || CASE WHEN contains({0}, ',') OR contains({0}, '\"') THEN '\"' ELSE '' END"
+)
 
 
 @query(f"SELECT doc_id, {_CSV.format('text')} AS field FROM documents")
@@ -68,7 +71,10 @@ def csv_line_render(spark, d):
     return catalog.csv_lines(rows)
 
 
-_RELOADED = f"CASE WHEN contains({_ESC.format('text')}, '\"') OR contains(text, ',') THEN replace({_ESC.format('text')}, '\"\"', '\"') ELSE {_ESC.format('text')} END"
+_RELOADED = (
+    f"CASE WHEN contains({_ESC.format('text')}, '\"') OR contains(text, ',') THEN replace({_ESC.format('text')}, '\"\"', '\"') ELSE {_ESC.format('text')} "
+    "END"
+)
 
 
 @query(f"SELECT 'k' || doc_id AS key, {_RELOADED} AS source, lang AS translation, '' AS namespace FROM documents")
@@ -96,7 +102,10 @@ def reject_reasons(spark, d):
     return _words(spark, d).agg(*[F.count_if(f(c("s"))).alias(k) for k, f in predicates.REASONS.items()])
 
 
-@query(f"SELECT doc_id, n, line FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS line, unnest(l) AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE NOT {_BAD}")
+@query(
+    "SELECT doc_id, n, line FROM (SELECT doc_id, generate_subscripts(l, 1) - 1 AS n, unnest(l) AS line, unnest(l) AS s FROM (SELECT doc_id, "
+    f"string_split(text, chr(10)) AS l FROM documents)) WHERE NOT {_BAD}"
+)
 def allowed_lines(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where(~predicates.is_not_allowed(c("line"))).withColumn("n", c("n").cast("long"))
 
@@ -106,26 +115,38 @@ def is_upper_words(spark, d):
     return _words(spark, d).where(predicates.is_upper(c("s"))).select("s", predicates.is_upper_and_space(c("s")).alias("upper_space"))
 
 
-@query(f"SELECT h, length(h) = 32 AND {_m(predicates.GUID, 'h')} AND NOT {_m(predicates.ALL_NUMBER, 'h')} AND length(replace(h, left(h, 1), '')) > 0 AS valid FROM (SELECT md5(text) AS h FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents UNION ALL SELECT repeat('a', 32) FROM region)")
+@query(
+    f"SELECT h, length(h) = 32 AND {_m(predicates.GUID, 'h')} AND NOT {_m(predicates.ALL_NUMBER, 'h')} AND length(replace(h, left(h, 1), '')) > 0 AS valid "
+    "FROM (SELECT md5(text) AS h FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR) FROM documents UNION ALL SELECT repeat('a', 32) FROM region)"
+)
 def valid_hash(spark, d):
     docs = _t(spark, d, "documents")
     h = docs.select(F.md5("text").alias("h")).unionByName(docs.select(c("doc_id").cast("string").alias("h"))).unionByName(_t(spark, d, "region").select(F.repeat(F.lit("a"), 32).alias("h")))
     return h.select("h", predicates.is_valid_hash(c("h")).alias("valid"))
 
 
-@query("SELECT doc_id, k, CASE WHEN instr(k, '::') > 0 THEN split_part(k, '::', 1) ELSE '' END AS ns FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN source || '::' || doc_id || '::x' ELSE CAST(doc_id AS VARCHAR) END AS k FROM documents)")
+@query(
+    "SELECT doc_id, k, CASE WHEN instr(k, '::') > 0 THEN split_part(k, '::', 1) ELSE '' END AS ns FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN source "
+    "|| '::' || doc_id || '::x' ELSE CAST(doc_id AS VARCHAR) END AS k FROM documents)"
+)
 def namespace_split(spark, d):
     k = F.when(c("lang") == "en", F.concat_ws("::", "source", "doc_id", F.lit("x"))).otherwise(c("doc_id").cast("string"))
     return _t(spark, d, "documents").select("doc_id", k.alias("k")).select("doc_id", "k", text.namespace_of(c("k")).alias("ns"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE host || '::' || url END AS k FROM (SELECT page_id, url, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages)")
+@query(
+    "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN url ELSE host || '::' || url END AS k FROM (SELECT page_id, url, regexp_extract(url, '//([^/]*)', 1) "
+    "AS host FROM pages)"
+)
 def composite_key(spark, d):
     ns = F.when(c("page_id") % 3 == 0, "").otherwise(F.regexp_extract("url", "//([^/]*)", 1))
     return _t(spark, d, "pages").select("page_id", text.composite_key(ns, c("url")).alias("k"))
 
 
-@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || '::' || doc_id WHEN 1 THEN CAST(doc_id AS VARCHAR) ELSE lang || '::x' END AS one, CASE WHEN doc_id % 3 = 2 THEN 'x' ELSE CAST(doc_id AS VARCHAR) END AS bare FROM documents")
+@query(
+    "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN lang || '::' || doc_id WHEN 1 THEN CAST(doc_id AS VARCHAR) ELSE lang || '::x' END AS one, CASE WHEN doc_id "
+    "% 3 = 2 THEN 'x' ELSE CAST(doc_id AS VARCHAR) END AS bare FROM documents"
+)
 def actual_key(spark, d):
     k = F.when(c("doc_id") % 3 == 0, F.concat_ws("::", "lang", "lang", "doc_id")).when(c("doc_id") % 3 == 1, c("doc_id").cast("string")).otherwise(F.concat_ws("::", "lang", "lang", F.lit("x")))
     docs = _t(spark, d, "documents")
@@ -148,7 +169,9 @@ _KEYED = "SELECT doc_id AS ord, lang AS src_path, split_part(text, ' ', 1) AS ke
 
 
 def _keyed(spark, d) -> DataFrame:
-    return _t(spark, d, "documents").select(c("doc_id").alias("ord"), c("lang").alias("src_path"), F.split_part("text", F.lit(" "), F.lit(1)).alias("key"), c("text").alias("source"))
+    return _t(spark, d, "documents").select(
+        c("doc_id").alias("ord"), c("lang").alias("src_path"), F.split_part("text", F.lit(" "), F.lit(1)).alias("key"), c("text").alias("source"),
+    )
 
 
 @query(f"SELECT src_path, key FROM ({_KEYED}) GROUP BY 1, 2 HAVING count(DISTINCT source) > 1")
@@ -156,7 +179,10 @@ def conflicting_keys(spark, d):
     return catalog.conflicting_keys(_keyed(spark, d))
 
 
-@query(f"SELECT ord, src_path, key FROM (SELECT *, min(source) OVER w <> max(source) OVER w AS bad FROM ({_KEYED}) WINDOW w AS (PARTITION BY src_path, key)) WHERE bad")
+@query(
+    f"SELECT ord, src_path, key FROM (SELECT *, min(source) OVER w <> max(source) OVER w AS bad FROM ({_KEYED}) WINDOW w AS (PARTITION BY src_path, key)) "
+    "WHERE bad"
+)
 def conflict_report(spark, d):
     return catalog.conflict_report(_keyed(spark, d)).select("ord", "src_path", "key")
 
@@ -176,7 +202,10 @@ def unique_sources(spark, d):
     return catalog.unique_sources(_keyed(spark, d))
 
 
-_OLD = "SELECT 'k' || conv_id AS key, arg_min(text, turn) AS source, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS translation FROM conversations GROUP BY conv_id"
+_OLD = (
+    "SELECT 'k' || conv_id AS key, arg_min(text, turn) AS source, coalesce(arg_max(text, turn) FILTER (WHERE role = 'assistant'), '') AS translation FROM "
+    "conversations GROUP BY conv_id"
+)
 _MERGED = (
     f"SELECT coalesce(n.key, o.key) AS key, coalesce(n.source, o.source) AS source, CASE WHEN n.key IS NULL OR o.translation <> '' THEN o.translation "
     f"WHEN o.key IS NOT NULL AND n.source <> {_ESC.format('o.source')} THEN o.source ELSE '' END AS translation, CASE WHEN o.key IS NULL THEN 'new' WHEN n.key IS NULL THEN 'added' ELSE 'merged' END AS state "
@@ -186,7 +215,10 @@ _MERGED = (
 
 def _merged(spark, d) -> DataFrame:
     new = _t(spark, d, "documents").select(F.concat(F.lit("k"), c("doc_id") * 2).alias("key"), text.escape(c("text")).alias("source"), F.lit("").alias("translation"))
-    old = _t(spark, d, "conversations").select(F.concat(F.lit("k"), "conv_id").alias("key"), c("text").alias("source"), F.when(c("role") == "assistant", c("text")).otherwise("").alias("translation"), c("turn").alias("ord"))
+    old = _t(spark, d, "conversations").select(
+        F.concat(F.lit("k"), "conv_id").alias("key"), c("text").alias("source"), F.when(c("role") == "assistant", c("text")).otherwise("").alias("translation"),
+        c("turn").alias("ord"),
+    )
     return catalog.merge(new, catalog.collapse_old(old))
 
 
@@ -195,12 +227,18 @@ def merge_catalog(spark, d):
     return _merged(spark, d)
 
 
-@query(f"SELECT count(*) FILTER (WHERE state <> 'added') AS extracted, count(*) FILTER (WHERE state = 'merged') AS merged, count(*) FILTER (WHERE state = 'added') AS added, count(*) AS total FROM ({_MERGED})")
+@query(
+    "SELECT count(*) FILTER (WHERE state <> 'added') AS extracted, count(*) FILTER (WHERE state = 'merged') AS merged, count(*) FILTER (WHERE state = "
+    f"'added') AS added, count(*) AS total FROM ({_MERGED})"
+)
 def merge_counters(spark, d):
     return catalog.merge_counters(_merged(spark, d))
 
 
-@query("SELECT doc_id AS ord, lang AS namespace, CASE WHEN i.item_id IS NULL THEN 0 ELSE i.item_id + 7 END AS ns_hash, coalesce(i.item_id, 0) AS key_hash FROM documents LEFT JOIN benchmark i ON i.item_id = doc_id")
+@query(
+    "SELECT doc_id AS ord, lang AS namespace, CASE WHEN i.item_id IS NULL THEN 0 ELSE i.item_id + 7 END AS ns_hash, coalesce(i.item_id, 0) AS key_hash "
+    "FROM documents LEFT JOIN benchmark i ON i.item_id = doc_id"
+)
 def sidecar_join(spark, d):
     rows = catalog_from(_t(spark, d, "documents"), key=F.concat_ws("::", "lang", "doc_id"), namespace=c("lang"), ord=c("doc_id"))
     objects = _t(spark, d, "documents").join(_t(spark, d, "benchmark").select("item_id"), c("item_id") == c("doc_id")).select(catalog_key := F.concat_ws("::", "lang", "doc_id").alias("k"), "item_id")
@@ -210,39 +248,62 @@ def sidecar_join(spark, d):
 
 @query("SELECT lang AS src_path, 'k' || doc_id AS k, doc_id + 1 AS ns_hash, doc_id AS key_hash FROM documents")
 def sidecar_round_trip(spark, d):
-    rows = _t(spark, d, "documents").select(c("lang").alias("src_path"), F.concat(F.lit("k"), "doc_id").alias("key"), (c("doc_id") + 1).alias("ns_hash"), c("doc_id").alias("key_hash"), c("doc_id").alias("ord"))
+    rows = _t(spark, d, "documents").select(
+        c("lang").alias("src_path"), F.concat(F.lit("k"), "doc_id").alias("key"), (c("doc_id") + 1).alias("ns_hash"), c("doc_id").alias("key_hash"),
+        c("doc_id").alias("ord"),
+    )
     back = files.sidecar_json(rows)
     return back.select("src_path", F.explode(F.from_json("json", "map<string, array<bigint>>")).alias("k", "v")).select("src_path", "k", c("v")[0].alias("ns_hash"), c("v")[1].alias("key_hash"))
 
 
-@query("SELECT 'k' || doc_id AS key, text AS source FROM documents UNION ALL SELECT 'k' || item_id, text FROM (SELECT item_id * 40 AS item_id, text FROM benchmark) WHERE item_id NOT IN (SELECT doc_id FROM documents) AND trim(text) <> ''")
+@query(
+    "SELECT 'k' || doc_id AS key, text AS source FROM documents UNION ALL SELECT 'k' || item_id, text FROM (SELECT item_id * 40 AS item_id, text FROM "
+    "benchmark) WHERE item_id NOT IN (SELECT doc_id FROM documents) AND trim(text) <> ''"
+)
 def locres_anti_union(spark, d):
     a = _t(spark, d, "documents").select(F.concat(F.lit("k"), "doc_id").alias("key"), c("text").alias("source"), c("doc_id").alias("ord"))
     b = _t(spark, d, "benchmark").select(F.concat(F.lit("k"), c("item_id") * 40).alias("key"), c("text").alias("source"), c("item_id").alias("ord"))
     return catalog.union_missing(a, b).select("key", "source")
 
 
-@query("SELECT doc_id, lang FROM documents x WHERE NOT EXISTS (SELECT 1 FROM documents q WHERE q.lang = x.lang AND q.doc_id < (SELECT count(*) FROM benchmark)) OR EXISTS (SELECT 1 FROM documents q JOIN benchmark ON item_id = q.doc_id WHERE q.lang = x.lang AND q.source <> x.source)")
+@query(
+    "SELECT doc_id, lang FROM documents x WHERE NOT EXISTS (SELECT 1 FROM documents q WHERE q.lang = x.lang AND q.doc_id < (SELECT count(*) FROM "
+    "benchmark)) OR EXISTS (SELECT 1 FROM documents q JOIN benchmark ON item_id = q.doc_id WHERE q.lang = x.lang AND q.source <> x.source)"
+)
 def theta_semi(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", c("lang").alias("src_path"), c("source").alias("key"))
     right = docs.join(_t(spark, d, "benchmark").select(c("item_id").alias("doc_id")), "doc_id", "left_semi")
     return catalog.other_key_semi(docs, right).select("doc_id", c("src_path").alias("lang"))
 
 
-_ROWS = "SELECT doc_id AS ord, lang AS src_path, split_part(text, ' ', 1) AS source, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'T' || doc_id END AS translation FROM documents"
-_JOURNAL = "SELECT split_part(text, ' ', 1) AS source, arg_max('J' || doc_id, doc_id) AS j FROM documents WHERE lang = 'en' AND split_part(text, ' ', 1) <> '' GROUP BY 1"
+_ROWS = (
+    "SELECT doc_id AS ord, lang AS src_path, split_part(text, ' ', 1) AS source, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'T' || doc_id END AS translation "
+    "FROM documents"
+)
+_JOURNAL = (
+    "SELECT split_part(text, ' ', 1) AS source, arg_max('J' || doc_id, doc_id) AS j FROM documents WHERE lang = 'en' AND split_part(text, ' ', 1) <> '' "
+    "GROUP BY 1"
+)
 
 
 def _rows(spark, d) -> DataFrame:
-    return _t(spark, d, "documents").select(c("doc_id").alias("ord"), c("lang").alias("src_path"), F.split_part("text", F.lit(" "), F.lit(1)).alias("source"), F.when(c("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("T"), "doc_id")).alias("translation"))
+    return _t(spark, d, "documents").select(
+        c("doc_id").alias("ord"), c("lang").alias("src_path"), F.split_part("text", F.lit(" "), F.lit(1)).alias("source"),
+        F.when(c("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("T"), "doc_id")).alias("translation"),
+    )
 
 
 def _journal(spark, d) -> DataFrame:
-    lines = _t(spark, d, "documents").where("lang = 'en'").select(F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("\tJ"), "doc_id").alias("value"), c("doc_id").alias("ord"))
+    lines = _t(spark, d, "documents").where("lang = 'en'").select(
+        F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("\tJ"), "doc_id").alias("value"), c("doc_id").alias("ord"),
+    )
     return files.journal_rows(lines)
 
 
-@query(f"SELECT ord, src_path, r.source, CASE WHEN translation = '' THEN coalesce(j, '') ELSE translation END AS translation FROM ({_ROWS}) r LEFT JOIN ({_JOURNAL}) g ON r.source = g.source")
+@query(
+    f"SELECT ord, src_path, r.source, CASE WHEN translation = '' THEN coalesce(j, '') ELSE translation END AS translation FROM ({_ROWS}) r LEFT JOIN "
+    f"({_JOURNAL}) g ON r.source = g.source"
+)
 def journal_backfill(spark, d):
     return catalog.backfill(_rows(spark, d), _journal(spark, d))
 
@@ -252,7 +313,11 @@ def translate_apply(spark, d):
     return catalog.apply_translations(_rows(spark, d), _journal(spark, d))
 
 
-_BATCHES = f"SELECT src_path, CAST(floor((rn - 1) / 150) AS BIGINT) AS batch, count(*) AS n, string_agg(replace(source, '|||', ''), '|||' ORDER BY ord) AS payload FROM (SELECT *, row_number() OVER (PARTITION BY src_path ORDER BY ord) AS rn FROM ({_ROWS}) WHERE trim(source) <> '' AND translation = '') GROUP BY 1, 2"
+_BATCHES = (
+    "SELECT src_path, CAST(floor((rn - 1) / 150) AS BIGINT) AS batch, count(*) AS n, string_agg(replace(source, '|||', ''), '|||' ORDER BY ord) AS payload "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY src_path ORDER BY ord) AS rn FROM ({_ROWS}) WHERE trim(source) <> '' AND translation = '') GROUP BY "
+    "1, 2"
+)
 
 
 @query(_BATCHES)
@@ -260,14 +325,22 @@ def translate_batches(spark, d):
     return catalog.translation_batches(_rows(spark, d))
 
 
-@query(f"SELECT src_path, batch, n, upper(payload) AS answer FROM ({_BATCHES.replace('source, ' + chr(39) + '|||', 'hex(source), ' + chr(39) + '|||')}) WHERE n > 1")
+@query(
+    f"SELECT src_path, batch, n, upper(payload) AS answer FROM ({_BATCHES.replace('source, ' + chr(39) + '|||', 'hex(source), ' + chr(39) + '|||')}) WHERE "
+    "n > 1"
+)
 def translate_accept(spark, d):
     rows = _rows(spark, d)
     open_ = rows.where("trim(source) <> ''").withColumn("source", F.hex("source"))
-    return catalog.accepted_batches(catalog.translation_batches(open_), lambda p: F.when(F.contains(p, F.lit("|||")), F.upper(p)).otherwise(F.concat(p, F.lit("|||x")))).select("src_path", "batch", "n", "answer")
+    return catalog.accepted_batches(
+        catalog.translation_batches(open_), lambda p: F.when(F.contains(p, F.lit("|||")), F.upper(p)).otherwise(F.concat(p, F.lit("|||x"))),
+    ).select("src_path", "batch", "n", "answer")
 
 
-@query("SELECT conv_id, turn, generate_subscripts(p, 1) - 1 AS segment, trim(unnest(p)) AS t FROM (SELECT conv_id, turn, string_split(replace(text, '. ', ' ||| '), '|||') AS p FROM conversations)")
+@query(
+    "SELECT conv_id, turn, generate_subscripts(p, 1) - 1 AS segment, trim(unnest(p)) AS t FROM (SELECT conv_id, turn, string_split(replace(text, '. ', ' "
+    "||| '), '|||') AS p FROM conversations)"
+)
 def segment_split(spark, d):
     rows = _t(spark, d, "conversations").select("conv_id", "turn", F.replace("text", F.lit(". "), F.lit(" ||| ")).alias("p"))
     return catalog.split_segments(rows, "p", "conv_id", "turn").withColumn("segment", c("segment").cast("long"))
@@ -281,7 +354,11 @@ def namespace_order(spark, d):
 _FSIZE = "CASE WHEN {0} = '' THEN 4 WHEN strlen({0}) = length({0}) THEN 5 + length({0}) ELSE 6 + 2 * length({0}) END"
 
 
-@query(f"SELECT source AS src_path, doc_id AS ord, row_number() OVER w - 1 AS str_idx, CAST(coalesce(sum(z) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", z AS size FROM (SELECT *, CAST({_FSIZE.format('text')} + 8 AS BIGINT) AS z FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id)")
+@query(
+    "SELECT source AS src_path, doc_id AS ord, row_number() OVER w - 1 AS str_idx, CAST(coalesce(sum(z) OVER (PARTITION BY source ORDER BY doc_id ROWS "
+    f"BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", z AS size FROM (SELECT *, CAST({_FSIZE.format('text')} + 8 AS BIGINT) AS z "
+    "FROM documents) WINDOW w AS (PARTITION BY source ORDER BY doc_id)"
+)
 def locres_layout(spark, d):
     rows = _t(spark, d, "documents").select(c("source").alias("src_path"), c("doc_id").alias("ord"), c("text").alias("key"))
     return catalog.layout(rows).withColumn("str_idx", c("str_idx").cast("long"))
@@ -289,7 +366,8 @@ def locres_layout(spark, d):
 
 def _tables(spark, d, version: int) -> DataFrame:
     rows = _t(spark, d, "documents").select(
-        c("source").alias("src_path"), c("doc_id").alias("ord"), c("lang").alias("namespace"), F.lit(5).cast("long").alias("ns_hash"), F.concat(F.lit("ключ"), "doc_id").alias("key"), (c("doc_id") + 9).alias("key_hash"), text.string_crc32(c("text")).alias("source_crc"), c("text").alias("value")
+        c("source").alias("src_path"), c("doc_id").alias("ord"), c("lang").alias("namespace"), F.lit(5).cast("long").alias("ns_hash"),
+        F.concat(F.lit("ключ"), "doc_id").alias("key"), (c("doc_id") + 9).alias("key_hash"), text.string_crc32(c("text")).alias("source_crc"), c("text").alias("value")
     )
     return locres.encoded(rows, version=version).select(c("src_path").alias("path"), "content")
 
@@ -299,7 +377,10 @@ def locres_roundtrip(spark, d):
     return locres.decoded(_tables(spark, d, locres.ENCRYPTED)).select("path", "ns", c("ns_hash").cast("int").alias("ns_hash"), "key", "key_hash", "value")
 
 
-@query("SELECT source AS path, 'ключ' || doc_id AS key, CASE WHEN i.text <> '' THEN i.text ELSE x.text END AS value, coalesce(i.text <> '', false) AS translated FROM documents x LEFT JOIN benchmark i ON item_id = doc_id")
+@query(
+    "SELECT source AS path, 'ключ' || doc_id AS key, CASE WHEN i.text <> '' THEN i.text ELSE x.text END AS value, coalesce(i.text <> '', false) AS "
+    "translated FROM documents x LEFT JOIN benchmark i ON item_id = doc_id"
+)
 def locres_patch(spark, d):
     docs = _t(spark, d, "documents").select("doc_id", "lang")
     items = _t(spark, d, "benchmark").join(docs, c("item_id") == c("doc_id")).select(F.concat(c("lang"), F.lit("::ключ"), c("doc_id")).alias("key"), c("text").alias("value"))
@@ -320,26 +401,41 @@ def string_table_explode(spark, d):
     return files.string_tables(tables, "conv_id", "m")
 
 
-@query("WITH b AS (SELECT url, CAST(page_id AS VARCHAR) AS pid, regexp_replace(regexp_replace(replace(url, '\\', '/'), '^.*/', ''), '\\.[^.]*$', '') AS base FROM pages), m AS (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM b GROUP BY lower(base))) SELECT url AS path, pid AS container, CASE WHEN most > 1 THEN base || '_' || pid ELSE base END AS csv_base_name FROM b, m")
+@query(
+    "WITH b AS (SELECT url, CAST(page_id AS VARCHAR) AS pid, regexp_replace(regexp_replace(replace(url, '\\', '/'), '^.*/', ''), '\\.[^.]*$', '') AS base "
+    "FROM pages), m AS (SELECT max(n) AS most FROM (SELECT count(*) AS n FROM b GROUP BY lower(base))) SELECT url AS path, pid AS container, CASE WHEN "
+    "most > 1 THEN base || '_' || pid ELSE base END AS csv_base_name FROM b, m"
+)
 def basename_disambiguation(spark, d):
     return catalog.disambiguated_names(_t(spark, d, "pages").select(c("url").alias("path"), c("page_id").cast("string").alias("container")))
 
 
-@query("SELECT page_id, round(log2(t) - s / t, 6) AS entropy FROM (SELECT page_id, sum(n) AS t, sum(n * log2(n)) AS s FROM (SELECT page_id, ch, count(*) AS n FROM (SELECT page_id, unnest(string_split(html, '')) AS ch FROM pages) WHERE ch <> '' GROUP BY 1, 2) GROUP BY 1)")
+@query(
+    "SELECT page_id, round(log2(t) - s / t, 6) AS entropy FROM (SELECT page_id, sum(n) AS t, sum(n * log2(n)) AS s FROM (SELECT page_id, ch, count(*) AS n "
+    "FROM (SELECT page_id, unnest(string_split(html, '')) AS ch FROM pages) WHERE ch <> '' GROUP BY 1, 2) GROUP BY 1)"
+)
 def entropy_pages(spark, d):
     return catalog.entropy(_t(spark, d, "pages"), "page_id", "html")
 
 
-@query("SELECT page_id, strpos(html, '<body') > 0 AS has, strlen(split_part(html, '<body', 1)) AS at FROM pages WHERE strpos(html, '<body') > 0 UNION ALL SELECT page_id, false, -1 FROM pages WHERE strpos(html, '<body') = 0")
+@query(
+    "SELECT page_id, strpos(html, '<body') > 0 AS has, strlen(split_part(html, '<body', 1)) AS at FROM pages WHERE strpos(html, '<body') > 0 UNION ALL "
+    "SELECT page_id, false, -1 FROM pages WHERE strpos(html, '<body') = 0"
+)
 def byte_search(spark, d):
     at = text.byte_find(c("html").cast("binary"), b"<body")
     return _t(spark, d, "pages").select("page_id", (at >= 0).alias("has"), at.cast("long").alias("at"))
 
 
-@query("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'sound' WHEN 1 THEN 'texture' WHEN 2 THEN 'blueprint' WHEN 3 THEN 'table' ELSE 'none' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'table' ELSE 'blueprint' END AS by_path FROM pages")
+@query(
+    "SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'sound' WHEN 1 THEN 'texture' WHEN 2 THEN 'blueprint' WHEN 3 THEN 'table' ELSE 'none' END AS kind, CASE "
+    "WHEN page_id % 2 = 0 THEN 'table' ELSE 'blueprint' END AS by_path FROM pages"
+)
 def export_type_classify(spark, d):
     sign = F.element_at(F.array(*map(F.lit, ["xSoundWave", "PF_DXT5 DataTable", "TextProperty StringTable", "..DataTable", ""])), (c("page_id") % 5 + 1).cast("int"))
-    pages = _t(spark, d, "pages").withColumn("content", F.concat(sign, F.lit("|"), "html").cast("binary")).withColumn("path", F.concat(F.lit("/Game/Blueprints/"), F.when(c("page_id") % 2 == 0, "BP_x/DT_y").otherwise("/DataTables/BP_y")))
+    pages = _t(spark, d, "pages").withColumn("content", F.concat(sign, F.lit("|"), "html").cast("binary")).withColumn(
+        "path", F.concat(F.lit("/Game/Blueprints/"), F.when(c("page_id") % 2 == 0, "BP_x/DT_y").otherwise("/DataTables/BP_y")),
+    )
     return pages.select("page_id", binscan.export_kind(c("content"), F.lit("/Game/a")).alias("kind"), binscan.export_kind(c("content"), c("path")).alias("by_path"))
 
 
@@ -352,7 +448,10 @@ def _records(spark, d, kind: str) -> DataFrame:
     return _t(spark, d, "documents").select(c("doc_id").cast("string").alias("path"), one.alias("content"))
 
 
-_SCAN = f"SELECT CAST(doc_id AS VARCHAR) AS path, upper(md5(CAST(doc_id AS VARCHAR))) AS key, {_ESC.format('text')} AS source FROM documents WHERE length({_ESC.format('text')}) <> 1"
+_SCAN = (
+    f"SELECT CAST(doc_id AS VARCHAR) AS path, upper(md5(CAST(doc_id AS VARCHAR))) AS key, {_ESC.format('text')} AS source FROM documents WHERE "
+    f"length({_ESC.format('text')}) <> 1"
+)
 
 
 @query(_SCAN)

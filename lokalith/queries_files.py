@@ -111,9 +111,15 @@ def _assets(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     path = F.concat(F.lit("Game/"), F.when(kind == 2, "DataTables/").otherwise("x/"), "doc_id", F.when(kind == 0, ".uexp").otherwise(".uasset"))
     content = F.when(kind == 0, export).when(kind == 1, package).when(kind == 2, F.lit(b"")).otherwise(F.concat(F.lit(b"SoundWave"), package))
     assets = docs.select(path.alias("path"), content.alias("content"))
-    exports = docs.where(kind == 2).select(path.alias("path"), F.to_json(F.array(F.struct(F.struct(c("source").alias("Namespace"), F.concat(F.lit("T"), "doc_id").alias("Key"), line.alias("SourceString")).alias("p")))).alias("json"))
+    exports = docs.where(kind == 2).select(
+        path.alias("path"),
+        F.to_json(F.array(F.struct(F.struct(c("source").alias("Namespace"), F.concat(F.lit("T"), "doc_id").alias("Key"), line.alias("SourceString")).alias("p")))).alias("json"),
+    )
     items = _t(spark, d, "benchmark")
-    tables = items.select(F.lit("ns").alias("ns"), F.lit(1).cast("long").alias("ns_hash"), F.concat(F.lit("i"), "item_id").alias("key"), c("item_id").alias("key_hash"), c("text").alias("value"), F.lit("Game.locres").alias("path"), c("item_id").alias("ord"))
+    tables = items.select(
+        F.lit("ns").alias("ns"), F.lit(1).cast("long").alias("ns_hash"), F.concat(F.lit("i"), "item_id").alias("key"), c("item_id").alias("key_hash"),
+        c("text").alias("value"), F.lit("Game.locres").alias("path"), c("item_id").alias("ord"),
+    )
     return assets, exports, tables
 
 
@@ -155,7 +161,10 @@ def hex_codec(spark, d):
     return docs.select("doc_id", "h", text.hex_to_bytes(c("h")).cast("string").alias("back"), text.bytes_to_hex(text.to_bytes(c("lang"))).alias("low"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'it' || chr(8217) || 's' WHEN 1 THEN 'a' || chr(8212) || 'b' WHEN 2 THEN 'x' || chr(8230) || 'y' ELSE replace(text, '&', '+') END AS t FROM documents")
+@query(
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'it' || chr(8217) || 's' WHEN 1 THEN 'a' || chr(8212) || 'b' WHEN 2 THEN 'x' || chr(8230) || 'y' ELSE "
+    "replace(text, '&', '+') END AS t FROM documents"
+)
 def latin1_repair(spark, d):
     raw = F.when(c("doc_id") % 4 == 0, "it\u0019 s").when(c("doc_id") % 4 == 1, "a\u0014 \0b").when(c("doc_id") % 4 == 2, "x& y").otherwise(F.replace("text", F.lit("&"), F.lit("+")))
     return _t(spark, d, "documents").select("doc_id", text.repair_latin1(raw).alias("t"))
@@ -166,13 +175,19 @@ def quote_trim(spark, d):
     return _t(spark, d, "documents").select("doc_id", text.simplify_quotes(F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit("")), F.lit('"'))).alias("t"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'UE4_27' WHEN 1 THEN 'UE5_1' WHEN 2 THEN 'nte_' || lang ELSE 'Neverness-To Everness' END AS name, doc_id % 4 = 3 AS sealed FROM documents")
+@query(
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'UE4_27' WHEN 1 THEN 'UE5_1' WHEN 2 THEN 'nte_' || lang ELSE 'Neverness-To Everness' END AS name, doc_id % "
+    "4 = 3 AS sealed FROM documents"
+)
 def version_names(spark, d):
     v = F.when(c("doc_id") % 4 == 0, "4.27").when(c("doc_id") % 4 == 1, "UE5.1").when(c("doc_id") % 4 == 2, F.concat(F.lit("nte_"), "lang")).otherwise("Neverness-To Everness")
     return _t(spark, d, "documents").select("doc_id", text.version_name(v).alias("name"), text.asks_for_encryption(v).alias("sealed"))
 
 
-_RESOLVED = "CASE WHEN doc_id % 6 = 0 THEN 'UE4_27' WHEN doc_id % 6 = 1 THEN 'UE4_LATEST' WHEN doc_id % 3 = 2 THEN 'InfinityNikki' WHEN doc_id % 6 = 3 THEN 'UE5_3' ELSE 'UE5_LATEST' END"
+_RESOLVED = (
+    "CASE WHEN doc_id % 6 = 0 THEN 'UE4_27' WHEN doc_id % 6 = 1 THEN 'UE4_LATEST' WHEN doc_id % 3 = 2 THEN 'InfinityNikki' WHEN doc_id % 6 = 3 THEN "
+    "'UE5_3' ELSE 'UE5_LATEST' END"
+)
 
 
 @query(f"SELECT doc_id, {_RESOLVED} AS version FROM documents")
@@ -199,7 +214,10 @@ def case_predicates(spark, d):
 def row_filters(spark, d):
     s = F.when(c("doc_id") % 3 == 0, c("text")).otherwise(F.concat("text", F.lit("_x")))
     docs = _t(spark, d, "documents")
-    return docs.select("doc_id", predicates.wanted_source(c("text"), no_uppercase=True).alias("u"), predicates.wanted_source(s, no_underscore=True, no_uppercase=True).alias("kept"))
+    return docs.select(
+        "doc_id", predicates.wanted_source(c("text"), no_uppercase=True).alias("u"),
+        predicates.wanted_source(s, no_underscore=True, no_uppercase=True).alias("kept"),
+    )
 
 
 @query("SELECT lang AS src_path, CAST(doc_id AS VARCHAR) AS key, text AS source FROM documents WHERE contains(text, ' an')")
@@ -263,7 +281,9 @@ def first_extensions(spark, d):
 
 @query("SELECT doc_id, lang FROM documents WHERE contains(text, 'er') AND lang <> 'en' ORDER BY doc_id LIMIT 1")
 def first_matching(spark, d):
-    return catalog.first_matching(_t(spark, d, "documents").select("doc_id", "lang", "text"), F.contains("text", F.lit("er")) & (c("lang") != "en"), "doc_id").select("doc_id", "lang")
+    return catalog.first_matching(
+        _t(spark, d, "documents").select("doc_id", "lang", "text"), F.contains("text", F.lit("er")) & (c("lang") != "en"), "doc_id",
+    ).select("doc_id", "lang")
 
 
 @query("SELECT doc_id, lang FROM documents ORDER BY lang, doc_id LIMIT 30")
@@ -274,7 +294,8 @@ def report_preview(spark, d):
 @query("SELECT count(DISTINCT doc_id) AS processed, count(*) FILTER (WHERE doc_id % 10 = 0) AS errors FROM documents")
 def process_counters(spark, d):
     rows = _t(spark, d, "documents").select(
-        c("doc_id").cast("string").alias("src_path"), c("doc_id").alias("ord"), F.lit("").alias("namespace"), F.lit(0).cast("long").alias("ns_hash"), F.lit("k").alias("key"), F.lit(0).cast("long").alias("key_hash"),
+        c("doc_id").cast("string").alias("src_path"), c("doc_id").alias("ord"), F.lit("").alias("namespace"), F.lit(0).cast("long").alias("ns_hash"),
+        F.lit("k").alias("key"), F.lit(0).cast("long").alias("key_hash"),
         F.lit(1).cast("long").alias("source_crc"), c("lang").alias("value"),
     )
     made = locres.encoded(rows).select(c("src_path").alias("path"), "content")
@@ -290,7 +311,10 @@ def csv_table_format(spark, d):
     return files.catalog_lines(rows, table=True, banner="# start", footer="# end", plain_translation=True).select("line")
 
 
-@query(f"SELECT '[url][key][hash],source,Translation' AS line UNION ALL SELECT '[u][' || doc_id || '][h],' || {_CSV.format(_ESC.format('text'))} || ',' FROM documents")
+@query(
+    f"SELECT '[url][key][hash],source,Translation' AS line UNION ALL SELECT '[u][' || doc_id || '][h],' || {_CSV.format(_ESC.format('text'))} || ',' FROM "
+    "documents"
+)
 def csv_header_variant(spark, d):
     key = text.decorated_key(c("doc_id").cast("string"), F.lit("h"), F.lit("u"))
     rows = _t(spark, d, "documents").select(key.alias("key"), text.escape(c("text")).alias("source"), F.lit(None).cast("string").alias("translation"))
@@ -301,7 +325,10 @@ def csv_header_variant(spark, d):
 
 @query(f"SELECT 'f' || lang AS csv_base_name, source || '::' || doc_id || ',' || {_CSV.format(_ESC.format('text'))} || ',' AS line FROM documents")
 def csv_folder_sink(spark, d):
-    rows = _t(spark, d, "documents").select(F.concat(F.lit("f"), "lang").alias("csv_base_name"), F.concat_ws("::", "source", "doc_id").alias("key"), text.escape(c("text")).alias("source"), F.lit("").alias("translation"))
+    rows = _t(spark, d, "documents").select(
+        F.concat(F.lit("f"), "lang").alias("csv_base_name"), F.concat_ws("::", "source", "doc_id").alias("key"), text.escape(c("text")).alias("source"),
+        F.lit("").alias("translation"),
+    )
     path = fresh_path(spark, "folder")
     files.write_catalog_folder(rows, path)
     return spark.read.text(path).select("csv_base_name", c("value").alias("line"))
@@ -329,8 +356,10 @@ def content_manifest(spark, d):
 def _written(spark, d, version: int, number: int | None = None) -> DataFrame:
     """Documents as catalog rows, keys with their namespace in front twice, written as files and read back."""
     rows = catalog_from(
-        _t(spark, d, "documents"), key=F.when(c("doc_id") % 9 == 0, F.concat("lang", F.lit("::"))).otherwise(F.concat_ws("::", "lang", "lang", F.concat(F.lit("ключ"), "doc_id"))), namespace=c("lang"),
-        source=text.escape(F.coalesce("text", F.lit(""))), translation=F.when(c("doc_id") % 2 == 0, "done").otherwise(""), ns_hash=F.lit(7), key_hash=c("doc_id") + 1, src_path=F.concat(F.lit("out/f"), "source", F.lit(".csv")), ord=c("doc_id"),
+        _t(spark, d, "documents"),
+        key=F.when(c("doc_id") % 9 == 0, F.concat("lang", F.lit("::"))).otherwise(F.concat_ws("::", "lang", "lang", F.concat(F.lit("ключ"), "doc_id"))), namespace=c("lang"),
+        source=text.escape(F.coalesce("text", F.lit(""))), translation=F.when(c("doc_id") % 2 == 0, "done").otherwise(""), ns_hash=F.lit(7),
+        key_hash=c("doc_id") + 1, src_path=F.concat(F.lit("out/f"), "source", F.lit(".csv")), ord=c("doc_id"),
     )
     path = fresh_path(spark, "tables")
     sealed = {"key": F.lit(_KEY_BYTES), "mark": MARK} if version == locres.ENCRYPTED else {}
@@ -355,7 +384,8 @@ def locres_write_encrypted(spark, d):
 
 def _template(spark, d) -> DataFrame:
     rows = _t(spark, d, "documents").select(
-        c("source").alias("src_path"), c("doc_id").alias("ord"), F.lit("ns").alias("namespace"), F.lit(7).cast("long").alias("ns_hash"), F.concat(F.lit("k"), "doc_id").alias("key"), c("doc_id").alias("key_hash"),
+        c("source").alias("src_path"), c("doc_id").alias("ord"), F.lit("ns").alias("namespace"), F.lit(7).cast("long").alias("ns_hash"),
+        F.concat(F.lit("k"), "doc_id").alias("key"), c("doc_id").alias("key_hash"),
         F.lit(3).cast("long").alias("source_crc"), text.encrypt_value(c("text"), F.lit(_KEY_BYTES), MARK).alias("value"),
     )
     return locres.encoded(rows, version=locres.ENCRYPTED).select(c("src_path").alias("path"), "content")
@@ -365,11 +395,16 @@ def _patches(spark, d) -> DataFrame:
     """A catalog with repeated keys: every item, then some items once more with a translation."""
     items = _t(spark, d, "benchmark")
     first = items.select(F.concat(F.lit("ns::k"), "item_id").alias("key"), text.escape(c("text")).alias("source"), F.lit(" ").alias("translation"), c("item_id").alias("ord"))
-    again = items.where("item_id % 3 = 0").select(F.concat(F.lit("ns::k"), "item_id").alias("key"), F.lit("x").alias("source"), F.lit("again").alias("translation"), (c("item_id") + 10**6).alias("ord"))
+    again = items.where("item_id % 3 = 0").select(
+        F.concat(F.lit("ns::k"), "item_id").alias("key"), F.lit("x").alias("source"), F.lit("again").alias("translation"), (c("item_id") + 10**6).alias("ord"),
+    )
     return first.unionByName(again)
 
 
-_NEW = f"CASE WHEN item_id IS NULL OR (item_id % 3 <> 0 AND trim(i.text) = '') THEN x.text WHEN item_id % 3 = 0 THEN 'again' ELSE {_UNESC.format(_ESC.format('i.text'))} END"
+_NEW = (
+    "CASE WHEN item_id IS NULL OR (item_id % 3 <> 0 AND trim(i.text) = '') THEN x.text WHEN item_id % 3 = 0 THEN 'again' ELSE "
+    f"{_UNESC.format(_ESC.format('i.text'))} END"
+)
 
 
 @query(f"SELECT x.source AS path, 'k' || doc_id AS key, {_NEW} AS value FROM documents x LEFT JOIN benchmark i ON item_id = doc_id")
@@ -380,15 +415,22 @@ def locres_patch_bytes(spark, d):
     return locres.decoded(made).select("path", "key", text.decrypt_value(c("value"), key, MARK).alias("value"))
 
 
-@query("SELECT count(*) FILTER (WHERE item_id IS NOT NULL AND (item_id % 3 = 0 OR trim(i.text) <> '')) AS translated, count(*) FILTER (WHERE item_id IS NULL OR (item_id % 3 <> 0 AND trim(i.text) = '')) AS kept, count(*) AS total FROM documents x LEFT JOIN benchmark i ON item_id = doc_id")
+@query(
+    "SELECT count(*) FILTER (WHERE item_id IS NOT NULL AND (item_id % 3 = 0 OR trim(i.text) <> '')) AS translated, count(*) FILTER (WHERE item_id IS NULL "
+    "OR (item_id % 3 <> 0 AND trim(i.text) = '')) AS kept, count(*) AS total FROM documents x LEFT JOIN benchmark i ON item_id = doc_id"
+)
 def patch_counters(spark, d):
     return catalog.patch_counters(locres.patched_strings(_template(spark, d), _patches(spark, d), F.lit(_KEY_BYTES), MARK))
 
 
-@query("SELECT source AS path, 1 AS namespaces, count(*) AS keys, count(*) FILTER (WHERE text <> '') AS filled, true AS consistent FROM documents GROUP BY source")
+@query(
+    "SELECT source AS path, 1 AS namespaces, count(*) AS keys, count(*) FILTER (WHERE text <> '') AS filled, true AS consistent FROM documents GROUP BY "
+    "source"
+)
 def locres_inspect(spark, d):
     rows = _t(spark, d, "documents").select(
-        c("source").alias("src_path"), c("doc_id").alias("ord"), F.lit("ns").alias("namespace"), F.lit(7).cast("long").alias("ns_hash"), F.concat(F.lit("k"), "doc_id").alias("key"), c("doc_id").alias("key_hash"),
+        c("source").alias("src_path"), c("doc_id").alias("ord"), F.lit("ns").alias("namespace"), F.lit(7).cast("long").alias("ns_hash"),
+        F.concat(F.lit("k"), "doc_id").alias("key"), c("doc_id").alias("key_hash"),
         F.lit(3).cast("long").alias("source_crc"), c("text").alias("value"),
     )
     return locres.inspected(locres.encoded(rows).select(c("src_path").alias("path"), "content")).select("path", "namespaces", "keys", "filled", "consistent")
@@ -398,7 +440,8 @@ def locres_inspect(spark, d):
 def locres_grouped_scan(spark, d):
     """Grouped scan without hashes: base names are distinct here, so none gets its container."""
     rows = _t(spark, d, "documents").select(
-        F.concat(F.lit("x/a"), "source", F.lit(".locres")).alias("src_path"), c("doc_id").alias("ord"), F.lit("ns").alias("namespace"), F.lit(0).cast("long").alias("ns_hash"), F.concat(F.lit("k"), "doc_id").alias("key"),
+        F.concat(F.lit("x/a"), "source", F.lit(".locres")).alias("src_path"), c("doc_id").alias("ord"), F.lit("ns").alias("namespace"),
+        F.lit(0).cast("long").alias("ns_hash"), F.concat(F.lit("k"), "doc_id").alias("key"),
         F.lit(0).cast("long").alias("key_hash"), F.lit(3).cast("long").alias("source_crc"), c("text").alias("value"),
     )
     tables = locres.encoded(rows).select(c("src_path").alias("path"), F.lit("p1").alias("container"), "content")
@@ -425,7 +468,8 @@ def translate_resume(spark, d):
     """
     t = F.translate("text", "|", "/")
     rows = _t(spark, d, "documents").select(
-        c("doc_id").alias("ord"), c("lang").alias("src_path"), F.when(c("doc_id") % 5 == 0, F.concat(t, "doc_id")).otherwise(t).alias("source"), F.when(c("doc_id") % 5 == 0, "T").otherwise("").alias("translation")
+        c("doc_id").alias("ord"), c("lang").alias("src_path"), F.when(c("doc_id") % 5 == 0, F.concat(t, "doc_id")).otherwise(t).alias("source"),
+        F.when(c("doc_id") % 5 == 0, "T").otherwise("").alias("translation")
     )
     journal = fresh_path(spark, "journal")
 

@@ -193,7 +193,10 @@ def table_rows(rows: DataFrame, version: int = COMPACT, key: Column | None = Non
     return hashed.withColumn("value", text.encrypt_value(F.col("value"), key, mark))
 
 
-def write_locres(rows: DataFrame, target: str, group: str = "src_path", version: int = COMPACT, number: int | None = None, key: Column | None = None, mark: str | None = None) -> DataFrame:
+def write_locres(
+    rows: DataFrame, target: str, group: str = "src_path", version: int = COMPACT, number: int | None = None, key: Column | None = None,
+    mark: str | None = None,
+) -> DataFrame:
     """Writes one ``<base name>.locres`` for each group below ``target``: ``name, bytes``, lazily."""
     files = encoded(table_rows(rows, version, key, mark), group, version, number)
     return dump(files.select(F.concat(text.base_name(F.col(group)), F.lit(".locres")).alias("name"), "content"), target)
@@ -232,7 +235,10 @@ def patched_strings(files: DataFrame, catalog: DataFrame, key: Column, mark: str
     new = usable.groupBy("c_key").agg(F.max_by("t", "ord").alias("t")).select("c_key", text.unescape(F.col("t")).alias("t"))
     named = table_strings(files).join(string_keys(decoded(files)), ["path", "str_idx"], "left").withColumn("c_key", text.composite_key(F.col("ns"), F.col("key")))
     joined = named.join(new, "c_key", "left").withColumn("translated", F.coalesce(F.col("t") != "", F.lit(False)))
-    return joined.select("path", "str_idx", F.col("c_key").alias("key"), F.when(F.col("translated"), F.col("t")).otherwise(text.decrypt_value(F.col("raw"), key, mark)).alias("value"), "translated")
+    return joined.select(
+        "path", "str_idx", F.col("c_key").alias("key"),
+        F.when(F.col("translated"), F.col("t")).otherwise(text.decrypt_value(F.col("raw"), key, mark)).alias("value"), "translated",
+    )
 
 
 def patch_files(files: DataFrame, catalog: DataFrame, key: Column, mark: str) -> DataFrame:
@@ -262,7 +268,10 @@ def patched(entries: DataFrame, translations: DataFrame) -> DataFrame:
 def inspect(data: bytes) -> dict:
     """Diagnostics: header, counts, and whether the key section ends where the strings begin."""
     head, entries = decode(data)
-    return head | {"namespaces": len({e[0] for e in entries}), "keys": len(entries), "filled": sum(bool(e[6]) for e in entries), "consistent": head["keys_end"] == head["offset"] and head["end"] == len(data)}
+    return head | {
+        "namespaces": len({e[0] for e in entries}), "keys": len(entries), "filled": sum(bool(e[6]) for e in entries),
+        "consistent": head["keys_end"] == head["offset"] and head["end"] == len(data),
+    }
 
 
 def inspected(files: DataFrame) -> DataFrame:

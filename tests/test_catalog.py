@@ -65,7 +65,10 @@ def test_text_functions(spark):
     assert df.where(text.escape(F.col("s")) != F.col("e")).count() == 0
     csv = spark.createDataFrame([("a,b", '"a,b"'), ('say "x"', '"say ""x"""'), ('say ""x""', '"say ""x"""')], "s string, e string")
     assert csv.where(text.csv_field(F.col("s")) != F.col("e")).count() == 0
-    keys = spark.createDataFrame([("N", "N::N::k", "k", "N::k"), ("", "k", "k", "k"), ("a\\Eb", "a\\Eb::k", "k", "k"), ("N", "M::k", "M::k", "M::k")], "n string, k string, bare string, one string")
+    keys = spark.createDataFrame(
+        [("N", "N::N::k", "k", "N::k"), ("", "k", "k", "k"), ("a\\Eb", "a\\Eb::k", "k", "k"), ("N", "M::k", "M::k", "M::k")],
+        "n string, k string, bare string, one string",
+    )
     got = keys.select("bare", text.actual_key(F.col("n"), F.col("k")).alias("b"), "one", text.without_one_prefix(F.col("n"), F.col("k")).alias("o")).collect()
     assert all(r["bare"] == r["b"] and r["one"] == r["o"] for r in got)
     crc = spark.createDataFrame([("Alternates between A and B outputs, starting with A",), ("😀x",)], "s string").select("s", text.string_crc32(F.col("s")).alias("crc")).collect()
@@ -75,15 +78,23 @@ def test_text_functions(spark):
 def test_value_cipher(spark):
     key = F.lit(bytes(range(32)))
     df = spark.createDataFrame([("plain",), ("",), ("äöü 😀" * 9,), ("exactly 11",)], "s string")
-    done = df.select("s", text.decrypt_value(text.encrypt_value(F.col("s"), key, "|end|"), key, "|end|").alias("back"), text.decrypt_value(F.lit("no cipher"), key, "|end|").alias("bad"))
+    done = df.select(
+        "s", text.decrypt_value(text.encrypt_value(F.col("s"), key, "|end|"), key, "|end|").alias("back"),
+        text.decrypt_value(F.lit("no cipher"), key, "|end|").alias("bad"),
+    )
     assert all(r["s"] == r["back"] and r["bad"] == "" for r in done.collect())
 
 
 def test_merge_rules(spark):
     new = spark.createDataFrame([("1", "new", ""), ("2", "s", ""), ("3", "s", ""), ("5", "n", "")], "key string, source string, translation string")
-    old = spark.createDataFrame([("1", "old", "", 1), ("2", "s", "t", 2), ("3", "s", "", 3), ("4", "only", "x", 4), ("2", "s", "", 5)], "key string, source string, translation string, ord int")
+    old = spark.createDataFrame(
+        [("1", "old", "", 1), ("2", "s", "t", 2), ("3", "s", "", 3), ("4", "only", "x", 4), ("2", "s", "", 5)],
+        "key string, source string, translation string, ord int",
+    )
     merged = catalog.merge(new, catalog.collapse_old(old))
-    assert sorted(map(tuple, merged.collect())) == [("1", "new", "old", "merged"), ("2", "s", "t", "merged"), ("3", "s", "", "merged"), ("4", "only", "x", "added"), ("5", "n", "", "new")]
+    assert sorted(map(tuple, merged.collect())) == [
+        ("1", "new", "old", "merged"), ("2", "s", "t", "merged"), ("3", "s", "", "merged"), ("4", "only", "x", "added"), ("5", "n", "", "new"),
+    ]
     assert tuple(catalog.merge_counters(merged).head()) == (4, 3, 1, 5)
 
 
@@ -260,7 +271,10 @@ def test_table_with_version_number_decodes():
 
 
 def test_golden_table_through_dataframes(spark, tmp_path):
-    strings = [("FED912BD4D41A7463FFD82BBE165BDE2", 'Allows for opening and closing a ""gate"" to control the execution flow.'), ("FB19F4DC4B50C3CC96755DBA24440843", "Alternates between A and B outputs, starting with A")]
+    strings = [
+        ("FED912BD4D41A7463FFD82BBE165BDE2", 'Allows for opening and closing a ""gate"" to control the execution flow.'),
+        ("FB19F4DC4B50C3CC96755DBA24440843", "Alternates between A and B outputs, starting with A"),
+    ]
     rows = rows_of(spark, [("x/golden.csv", n, k, v, "") for n, (k, v) in enumerate(strings)])
     written = locres.write_locres(rows, str(tmp_path / "out")).collect()
     assert [tuple(r) for r in written] == [("golden.locres", 262)] and (tmp_path / "out" / "golden.locres").read_bytes() == GOLDEN
@@ -271,7 +285,10 @@ def test_patch_keeps_the_template(spark):
     rows = rows_of(spark, [("f", n, k, v, "ns") for n, (k, v) in enumerate((("ns::a", "one"), ("b", "two"), ("c", "three")))])
     made = locres.encoded(locres.table_rows(rows, locres.ENCRYPTED, key, mark), version=locres.ENCRYPTED).select(F.col("src_path").alias("path"), "content")
     template = bytes(made.head()["content"])
-    catalog_rows = spark.createDataFrame([("ns::a", "x", "eins", 1), ("ns::a", "x", "uno", 2), ("ns::b", "zwei", " ", 3), ("ns::c", "", "", 4)], "key string, source string, translation string, ord int")
+    catalog_rows = spark.createDataFrame(
+        [("ns::a", "x", "eins", 1), ("ns::a", "x", "uno", 2), ("ns::b", "zwei", " ", 3), ("ns::c", "", "", 4)],
+        "key string, source string, translation string, ord int",
+    )
     frame = spark.createDataFrame([("f", bytearray(template))], "path string, content binary")
     patched = bytes(locres.patch_files(frame, catalog_rows, key, mark).head()["content"])
     at = locres.header_of(template)["offset"]
