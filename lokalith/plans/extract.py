@@ -38,19 +38,20 @@ def asset_paths(listing: DataFrame, path: str = "path", part: str = "", all_fold
     return listing.where(keep)
 
 
+def container_of(source: str) -> Column:
+    """The folder a file was unpacked to, directly below ``source``; '' where it lies in ``source`` itself."""
+    plain = "/" + source.rstrip("/").split(":", 1)[-1].lstrip("/")
+    return F.regexp_extract("path", rf"\Q{plain}\E/+([^/]+)/", 1)
+
+
 def read_assets(spark, path: str, **options) -> DataFrame:
     """``path, container, content`` of the assets below ``path``; extensions are matched before any byte is read.
 
-    ``container`` is the folder a file was unpacked to, directly below ``path``; one virtual path may come from several.
+    One virtual path may come from several containers.
     """
     glob = "*.{" + ",".join("".join(f"[{x.lower()}{x.upper()}]" for x in e[1:]) for e in ASSETS) + "}"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    inside = F.regexp_extract("path", r"^" + _quoted(path.rstrip("/").removeprefix("file:").replace("//", "/")) + r"/+([^/]+)/", 1)
-    return asset_paths(found, **options).select("path", inside.alias("container"), "content")
-
-
-def _quoted(path: str) -> str:
-    return r"(?:[a-z]+:/*)?\Q/" + path.lstrip("/") + r"\E"
+    return asset_paths(found, **options).select("path", container_of(path).alias("container"), "content")
 
 
 def asset_kind(path: Column, content: Column) -> Column:

@@ -22,11 +22,11 @@ def csv_cells(line: Column) -> Column:
     return F.transform(cells, lambda c: F.when(c.startswith('"') & (F.length(c) > 1), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
-def load_catalog(lines: DataFrame, column: str = "value") -> DataFrame:
-    """``key, source, translation, namespace``; header lines (third cell ``Translation``) are skipped, short lines padded."""
-    cells = lines.select(csv_cells(F.col(column)).alias("c"))
+def load_catalog(lines: DataFrame, column: str = "value", *keep: str) -> DataFrame:
+    """``keep..., key, source, translation, namespace``; header lines (third cell ``Translation``) are skipped, short lines padded."""
+    cells = lines.select(*keep, csv_cells(F.col(column)).alias("c"))
     cell = lambda n: F.coalesce(F.get("c", F.lit(n)), F.lit(""))
-    rows = cells.select(cell(0).alias("key"), cell(1).alias("source"), cell(2).alias("translation")).where("translation <> 'Translation'")
+    rows = cells.select(*keep, cell(0).alias("key"), cell(1).alias("source"), cell(2).alias("translation")).where("translation <> 'Translation'")
     return rows.withColumn("namespace", text.namespace_of(F.col("key")))
 
 

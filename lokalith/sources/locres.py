@@ -293,13 +293,14 @@ def inspected(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def grouped(files: DataFrame) -> DataFrame:
-    """Entries with a value of ``files(path, container, content)``, with ``csv_base_name`` of their file.
+def grouped(files: DataFrame, keep_blank: bool = False) -> DataFrame:
+    """Entries of ``files(path, container, content)``, with ``csv_base_name`` of their file; without a value only if ``keep_blank``.
 
     Names are told apart before any table is decoded: where two base names are equal, all get their container.
     """
     named = disambiguated_names(files.select("path", "container").distinct()).withColumnRenamed("path", "n_path").withColumnRenamed("container", "n_container")
-    entries = decoded(files.select(F.to_json(F.struct("path", "container")).alias("path"), "content")).where("error is null and value <> ''")
+    entries = decoded(files.select(F.to_json(F.struct("path", "container")).alias("path"), "content")).where("error is null")
+    entries = entries if keep_blank else entries.where("value <> ''")
     origin = F.from_json("path", "path string, container string")
     told = entries.withColumn("o", origin).withColumn("path", F.col("o.path")).withColumn("container", F.col("o.container")).drop("o", "error")
     return told.join(F.broadcast(named), (F.col("path") == F.col("n_path")) & F.col("container").eqNullSafe(F.col("n_container"))).drop("n_path", "n_container")

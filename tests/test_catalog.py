@@ -320,3 +320,35 @@ def test_grouped_names_get_their_container(spark):
     raw = locres.encode([("", 0, "k", 0, 1, "v")])
     frame = spark.createDataFrame([("x/Game.locres", "p1", bytearray(raw)), ("y/game.locres", "p2", bytearray(raw))], "path string, container string, content binary")
     assert sorted((r["csv_base_name"], r["container"], r["key"]) for r in locres.grouped(frame).collect()) == [("Game_p1", "p1", "k"), ("game_p2", "p2", "k")]
+
+
+def test_command_line(spark, tmp_path):
+    """Assets and tables to a catalog, translated by hand, merged again, encoded, and patched into an encrypted template."""
+    from lokalith.__main__ import run
+
+    digest = b"D41D8CD98F00B204E9800998ECF8427E"
+    (tmp_path / "in" / "p1").mkdir(parents=True)
+    (tmp_path / "in" / "p1" / "a.uexp").write_bytes(digest + b"\0" + struct.pack("<i", 10) + b"asset txt\0")
+    raw = locres.encode([("ns", 5, "k1", 6, 1, "table text"), ("ns", 5, "k2", 7, 1, "None"), ("ns", 5, "k3", 8, 1, "")], locres.ENCRYPTED)
+    (tmp_path / "in" / "p1" / "Game.locres").write_bytes(raw)
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    assert run(spark, ["extract", source, target]) == {"extracted": 2, "merged": 0, "added": 0, "total": 2}
+    rows = {r["key"]: (r["source"], r["translation"]) for r in files.read_catalog(spark, target).collect()}
+    assert rows == {digest.decode(): ("asset txt", ""), "ns::k1": ("table text", "")}
+    done = spark.createDataFrame([("ns::k1", "table text", "Tisch"), ("gone", "old", "alt")], "key string, source string, translation string")
+    files.write_catalog(done, target)
+    assert run(spark, ["extract", source, target, "--path", "GAME"]) == {"extracted": 1, "merged": 1, "added": 1, "total": 2}
+    assert run(spark, ["encode", target, str(tmp_path / "made"), "--number", "1"]) == {"namespaces": 2, "entries": 2, "filled": 2}
+    back = {(r["ns"], r["key"]): r["value"] for r in locres.read_locres(spark, str(tmp_path / "made")).collect()}
+    assert back == {("ns", "k1"): "Tisch", ("", "gone"): "alt"}
+    sealed = ["--encrypted", "--key", "00" * 32, "--mark", "|end|"]
+    run(spark, ["encode", target, str(tmp_path / "sealed"), *sealed])
+    stored = {(r["ns"], r["key"]): (r["ns_hash"], r["key_hash"]) for r in locres.read_locres(spark, str(tmp_path / "sealed")).collect()}
+    assert stored["ns", "k1"] == (5, 6) and stored["", "gone"] == (0, city64("gone".encode("utf-16-le")) >> 32)
+    files.write_catalog(spark.createDataFrame([("ns::k1", "x", "neu")], "key string, source string, translation string"), str(tmp_path / "more"))
+    assert run(spark, ["patch", str(tmp_path / "sealed" / "out.locres"), str(tmp_path / "more"), str(tmp_path / "patched"), *sealed[1:]]) == {"translated": 1, "kept": 1, "total": 2}
+    assert (tmp_path / "patched" / "out.locres").exists()
+    assert run(spark, ["tables", source, str(tmp_path / "folder")]) == {"extracted": 3, "merged": 0, "added": 0, "total": 3}
+    assert run(spark, ["tables", source, str(tmp_path / "folder")]) == {"extracted": 3, "merged": 3, "added": 0, "total": 3}
+    with pytest.raises(SystemExit):
+        run(spark, ["patch", "a", "b", "c"])
