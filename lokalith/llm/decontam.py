@@ -44,10 +44,13 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _blocks(small: DataFrame, key: str, size: Column) -> list[DataFrame]:
-    """``small`` in parts by hash of ``key``, each expected to hold at most half of BLOCK_BYTES."""
-    total = small.agg(F.sum(size)).head()[0] or 0
-    n = 1 + 2 * total // BLOCK_BYTES
-    return [small.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) if n > 1 else small for k in range(n)]
+    """``small`` in parts by hash of ``key``, none of more than BLOCK_BYTES unless a single row is."""
+    told = small.agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("rows"), F.max(size).alias("most")).head()
+    n = 1 + 2 * (told["bytes"] or 0) // BLOCK_BYTES
+    part = lambda n: F.pmod(F.xxhash64(key), F.lit(n))
+    while 1 < n < told["rows"] and (small.groupBy(part(n)).agg(F.sum(size).alias("b")).agg(F.max("b")).head()[0] or 0) > max(BLOCK_BYTES, told["most"]):
+        n *= 2
+    return [small.where(part(n) == k) if n > 1 else small for k in range(n)]
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
