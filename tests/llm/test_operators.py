@@ -415,10 +415,24 @@ def test_id_file_random_access(docs):
         assert file.slice(a, min(len(ids), a + 200)).tolist() == ids[a : a + 200].tolist()
 
 
-def test_toxicity_held_out(spark, edge, none):
-    """Precision and recall on the held-out fold, overall and by language, and scores against a plain scorer."""
+def plain_toxicity(model, text):
+    """Gain and share by one-shot compressions of every window with either dictionary."""
     import zstandard as z
 
+    toxic, ordinary, least, allowance, steps, shares = model
+
+    def size(raw, window):
+        settings = z.ZstdCompressionParameters(**toxicity.SETTINGS, min_match=least, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=settings).compress(window))
+
+    ws = re.sub(r"[\W_]+", " ", (text or "").lower()).split()
+    windows = [toxicity.CARRIER + b" " + " ".join(ws[k : k + toxicity.WINDOW]).encode() + b" " for k in range(0, len(ws), toxicity.WINDOW)]
+    gain = round(10 * (sum(size(ordinary, w) - size(toxic, w) for w in windows) - allowance * len(ws)))
+    return gain, max((s for g, s in zip(steps, shares) if g <= gain), default=shares[0])
+
+
+def test_toxicity_held_out(spark, edge, none):
+    """Precision and recall on the held-out fold, overall and by language, and scores against a plain scorer."""
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     model = toxicity.learn(docs, labels, fold_of("doc_id") != 2)
@@ -430,17 +444,8 @@ def test_toxicity_held_out(spark, edge, none):
     total, hits = Counter(r["lang"] for r in rows.values() if r["toxic"]), Counter(rows[d]["lang"] for d in flagged if rows[d]["toxic"])
     recall = {lang: hits[lang] / n for lang, n in total.items()}
     assert set(recall) == {"en", "de", "fr", "es"} and min(recall.values()) >= 0.8 and sum(hits.values()) >= 0.85 * sum(total.values()), recall
-    toxic, ordinary, least, allowance, steps, shares = model
-
-    def size(raw, window):
-        settings = z.ZstdCompressionParameters(**toxicity.SETTINGS, min_match=least, write_content_size=False, write_checksum=False, write_dict_id=False)
-        return len(z.ZstdCompressor(dict_data=z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT), compression_params=settings).compress(window))
-
     for d in sorted(rows)[:40]:
-        ws = re.sub(r"[\W_]+", " ", rows[d]["text"].lower()).split()
-        windows = [toxicity.CARRIER + b" " + " ".join(ws[k : k + toxicity.WINDOW]).encode() + b" " for k in range(0, len(ws), toxicity.WINDOW)]
-        gain = round(10 * (sum(size(ordinary, w) - size(toxic, w) for w in windows) - allowance * len(ws)))
-        share = max((s for g, s in zip(steps, shares) if g <= gain), default=shares[0])
+        gain, share = plain_toxicity(model, rows[d]["text"])
         assert (found[d]["gain"], found[d]["score"], found[d]["predicted"]) == (gain, share, int(share >= 0.3))
     kept = toxicity.drop_toxic(held, model)
     assert kept.columns == held.columns and {r["doc_id"] for r in kept.collect()} == set(rows) - set(flagged)
