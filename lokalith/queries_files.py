@@ -18,6 +18,7 @@ from lokalith.registry import query
 from lokalith.registry import table as _t
 from lokalith.schema import catalog_from
 from lokalith.sources import binscan, files, locres
+from lokalith.streaming.incremental import merge_stream
 from lokalith.workspace import fresh_path
 
 c = F.col
@@ -485,6 +486,47 @@ def translate_resume(spark, d):
     return translate.translate(rows, answer, journal, size=20, parallel=4)
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, upper(md5(CAST(doc_id AS VARCHAR))) AS key, 'it' || chr(8217) || 's ' || lang || chr(8212) AS source FROM documents")
+def encoding_choice(spark, d):
+    """Package texts with a NUL are read byte for byte, without their first byte, and repaired."""
+    key = F.upper(F.md5(c("doc_id").cast("string"))).cast("binary")
+    body = F.concat(F.lit(b"?it\x19 s "), c("lang").cast("binary"), F.lit(b"\0\x14 "))
+    content = F.concat(F.lit(b"\x29\x01"), body, F.lit(b"\x00\x1f"), key)
+    return binscan.scan(_t(spark, d, "documents").select(c("doc_id").cast("string").alias("path"), content.alias("content")), "package").select("path", "key", "source")
+
+
+@query(
+    f"WITH l AS (SELECT source || '::' || doc_id || ',' || {_CSV.format(_ESC.format('text'))} || ',' AS line, source AS sort_key FROM documents), "
+    "h AS (SELECT 0 AS place, '' AS sort_key, 'key,source,Translation' AS line UNION ALL SELECT 1, sort_key, line FROM l) "
+    "SELECT row_number() OVER (ORDER BY place, sort_key, line) - 1 AS n, line FROM h"
+)
+def csv_sorted_sink(spark, d):
+    """The lines of a written catalog with their place in it, by the numbers of the part files and the lines in each."""
+    rows = _t(spark, d, "documents").select(F.concat_ws("::", "source", "doc_id").alias("key"), text.escape(c("text")).alias("source"), F.lit("").alias("translation"))
+    path = fresh_path(spark, "sorted")
+    files.write_catalog(rows, path)
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    lines = spark.read.text(path).select(F.lit("all").alias("file"), c("value").alias("line"), (part * (1 << 40) + F.monotonically_increasing_id() % (1 << 33)).alias("ord"))
+    return catalog.running(lines, "file").select(c("index").alias("n"), "line")
+
+
+@query(
+    "SELECT 'k' || doc_id AS key, CASE WHEN doc_id % 3 = 0 THEN t || '!' ELSE t END AS source, CASE WHEN doc_id % 2 = 0 THEN 'T' WHEN doc_id % 3 = 0 THEN t ELSE '' END AS translation "
+    f"FROM (SELECT doc_id, {_ESC.format('text')} AS t FROM documents) UNION ALL SELECT 'new' || item_id, 'n', '' FROM benchmark"
+)
+def incremental_merge(spark, d):
+    """A stream of two batches folded into a stored catalog: changed texts, kept translations, new keys."""
+    docs = _t(spark, d, "documents").select("doc_id", F.concat(F.lit("k"), "doc_id").alias("key"), text.escape(c("text")).alias("source"))
+    first = docs.select("key", "source", F.when(c("doc_id") % 2 == 0, "T").otherwise("").alias("translation"))
+    changed = docs.where("doc_id % 3 = 0").select("key", F.concat("source", F.lit("!")).alias("source"), F.lit("").alias("translation"))
+    more = _t(spark, d, "benchmark").select(F.concat(F.lit("new"), "item_id").alias("key"), F.lit("n").alias("source"), F.lit("").alias("translation"))
+    inbox, store, checkpoint = (fresh_path(spark, name) for name in ("inbox", "store", "checkpoint"))
+    for batch in (first, changed.unionByName(more)):
+        batch.write.mode("append").parquet(inbox)
+        merge_stream(spark.readStream.schema(batch.schema).parquet(inbox), store, checkpoint).awaitTermination()
+    return spark.read.parquet(f"{store}/v=1")
+
+
 @query()
 def fallback_key_hash(spark, d):
     return _t(spark, d, "documents").select("doc_id", locres.fallback_hash(c("text")).alias("key_hash"))

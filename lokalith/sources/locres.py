@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -101,7 +101,7 @@ def decode(data: bytes) -> tuple[dict, list[tuple]]:
     return head, out
 
 
-def encode(entries: list[tuple], version: int = COMPACT, number: int | None = None) -> bytes:
+def encode(entries: Iterable[tuple], version: int = COMPACT, number: int | None = None) -> bytes:
     """Entries ``(ns, ns_hash, key, key_hash, source_crc, value)`` in order; namespaces in order of appearance.
 
     ``number`` writes the explicit version number of a compact file. Values of an encrypted file come encrypted.
@@ -153,14 +153,14 @@ def encoded(rows: DataFrame, group: str = "src_path", version: int = COMPACT, nu
     """One file per group: ``group, content``; rows are a catalog with ``value`` and ``source_crc``.
 
     A string table is one file by format, so a group is what one task holds: its entries' texts and the file, some
-    4 times the file in memory. ``number`` writes the explicit version number of a compact file.
+    5 times the file in memory (measured: 165 MB for a file of 31 MB). ``number`` writes the explicit version number of a compact file.
     """
     kind = rows.schema[group].dataType.simpleString()
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.sort_by("ord").to_pylist()
-        content = encode([(r["namespace"], r["ns_hash"], r["key"], r["key_hash"], r["source_crc"], r["value"]) for r in t], version, number)
-        return pa.table({group: [t[0][group]], "content": [content]})
+        t = table.sort_by("ord")
+        entries = zip(*(t.column(c).to_pylist() for c in ("namespace", "ns_hash", "key", "key_hash", "source_crc", "value")), strict=True)
+        return pa.table({group: t.column(group)[:1], "content": [encode(entries, version, number)]})
 
     wanted = rows.select(group, "ord", "namespace", "ns_hash", "key", "key_hash", "source_crc", "value")
     return wanted.groupBy(group).applyInArrow(run, f"{group} {kind}, content binary")

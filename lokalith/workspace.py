@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = _LOCAL.setdefault(sc.applicationId, "")
         if not root:
-            root = _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="lokalith-")
+            own = tempfile.mkdtemp(prefix="lokalith-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            root = _LOCAL[sc.applicationId] = f"file://{own}"
             sc.setCheckpointDir(root)
     return root.rstrip("/")
 
