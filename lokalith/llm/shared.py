@@ -60,6 +60,25 @@ def remove_cut_points(spark: SparkSession) -> None:
     remove(spark, f"{shared_dir(spark)}/lokalith/{spark.sparkContext.applicationId}")
 
 
+#: A key that this part of all rows or more have is frequent; there are at most so many.
+FREQUENT = 1000
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, value: str, count: str, *spread_by: str) -> DataFrame:
+    """``rows`` with ``value`` from ``found(key, value, count)``, which has one row a key and is written down already.
+
+    ``count`` says how many rows have the key. Frequent keys, FREQUENT at most, are looked up by broadcast, and their rows
+    are dealt by the hash of ``spread_by``, so no task gets them all; the others meet by a shuffled join.
+    """
+    total = found.agg(F.sum(count)).head()[0] or 0
+    frequent = found.where(F.col(count) * FREQUENT >= total).select(key, F.struct(value).alias("_known"))
+    spread = F.when(F.col("_known").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*spread_by))
+    dealt = rows.join(F.broadcast(frequent), key, "left").withColumn("_spread", spread)
+    rest = found.select(key, F.col(value).alias("_value"), F.lit(0).cast("long").alias("_spread"))
+    told = F.when(F.col("_known").isNull(), F.col("_value")).otherwise(F.col(f"_known.{value}"))
+    return dealt.join(rest, [key, "_spread"], "left").select(*rows.columns, told.alias(value))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

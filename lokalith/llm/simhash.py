@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lokalith.llm.components import components
-from lokalith.llm.shared import materialise, text_of
+from lokalith.llm.shared import lookup, materialise, text_of
 
 BITS, WIDE_BITS = 64, 128
 #: Cost of comparing a pair, where emitting, moving and sorting a key is 1.
@@ -276,11 +276,14 @@ def _grouped(docs: DataFrame, node: Column, distance: int, wide_distance: int |
     """
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
     sketches = [F.any_value(c).alias(c) for c in ("fp", "w1", "w2")]
-    nodes = materialise(docs.groupBy(node.alias("node")).agg(F.min(rank).alias("first"), *sketches), "nodes")
+    own = docs.withColumn("node", node)
+    nodes = materialise(own.groupBy("node").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"), *sketches), "nodes")
     roots = components(near_links(nodes, distance, wide_distance)).withColumnRenamed("node", "of")
-    placed = nodes.join(roots, nodes["node"] == roots["of"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("first").alias("lead"))
-    return docs.withColumn("node", node).join(placed.join(lowest, "root").select("node", "lead"), "node")
+    placed = nodes.join(roots, nodes["node"] == roots["of"], "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
+    placed = materialise(placed, "placed")
+    lowest = materialise(placed.groupBy("root").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("m")), "leads")
+    leads = materialise(lookup(placed.select("node", "n", "root"), lowest, "root", "lead", "m", "node"), "node-leads")
+    return lookup(own, leads.select("node", "lead", "n"), "node", "lead", "n", "doc_id", "h")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:

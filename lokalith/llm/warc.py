@@ -20,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lokalith.llm.shared import fresh_path, materialise, text_of
+from lokalith.llm.shared import fresh_path, lookup, materialise, text_of
 
 REVISIT_BYTES = 100
-#: Bytes of a file after which a task starts another one; parts of all pages from which a payload counts as frequent.
-FILE_BYTES, FREQUENT = 128 << 20, 1000
+#: Bytes of a file after which a task starts another one.
+FILE_BYTES = 128 << 20
 _VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 _ONCE = {b"warc-type", b"warc-record-id", b"warc-date", b"content-length"}
 _MEMBER = b"\x1f\x8b\x08"
@@ -55,18 +55,13 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     """Write ``pages`` below ``path`` (any file system pyarrow opens); returns ``file, records`` per file, lazily.
 
     Null html is an empty payload; a null id is never the one that others revisit while there is another. Rows that
-    repeat the smallest id of a payload are responses each. An empty table writes no file. Payloads that make up a
-    FREQUENT-th part of the pages or more, at most FREQUENT of them, are looked up by broadcast, so their pages
-    spread over all tasks. A task writes under names of its own and renames, so a repeated task leaves the same files.
+    repeat the smallest id of a payload are responses each. An empty table writes no file. Pages of frequent
+    payloads spread over all tasks (:func:`lokalith.llm.shared.lookup`). A task writes under names of its own and renames, so a repeated task leaves the same files.
     """
     html = text_of(html_col)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     firsts = materialise(rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")), "payloads")
-    total = firsts.agg(F.sum("n")).head()[0] or 0
-    frequent = firsts.where(F.col("n") * FREQUENT >= total).select("digest", F.struct("first").alias("known"))
-    key = F.when(F.col("known").isNull(), F.col("digest")).otherwise(F.concat_ws("#", "digest", F.xxhash64("page_id", "url")))
-    known = rows.join(F.broadcast(frequent), "digest", "left").withColumn("key", key)
-    found = known.join(firsts.select(F.col("digest").alias("key"), "first"), "key", "left").withColumn("first", F.coalesce("known.first", "first"))
+    found = lookup(rows, firsts, "digest", "first", "n", "page_id", "url")
     revisits = (F.octet_length("html") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first"))
     planned = found.select("page_id", "url", "html", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
 

@@ -466,6 +466,20 @@ def test_toxicity_edges(spark, edge, none):
     assert toxicity.learn(none, labels, F.lit(True)) is None
 
 
+def test_lookup_of_frequent_keys(spark, monkeypatch):
+    """Frequent, rare and missing keys, null values and repeated rows; frequent ones are few whatever the table holds."""
+    from lokalith.llm import shared
+
+    monkeypatch.setattr(shared, "FREQUENT", 4)
+    rows = [(n, "hot" if n < 60 else f"k{n % 30}") for n in range(100)] + [(100, "missing"), (101, None), (5, "hot")]
+    df = spark.createDataFrame(rows, "i int, k string")
+    found = df.where("k <> 'missing'").groupBy("k").agg(F.when(F.col("k") != "k7", F.max("i")).alias("v"), F.count(F.lit(1)).alias("n"))
+    want = {r["k"]: r["v"] for r in found.collect()}
+    got = shared.lookup(df, found, "k", "v", "n", "i").collect()
+    assert Counter(map(tuple, got)) == Counter((i, k, want.get(k)) for i, k in rows)
+    assert shared.lookup(df.where("false"), found, "k", "v", "n", "i").count() == shared.lookup(df, found.where("false"), "k", "v", "n", "i").where("v is not null").count() == 0
+
+
 def test_samples_stay_bounded_where_ids_repeat(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 20)
     monkeypatch.setattr(langid, "SAMPLE_ROWS", 20)
