@@ -283,10 +283,10 @@ def text_search(rows: DataFrame, part: str) -> DataFrame:
 def with_title(games: DataFrame, titles: DataFrame, name: str = "folder", program: bool = False) -> DataFrame:
     """``games`` with ``title`` from ``titles(name, title)``, names compared without case, dashes and underscores.
 
-    The titles are a short list that the caller or :data:`lokalith.plans.games.TITLES` gives.
+    The titles are those that the caller or :data:`lokalith.plans.games.TITLES` gives.
     """
     known = titles.groupBy(F.lower("name").alias("_name")).agg(F.max("title").alias("title"))
-    return games.withColumn("_key", text.title_key(F.col(name), program)).join(F.broadcast(known), F.col("_key") == F.col("_name"), "left").drop("_key", "_name")
+    return games.withColumn("_key", text.title_key(F.col(name), program)).join(known, F.col("_key") == F.col("_name"), "left").drop("_key", "_name")
 
 
 def engine_version(explicit: Column, program_version: Column, title: Column, known: Column, oldest: str = "UE4_LATEST", newest: str = "UE5_LATEST") -> Column:

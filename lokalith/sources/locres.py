@@ -303,7 +303,7 @@ def grouped(files: DataFrame, keep_blank: bool = False) -> DataFrame:
     entries = entries if keep_blank else entries.where("value <> ''")
     origin = F.from_json("path", "path string, container string")
     told = entries.withColumn("o", origin).withColumn("path", F.col("o.path")).withColumn("container", F.col("o.container")).drop("o", "error")
-    return told.join(F.broadcast(named), (F.col("path") == F.col("n_path")) & F.col("container").eqNullSafe(F.col("n_container"))).drop("n_path", "n_container")
+    return told.join(named, (F.col("path") == F.col("n_path")) & F.col("container").eqNullSafe(F.col("n_container"))).drop("n_path", "n_container")
 
 
 def keyed(entries: DataFrame) -> DataFrame:
