@@ -14,6 +14,7 @@ Files hold ascending ranges of document ids and are numbered in that order.
 
 from __future__ import annotations
 
+import mmap
 import struct
 import uuid
 import zlib
@@ -56,9 +57,19 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray)
 
 
 class IdFile:
-    """Reads what :func:`encode_file` wrote: ``get(k)`` for one token, ``slice(a, b)`` and ``document(d)`` for neighbours."""
+    """Reads what :func:`encode_file` wrote: ``get(k)`` for one token, ``slice(a, b)`` and ``document(d)`` for neighbours.
 
-    def __init__(self, data: bytes):
+    ``data`` is any buffer. Nothing is copied or decoded on opening, so over a memory map (:meth:`mapped`) a token costs a
+    few pages of the file, however large it is.
+    """
+
+    @classmethod
+    def mapped(cls, path: str) -> IdFile:
+        """Over a memory map of a local file."""
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
+    def __init__(self, data):
         magic, version, levels, docs, self.tokens, self.nulls = _HEAD.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token-id file")

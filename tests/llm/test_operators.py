@@ -415,6 +415,13 @@ def test_id_file_random_access(docs):
         assert file.slice(a, min(len(ids), a + 200)).tolist() == ids[a : a + 200].tolist()
 
 
+def test_id_file_over_a_memory_map(tmp_path):
+    ids = np.random.default_rng(1).choice(np.array([7, 300, 70_000, 2**32 - 1], dtype=np.uint32), 5000)
+    (tmp_path / "x.lkda").write_bytes(binids.encode_file([None, 4, 9], np.array([0, 1000, 4000]), ids))
+    file = binids.IdFile.mapped(str(tmp_path / "x.lkda"))
+    assert [file.get(k) for k in range(0, 5000, 11)] == ids[::11].tolist() and file.document(1).tolist() == ids[:1000].tolist() and file.nulls == 1
+
+
 def plain_toxicity(model, text):
     """Gain and share by one-shot compressions of every window with either dictionary."""
     import zstandard as z
