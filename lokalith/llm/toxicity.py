@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained, one on toxic and one on ordinary text. A
 is made of segments of its class's text, picked by the weight of the short strings (``GRAM`` characters) they cover.
 Weight is the G statistic by which a string sets rows of the class apart from the other rows of its language, in
 being there and in being there twice; both classes are held to one threshold. Segments may be words, parts of words or
-several words, whatever stands out. A text is compressed whole, in windows of ``WINDOW`` words, with both
+several words, whatever stands out by itself. A text is compressed whole, in windows of ``WINDOW`` words, with both
 dictionaries. What the toxic one saves over the ordinary one, less an allowance a word, is the text's gain. The
 least length of a match, the allowance and a monotone calibration of the gain, a lower bound of the share of toxic
 rows, are learned by cross-validation: on training rows scored with dictionaries of the other folds.
@@ -17,7 +17,6 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
 from itertools import accumulate
 from math import log, sqrt
 from zlib import crc32
@@ -40,12 +39,12 @@ SETTINGS = {"window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 4,
 #: A string counts from so many rows and so large a G statistic on, and from such a part of its language's largest.
 LEAST_ROWS, LEAST_G, PART = 3, 30.0, 0.2
 #: A segment ends where the weight falls below such a part of its peak.
-SLOPE = 1 / 3
+SLOPE = 0.5
 #: Segments of a language and class at most.
 SEGMENTS = 256
 FOLDS = 5
 #: Standard errors that a score lies below the share of its step.
-ERRORS = 1.0
+ERRORS = 2.0
 CARRIER = b"#0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ#"
 _BETWEEN = re.compile(r"[\W_]+")
 
@@ -107,43 +106,49 @@ def weights(own: Counts, other: Counts) -> dict[str, float]:
     return found
 
 
-def segments(texts: list[str], weight: dict[str, float]) -> list[str]:
-    """Stretches of text around each peak of the weight, the one that covers most of what is left first."""
-    cut: Counter = Counter()
-    for text in texts if weight else ():
-        v = [weight.get(text[i : i + GRAM], 0.0) for i in range(len(text) - GRAM + 1)]
-        todo = [(i, i) for i in range(len(v)) if v[i] and not (i and v[i - 1])]
-        for start, _ in todo:
-            stop = start
-            while stop + 1 < len(v) and v[stop + 1]:
-                stop += 1
-            spans = [(start, stop)]
-            while spans:
-                a, b = spans.pop()
-                if a > b:
-                    continue
-                x = y = max(range(a, b + 1), key=v.__getitem__)
-                top = SLOPE * v[x]
-                while x > a and v[x - 1] >= top:
-                    x -= 1
-                while y < b and v[y + 1] >= top:
-                    y += 1
-                cut[text[x : y + GRAM]] += 1
-                spans += [(a, x - GRAM), (y + GRAM, b)]
-    left, picked = dict(weight), []
-    worth = lambda s: sum(left.get(s[i : i + GRAM], 0.0) for i in range(len(s) - GRAM + 1))
-    heap = [(-worth(s), -n, s) for s, n in cut.items() if n >= LEAST_ROWS]
-    heapify(heap)
-    while heap and len(picked) < SEGMENTS:
-        _, n, s = heappop(heap)
-        now = worth(s)
-        if now < LEAST_G:
-            continue
-        if heap and -heap[0][0] > now:
-            heappush(heap, (-now, n, s))
-            continue
-        picked.append(s)
-        left.update((s[i : i + GRAM], 0.0) for i in range(len(s) - GRAM + 1))
+def cuts(text: str, weight: dict[str, float]) -> list[str]:
+    """Stretches of a text around each peak of the weight, none overlapping another."""
+    v, out = [weight.get(text[i : i + GRAM], 0.0) for i in range(len(text) - GRAM + 1)], []
+    for start in (i for i in range(len(v)) if v[i] and not (i and v[i - 1])):
+        stop = start
+        while stop + 1 < len(v) and v[stop + 1]:
+            stop += 1
+        spans = [(start, stop)]
+        while spans:
+            a, b = spans.pop()
+            if a > b:
+                continue
+            x = y = max(range(a, b + 1), key=v.__getitem__)
+            top = SLOPE * v[x]
+            while x > a and v[x - 1] >= top:
+                x -= 1
+            while y < b and v[y + 1] >= top:
+                y += 1
+            out.append(text[x : y + GRAM])
+            spans += [(a, x - GRAM), (y + GRAM, b)]
+    return out
+
+
+def segments(own: list[str], other: list[str], weight: dict[str, float]) -> list[str]:
+    """Stretches that set rows of a class apart as they stand, the ones that do so most first.
+
+    A stretch is judged by where it is cut out itself: one that is frequent only inside a stronger one is not taken.
+    """
+    if not weight:
+        return []
+    counts = [[Counter(), Counter()], [Counter(), Counter()]]
+    for side, texts in enumerate((own, other)):
+        for text in texts:
+            found = Counter(cuts(text, weight))
+            counts[side][0].update(found.keys())
+            counts[side][1].update(s for s, n in found.items() if n > 1)
+    n, m, left, picked = len(own), len(other), dict(weight), []
+    apart = {s: sum(_g(counts[0][k][s], n, counts[1][k][s], m) for k in (0, 1)) for s, a in counts[0][0].items() if a >= LEAST_ROWS}
+    for s in sorted((s for s, g in apart.items() if g >= LEAST_G), key=lambda s: (-apart[s], s)):
+        parts = [s[i : i + GRAM] for i in range(len(s) - GRAM + 1)]
+        if len(picked) < SEGMENTS and sum(left.get(x, 0.0) for x in parts) >= LEAST_G:
+            picked.append(s)
+            left.update((x, 0.0) for x in parts)
     return picked
 
 
@@ -174,7 +179,8 @@ class Trainer:
             both = weights(*counts), weights(*counts[::-1])
             least = PART * max((g for weight in both for g in weight.values()), default=0.0)
             for k, weight in enumerate(both):
-                found[k].extend(segments(self.texts(lang, 1 - k, folds), {s: g for s, g in weight.items() if g >= least}))
+                own, other = self.texts(lang, 1 - k, folds), self.texts(lang, k, folds)
+                found[k].extend(segments(own, other, {s: g for s, g in weight.items() if g >= least}))
         return _pair(*found)
 
 
