@@ -34,12 +34,12 @@ WINDOW, GRAM = 4, 5
 #: Least lengths of a match that are tried, and the other settings of the compressor, fixed so that they do not follow input sizes.
 LEAST_MATCH = (5, 6)
 #: A longer one, which sees less, must be better by so much F1.
-MARGIN = 0.03
+MARGIN = 0.015
 SETTINGS = {"window_log": 17, "hash_log": 15, "chain_log": 15, "search_log": 4, "target_length": 999, "strategy": 7}
 #: A string counts from so many rows and so large a G statistic on, and from such a part of its language's largest.
 LEAST_ROWS, LEAST_G, PART = 3, 30.0, 0.2
 #: A segment ends where the weight falls below such a part of its peak.
-SLOPE = 0.5
+SLOPE = 1 / 3
 #: Segments of a language and class at most.
 SEGMENTS = 256
 FOLDS = 5
