@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokalith.llm import binids, decontam, exact_dedup, langid, licenses, packing, simhash, token_counts, toxicity, warc
+from lokalith.llm import binids, conversations, decontam, exact_dedup, langid, licenses, packing, simhash, spelling, token_counts, toxicity, urls, warc
 from lokalith.llm.shared import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,11 +69,30 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.section_counts(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.planted_words(table(spark, sf_dir, "documents")))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.whole_report(rows, conversations.damaged(rows))
+
+
+#: The site rules of op13.
+SITES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = urls.rules_of(spark, SITES)
+    return urls.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict", "pattern")
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in _OPERATORS}
 
 
-_OPERATORS = (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language_id, op5_warc, op6_best_fit_packing, op7_token_ids, op8_toxicity, op9_license_scan, op10_token_counts)
+_OPERATORS = (op1_decontamination, op2_simhash, op3_exact_dedup, op4_language_id, op5_warc, op6_best_fit_packing, op7_token_ids, op8_toxicity, op9_license_scan, op10_token_counts,
+              op11_spelling_variants, op12_conversation_repair, op13_url_filters)
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
