@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokalith.llm import binids, conversations, decontam, exact_dedup, langid, licenses, packing, simhash, spelling, token_counts, toxicity, urls, warc
+from lokalith.llm import binids, conversations, decontam, exact_dedup, langid, licenses, oracle, packing, simhash, spelling, token_counts, toxicity, urls, warc
 from lokalith.llm.shared import fold_of, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,4 +123,7 @@ FROM p JOIN f USING (digest)""",
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
        sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+        "op11_spelling_variants": oracle.SPELLING,
+        "op12_conversation_repair": oracle.CONVERSATIONS,
+        "op13_url_filters": oracle.URLS,
     }
