@@ -112,7 +112,8 @@ def indexed(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """Compiled rules with ``token``, the one of theirs that the fewest of ``urls(url)`` hold (ties: the smallest), '' without one."""
     wanted = rules.select("kind", "rule", "verdict", F.explode_outer("tokens").alias("token"))
     known = wanted.select("token").where("token is not null").distinct()
-    counts = urls.select(F.explode(url_tokens(F.col("url"))).alias("token")).join(known, "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    seen = urls.select(F.explode(url_tokens(F.col("url"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))  # added up before any join
+    counts = seen.join(known, "token", "left_semi")
     rarest = wanted.join(counts, "token", "left").groupBy("kind", "rule", "verdict").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r"))
     return rules.drop("tokens").join(rarest.select("kind", "rule", "verdict", F.coalesce("r.token", F.lit("")).alias("token")), ["kind", "rule", "verdict"])
 
