@@ -142,6 +142,8 @@ def near_pairs(vocabulary: DataFrame, partition_words: int = PARTITION_WORDS) ->
         small = fine if small is None else small.unionByName(fine)
         parts = _dealt(told.where("large").drop("large"))
     gathered = small.groupBy(*_SHARED).agg(F.collect_list("inner").alias("inner")).where(F.size("inner") > 1)
+    tasks = int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = gathered.repartition(tasks)  # small in bytes, long in work: not to be packed into a few tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
