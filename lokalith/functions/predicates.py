@@ -11,6 +11,7 @@ PLACEHOLDERS = ("TextBlockDefaultValue", "None")
 #: Namespaces of developer text.
 DEV_NAMESPACE, DEV_PREFIX = "UMG", "UnrealEd"
 
+BLANK = rf"\A[{_WS}]*\z"
 GUID = rf"\A[{_WS}]*[0-9A-Fa-f]{{32}}[{_WS}]*\z"
 ALL_NUMBER = r"\A\p{N}*\z"
 ALL_DOT = r"\A\.*\z"
@@ -23,6 +24,11 @@ NOT_LOWER = r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}]"
 UPPER_ONLY = r"\A[\p{Lu} ]*\z"
 
 
+def is_blank(c: Column) -> Column:
+    """Null, empty, or white space only, that of Unicode too."""
+    return F.coalesce(c.rlike(BLANK), F.lit(True))
+
+
 def is_guid(c: Column) -> Column:
     return c.rlike(GUID)
 

@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lokalith.functions import predicates, text
 
 
+#: Ranges of a group at most.
+RANGES = 256
+
+
 def first_wins(df: DataFrame, *keys: str, order: str = "ord") -> DataFrame:
     """One row per key: the first by ``order``. A partial aggregate, so hot keys shrink before the shuffle."""
     return _pick(df, keys, F.min_by, order)
@@ -84,7 +88,7 @@ def sidecar_join(rows: DataFrame, sidecar: DataFrame) -> DataFrame:
 
 def union_missing(assets: DataFrame, more: DataFrame) -> DataFrame:
     """``assets`` and the first row of each further key in ``more`` with a source that is not blank."""
-    fresh = first_wins(more.where("trim(source) <> ''"), "key").join(assets.select("key"), "key", "left_anti")
+    fresh = first_wins(more.where(~predicates.is_blank(F.col("source"))), "key").join(assets.select("key"), "key", "left_anti")
     return assets.unionByName(fresh.select(*assets.columns))
 
 
@@ -103,7 +107,7 @@ def other_key_semi(left: DataFrame, right: DataFrame, group: str = "src_path", s
 def backfill(rows: DataFrame, journal: DataFrame) -> DataFrame:
     """Blank translations from a journal of (source, translation)."""
     j = journal.select("source", F.col("translation").alias("j"))
-    blank = F.trim("translation") == ""
+    blank = predicates.is_blank(F.col("translation"))
     return rows.join(j, "source", "left").withColumn("translation", F.when(blank, F.coalesce("j", "translation")).otherwise(F.col("translation"))).select(*rows.columns)
 
 
@@ -120,10 +124,17 @@ def unique_sources(rows: DataFrame, order: str = "ord") -> DataFrame:
 def running(df: DataFrame, group: str, order: str = "ord", amount: Column | None = None, width: int = 1 << 16) -> DataFrame:
     """``df`` with ``index`` (0-based within the group, in order) and, given ``amount``, ``before`` (its running sum, exclusive).
 
-    Groups are split into ranges of ``width`` order values, numbered within each, and shifted by the sums of the
-    ranges before, so no group is sorted by one task.
+    Groups of more than ``width`` rows are cut at quantiles of ``order``, about one for each ``width`` of their rows (RANGES at
+    most, so a group of more than RANGES * ``width`` rows has longer ranges), however the values lie. Ranges are numbered each by itself and shifted by
+    the sums of the ranges before. Rows with equal ``order`` are in one range. Cuts are approximate, numbers exact.
     """
-    cut = df.withColumn("_range", F.floor(F.col(order) / width)).withColumn("_amount", F.lit(0) if amount is None else amount)
+    small = df.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("_rows"), F.percentile_approx(order, F.lit([k / RANGES for k in range(1, RANGES)]), F.lit(4 * RANGES)).alias("_cuts"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(RANGES) * width / F.col("_rows"))).cast("int")  # every so many cuts are enough
+    large = small.where(F.col("_rows") > width).withColumn("_step", step)
+    large = large.select("_g", F.array_distinct(F.filter("_cuts", lambda x, k: (k + 1) % F.col("_step") == 0)).alias("_cuts"))
+    ranged = F.coalesce(F.size(F.filter("_cuts", lambda x: x < F.col(order))), F.lit(0))
+    cut = df.join(large, F.col(group).eqNullSafe(F.col("_g")), "left").withColumn("_range", F.when(F.col("_cuts").isNull(), 0).otherwise(ranged)).drop("_g", "_cuts")
+    cut = cut.withColumn("_amount", F.lit(0) if amount is None else amount)
     inside = Window.partitionBy(group, "_range").orderBy(order)
     own = cut.withColumn("_n", F.row_number().over(inside) - 1).withColumn("_sum", F.coalesce(F.sum("_amount").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranges = cut.groupBy(group, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.sum("_amount").alias("_total"))
@@ -132,14 +143,14 @@ def running(df: DataFrame, group: str, order: str = "ord", amount: Column | None
         F.col(group).alias("_g"), F.col("_range").alias("_r"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows"),
         F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_total")
     )
-    joined = own.join(shift, F.col(group).eqNullSafe(F.col("_g")) & F.col("_range").eqNullSafe(F.col("_r")))
+    joined = own.join(shift, F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
     added = [(F.col("_n") + F.col("_rows")).alias("index"), *([(F.col("_sum") + F.col("_total")).alias("before")] if amount is not None else [])]
     return joined.select(*df.columns, *added)
 
 
 def open_rows(rows: DataFrame) -> DataFrame:
     """Rows that wait for a translation."""
-    return rows.where("trim(source) <> '' and trim(translation) = ''")
+    return rows.where(~predicates.is_blank(F.col("source")) & predicates.is_blank(F.col("translation")))
 
 
 def translation_batches(rows: DataFrame, size: int = 150, group: str = "src_path") -> DataFrame:

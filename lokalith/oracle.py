@@ -12,6 +12,11 @@ def matches(pattern: str, s: str = "s") -> str:
     return f"regexp_matches({s}, '{pattern}')"
 
 
+def blank(s: str) -> str:
+    """White space only, that of Unicode too."""
+    return "regexp_matches(" + s + r", '^[\t-\r\x{85}\p{Z}]*$')"
+
+
 REASONS = {
     "placeholder": "s IN ('TextBlockDefaultValue', 'None')",
     "short": matches(predicates.SHORT),

@@ -9,10 +9,15 @@ from lokalith.functions import predicates, text
 from lokalith.operators import catalog
 from lokalith.schema import catalog_from
 from lokalith.sources import binscan, files
+from lokalith.workspace import settled
 
 #: Extensions of assets, and the folder that no project text lies in.
 ASSETS, ENGINE_FOLDER = (".uasset", ".uexp", ".umap"), "Engine/"
 
+_ASSET_GLOB = "*.{" + ",".join("".join(f"[{x.lower()}{x.upper()}]" for x in e[1:]) for e in ASSETS) + "}"
+#: Files up to here are read as one value, larger ones by ranges.
+WHOLE_BYTES = 256 << 20
+
 
 def document_catalog(documents: DataFrame) -> DataFrame:
     """Documents as a catalog: key from the first word, namespace from the source, escaped text, a file a language."""
@@ -49,9 +54,14 @@ def read_assets(spark, path: str, **options) -> DataFrame:
 
     One virtual path may come from several containers.
     """
-    glob = "*.{" + ",".join("".join(f"[{x.lower()}{x.upper()}]" for x in e[1:]) for e in ASSETS) + "}"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
-    return asset_paths(found, **options).select("path", container_of(path).alias("container"), "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _ASSET_GLOB).load(path)
+    return asset_paths(found.where(F.col("length") <= WHOLE_BYTES), **options).select("path", container_of(path).alias("container"), "content")
+
+
+def large_assets(spark, path: str, **options) -> DataFrame:
+    """``path, length`` of the assets that :func:`read_assets` leaves out, as one value can't hold them."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _ASSET_GLOB).load(path)
+    return asset_paths(found.where(F.col("length") > WHOLE_BYTES), **options).select("path", "length")
 
 
 def asset_kind(path: Column, content: Column) -> Column:
@@ -59,32 +69,46 @@ def asset_kind(path: Column, content: Column) -> Column:
     return binscan.export_kind(F.when(path.endswith(".uasset"), content).otherwise(F.lit(b"")), path)
 
 
-def asset_rows(assets: DataFrame, exports: DataFrame | None = None, strict_anti: bool = False) -> DataFrame:
-    """``assets(path, content)`` -> catalog rows of every kind, a bag.
+def asset_records(assets: DataFrame, large: DataFrame | None = None) -> DataFrame:
+    """Every record and kind of ``assets(path, content)`` in one pass over the bytes, written down: see :func:`binscan.tagged`.
+
+    ``large(path, length)`` are files that do not fit into one value; of these the head is read for the kind, and ranges for the records.
+    """
+    told = binscan.tagged(assets.withColumn("kind", asset_kind(F.col("path"), F.col("content"))))
+    if large is not None:
+        kinds = settled(binscan.with_heads(large).select("path", "length", asset_kind(F.col("path"), F.col("content")).alias("kind")), "large")
+        others = kinds.where("kind <> 'none'").select("path", F.col("kind").alias("what"), *[F.lit(None).cast(t).alias(n) for n, t in (("ord", "long"), ("key", "string"), ("source", "string"), ("reason", "string"))])
+        told = told.unionByName(others).unionByName(binscan.tagged_ranges(kinds.where("kind = 'none'")))
+    return settled(told, "records")
+
+
+def asset_rows(assets: DataFrame | None, exports: DataFrame | None = None, strict_anti: bool = False, told: DataFrame | None = None) -> DataFrame:
+    """``assets(path, content)`` -> catalog rows of every kind, a bag. ``told`` are their records, where they are known already.
 
     Files of no kind are scanned for both kinds of record; package records stay where the file has no export record, or one
     with another key (``strict_anti``: none with that key). Sounds and textures hold no text. Tables and blueprints
     are read from ``exports(path, json)``, what a package reader made of them; without it they give nothing.
     """
-    kinds = assets.withColumn("kind", asset_kind(F.col("path"), F.col("content")))
-    plain = kinds.where("kind = 'none'")
-    first, second = binscan.scan(plain, "export"), binscan.scan(plain, "package")
+    told = asset_records(assets) if told is None else told
+    first, second = binscan.accepted(told, "export"), binscan.accepted(told, "package")
     kept = catalog.other_key_semi(second, first, group="path", strict_anti=strict_anti)
     records = first.unionByName(kept).select("path", "ord", F.lit("").alias("namespace"), "key", "source")
     if exports is not None:
-        wanted = exports.join(kinds.where("kind in ('table', 'blueprint')").select("path"), "path", "left_semi")
+        wanted = exports.join(told.where("what in ('table', 'blueprint')").select("path").distinct(), "path", "left_semi")
         objects = files.walk_json(wanted, "json", "path").withColumn("source", text.escape(F.col("source")))
-        records = records.unionByName(objects.select("path", F.xxhash64("key").alias("ord"), "namespace", "key", "source"))
+        records = records.unionByName(objects.select("path", "ord", "namespace", "key", "source"))
     return catalog_from(records, key=F.col("key"), namespace=F.col("namespace"), source=F.col("source"), src_path=F.col("path"), ord=F.col("ord"))
 
 
-def scan_assets(assets: DataFrame, exports: DataFrame | None = None, tables: DataFrame | None = None, no_underscore: bool = False, no_uppercase: bool = False) -> DataFrame:
+def scan_assets(
+    assets: DataFrame | None, exports: DataFrame | None = None, tables: DataFrame | None = None, no_underscore: bool = False, no_uppercase: bool = False, told: DataFrame | None = None,
+) -> DataFrame:
     """The whole chain over assets: rows of every kind, optional row filters, conflicts, last writers, string tables, noise.
 
     ``tables(ns, ns_hash, key, key_hash, value, path, ord)`` are decoded string tables; of these only keys that assets
     do not have, and values that are not blank, are added.
     """
-    rows = asset_rows(assets, exports)
+    rows = asset_rows(assets, exports, told=told)
     found = catalog.last_rows(rows, predicates.wanted_source(F.col("source"), no_underscore, no_uppercase))
     if tables is not None:
         more = catalog_from(

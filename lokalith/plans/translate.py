@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lokalith.operators import catalog
-from lokalith.sources import files
-from lokalith.workspace import exists
+from lokalith.sources import journal as journal_files
+from lokalith.workspace import settled
 
 SEPARATOR = "|||"
 #: Requests of one batch, and seconds before the second one, doubled before each further one.
@@ -37,18 +38,39 @@ def ask_with_retry(ask: Callable[[str], str], payload: str, attempts: int = ATTE
     return None, error, attempts
 
 
-def requested(batches: DataFrame, ask: Callable[[str], str], parallel: int = 1, attempts: int = ATTEMPTS, delay: float = FIRST_DELAY) -> DataFrame:
-    """``batches`` with ``answer, error, requests``; at most ``parallel`` requests run at once, one a partition."""
-    names = [*batches.columns, "answer", "error", "requests"]
+def requested(batches: DataFrame, ask: Callable[[str], str], journal: str, run: str, parallel: int = 1, attempts: int = ATTEMPTS, delay: float = FIRST_DELAY) -> DataFrame:
+    """``batches(group..., batch, n, sources, payload)`` with ``accepted, error, requests``; at most ``parallel`` requests run at once, one a partition.
+
+    An answer with as many segments as sources is accepted and committed to ``journal`` before the next request; others are noted as
+    refused for this ``run``. A task that is run again reads both first, so it asks only for what it had not been answered.
+    """
+    names = [*batches.columns, "accepted", "error", "requests"]
+
+    def run_batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segments = journal_files.Segments(journal, run)
+
+        def one(name: str, sources: list[str], payload: str) -> tuple[bool, str | None, int]:
+            known = segments.known(name)
+            if known is not None:
+                return known[0] is not None, known[1], 0
+            answer, error, n = ask_with_retry(ask, payload, attempts, delay)
+            found = [] if answer is None else answer.split(SEPARATOR)
+            if len(found) == len(sources):
+                segments.commit(name, zip(sources, (x.strip(" ") for x in found), strict=True))
+                return True, None, n
+            why = error if answer is None else f"{len(found)} segments for {len(sources)} sources"
+            segments.refuse(name, why or "")
+            return False, why, n
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            found = [ask_with_retry(ask, p, attempts, delay) for p in part.column("payload").to_pylist()]
-            columns = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int32()))]
+            rows = part.select(["sources", "payload"]).to_pylist()
+            own = part.drop_columns(["sources", "payload"]).to_pylist()
+            done = [one(segments.name_of(list(o.values()), r["sources"]), r["sources"], r["payload"]) for o, r in zip(own, rows, strict=True)]
+            columns = [pa.array([f[k] for f in done], kind) for k, kind in enumerate((pa.bool_(), pa.string(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=names)
 
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batches.schema)
-    return batches.repartition(parallel).mapInArrow(run, f"{kept}, answer string, error string, requests int")
+    return batches.repartition(parallel).mapInArrow(run_batches, f"{kept}, accepted boolean, error string, requests int")
 
 
 def batches_with_sources(rows: DataFrame, size: int = 150, group: str = "src_path") -> DataFrame:
@@ -59,24 +81,23 @@ def batches_with_sources(rows: DataFrame, size: int = 150, group: str = "src_pat
     return own.withColumn("payload", F.array_join(F.transform("sources", lambda s: F.replace(s, F.lit(SEPARATOR), F.lit(""))), SEPARATOR))
 
 
-def accepted_pairs(answered: DataFrame) -> DataFrame:
-    """``source, translation`` of the answers with as many segments as sources; other batches are skipped."""
-    segments = F.split("answer", r"\|\|\|")
-    pairs = answered.where(F.size(segments) == F.size("sources")).select(F.explode(F.arrays_zip("sources", segments.alias("segments"))).alias("p"))
-    return pairs.select(F.col("p.sources").alias("source"), F.trim("p.segments").alias("translation"))
-
-
-def translate(rows: DataFrame, ask: Callable[[str], str], journal: str, size: int = 150, parallel: int = 1, attempts: int = ATTEMPTS, delay: float = FIRST_DELAY) -> DataFrame:
+def translate(
+    rows: DataFrame, ask: Callable[[str], str], journal: str, size: int = 150, parallel: int = 1, attempts: int = ATTEMPTS, delay: float = FIRST_DELAY, counters: list | None = None,
+) -> DataFrame:
     """``rows`` with translations; a restart asks only for what the journal below ``journal`` does not hold.
 
     Blank translations are taken from the journal. Of each source the first row decides whether it is asked for.
-    Accepted answers go to the journal before anything else reads them, so each is paid for once; then every row of a
-    source that was asked for takes its translation, also one that had another.
+    Each batch is in the journal once it is answered, so each is paid for once even if this run dies; then every row of a source
+    that was asked for takes its translation, also one that had another. ``counters`` gets a row ``batches, accepted, requests``.
     """
-    spark = rows.sparkSession
-    filled = catalog.backfill(rows, files.read_journal(spark, journal)) if exists(spark, journal) else rows
+    spark, run = rows.sparkSession, uuid.uuid4().hex
+    filled = catalog.backfill(rows, journal_files.read(spark, journal))
     waiting = catalog.unique_sources(filled)
-    pairs = accepted_pairs(requested(batches_with_sources(waiting, size), ask, parallel, attempts, delay))
-    files.append_journal(pairs, journal)
-    asked = catalog.open_rows(waiting).select("source")
-    return catalog.apply_translations(filled, files.read_journal(spark, journal).join(asked, "source", "left_semi"))
+    # written down: what is open must not be worked out again when the journal has grown
+    asked = settled(catalog.open_rows(waiting).select("source"), "asked")
+    told = requested(batches_with_sources(waiting, size), ask, journal, run, parallel, attempts, delay)
+    done = told.agg(F.count(F.lit(1)).alias("batches"), F.count_if("accepted").alias("accepted"), F.coalesce(F.sum("requests"), F.lit(0)).alias("requests")).head()
+    if counters is not None:
+        counters.append(done)
+    journal_files.clear_notes(spark, journal, run)
+    return catalog.apply_translations(filled, journal_files.read(spark, journal).join(asked, "source", "left_semi"))

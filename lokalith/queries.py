@@ -5,7 +5,7 @@ Every query reads its whole tables and whole texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lokalith.functions import predicates, text
@@ -15,6 +15,7 @@ from lokalith.oracle import BAD as _BAD
 from lokalith.oracle import ESC as _ESC
 from lokalith.oracle import REASONS as _REASON_SQL
 from lokalith.oracle import UNESC as _UNESC
+from lokalith.oracle import blank as _blank
 from lokalith.oracle import matches as _m
 from lokalith.registry import QUERIES, SQL, Query, query
 from lokalith.registry import table as _t
@@ -257,12 +258,13 @@ def sidecar_round_trip(spark, d):
 
 
 @query(
-    "SELECT 'k' || doc_id AS key, text AS source FROM documents UNION ALL SELECT 'k' || item_id, text FROM (SELECT item_id * 40 AS item_id, text FROM "
-    "benchmark) WHERE item_id NOT IN (SELECT doc_id FROM documents) AND trim(text) <> ''"
+    "SELECT 'k' || doc_id AS key, text AS source FROM documents UNION ALL SELECT 'k' || item_id, text FROM (SELECT item_id * 40 AS item_id, CASE WHEN item_id % 5 = 1 THEN chr(12288) ELSE text END AS text FROM "
+    f"benchmark) WHERE item_id NOT IN (SELECT doc_id FROM documents) AND NOT {_blank('text')}"
 )
 def locres_anti_union(spark, d):
     a = _t(spark, d, "documents").select(F.concat(F.lit("k"), "doc_id").alias("key"), c("text").alias("source"), c("doc_id").alias("ord"))
-    b = _t(spark, d, "benchmark").select(F.concat(F.lit("k"), c("item_id") * 40).alias("key"), c("text").alias("source"), c("item_id").alias("ord"))
+    spaced = F.when(c("item_id") % 5 == 1, "\u3000").otherwise(c("text"))
+    b = _t(spark, d, "benchmark").select(F.concat(F.lit("k"), c("item_id") * 40).alias("key"), spaced.alias("source"), c("item_id").alias("ord"))
     return catalog.union_missing(a, b).select("key", "source")
 
 
@@ -276,32 +278,33 @@ def theta_semi(spark, d):
     return catalog.other_key_semi(docs, right).select("doc_id", c("src_path").alias("lang"))
 
 
+_T = "replace(coalesce(text, ''), chr(9), ' ')"
 _ROWS = (
-    "SELECT doc_id AS ord, lang AS src_path, split_part(text, ' ', 1) AS source, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'T' || doc_id END AS translation "
-    "FROM documents"
-)
-_JOURNAL = (
-    "SELECT split_part(text, ' ', 1) AS source, arg_max('J' || doc_id, doc_id) AS j FROM documents WHERE lang = 'en' AND split_part(text, ' ', 1) <> '' "
-    "GROUP BY 1"
+    f"SELECT doc_id AS ord, lang AS src_path, CASE WHEN doc_id % 11 = 3 THEN chr(12288) || chr(160) ELSE {_T} END AS source, "
+    "CASE WHEN doc_id % 14 = 0 THEN chr(12288) WHEN doc_id % 2 = 0 THEN '' ELSE 'T' || doc_id END AS translation FROM documents"
 )
+_JOURNAL = f"SELECT {_T} AS source, arg_max('J' || doc_id, doc_id) AS j FROM documents WHERE lang = 'en' AND {_T} <> '' GROUP BY 1"
+
+
+def _whole() -> Column:
+    return F.replace(F.coalesce("text", F.lit("")), F.lit("\t"), F.lit(" "))
 
 
 def _rows(spark, d) -> DataFrame:
+    """Documents as rows to translate; some sources and translations are blanks of Unicode."""
     return _t(spark, d, "documents").select(
-        c("doc_id").alias("ord"), c("lang").alias("src_path"), F.split_part("text", F.lit(" "), F.lit(1)).alias("source"),
-        F.when(c("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("T"), "doc_id")).alias("translation"),
+        c("doc_id").alias("ord"), c("lang").alias("src_path"), F.when(c("doc_id") % 11 == 3, "\u3000\u00a0").otherwise(_whole()).alias("source"),
+        F.when(c("doc_id") % 14 == 0, "\u3000").when(c("doc_id") % 2 == 0, "").otherwise(F.concat(F.lit("T"), "doc_id")).alias("translation"),
     )
 
 
 def _journal(spark, d) -> DataFrame:
-    lines = _t(spark, d, "documents").where("lang = 'en'").select(
-        F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit("\tJ"), "doc_id").alias("value"), c("doc_id").alias("ord"),
-    )
+    lines = _t(spark, d, "documents").where("lang = 'en'").select(F.concat(_whole(), F.lit("\tJ"), "doc_id").alias("value"), c("doc_id").alias("ord"))
     return files.journal_rows(lines)
 
 
 @query(
-    f"SELECT ord, src_path, r.source, CASE WHEN translation = '' THEN coalesce(j, '') ELSE translation END AS translation FROM ({_ROWS}) r LEFT JOIN "
+    f"SELECT ord, src_path, r.source, CASE WHEN {_blank('translation')} THEN coalesce(j, translation) ELSE translation END AS translation FROM ({_ROWS}) r LEFT JOIN "
     f"({_JOURNAL}) g ON r.source = g.source"
 )
 def journal_backfill(spark, d):
@@ -315,7 +318,7 @@ def translate_apply(spark, d):
 
 _BATCHES = (
     "SELECT src_path, CAST(floor((rn - 1) / 150) AS BIGINT) AS batch, count(*) AS n, string_agg(replace(source, '|||', ''), '|||' ORDER BY ord) AS payload "
-    f"FROM (SELECT *, row_number() OVER (PARTITION BY src_path ORDER BY ord) AS rn FROM ({_ROWS}) WHERE trim(source) <> '' AND translation = '') GROUP BY "
+    f"FROM (SELECT *, row_number() OVER (PARTITION BY src_path ORDER BY ord) AS rn FROM ({_ROWS}) WHERE NOT {_blank('source')} AND {_blank('translation')}) GROUP BY "
     "1, 2"
 )
 
@@ -331,7 +334,7 @@ def translate_batches(spark, d):
 )
 def translate_accept(spark, d):
     rows = _rows(spark, d)
-    open_ = rows.where("trim(source) <> ''").withColumn("source", F.hex("source"))
+    open_ = rows.where(~predicates.is_blank(c("source"))).withColumn("source", F.hex("source"))
     return catalog.accepted_batches(
         catalog.translation_batches(open_), lambda p: F.when(F.contains(p, F.lit("|||")), F.upper(p)).otherwise(F.concat(p, F.lit("|||x"))),
     ).select("src_path", "batch", "n", "answer")
@@ -387,11 +390,12 @@ def locres_patch(spark, d):
     return locres.patched(locres.decoded(_tables(spark, d, locres.COMPACT)), items).select("path", "key", "value", "translated")
 
 
-@query("SELECT conv_id, turn, role AS namespace, 'n' || k AS key, text AS source FROM conversations, (VALUES (1), (2), (3)) v(k) WHERE text <> ''")
+@query("SELECT conv_id, turn, k - 1 AS ord, CASE WHEN turn % 3 = 0 THEN '' ELSE role END AS namespace, 'n' || k AS key, text AS source FROM conversations, (VALUES (1), (2), (3)) v(k) WHERE text <> ''")
 def json_ftext_walk(spark, d):
-    leaf = lambda k, inner: F.struct(c("role").alias("Namespace"), F.lit(f"n{k}").alias("Key"), c("text").alias("SourceString"), *inner)
+    role = F.when(c("turn") % 3 == 0, F.lit(None)).otherwise(c("role"))
+    leaf = lambda k, inner: F.struct(role.alias("Namespace"), F.lit(f"n{k}").alias("Key"), c("text").alias("SourceString"), *inner)
     deep = leaf(1, [F.struct(F.array(leaf(2, [F.struct(leaf(3, []).alias("b")).alias("Properties")])).alias("list")).alias("Data")])
-    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.to_json(deep).alias("json"))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.to_json(deep, {"ignoreNullFields": "false"}).alias("json"))
     return files.walk_json(rows, "json", "conv_id", "turn")
 
 

@@ -18,7 +18,7 @@ from lokalith.registry import query
 from lokalith.registry import table as _t
 from lokalith.schema import catalog_from
 from lokalith.sources import binscan, files, locres
-from lokalith.streaming.incremental import merge_stream
+from lokalith.streaming.incremental import catalog_store, merge_stream
 from lokalith.workspace import fresh_path
 
 c = F.col
@@ -103,7 +103,7 @@ def package_scan(spark, d):
 def _assets(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Assets of every kind: exports and packages with records, sounds, tables with JSON; and decoded string tables."""
     docs = _t(spark, d, "documents")
-    line = F.split_part("text", F.lit("\n"), F.lit(1))
+    line = F.coalesce("text", F.lit(""))
     kind, hashed = c("doc_id") % 4, F.upper(F.md5(line))
     n = F.octet_length(line) + 1
     size = F.unhex(F.concat(*[F.lpad(F.hex(F.shiftright(n, 8 * k).bitwiseAND(255)), 2, "0") for k in range(4)]))
@@ -125,7 +125,7 @@ def _assets(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 _ASSET_CHAIN = f"""
-WITH l AS (SELECT doc_id, source AS ns, split_part(text, chr(10), 1) AS line FROM documents),
+WITH l AS (SELECT doc_id, source AS ns, coalesce(text, '') AS line FROM documents),
 r AS (SELECT 'Game/x/' || doc_id || '.uexp' AS src_path, '' AS namespace, upper(md5(line)) AS key, {_ESC.format('line')} AS s FROM l WHERE doc_id % 4 = 0 AND line <> '' AND length({_ESC.format('line')}) <> 1
       UNION ALL SELECT 'Game/x/' || doc_id || '.uasset', '', upper(md5(line)), {_ESC.format('line')} FROM l WHERE doc_id % 4 = 1 AND line <> '' AND length({_ESC.format('line')}) <> 1
       UNION ALL SELECT 'Game/DataTables/' || doc_id || '.uasset', ns, 'T' || doc_id, {_ESC.format('line')} FROM l WHERE doc_id % 4 = 2 AND line <> ''),
@@ -395,7 +395,7 @@ def _template(spark, d) -> DataFrame:
 def _patches(spark, d) -> DataFrame:
     """A catalog with repeated keys: every item, then some items once more with a translation."""
     items = _t(spark, d, "benchmark")
-    first = items.select(F.concat(F.lit("ns::k"), "item_id").alias("key"), text.escape(c("text")).alias("source"), F.lit(" ").alias("translation"), c("item_id").alias("ord"))
+    first = items.select(F.concat(F.lit("ns::k"), "item_id").alias("key"), text.escape(c("text")).alias("source"), F.lit("\u3000").alias("translation"), c("item_id").alias("ord"))
     again = items.where("item_id % 3 = 0").select(
         F.concat(F.lit("ns::k"), "item_id").alias("key"), F.lit("x").alias("source"), F.lit("again").alias("translation"), (c("item_id") + 10**6).alias("ord"),
     )
@@ -523,8 +523,8 @@ def incremental_merge(spark, d):
     inbox, store, checkpoint = (fresh_path(spark, name) for name in ("inbox", "store", "checkpoint"))
     for batch in (first, changed.unionByName(more)):
         batch.write.mode("append").parquet(inbox)
-        merge_stream(spark.readStream.schema(batch.schema).parquet(inbox), store, checkpoint).awaitTermination()
-    return spark.read.parquet(f"{store}/v=1")
+        merge_stream(spark.readStream.schema(batch.schema).parquet(inbox), store, checkpoint, buckets=8).awaitTermination()
+    return catalog_store(spark, store).read()
 
 
 @query()

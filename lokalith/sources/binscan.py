@@ -1,7 +1,6 @@
 """Text records inside unpacked binary assets, and the classifier of asset headers.
 
-The scans find records by expression on the byte-for-byte Latin-1 view and run whole files, so nothing is lost at
-chunk borders.
+Files that fit into one value are scanned whole; larger ones by byte ranges, with the same records (:func:`tagged_ranges`).
 """
 
 from __future__ import annotations
@@ -113,24 +112,236 @@ def scan(files: DataFrame, kind: str) -> DataFrame:
     key stays, and texts that start with three zero bytes are left out; of a package every record stays, so that
     conflicts are seen later. Null and empty content gives nothing.
     """
-    records = {"export": export_records, "package": package_records}[kind]
+    told = tagged(files.select("path", "content", F.lit("none").alias("kind")), (kind,))
+    return accepted(told, kind)
 
-    names, kinds = ["path", "ord", "key", "raw", "repair"], [pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+
+_TAGGED = "path string, what string, ord long, key string, raw string, repair boolean"
+_TAGGED_KINDS = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
+
+
+def tagged(files: DataFrame, kinds: tuple[str, ...] = ("export", "package")) -> DataFrame:
+    """``files(path, content, kind)`` -> ``path, what, ord, key, source, reason``: one pass for every kind of record and of file.
+
+    Files whose ``kind`` is ``none`` are scanned for records (``what`` says which); ``reason`` is null where one is accepted, else
+    ``hash`` (no valid hash), ``decode`` (an export text that starts with three zero bytes) or ``short`` (one
+    character). Every other file gives one row with its kind in ``what``. Null and empty content gives no record.
+    """
+    scanners = {"export": export_records, "package": package_records}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(path, *r) for r in records(content or b"")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for path, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = [(path, kind, None, None, None, None)] if kind != "none" else [(path, what, *r) for what in kinds for r in scanners[what](content or b"")]
+                for at in range(0, len(rows), 10_000):
+                    yield _batch(rows[at : at + 10_000])
+
+    needed = F.when(F.col("kind") == "none", F.col("content"))
+    return _judged(files.select("path", "kind", needed.alias("content")).mapInArrow(run, _TAGGED))
+
 
-    found = files.select("path", "content").mapInArrow(run, "path string, ord long, key string, raw string, repair boolean")
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _TAGGED_KINDS, strict=True)], names=[f.split(" ")[0] for f in _TAGGED.split(", ")])
+
+
+def _judged(found: DataFrame) -> DataFrame:
     source = text.escape(F.when(F.col("repair"), text.repair_latin1(F.col("raw"))).otherwise(F.col("raw")))
-    valid = found.where(predicates.is_valid_hash(F.col("key")))
-    if kind == "export":
-        valid = valid.where(predicates.is_valid_decode(F.col("raw")))
-    kept = valid.withColumn("source", source).where(text.utf16_length(F.col("source")) != 1).select("path", "ord", "key", "source")
+    record = F.col("what").isin("export", "package")
+    reason = (
+        F.when(record & ~predicates.is_valid_hash(F.col("key")), "hash")
+        .when((F.col("what") == "export") & ~predicates.is_valid_decode(F.col("raw")), "decode")
+        .when(record & (text.utf16_length(F.col("source")) == 1), "short")
+    )
+    return found.withColumn("source", source).select("path", "what", "ord", "key", "source", reason.alias("reason"))
+
+
+def accepted(told: DataFrame, kind: str) -> DataFrame:
+    """Of tagged records the accepted ones of a kind: of an export the first of each key, of a package all."""
+    kept = told.where((F.col("what") == kind) & F.col("reason").isNull()).select("path", "ord", "key", "source")
     if kind == "package":
         return kept
     firsts = kept.groupBy("path", "key").agg(F.min_by(F.struct("ord", "source"), "ord").alias("r"))
     return firsts.select("path", "r.ord", "key", "r.source")
+
+
+def rejected(told: DataFrame) -> DataFrame:
+    """``path, ord, reason, line`` of the records that were not accepted; ``line`` is what the report of skipped lines shows."""
+    return told.where("reason is not null").select("path", "ord", "reason", F.concat("key", F.lit(","), F.when(F.col("reason") != "hash", F.col("source")).otherwise("")).alias("line"))
+
+
+class Span:
+    """Bytes of a file from ``start`` on, read as far as they are needed; what lies before :meth:`forget` goes."""
+
+    STEP = 1 << 20
+
+    def __init__(self, read_at, size: int, start: int):
+        self.read_at, self.size, self.base, self.data = read_at, size, start, b""
+
+    def need(self, end: int) -> None:
+        end = min(end, self.size)
+        have = self.base + len(self.data)
+        if end > have:
+            self.data += self.read_at(have, min(max(end, have + self.STEP), self.size) - have)
+
+    def cut(self, start: int, end: int) -> bytes:
+        self.need(end)
+        return self.data[start - self.base : end - self.base]
+
+    def find(self, what: bytes, start: int) -> int:
+        """The first place at or after ``start``, -1 where there is none up to the end of the file; nothing is kept on the way."""
+        at = start
+        while at < self.size:
+            inside = at >= self.base and at + len(what) <= self.base + len(self.data)
+            part, base = (self.data, self.base) if inside else (self.read_at(at, self.STEP), at)
+            i = part.find(what, at - base)
+            if i >= 0:
+                return base + i
+            if base + len(part) >= self.size:
+                return -1
+            at = base + len(part) - len(what) + 1
+        return -1
+
+    def forget(self, before: int, unless: int = 4 << 20) -> None:
+        if before - self.base > unless:
+            self.data, self.base = self.data[before - self.base :], before
+
+
+def export_candidates(span: Span, start: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """``(offset, next, from, to)`` of every place in ``[start, end)`` where an export record could begin, and where its text is."""
+    for at in range(start, end, Span.STEP):
+        stop = min(at + Span.STEP, end)
+        for m in _ANY_HASH.finditer(span.cut(at, stop + 31)):
+            i = at + m.start()
+            if i >= stop or i + 37 > span.size:
+                break
+            (size,) = struct.unpack("<i", span.cut(i + 33, i + 37))
+            if size > 0 and i + 36 + size <= span.size:
+                yield i, max(i + 36 + size, i + 1), i + 37, i + 36 + size
+        span.forget(stop)
+
+
+_ANY_HASH = re.compile(rb"(?=[0-9A-Fa-f]{32})")
+
+
+def package_candidates(span: Span, start: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """The same for package records. Of the starts that share a separator, those more than a record's tail behind the separator before
+    are left out but for the first that is accepted: nothing before them can end later."""
+    separator = judged = early = -1
+    tail, taken, valid = start + 36, False, False
+    i = start - 1
+    while (i := span.find(PACKAGE_START, i + 1)) >= 0 and i < end:
+        if separator < i + 2:
+            before, separator, taken = separator, span.find(PACKAGE_SEPARATOR, i + 2), False
+            if separator < 0:
+                return
+            if early < 0:  # the last one that a record of an earlier range can end at
+                early = span.find(PACKAGE_SEPARATOR, start + 1)
+            tail = max([start, before, *([early] if early < separator else [])]) + 36
+        if not taken and separator > i + 2:
+            if separator != judged:
+                judged, valid = separator, _digest(span.read_at(separator + 2, min(32, span.size - separator - 2)))
+            span.forget(i, 0)
+            found = next(package_records(span.cut(i, separator + 34)), None) if valid else None
+            if found is not None and found[0] == 0:
+                yield i, separator + 36, i, separator + 34
+                taken = i >= tail
+
+
+def _digest(raw: bytes) -> bool:
+    digest = raw.strip()
+    return bool(_HASH.fullmatch(digest)) and _valid(digest)
+
+
+def _opened(path: str):
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(re.sub(r"\Afile:/(?!/)", "file:///", path))
+    return store.open_input_file(name)
+
+
+def with_heads(files: DataFrame) -> DataFrame:
+    """``files(path, length)`` with their first bytes as ``content``, for the classifier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for path in batch.column(0).to_pylist():
+                with _opened(path) as f:
+                    heads.append(f.read_at(HEADER_BYTES, 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=["path", "length", "content"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, length long, content binary")
+
+
+def tagged_ranges(files: DataFrame, split_bytes: int = 128 << 20, kinds: tuple[str, ...] = ("export", "package")) -> DataFrame:
+    """As :func:`tagged`, of ``files(path, length)`` of any size: the records of the whole-file scan, whatever ``split_bytes`` is.
+
+    Byte ranges are scanned by tasks of their own for every place where a record could begin, reading beyond the range as
+    far as one needs. Which of them a scan from the start of the file would take is found by one pass over their
+    offsets, in order: the next one taken is the first behind the end of the last. Then the texts of these are read. Files are
+    opened by path, on any file system that pyarrow opens.
+    """
+    finders = {"export": export_candidates, "package": package_candidates}
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
+    ranges = files.select("path", "length", F.explode(starts).alias("start")).select("path", "length", "start", F.least(F.col("start") + split_bytes, "length").alias("end"))
+    schema = "path string, what string, offset long, next long, low long, high long"
+    kept = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kept, strict=True)], names=names)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(path) as f:
+                    for what in kinds:
+                        rows = []
+                        for found in finders[what](Span(lambda at, n, f=f: f.read_at(n, at), length, start), start, end):
+                            rows.append((path, what, *found))
+                            if len(rows) >= 10_000:
+                                yield batch_of(rows)
+                                rows = []
+                        if rows:
+                            yield batch_of(rows)
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, at = None, 0
+        for batch in batches:
+            keep = []
+            for k, (path, what, offset, following) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if (path, what) != now:
+                    now, at = (path, what), 0
+                if offset >= at:
+                    keep.append(k)
+                    at = following
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened, f = None, None
+        for batch in batches:
+            rows, held = [], 0
+            for path, what, offset, _, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if path != opened:
+                    if f is not None:
+                        f.close()
+                    opened, f = path, _opened(path)
+                raw = f.read_at(high - low, low)
+                if what == "export":
+                    rows.append((path, what, offset, f.read_at(32, offset).decode(), raw.decode("utf-8", "replace"), False))
+                else:
+                    _, key, own, repair = next(package_records(raw))
+                    rows.append((path, what, offset, key, own, repair))
+                held += len(raw)
+                if held > 32 << 20:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _batch(rows)
+        if f is not None:
+            f.close()
+
+    places = ranges.repartition("path", "start").mapInArrow(look, schema)
+    chain = places.repartition("path", "what").sortWithinPartitions("path", "what", "offset").mapInArrow(follow, schema)
+    dealt = chain.repartition("path", F.floor(F.col("offset") / split_bytes)).sortWithinPartitions("path", "offset")
+    return _judged(dealt.mapInArrow(read, _TAGGED))

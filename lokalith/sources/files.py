@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lokalith.functions import text
@@ -30,8 +30,23 @@ def load_catalog(lines: DataFrame, column: str = "value", *keep: str) -> DataFra
     return rows.withColumn("namespace", text.namespace_of(F.col("key")))
 
 
-def read_catalog(spark, path: str) -> DataFrame:
-    return load_catalog(spark.read.text(path))
+def text_lines(spark, path: str, *keep: str) -> DataFrame:
+    """``keep..., value, ord``: lines numbered from 0 in the order of part numbers, file names and places in the file.
+
+    Splits of the files (as many as scan tasks, however they are packed) are counted and shifted by those before; lines are not sorted.
+    """
+    meta = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    lines = spark.read.text(path).select(*keep, "value", *meta, F.monotonically_increasing_id().alias("_id"))
+    part = F.coalesce(F.regexp_extract("_file", r"part-(\d+)[^/]*\z", 1).try_cast("long"), F.lit(-1))
+    splits = lines.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(part, "_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifted = splits.select("_file", "_block", (before - F.col("_first")).alias("_shift"))
+    return lines.join(shifted, ["_file", "_block"]).select(*keep, "value", (F.col("_id") + F.col("_shift")).alias("ord"))
+
+
+def read_catalog(spark, path: str, *keep: str) -> DataFrame:
+    """``keep..., ord, key, source, translation, namespace`` in the order of the lines, also of a catalog in several parts."""
+    return load_catalog(text_lines(spark, path, *keep), "value", *keep, "ord")
 
 
 def csv_header(with_hash: bool = False, with_url: bool = False) -> str:
@@ -108,44 +123,6 @@ def journal_rows(lines: DataFrame, column: str = "value", order: str = "ord") ->
     return split.groupBy("source").agg(F.max_by("translation", order).alias("translation"))
 
 
-#: Fixed order: what would break a journal line, and how it is written there.
-_JOURNAL_MARKS = [("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")]
-
-
-def append_journal(rows: DataFrame, path: str, *order: str) -> None:
-    """A line for each ``source, translation``: a number that grows with every append, then both.
-
-    Tab, line ends and backslashes are written so that a line stays a line; catalog escapes and quotes stay as they are.
-    """
-    line = lambda x: _marked(F.coalesce(F.col(x), F.lit("")))
-    batch = F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSSSSS")
-    rows.select(F.concat_ws("\t", batch, line("source"), line("translation"))).write.mode("append").text(path)
-
-
-def _marked(c: Column) -> Column:
-    for mark, written in _JOURNAL_MARKS:
-        c = F.replace(c, F.lit(mark), F.lit(written))
-    return c
-
-
-def _unmarked(c: Column) -> Column:
-    """Backslashes first become a unit that no text holds."""
-    c = F.replace(c, F.lit("\\\\"), F.lit("\uf8ff\0"))
-    for mark, written in _JOURNAL_MARKS[1:]:
-        c = F.replace(c, F.lit(written), F.lit(mark))
-    return F.replace(c, F.lit("\uf8ff\0"), F.lit("\\"))
-
-
-def read_journal(spark, path: str) -> DataFrame:
-    """``source, translation`` of what :func:`append_journal` wrote; the last append of a source wins.
-
-    Files are named one by one, so a reading before and one after an append are not taken for the same scan.
-    """
-    cells = F.split("value", "\t", 3)
-    lines = spark.read.text(f"{path}/part-*").where(F.size(cells) == 3).select(cells[0].alias("batch"), _unmarked(cells[1]).alias("source"), _unmarked(cells[2]).alias("translation"))
-    return lines.groupBy("source").agg(F.max_by("translation", F.struct("batch", "translation")).alias("translation"))
-
-
 def _objects(root: object) -> Iterator[dict]:
     """Objects at any depth, parents before children, without recursion."""
     todo = [root]
@@ -159,7 +136,10 @@ def _objects(root: object) -> Iterator[dict]:
 
 
 def walk_json(df: DataFrame, column: str, *keep: str) -> DataFrame:
-    """Objects at any depth with ``Namespace`` and non-empty ``Key`` and ``SourceString``: ``keep..., namespace, key, source``.
+    """Objects at any depth with ``Namespace`` and non-empty ``Key`` and ``SourceString``: ``keep..., ord, namespace, key, source``.
+
+    ``ord`` is the number of the object among those of its text, parents before children. A null ``Namespace`` is the empty one; an
+    object without the field is none.
 
     Each text is parsed and walked once, inside Arrow batches; matched objects are searched as well. Texts that do not
     parse, null and empty ones, and ones nested deeper than the parser goes (thousands of levels) give nothing.
@@ -178,18 +158,20 @@ def walk_json(df: DataFrame, column: str, *keep: str) -> DataFrame:
                     root = json.loads(raw or "null")
                 except (ValueError, RecursionError):
                     continue
+                n = 0
                 for node in _objects(root):
                     values = [told(node.get(f)) for f in fields]
-                    if values[0] is not None and values[1] and values[2]:
+                    if fields[0] in node and values[1] and values[2]:
                         source.append(k)
-                        found.append(values)
+                        found.append([n, values[0] or "", *values[1:]])
+                        n += 1
             rows = batch.take(pa.array(source, pa.int32()))
-            texts = [pa.array([v[i] for v in found], pa.string()) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *texts], names=[*keep, "namespace", "key", "source"])
+            told_ = [pa.array([v[i] for v in found], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*rows.columns[:-1], *told_], names=[*keep, "ord", "namespace", "key", "source"])
 
     rows = df.select(*keep, F.col(column).alias("_json"))
     kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{kept}{', ' if keep else ''}namespace string, key string, source string")
+    return rows.mapInArrow(run, f"{kept}{', ' if keep else ''}ord long, namespace string, key string, source string")
 
 
 def string_tables(df: DataFrame, namespace: str, entries: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lokalith.functions import text
+from lokalith.functions import predicates, text
 from lokalith.functions.hashes import city64
 from lokalith.operators.catalog import disambiguated_names
 from lokalith.sources.files import dump
@@ -58,8 +58,8 @@ class _Reader:
         return raw.decode("latin-1" if n >= 0 else "utf-16-le", "replace")[:-1] if n else ""
 
 
-def header_of(data: bytes) -> dict:
-    """Version, flags, string-table offset and start of the key section."""
+def header_of(data: bytes, size: int | None = None) -> dict:
+    """Version, flags, string-table offset and start of the key section; ``data`` may be the head of a file of ``size`` bytes."""
     if data[:16] != MAGIC:
         raise ValueError("no string table")
     r, version = _Reader(data, 17), data[16]
@@ -67,7 +67,7 @@ def header_of(data: bytes) -> dict:
     if version == ENCRYPTED:
         number = r.number("i")
         encrypted = r.number("i") if number >= ENCRYPTED_VERSION else int(number >= 10000)
-    elif version == COMPACT and struct.unpack_from("<q", data, 17)[0] >= len(data):
+    elif version == COMPACT and struct.unpack_from("<q", data, 17)[0] >= (len(data) if size is None else size):
         number = r.number("i")  # compact with an explicit version number
     offset = r.number("q")
     entries = r.number("I") if version == ENCRYPTED else None
@@ -230,10 +230,15 @@ def patched_strings(files: DataFrame, catalog: DataFrame, key: Column, mark: str
     ``catalog(key, source, translation, ord)`` holds composite keys; of a repeated key the last row counts, its source where the
     translation is blank, rows with neither not at all. A translation that is empty once unescaped keeps the original.
     """
-    plain = F.when(F.trim(F.coalesce("translation", F.lit(""))) != "", F.col("translation")).otherwise(F.coalesce("source", F.lit("")))
-    usable = catalog.select(F.col("key").alias("c_key"), plain.alias("t"), "ord").where("trim(t) <> ''")
+    return patched_from(table_strings(files), decoded(files), catalog, key, mark)
+
+
+def patched_from(strings: DataFrame, entries: DataFrame, catalog: DataFrame, key: Column, mark: str) -> DataFrame:
+    """As :func:`patched_strings`, from strings and entries that are known."""
+    plain = F.when(~predicates.is_blank(F.col("translation")), F.col("translation")).otherwise(F.coalesce("source", F.lit("")))
+    usable = catalog.select(F.col("key").alias("c_key"), plain.alias("t"), "ord").where(~predicates.is_blank(F.col("t")))
     new = usable.groupBy("c_key").agg(F.max_by("t", "ord").alias("t")).select("c_key", text.unescape(F.col("t")).alias("t"))
-    named = table_strings(files).join(string_keys(decoded(files)), ["path", "str_idx"], "left").withColumn("c_key", text.composite_key(F.col("ns"), F.col("key")))
+    named = strings.join(string_keys(entries), ["path", "str_idx"], "left").withColumn("c_key", text.composite_key(F.col("ns"), F.col("key")))
     joined = named.join(new, "c_key", "left").withColumn("translated", F.coalesce(F.col("t") != "", F.lit(False)))
     return joined.select(
         "path", "str_idx", F.col("c_key").alias("key"),
@@ -298,11 +303,16 @@ def grouped(files: DataFrame, keep_blank: bool = False) -> DataFrame:
 
     Names are told apart before any table is decoded: where two base names are equal, all get their container.
     """
+    entries = grouped_entries(files).where("error is null").drop("error")
+    return entries if keep_blank else entries.where("value <> ''")
+
+
+def grouped_entries(files: DataFrame, read: DataFrame | None = None) -> DataFrame:
+    """As :func:`grouped`, blank values and a row with ``error`` for each damaged file included; ``read`` is what is decoded, the same files."""
     named = disambiguated_names(files.select("path", "container").distinct()).withColumnRenamed("path", "n_path").withColumnRenamed("container", "n_container")
-    entries = decoded(files.select(F.to_json(F.struct("path", "container")).alias("path"), "content")).where("error is null")
-    entries = entries if keep_blank else entries.where("value <> ''")
+    entries = decoded((files if read is None else read).select(F.to_json(F.struct("path", "container")).alias("path"), "content"))
     origin = F.from_json("path", "path string, container string")
-    told = entries.withColumn("o", origin).withColumn("path", F.col("o.path")).withColumn("container", F.col("o.container")).drop("o", "error")
+    told = entries.withColumn("o", origin).withColumn("path", F.col("o.path")).withColumn("container", F.col("o.container")).drop("o")
     return told.join(named, (F.col("path") == F.col("n_path")) & F.col("container").eqNullSafe(F.col("n_container"))).drop("n_path", "n_container")
 
 

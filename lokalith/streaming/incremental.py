@@ -1,26 +1,30 @@
-"""Incremental merge: a file stream of catalog rows folded into a stored catalog, batch by batch."""
+"""Incremental merge: a file stream of catalog rows folded into a keyed store, batch by batch."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lokalith.operators.catalog import collapse_old, merge
+from lokalith.streaming.store import Store
 
+CATALOG_ROWS = "key string, source string, translation string"
 
-def merge_stream(stream: DataFrame, store: str, checkpoint: str):
+
+def catalog_store(spark: SparkSession, path: str, buckets: int = 64) -> Store:
+    return Store(spark, path, CATALOG_ROWS, ["key"], buckets)
+
+
+def merge_stream(stream: DataFrame, store: str, checkpoint: str, buckets: int = 64):
     """Start a query that merges each micro-batch of ``key, source, translation`` with the catalog below ``store``.
 
-    Versions are written as ``store/v=<batch>``; a repeated batch overwrites its own version, so the merge is
-    exactly once. Older versions stay until the caller removes them.
+    A batch reads and writes the buckets of its keys. It is committed with its number under the name of the checkpoint, so
+    a repeated batch counts once, and a new checkpoint goes on from what the store holds. Of repeated keys in a batch the
+    first source and the last translation count. :meth:`Store.vacuum` removes old versions.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = collapse_old(batch.withColumn("ord", F.monotonically_increasing_id()))
-        path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/v={number - 1}")
-        if number and path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = merge(new, spark.read.parquet(f"{store}/v={number - 1}")).drop("state")
-        new.select("key", "source", "translation").write.mode("overwrite").parquet(f"{store}/v={number}")
+        kept = catalog_store(batch.sparkSession, store, buckets)
+        kept.commit(collapse_old(batch.withColumn("ord", F.monotonically_increasing_id())), merge, checkpoint, number)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
@@ -39,3 +39,52 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 def exists(spark: SparkSession, path: str) -> bool:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def listed(spark: SparkSession, glob: str) -> list[str]:
+    """Paths that match, in order of their names; none where the folder is missing."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return sorted(s.getPath().toString() for s in found or [])
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        stream.write(bytearray(body.encode()))
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, source: str, target: str) -> bool:
+    """False where ``target`` exists or the file system refuses."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (source, target))
+    store = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    return not store.exists(b) and store.rename(a, b)
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: a cut of lineage that survives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_cut_points(spark: SparkSession) -> None:
+    """Delete every table that this application has cut off."""
+    remove(spark, f"{shared_dir(spark)}/lokalith/{spark.sparkContext.applicationId}")

@@ -10,7 +10,7 @@ from lokalith.functions.hashes import city64
 from lokalith.operators import catalog
 from lokalith.plans import extract, translate
 from lokalith.schema import catalog_from
-from lokalith.sources import binscan, files, locres
+from lokalith.sources import binscan, files, journal, locres
 
 #: Fixed value: a compact string table of two entries.
 GOLDEN = bytes.fromhex(
@@ -133,14 +133,14 @@ def test_json_walk_has_no_depth_limit(spark):
 
 
 def test_stream_merges_batches(spark, tmp_path):
-    from lokalith.streaming.incremental import merge_stream
+    from lokalith.streaming.incremental import catalog_store, merge_stream
 
     schema = "key string, source string, translation string"
     for n, rows in enumerate(([("1", "a", "t")], [("1", "b", ""), ("2", "c", "")])):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         merge_stream(stream, str(tmp_path / "store"), str(tmp_path / "cp")).awaitTermination(60)
-    got = spark.read.parquet(str(tmp_path / "store" / "v=1")).collect()
+    got = catalog_store(spark, str(tmp_path / "store")).read().collect()
     assert sorted(map(tuple, got)) == [("1", "b", "t"), ("2", "c", "")]
 
 
@@ -202,9 +202,9 @@ def test_asset_kinds_and_reader(spark, tmp_path):
 def test_journal_round_trip(spark, tmp_path):
     path = str(tmp_path / "journal")
     odd = [('say ""x""', "t\\n1"), ("tab\there", "line\nend\r"), ("back\\slash \\t", ""), ("twice", "old")]
-    files.append_journal(spark.createDataFrame(odd, "source string, translation string"), path)
-    files.append_journal(spark.createDataFrame([("twice", "new")], "source string, translation string"), path)
-    assert sorted(map(tuple, files.read_journal(spark, path).collect())) == sorted([*odd[:3], ("twice", "new")])
+    journal.append(spark.createDataFrame(odd, "source string, translation string"), path)
+    journal.append(spark.createDataFrame([("twice", "new")], "source string, translation string"), path)
+    assert sorted(map(tuple, journal.read(spark, path).collect())) == sorted([*odd[:3], ("twice", "new")])
 
 
 def test_translation_asks_again_only_for_what_is_missing(spark, tmp_path):
@@ -332,12 +332,12 @@ def test_command_line(spark, tmp_path):
     raw = locres.encode([("ns", 5, "k1", 6, 1, "table text"), ("ns", 5, "k2", 7, 1, "None"), ("ns", 5, "k3", 8, 1, "")], locres.ENCRYPTED)
     (tmp_path / "in" / "p1" / "Game.locres").write_bytes(raw)
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    assert run(spark, ["extract", source, target]) == {"extracted": 2, "merged": 0, "added": 0, "total": 2}
+    assert run(spark, ["extract", source, target]) == {"extracted": 2, "merged": 0, "added": 0, "total": 2, "processed": 1, "damaged": 0}
     rows = {r["key"]: (r["source"], r["translation"]) for r in files.read_catalog(spark, target).collect()}
     assert rows == {digest.decode(): ("asset txt", ""), "ns::k1": ("table text", "")}
     done = spark.createDataFrame([("ns::k1", "table text", "Tisch"), ("gone", "old", "alt")], "key string, source string, translation string")
     files.write_catalog(done, target)
-    assert run(spark, ["extract", source, target, "--path", "GAME"]) == {"extracted": 1, "merged": 1, "added": 1, "total": 2}
+    assert run(spark, ["extract", source, target, "--path", "GAME"]) == {"extracted": 1, "merged": 1, "added": 1, "total": 2, "processed": 1, "damaged": 0}
     assert run(spark, ["encode", target, str(tmp_path / "made"), "--number", "1"]) == {"namespaces": 2, "entries": 2, "filled": 2}
     back = {(r["ns"], r["key"]): r["value"] for r in locres.read_locres(spark, str(tmp_path / "made")).collect()}
     assert back == {("ns", "k1"): "Tisch", ("", "gone"): "alt"}
@@ -348,7 +348,7 @@ def test_command_line(spark, tmp_path):
     files.write_catalog(spark.createDataFrame([("ns::k1", "x", "neu")], "key string, source string, translation string"), str(tmp_path / "more"))
     assert run(spark, ["patch", str(tmp_path / "sealed" / "out.locres"), str(tmp_path / "more"), str(tmp_path / "patched"), *sealed[1:]]) == {"translated": 1, "kept": 1, "total": 2}
     assert (tmp_path / "patched" / "out.locres").exists()
-    assert run(spark, ["tables", source, str(tmp_path / "folder")]) == {"extracted": 3, "merged": 0, "added": 0, "total": 3}
-    assert run(spark, ["tables", source, str(tmp_path / "folder")]) == {"extracted": 3, "merged": 3, "added": 0, "total": 3}
+    assert run(spark, ["tables", source, str(tmp_path / "folder")]) == {"extracted": 3, "merged": 0, "added": 0, "total": 3, "processed": 1, "damaged": 0}
+    assert run(spark, ["tables", source, str(tmp_path / "folder")]) == {"extracted": 3, "merged": 3, "added": 0, "total": 3, "processed": 1, "damaged": 0}
     with pytest.raises(SystemExit):
         run(spark, ["patch", "a", "b", "c"])
