@@ -44,7 +44,8 @@ def refresh(spark: SparkSession, source: str, state: str, read: Reader, glob: st
     content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     paths = [r.path for r in wanted.limit(LISTED + 1).collect()]
     # few files are named to the reader, so no other is opened; of many, the semi join keeps the rest from the scanner
-    found = content.load(paths if 0 < len(paths) <= LISTED else source).select("path", "content") if paths else spark.createDataFrame([], "path string, content binary")
+    named = len(paths) <= LISTED and not any(set("[]{}*?\\") & set(p) for p in paths)  # the reader takes such names for patterns
+    found = content.load(paths if named else source).select("path", "content") if paths else spark.createDataFrame([], "path string, content binary")
     found = found.join(wanted, "path", "left_semi").withColumn("sha256", F.sha2("content", 256))
     known = before.select("path", F.col("sha256").alias("_old"))
     told = settled(found.join(known, "path", "left").withColumn("same", F.coalesce(F.col("sha256") == F.col("_old"), F.lit(False))).drop("_old"), "contents")

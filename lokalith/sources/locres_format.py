@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringContains, StringStartsWith, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from lokalith.sources.locres import ENCRYPTED, ENTRY, header_of
@@ -115,7 +115,7 @@ class LocresReader(DataSourceReader):
             elif column == ("ns",) and isinstance(f, (EqualTo, In)):
                 given = set(f.value) if isinstance(f, In) else {f.value}
                 self.namespaces = given if self.namespaces is None else self.namespaces & given
-            else:
+            elif not (column == ("path",) and isinstance(f, IsNotNull)):  # no path is null
                 yield f
 
     def _wanted(self, path: str) -> bool:
