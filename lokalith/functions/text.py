@@ -1,7 +1,10 @@
-"""Text functions of the catalog as Column expressions; no Python on the data path."""
+"""Text functions of the catalog as Column expressions; all but the masked search stay in the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -116,14 +119,32 @@ def byte_find_ignore_case(content: Column, pattern: bytes) -> Column:
 
 
 def masked_finds(content: Column, pattern: list[int | None]) -> Column:
-    """All 0-based places, overlapping ones too, of a byte pattern in which None stands for any byte."""
-    regex = "".join("." if b is None else f"\\x{b:02x}" for b in pattern)
-    raw = F.decode(content, "ISO-8859-1")
-    pieces = F.split(raw, f"(?s)(?={regex})")  # cut before every occurrence; one at 0 leaves no piece before it
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
-    step = lambda acc, piece: F.struct((acc["at"] + F.length(piece)).alias("at"), F.array_append(acc["found"], acc["at"]).alias("found"))
-    starts = F.aggregate(pieces, start, step, lambda acc: acc["found"])
-    return F.when(raw.rlike(f"(?s)\\A{regex}"), starts).otherwise(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))))
+    """All 0-based places, overlapping ones too, of a byte pattern in which None stands for any byte. Null content: null.
+
+    One comparison for each byte of the pattern over the bytes of a whole batch, so the work does not grow with the hits.
+    """
+    fixed = [(k, b) for k, b in enumerate(pattern) if b is not None]
+
+    @F.arrow_udf("array<int>")
+    def found(column: pa.Array) -> pa.Array:
+        column = column.cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        hit = np.ones(max(len(data) - len(pattern) + 1, 0), bool)
+        for k, b in fixed:
+            hit &= data[k : k + len(hit)] == b
+        at = np.flatnonzero(hit)
+        row = np.searchsorted(ends, at, "right") - 1  # the row that a place lies in; empty rows hold none
+        inside = (row >= 0) & (row < len(column))
+        at, row = at[inside], row[inside]
+        inside = at + len(pattern) <= ends[row + 1]
+        at, row = at[inside], row[inside]
+        counts = np.bincount(row, minlength=len(column))
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array((at - ends[row]).astype(np.int32), pa.int32()))
+        return pc.if_else(column.is_valid(), lists, pa.scalar(None, lists.type)) if column.null_count else lists
+
+    return found(content)
 
 
 def to_bytes(c: Column) -> Column:

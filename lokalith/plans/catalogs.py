@@ -23,7 +23,7 @@ _MARK = "\x01"
 
 def read_tables(spark: SparkSession, source: str, part: str = "") -> DataFrame:
     """``path, container, content`` of the string tables below ``source``; paths that differ in case only count once a container."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[lL][oO][cC][rR][eE][sS]").load(source)
+    found = files.binary_files(spark, source, "*.[lL][oO][cC][rR][eE][sS]")
     plain = F.lower(F.replace("path", F.lit("\\"), F.lit("/")))
     return found.where(F.contains(plain, F.lit(part.replace("\\", "/").lower()))).select("path", extract.container_of(source).alias("container"), "content")
 

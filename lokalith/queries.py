@@ -486,7 +486,7 @@ def verify_counters(spark, d):
     return catalog.verify_counters(_t(spark, d, "documents").select(c("source").alias("namespace"), c("text").alias("source")))
 
 
-from lokalith import queries_files  # noqa: E402, F401
+from lokalith import queries_files, queries_scale  # noqa: E402, F401
 
 
 def queries() -> dict[str, Query]:

@@ -17,7 +17,7 @@ from lokalith.oracle import UNESC as _UNESC
 from lokalith.registry import query
 from lokalith.registry import table as _t
 from lokalith.schema import catalog_from
-from lokalith.sources import binscan, files, locres
+from lokalith.sources import binscan, files, locres, locres_format, locres_parts
 from lokalith.streaming.incremental import catalog_store, merge_stream
 from lokalith.workspace import fresh_path
 
@@ -292,18 +292,6 @@ def report_preview(spark, d):
     return catalog.preview(_t(spark, d, "documents").select("doc_id", "lang"), 30, "lang", "doc_id")
 
 
-@query("SELECT count(DISTINCT doc_id) AS processed, count(*) FILTER (WHERE doc_id % 10 = 0) AS errors FROM documents")
-def process_counters(spark, d):
-    rows = _t(spark, d, "documents").select(
-        c("doc_id").cast("string").alias("src_path"), c("doc_id").alias("ord"), F.lit("").alias("namespace"), F.lit(0).cast("long").alias("ns_hash"),
-        F.lit("k").alias("key"), F.lit(0).cast("long").alias("key_hash"),
-        F.lit(1).cast("long").alias("source_crc"), c("lang").alias("value"),
-    )
-    made = locres.encoded(rows).select(c("src_path").alias("path"), "content")
-    broken = made.withColumn("content", F.when(c("path").cast("long") % 10 == 0, F.lit(b"no table")).otherwise(c("content")))
-    return catalog.process_counters(locres.decoded(broken))
-
-
 @query(
     f"SELECT '# start' AS line UNION ALL SELECT '# end' UNION ALL SELECT 'k' || doc_id || '|\"' || {_ESC.format('text')} || '\"|' || lang AS line FROM documents"
 )
@@ -335,11 +323,6 @@ def csv_folder_sink(spark, d):
     return spark.read.text(path).select("csv_base_name", c("value").alias("line"))
 
 
-@query(f"SELECT {_ESC.format('text')} || chr(13) AS line FROM documents")
-def skipped_lines(spark, d):
-    return files.skipped_lines(_t(spark, d, "documents"), "text")
-
-
 def _dumped(spark, d) -> tuple[str, DataFrame]:
     path = fresh_path(spark, "dump")
     made = files.dump(_t(spark, d, "pages").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("name"), c("html").cast("binary").alias("content")), path)
@@ -364,8 +347,8 @@ def _written(spark, d, version: int, number: int | None = None) -> DataFrame:
     )
     path = fresh_path(spark, "tables")
     sealed = {"key": F.lit(_KEY_BYTES), "mark": MARK} if version == locres.ENCRYPTED else {}
-    locres.write_locres(rows, path, version=version, number=number, **sealed).write.format("noop").mode("overwrite").save()
-    return locres.read_locres(spark, path).withColumn("file", F.regexp_extract("path", r"[^/]*\z", 0))
+    locres_parts.write_tables(rows, path, version=version, number=number, part_bytes=1 << 20, **sealed)
+    return locres_format.load(spark, path).withColumn("file", F.regexp_extract("path", r"[^/]*\z", 0))
 
 
 _TABLE = "FROM documents WHERE doc_id % 9 <> 0"
@@ -412,8 +395,11 @@ _NEW = (
 def locres_patch_bytes(spark, d):
     """Template files patched to bytes, written and decoded again."""
     key = F.lit(_KEY_BYTES)
-    made = locres.patch_files(_template(spark, d), _patches(spark, d), key, MARK)
-    return locres.decoded(made).select("path", "key", text.decrypt_value(c("value"), key, MARK).alias("value"))
+    templates, target = fresh_path(spark, "templates"), fresh_path(spark, "patched")
+    locres_format.save(_template(spark, d).select(F.concat("path", F.lit(".locres")).alias("name"), "content"), templates)
+    locres_parts.patch_tables(templates, _patches(spark, d), target, key, MARK, part_bytes=1 << 20)
+    name = F.regexp_extract("path", r"([^/]*)[.]locres\z", 1)
+    return locres_format.load(spark, target, "path", "key", "value").select(name.alias("path"), "key", text.decrypt_value(c("value"), key, MARK).alias("value"))
 
 
 @query(

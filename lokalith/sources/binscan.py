@@ -252,7 +252,8 @@ def _digest(raw: bytes) -> bool:
     return bool(_HASH.fullmatch(digest)) and _valid(digest)
 
 
-def _opened(path: str):
+def opened_file(path: str):
+    """A file for reading at any place, by a path of any file system that pyarrow opens."""
     from pyarrow import fs
 
     store, name = fs.FileSystem.from_uri(re.sub(r"\Afile:/(?!/)", "file:///", path))
@@ -266,7 +267,7 @@ def with_heads(files: DataFrame) -> DataFrame:
         for batch in batches:
             heads = []
             for path in batch.column(0).to_pylist():
-                with _opened(path) as f:
+                with opened_file(path) as f:
                     heads.append(f.read_at(HEADER_BYTES, 0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.binary())], names=["path", "length", "content"])
 
@@ -294,7 +295,7 @@ def tagged_ranges(files: DataFrame, split_bytes: int = 128 << 20, kinds: tuple[s
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, length, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with _opened(path) as f:
+                with opened_file(path) as f:
                     for what in kinds:
                         rows = []
                         for found in finders[what](Span(lambda at, n, f=f: f.read_at(n, at), length, start), start, end):
@@ -325,7 +326,7 @@ def tagged_ranges(files: DataFrame, split_bytes: int = 128 << 20, kinds: tuple[s
                 if path != opened:
                     if f is not None:
                         f.close()
-                    opened, f = path, _opened(path)
+                    opened, f = path, opened_file(path)
                 raw = f.read_at(high - low, low)
                 if what == "export":
                     rows.append((path, what, offset, f.read_at(32, offset).decode(), raw.decode("utf-8", "replace"), False))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -178,9 +180,22 @@ def string_tables(df: DataFrame, namespace: str, entries: str) -> DataFrame:
     return df.select(F.col(namespace).alias("namespace"), F.explode(entries).alias("key", "source"))
 
 
+def binary_files(spark, path: str, glob: str = "*") -> DataFrame:
+    """``path, length, content`` of every file below ``path``, empty ones too, which Spark's own reader leaves out.
+
+    Their names come from the reader's listing, which the driver holds anyway.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "length", "content")
+    listed = [(re.sub(r"\Afile:/+", "file:/", unquote(p)),) for p in found.inputFiles()]
+    if not listed:
+        return found
+    empty = spark.createDataFrame(listed, "path string").join(found.select("path"), "path", "left_anti")
+    return found.unionByName(empty.select("path", F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+
+
 def manifest(spark, path: str) -> DataFrame:
     """Path, size and SHA-256 of every file below ``path``; :meth:`orderBy` the path for the printed list."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = binary_files(spark, path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 

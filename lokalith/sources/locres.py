@@ -11,6 +11,7 @@ import struct
 import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ from pyspark.sql.types import LongType
 from lokalith.functions import predicates, text
 from lokalith.functions.hashes import city64
 from lokalith.operators.catalog import disambiguated_names
-from lokalith.sources.files import dump
+from lokalith.sources.files import binary_files, dump
 
 #: Fixed values of the format: magic, and the version number of encrypted files.
 MAGIC = bytes.fromhex("0E147475674A03FC4A15909DC3377F1B")
@@ -146,7 +147,7 @@ def decoded(files: DataFrame) -> DataFrame:
 
 def read_locres(spark, path: str) -> DataFrame:
     """Entries of all string tables below ``path``; names are pruned before any byte is read."""
-    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.locres").load(path))
+    return decoded(binary_files(spark, path, "*.locres"))
 
 
 def encoded(rows: DataFrame, group: str = "src_path", version: int = COMPACT, number: int | None = None) -> DataFrame:
@@ -172,7 +173,9 @@ def fallback_hash(texts: pa.Array) -> pa.Array:
 
     For keys without a stored hash only: which half a reader expects depends on what built the file.
     """
-    return pa.array([city64(t.encode("utf-16-le", "surrogatepass")) >> 32 if t else 0 for t in texts.to_pylist()], pa.int64())
+    raw = [(t or "").encode("utf-16-le", "surrogatepass") for t in texts.to_pylist()]
+    upper = (city64(raw) >> 32).astype("int64")
+    return pa.array(np.where([not t for t in raw], 0, upper), pa.int64())
 
 
 def table_rows(rows: DataFrame, version: int = COMPACT, key: Column | None = None, mark: str | None = None) -> DataFrame:
