@@ -4,11 +4,11 @@
 2. Equal fingerprints become one node. All later steps see nodes only, so groups of copies cost nothing.
 3. From all nodes: a 64 x 64 bit co-occurrence matrix (fixed size). Bits that vary together are put in the
    same partition, and a dynamic program gives each partition its own threshold ``t_i`` with
-   ``sum(t_i) = max_distance - partitions + 1`` (``-1``: not probed), at the least cost estimated from the counts:
-   keys that a node emits, and pairs that then share a key. Two fingerprints within ``max_distance`` then agree up
+   ``sum(t_i) = max_distance - partitions + 1`` (``-1``: not probed), at the least cost: keys that a node emits, and pairs that
+   then share a key, counted on the pairs of a sample of nodes, as bits of one partition are not independent. Two fingerprints within ``max_distance`` then agree up
    to ``t_i`` bits in at least one partition.
-4. Probe: a node emits one key for each way of ignoring ``t_i`` bits of partition ``i``. One shuffle brings the nodes of a
-   key together; keys of a single node leave at once.
+4. Probe: a node emits one key for each way of ignoring ``t_i`` bits of partition ``i``. Keys are counted by partial sums, and
+   those of a single node leave at once; counts of frequent keys are looked up by broadcast, so their nodes stay spread.
 5. Verify: within a key all pairs are compared by exclusive or and bit count, many keys at a time, and only links that
    join two so far separate parts of the key's nodes are emitted. So no link between different texts is lost and a
    key never gives more links than nodes. Keys of more than ``TILE`` nodes are cut into tiles, and each pair of tiles
@@ -20,12 +20,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from itertools import accumulate, combinations
-from math import acos, pi, sqrt
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lokalith.llm.components import components
@@ -34,6 +33,8 @@ from lokalith.llm.shared import lookup, materialise, text_of
 BITS, WIDE_BITS = 64, 128
 #: Cost of comparing a pair, where emitting, moving and sorting a key is 1.
 PAIR_COST = 1 / 128
+#: Nodes whose pairs the plan's estimates are counted on.
+PLAN_SAMPLE = 2048
 #: Nodes of a key that are verified in one go.
 TILE = 4096
 _BLOCK = 1 << 15
@@ -127,35 +128,51 @@ def correlated_partitions(n: int, both: np.ndarray, parts: int) -> list[list[int
     return out
 
 
-def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
-    """Thresholds of the partitions by dynamic programming: the least keys, plus pairs that share one, a node."""
-    from math import comb
-
+def shared_keys(p: np.ndarray, sample: np.ndarray, bits: list[int], distance: int) -> list[float]:
+    """For each threshold up to ``distance`` the keys that two nodes share on average: counted over all pairs of the sampled fingerprints,
+    and no less than independent bits would give, so that pairs too rare for the sample count as well."""
     same = 1 - 2 * p * (1 - p)  # two nodes agree in a bit
+    agree, ignored = float(np.prod(same[bits])), [1.0] + [0.0] * distance
+    for b in bits:  # elementary symmetric sums: over all choices of ignored bits, how much likelier the rest agrees
+        for t in range(distance, 0, -1):
+            ignored[t] += ignored[t - 1] / max(float(same[b]), 1e-9)
+    masked = sample & np.uint64(sum(1 << b for b in bits))
+    differ = np.zeros(len(bits) + 1)
+    for k in range(1, len(masked)):
+        differ += np.bincount(np.bitwise_count(masked[k:] ^ masked[:-k]), minlength=len(differ))
+    pairs = max(differ.sum(), 1)
+    # two nodes that differ in h bits agree on the keys that ignore these and any t - h others
+    counted = [sum(differ[h] * comb(len(bits) - h, t - h) for h in range(min(t, len(bits)) + 1)) / pairs for t in range(distance + 1)]
+    return [max(c, agree * ignored[t]) for t, c in enumerate(counted)]
+
+
+def allocate(n: int, p: np.ndarray, groups: list[list[int]], distance: int, sample: np.ndarray) -> tuple[float, list[int]]:
+    """Thresholds of the partitions by dynamic programming: the least keys, plus pairs that share one, a node."""
     spend = distance - len(groups) + 1
     costs = []
     for bits in groups:
-        agree, ignored, cost = float(np.prod(same[bits])), [1.0] + [0.0] * distance, {-1: 0.0}
-        for b in bits:  # elementary symmetric sums: over all choices of ignored bits, how much likelier the rest agrees
-            for t in range(distance, 0, -1):
-                ignored[t] += ignored[t - 1] / max(float(same[b]), 1e-9)
-        for t in range(min(distance, len(bits)) + 1):
-            cost[t] = comb(len(bits), t) + PAIR_COST * n * agree * ignored[t]
-        costs.append(cost)
+        shared = shared_keys(p, sample, bits, distance)
+        costs.append({-1: 0.0} | {t: comb(len(bits), t) + PAIR_COST * n * shared[t] for t in range(min(distance, len(bits)) + 1)})
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for cost in costs:
         best = {total: min((b + c, [*ts, t]) for s, (b, ts) in best.items() for t, c in cost.items() if s + t == total) for total in {s + t for s in best for t in cost}}
     return best.get(spend, (float("inf"), []))
 
 
-def probe_masks(n: int, both: np.ndarray, distance: int) -> list[int]:
+def probe_masks(n: int, both: np.ndarray, distance: int, sample: np.ndarray) -> list[int]:
     """Masks of the bits that a key keeps: one for each partition probed and each choice of ignored bits."""
     p = np.diag(both) / max(n, 1)
-    found = [(*allocate(n, p, g, distance), g) for g in (correlated_partitions(n, both, k) for k in range(1, distance + 2))]
+    found = [(*allocate(n, p, g, distance, sample), g) for g in (correlated_partitions(n, both, k) for k in range(1, distance + 2))]
     _, thresholds, groups = min(found, key=lambda x: x[0])
     return [sum(1 << b for b in bits if b not in out) for bits, t in zip(groups, thresholds, strict=True) if t >= 0 for out in combinations(bits, t)]
 
 
+def sampled(nodes: DataFrame, rows: int = PLAN_SAMPLE) -> np.ndarray:
+    """Fingerprints of the ``rows`` nodes with the smallest hashes: what the plan's estimates, and nothing else, are counted on."""
+    kept = nodes.select("fp", F.xxhash64("node", "fp").alias("h")).orderBy("h", "fp").limit(rows).collect()
+    return np.array([r["fp"] for r in kept], dtype=np.int64).view(np.uint64)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -213,30 +230,24 @@ def near_links(nodes: DataFrame, distance: int = 2, wide_distance: int | None =
     if distance < 0:
         raise ValueError("distance must not be negative")
     n, both = bit_statistics(nodes)
-    masks = [_signed(m) for m in probe_masks(n, both, distance)]
-    keys = nodes.select("node", "fp", "w1", "w2", F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("value", F.col("mask").bitwiseAND(F.col("fp")))
-    shared = keys.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mask", "value"))).where("n > 1")
-    fields = ["mask", "value", "n", "node", "fp", "w1", "w2"]
-    none = pa.nulls
+    masks = [_signed(m) for m in probe_masks(n, both, distance, sampled(nodes))]
+    each = nodes.select("node", "fp", "w1", "w2", F.explode(F.array(*map(F.lit, masks))).alias("mask"))
+    keys = each.withColumn("key", F.struct("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"))).drop("mask")
+    counts = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("many", F.col("n")), "keys")
+    shared = lookup(keys, counts, "key", "many", "n", "node").where("many is not null")
+    shared = materialise(shared.select("key.*", F.col("many").alias("n"), "node", "fp", "w1", "w2"), "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def told(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(none(len(a), pa.int64()) for _ in fields)], names=["a", "b", *fields])
-
         def links(table: pa.Table) -> pa.RecordBatch:
             mask, value = (table.column(c).to_numpy() for c in ("mask", "value"))
             key = np.cumsum(np.concatenate([[0], (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]))
             node, sketches = _arrays(table)
-            return told(*verified(key, node, sketches, distance, wide_distance))
+            a, b = verified(key, node, sketches, distance, wide_distance)
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            large = pc.greater(batch.column("n"), TILE)
-            if pc.any(large).as_py():
-                rest = batch.filter(large)
-                yield pa.RecordBatch.from_arrays([none(rest.num_rows, pa.int64()), none(rest.num_rows, pa.int64()), *rest.columns], names=["a", "b", *fields])
-                batch = batch.filter(pc.invert(large))
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
@@ -250,11 +261,11 @@ def near_links(nodes: DataFrame, distance: int = 2, wide_distance: int | None =
         if held is not None and held.num_rows:
             yield links(held)
 
-    schema = ", ".join(f"{c} long" for c in ["a", "b", *fields])
-    found = materialise(shared.select(*fields).mapInArrow(run, schema), "verified")
-    large = found.where("a is null").select(*fields)
+    few = shared.where(F.col("n") <= TILE).repartition("mask", "value").sortWithinPartitions("mask", "value")
+    found = few.mapInArrow(run, "a long, b long")
+    large = shared.where(F.col("n") > TILE)
     if large.isEmpty():
-        return found.where("a is not null").select("a", "b").distinct()
+        return found.distinct()
 
     def tile(table: pa.Table) -> pa.Table:
         node, sketches = _arrays(table)
@@ -266,24 +277,24 @@ def near_links(nodes: DataFrame, distance: int = 2, wide_distance: int | None =
         "mask", "value", F.least("r", "o").alias("lo"), F.greatest("r", "o").alias("hi"), "node", "fp", "w1", "w2",
     )
     more = paired.groupBy("mask", "value", "lo", "hi").applyInArrow(tile, "a long, b long")
-    return found.where("a is not null").select("a", "b").unionByName(more).distinct()
+    return found.unionByName(more).distinct()
 
 
-def _grouped(docs: DataFrame, node: Column, distance: int, wide_distance: int | None = None) -> DataFrame:
+def _grouped(docs: DataFrame, distance: int, wide_distance: int | None = None) -> DataFrame:
     """``docs(doc_id, h, fp, w1, w2)`` with ``lead``, the smallest ``(id, h)`` of the component; null ids come after all others.
 
-    ``node`` stands for all that is compared: documents of one node are never told apart.
+    Equal sketches, compared as they are, become one numbered node: its documents are never told apart.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("id"), F.col("h").alias("h"))
-    sketches = [F.any_value(c).alias(c) for c in ("fp", "w1", "w2")]
-    own = docs.withColumn("node", node)
-    nodes = materialise(own.groupBy("node").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"), *sketches), "nodes")
+    own = docs.withColumn("sketch", F.struct("fp", "w1", "w2"))
+    each = own.groupBy("sketch").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n"))
+    nodes = materialise(each.select("sketch", "sketch.*", "first", "n", F.monotonically_increasing_id().alias("node")), "nodes")
     roots = components(near_links(nodes, distance, wide_distance)).withColumnRenamed("node", "of")
-    placed = nodes.join(roots, nodes["node"] == roots["of"], "left").select("node", "first", "n", F.coalesce("root", "node").alias("root"))
+    placed = nodes.join(roots, nodes["node"] == roots["of"], "left").select("sketch", "node", "first", "n", F.coalesce("root", "node").alias("root"))
     placed = materialise(placed, "placed")
     lowest = materialise(placed.groupBy("root").agg(F.min("first").alias("lead"), F.count(F.lit(1)).alias("m")), "leads")
-    leads = materialise(lookup(placed.select("node", "n", "root"), lowest, "root", "lead", "m", "node"), "node-leads")
-    return lookup(own, leads.select("node", "lead", "n"), "node", "lead", "n", "doc_id", "h")
+    leads = materialise(lookup(placed.select("sketch", "node", "n", "root"), lowest, "root", "lead", "m", "node"), "node-leads")
+    return lookup(own, leads.select("sketch", "lead", "n"), "sketch", "lead", "n", "doc_id", "h")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distance: int = 2) -> DataFrame:
@@ -294,7 +305,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     are ignored for ``component_id`` (null where a component has no other). An empty table gives an empty result.
     """
     docs = materialise(fingerprints(df, id_col, text_col, width), "fingerprints")
-    return _grouped(docs, F.col("fp"), distance).select("doc_id", "fp", F.col("lead.id").alias("component_id"))
+    return _grouped(docs, distance).select("doc_id", "fp", F.col("lead.id").alias("component_id"))
 
 
 def wide_bound(similarity: float) -> int:
@@ -320,6 +331,6 @@ def keep_first(
     """
     docs = materialise(fingerprints(df, id_col, text_col, width, wide_width), "fingerprints")
     mine = F.col("doc_id").eqNullSafe(F.col("lead.id")) & (F.col("h") == F.col("lead.h"))
-    grouped = _grouped(docs, F.xxhash64("fp", "w1", "w2"), distance, wide_bound(similarity))
+    grouped = _grouped(docs, distance, wide_bound(similarity))
     gone = grouped.where(~mine).select(F.col("doc_id").alias("gone_id"), F.col("h").alias("gone_h")).distinct()
     return df.join(gone, df[id_col].eqNullSafe(gone["gone_id"]) & (F.xxhash64(text_of(text_col)) == gone["gone_h"]), "left_anti")

@@ -186,10 +186,53 @@ def test_allocation_covers_distance():
     for k in (1, 2, 3):
         groups = simhash.correlated_partitions(1000, both, k)
         assert sorted(b for g in groups for b in g) == list(range(64))
-        cost, t = simhash.allocate(10**9, np.full(64, 0.5), groups, 2)
+        sample = np.random.default_rng(1).integers(0, 1 << 63, 200, dtype=np.uint64)
+        cost, t = simhash.allocate(10**9, np.full(64, 0.5), groups, 2, sample)
         assert sum(t) == 2 - k + 1 and cost > 0
 
 
+def _grouped_bits(rng, n, groups=8):
+    """Fingerprints of ``groups`` groups of bits that nearly always agree within a group."""
+    bits = np.repeat(rng.integers(0, 2, (n, groups), dtype=np.uint8), 64 // groups, axis=1) ^ (rng.random((n, 64)) < 0.1)
+    return np.packbits(bits, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+
+
+def test_allocation_counts_what_correlated_bits_share():
+    rng = np.random.default_rng(3)
+    fps = _grouped_bits(rng, 20_000)
+    bits = ((fps[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)).astype(np.float64)
+    both = bits.T @ bits
+    p = np.diag(both) / len(fps)
+    found = {}
+    for k in (1, 2, 3):
+        groups = simhash.correlated_partitions(len(fps), both, k)
+        for bits_of in groups:
+            mask = np.uint64(sum(1 << b for b in bits_of))
+            _, counts = np.unique(fps & mask, return_counts=True)
+            real = float((counts * (counts - 1)).sum()) / len(fps) / (len(fps) - 1)
+            assert 0.5 * real < simhash.shared_keys(p, fps[:2048], bits_of, 2)[0] < 2 * real + 1e-5
+        found[k] = simhash.allocate(10**9, p, groups, 2, fps[:2048])
+    unaware = {k: simhash.allocate(10**9, p, simhash.correlated_partitions(len(fps), both, k), 2, fps[:1]) for k in (1, 2, 3)}
+    assert min(unaware, key=lambda k: unaware[k][0]) != min(found, key=lambda k: found[k][0])  # another plan than independent bits suggest
+
+
+def test_a_frequent_key_is_spread(spark):
+    """Half of the nodes share every key but one bit pair in the last bits: they are dealt to many tasks before any is compared."""
+    n = 6000
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(F.xxhash64("id")).alias("fp"), F.lit(0).cast("long").alias("w1"), F.lit(0).cast("long").alias("w2"))
+    links = simhash.near_links(nodes, 2)
+    assert links.count() >= n // 2 - 1  # even numbers below 6000 are connected by single bits
+    from lokalith.llm.components import components
+
+    assert components(links).where("node % 2 = 0").select("root").distinct().count() == 1
+
+
+def test_unlike_sketches_of_one_hash_are_two_nodes(spark):
+    docs = spark.createDataFrame([(1, 1, 0, 0, 1), (2, 2, -1, 0, 1), (3, 3, 0, 0, 1)], "doc_id long, h long, fp long, w1 long, w2 long")
+    got = {r["doc_id"]: r["lead"]["id"] for r in simhash._grouped(docs, 0).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_dedup_edges_and_collisions(edge, none, keep):
     weak = lambda t: F.unhex(F.substring(F.md5(t), 1, 1).cast("string"))  # noqa: E731  nearly everything collides
