@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from lokalith.llm.shared import text_of
 
 UNKNOWN = "und"
-#: Bound of the training sample: about so many rows a language, at most twice as many in all, a stretch of so many
-#: characters of each; so many languages, the most frequent ones.
-SAMPLE_ROWS, SAMPLE_CHARS, LANGUAGES = 400, 300, 256
+#: Bound of the training sample: about so many rows a language, about so many of all languages (so fewer of each where there are
+#: more than 256 of them, one at least), at most twice as many; a stretch of so many characters of each.
+SAMPLE_ROWS, SAMPLE_CHARS, ALL_ROWS = 400, 300, 102_400
 DICTIONARY_BYTES = 112 << 10
 #: Settings of the compressor, fixed so that they do not follow input sizes.
 SETTINGS = {"window_log": 21, "hash_log": 17, "chain_log": 17, "search_log": 2, "min_match": 4, "target_length": 32, "strategy": 6}
@@ -40,21 +40,23 @@ def normal(text: str) -> bytes:
 def learn(df: DataFrame, usable: Column, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> dict[str, bytes]:
     """Raw dictionaries by language from the rows of ``df`` where ``usable`` and ``lang_col`` is not null.
 
-    The sample is bounded: of the LANGUAGES most frequent languages about SAMPLE_ROWS rows each, by hash of id and
-    text at a rate that follows from the counts over all rows; equal texts of a language are one row, and of all these
+    Every language is learned. The sample is bounded: about SAMPLE_ROWS rows a language and ALL_ROWS in all, by hash of id and
+    text (the lowest hash of a language in any case) at a rate that follows from the counts over all rows; equal texts of a language are one row, and of all these
     the first by hash up to twice the expected number. Of each text SAMPLE_CHARS characters are taken, from a
     place that its hash decides. Null and empty texts are not used.
     """
     text = text_of(text_col)
     rows = df.where(usable & F.col(lang_col).isNotNull() & (F.length(text) > 0)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(id_col, text).alias("h"))
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lowest")).collect()  # a row a language
     counts = {r["lang"]: r["n"] for r in found}
     if not counts:
         return {}
-    rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, SAMPLE_ROWS / n) * (1 << 20)))])
+    each = max(1, min(SAMPLE_ROWS, ALL_ROWS // len(counts)))
+    told = [(r["lang"], math.ceil(min(1.0, each / r["n"]) * (1 << 20)), r["lowest"]) for r in found]
+    rates = df.sparkSession.createDataFrame(told, "lang string, rate long, lowest long")
     place = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
-    chosen = rows.where(F.pmod("h", F.lit(1 << 20)) < rate[F.col("lang")]).groupBy("lang", F.xxhash64("text").alias("t")).agg(F.min(F.substr("text", place, F.lit(SAMPLE_CHARS))).alias("text"))
-    sample = chosen.orderBy(F.xxhash64("t", "lang"), "lang").limit(2 * SAMPLE_ROWS * len(counts)).collect()
+    chosen = rows.join(rates, "lang").where((F.pmod("h", F.lit(1 << 20)) < F.col("rate")) | (F.col("h") == F.col("lowest"))).groupBy("lang", F.xxhash64("text").alias("t")).agg(F.min(F.substr("text", place, F.lit(SAMPLE_CHARS))).alias("text"))
+    sample = chosen.orderBy(F.xxhash64("t", "lang"), "lang").limit(2 * each * len(counts)).collect()
     out: dict[str, bytes] = {}
     for lang in sorted(counts):
         out[lang] = b"".join(normal(r["text"]) for r in sample if r["lang"] == lang)[-DICTIONARY_BYTES:]

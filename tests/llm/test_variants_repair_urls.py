@@ -256,3 +256,40 @@ def test_url_edges(spark):
     assert got.columns == ["page_id", "url", "other", "host", "path", "rule", "verdict", "pattern"]
     assert _rows(got) == [(1, None, "x", "", "", None, "allow", None)] * 2
     assert _rows(urls.judge(pages.limit(0), urls.rules_of(spark, queries.SITES))) == []
+
+
+# -- what was cut off before ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("inserted", [0, 6, 7, 20, 100])
+def test_license_with_inserted_words_is_one_match(spark, inserted):
+    from lokalith.llm import licenses
+
+    name = max((n for n in licenses.TEMPLATES), key=lambda n: len(licenses.TEMPLATES[n]))
+    words = licenses.TEMPLATES[name].split()
+    half = len(words) // 2
+    text = "before it " + " ".join([*words[:half], *(f"foreign{k}" for k in range(inserted)), *words[half:]]) + " behind it"
+    found = [r for r in licenses.license_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect() if r["template"] == name]
+    assert len(found) == 1 and found[0]["coverage"] == 1.0
+    assert text[found[0]["start_char"] : found[0]["end_char"]].split()[0] == words[0] and text[: found[0]["end_char"]].endswith(words[-1].rstrip(".>"))
+
+
+def test_copies_of_a_license_stay_apart_and_no_templates_are_none(spark):
+    from lokalith.llm import licenses
+
+    name = max((n for n in licenses.TEMPLATES), key=lambda n: len(licenses.TEMPLATES[n]))
+    text = " and ".join([licenses.TEMPLATES[name]] * 3)
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert sum(r["template"] == name and r["coverage"] == 1.0 for r in licenses.license_spans(df).collect()) == 3
+    assert licenses.license_spans(df, templates={}).count() == 0
+
+
+def test_rare_languages_are_learned_too(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lokalith.llm import langid
+
+    monkeypatch.setattr(langid, "ALL_ROWS", 40)
+    rows = [(k, f"{chr(97 + n // 26)}{chr(97 + n % 26)}{chr(97 + n // 26)}" * 20 + f" {k}", f"l{n:03}") for k, n in enumerate([n for n in range(60) for _ in range(1 if n > 50 else 9)])]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert len(model) >= 55 and {f"l{n:03}" for n in range(51, 60)} <= set(model)
