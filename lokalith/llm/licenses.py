@@ -3,8 +3,9 @@
 Words of a text are hashed in runs of ``GRAM``; of every ``WINNOW`` neighbouring hashes the smallest is kept, in
 texts and templates alike, so any match of ``GRAM + WINNOW - 1`` words shares a fingerprint. An inverted index
 from fingerprint to (template, place) gives diagonals. Neighbouring ones are merged, long templates need two
-fingerprints there, and the template is aligned with the text inside a band around each; what covers enough of the
-template is reported with its character span.
+fingerprints there, and the template is aligned with the text inside a band around each, and across the bands of diagonals
+that lie within the template's length of each other, so that words inserted or left out anywhere, up to that many, do not
+break a match; what covers enough of the template is reported with its character span.
 """
 
 from __future__ import annotations
@@ -187,6 +188,43 @@ def centres(diagonals: dict[int, set[int]], least: int) -> list[int]:
     return sorted(out)
 
 
+def align_chain(template: list[str], words: list[str], diagonals: list[int], band: int = BAND + NEAR) -> tuple[int, int, int]:
+    """As :func:`align`, over the bands of several diagonals: a match may go from one to another, over inserted or missing words.
+
+    The longest common subsequence of the equal words inside the bands, row by row, over prefix maxima of places in the text.
+    """
+    offsets = sorted({d + b for d in diagonals for b in range(-band, band + 1)})
+    cells = [[j for o in offsets if 0 <= (j := i + o) < len(words) and words[j] == word] for i, word in enumerate(template)]
+    rank = {j: k + 1 for k, j in enumerate(sorted({j for row in cells for j in row}))}
+    tree = [(0, 0)] * (len(rank) + 1)  # matched, first place; maxima over prefixes of places
+    best = (0, 0, 0)
+    for row in cells:
+        new = []
+        for j in row:
+            k, before = rank[j] - 1, (0, 0)
+            while k > 0:
+                before = max(before, tree[k])
+                k -= k & -k
+            new.append((j, (before[0] + 1, before[1] if before[0] else j)))
+        for j, found in new:
+            k = rank[j]
+            while k < len(tree):
+                tree[k] = max(tree[k], found)
+                k += k & -k
+            best = max(best, (*found, -j))
+    return best[0], best[1], -best[2]
+
+
+def chains(diagonals: list[int], reach: int) -> list[list[int]]:
+    """Groups of two or more diagonals that lie within ``reach`` words of their lowest, none part of another."""
+    out: list[list[int]] = []
+    for k, d in enumerate(diagonals):
+        own = [x for x in diagonals[k:] if x <= d + reach]
+        if len(own) > 1 and not (out and out[-1][-1] == own[-1]):
+            out.append(own)
+    return out
+
+
 def scan(text: str, templates: tuple[tuple[str, str], ...], coverage: float = COVERAGE) -> list[tuple[str, float, int, int]]:
     """``(template, coverage, start, end)`` of every match, in characters of ``text``, by start and name.
 
@@ -203,11 +241,18 @@ def scan(text: str, templates: tuple[tuple[str, str], ...], coverage: float = CO
     out = []
     for t, own in diagonals.items():
         name, template = known[t]
-        matches = []
+        matches, broken = [], []
         for diagonal in centres(own, 2 if len(template) >= LONG_WORDS else 1):
             n, first, last = align(template, words, diagonal, BAND + NEAR)
             if n and n / len(template) >= coverage:
                 matches.append((n / len(template), first, last))
+            if n < len(template):
+                broken.append(diagonal)
+        if len(template) >= LONG_WORDS:
+            for group in chains(broken, len(template)):
+                n, first, last = align_chain(template, words, group)
+                if n / len(template) >= coverage:
+                    matches.append((n / len(template), first, last))
         taken: list[tuple[int, int]] = []
         for share, first, last in sorted(matches, key=lambda m: (-m[0], m[2] - m[1], m[1])):
             if all(last < a or first > b for a, b in taken):
@@ -222,7 +267,7 @@ def license_spans(df: DataFrame, templates: dict[str, str] | None = None, id_col
     Texts without a match, null and empty texts give no row; repeated rows and null ids as often as they come. Spans are
     of the text as it is, also where lower case has other lengths. An empty table gives an empty result.
     """
-    known = tuple((templates or TEMPLATES).items())
+    known = tuple((TEMPLATES if templates is None else templates).items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
