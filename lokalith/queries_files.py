@@ -14,6 +14,7 @@ from lokalith.plans import extract, games, translate
 from lokalith.oracle import BAD
 from lokalith.oracle import ESC as _ESC
 from lokalith.oracle import UNESC as _UNESC
+from lokalith.oracle_hash import fallback_sql
 from lokalith.registry import query
 from lokalith.registry import table as _t
 from lokalith.schema import catalog_from
@@ -513,6 +514,6 @@ def incremental_merge(spark, d):
     return catalog_store(spark, store).read()
 
 
-@query()
+@query(fallback_sql("documents", "doc_id", "text"))
 def fallback_key_hash(spark, d):
     return _t(spark, d, "documents").select("doc_id", locres.fallback_hash(c("text")).alias("key_hash"))
