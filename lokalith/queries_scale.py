@@ -62,6 +62,18 @@ def byte_range_scan(spark, d):
     return binscan.accepted(told, "export").select(F.regexp_extract("path", r"[^/]*\z", 0).alias("name"), "key", "source")
 
 
+_UNDER = "'file:/data/in/' || CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'p' || page_id || '/' WHEN 2 THEN 'a b+[1]/deep/' ELSE '/twice//' END || md5(url) || '.uasset'"
+
+
+@query(f"SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'p' || page_id WHEN 2 THEN 'a b+[1]' ELSE 'twice' END AS container FROM (SELECT page_id, {_UNDER} AS path FROM pages)")
+def asset_containers(spark, d):
+    """The container of each file: the folder directly below the source."""
+    k = c("page_id") % 4
+    below = F.when(k == 0, "").when(k == 1, F.concat(F.lit("p"), "page_id", F.lit("/"))).when(k == 2, "a b+[1]/deep/").otherwise("/twice//")
+    paths = _t(spark, d, "pages").select("page_id", F.concat(F.lit("file:/data/in/"), below, F.md5("url"), F.lit(".uasset")).alias("path"))
+    return paths.select("page_id", extract.container_of("file:///data/in/").alias("container"))
+
+
 @query(
     f"SELECT name, CASE WHEN bad THEN 'hash' WHEN zero THEN 'decode' ELSE 'short' END AS reason, count(*) AS n, CAST(sum(CASE WHEN bad THEN 34 END) AS BIGINT) AS line_length FROM ({_EXPORTS}) "
     "WHERE bad OR zero OR length(source) = 1 GROUP BY 1, 2 "

@@ -228,9 +228,14 @@ def dump(files: DataFrame, target: str, name: str = "name") -> DataFrame:
             for own, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = content.as_py() or b""
                 draft = f"{folder}/.draft-{uuid.uuid4().hex}"
-                with store.open_output_stream(draft, compression=None) as out:
-                    out.write(raw)
-                store.move(draft, f"{folder}/{own}")
+                try:
+                    with store.open_output_stream(draft, compression=None) as out:
+                        out.write(raw)
+                    store.move(draft, f"{folder}/{own}")
+                except BaseException:  # nothing half-written stays, whatever ended it
+                    if store.get_file_info(draft).type != fs.FileType.NotFound:
+                        store.delete_file(draft)
+                    raise
                 sizes.append(len(raw))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["name", "bytes"])
 
