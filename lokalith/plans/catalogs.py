@@ -15,7 +15,7 @@ from lokalith.operators import catalog
 from lokalith.plans import extract, translate
 from lokalith.schema import catalog_from
 from lokalith.sources import binscan, files, locres, locres_format, locres_parts
-from lokalith.workspace import exists, remove, settled
+from lokalith.workspace import exists, forget, settled
 
 SIDECAR = ".locreshashes"
 _MARK = "\x01"
@@ -43,12 +43,6 @@ def merged_with(rows: DataFrame, old: DataFrame, group: str | None = None) -> Da
     return out.withColumn(group, F.substring_index("key", _MARK, 1)).withColumn("key", F.substr("key", F.length(group) + 2))
 
 
-def _forget(spark: SparkSession, frames: list[DataFrame]) -> None:
-    """Deletes what a job cut off once its result is written."""
-    for path in {p.rsplit("/", 1)[0] for df in frames for p in df.inputFiles()}:
-        remove(spark, path)
-
-
 def counted_tables(tables: DataFrame) -> tuple[DataFrame, Observation, Observation]:
     """Decoded ``tables``, and what their one reading will have counted: ``processed`` files, and ``damaged`` ones, which give no entry."""
     read, bad = Observation(), Observation()
@@ -92,7 +86,7 @@ def extract_directory(
 def _counters(merged: DataFrame, read: Observation, bad: Observation, cut: list[DataFrame]) -> DataFrame:
     spark = merged.sparkSession
     counts = catalog.merge_counters(merged).head().asDict() | {"processed": read.get.get("processed", 0), "damaged": bad.get.get("damaged", 0)}
-    _forget(spark, cut)
+    forget(*cut)
     return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
 
 
@@ -131,7 +125,7 @@ def translate_catalog(
     done = settled(translate.translate(catalog_rows(spark, csv), ask, journal, size, parallel, attempts, delay, counters), "translated")
     files.write_catalog(done, target)
     left = catalog.open_rows(done).count()
-    _forget(spark, [done])
+    forget(done)
     return spark.createDataFrame([(*counters[0], left)], "batches long, accepted long, requests long, open long")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lokalith.functions import text
 from lokalith.sources import locres, locres_format
 from lokalith.sources.locres import ENCRYPTED, ENCRYPTED_VERSION, MAGIC, pack_string
-from lokalith.workspace import fresh_path, remove, settled
+from lokalith.workspace import forget, fresh_path, remove, settled
 
 #: Bytes of a range, about, and so what a task holds a few times.
 PART_BYTES = 64 << 20
@@ -28,8 +28,11 @@ def _spread(rows: DataFrame, size: Column, part_bytes: int, *order: str) -> Data
     """``rows`` with the number ``_part`` of their range in the given order, written down; ranges are of about ``part_bytes``."""
     held = settled(rows.withColumn("_size", size), "entries")
     total = held.agg(F.sum("_size")).head()[0] or 0
-    ranged = held.repartitionByRange(int(total // part_bytes) + 1, *order).withColumn("_part", F.spark_partition_id().cast("long"))
-    return settled(ranged, "ranges")
+    if total <= part_bytes:  # one range, and every group a task's
+        return held.withColumn("_part", F.lit(0).cast("long"))
+    ranged = settled(held.repartitionByRange(int(total // part_bytes) + 1, *order).withColumn("_part", F.spark_partition_id().cast("long")), "ranges")
+    forget(held)
+    return ranged
 
 
 def _first_numbers(ranged: DataFrame, group: str) -> DataFrame:
@@ -81,7 +84,9 @@ def entry_parts(rows: DataFrame, folder: str, group: str = "src_path", version:
         row = [t.column("_part")[0].as_py(), t.num_rows, began, len(own), len(body), *places]
         return pa.table({group: t.column(group)[:1], **{c: [v] for c, v in zip([f.split(" ")[0] for f in _PARTS.split(", ")], row, strict=True)}})
 
-    return settled(based.groupBy(group, F.col("_part").alias("_p")).applyInArrow(lambda key, t: run(t), f"{group} {kind}, {_PARTS}"), "parts")
+    parts = settled(based.groupBy(group, F.col("_part").alias("_p")).applyInArrow(lambda key, t: run(t), f"{group} {kind}, {_PARTS}"), "parts")
+    forget(ranged)
+    return parts
 
 
 def joined_tables(parts: DataFrame, folder: str, group: str = "src_path", version: int = locres.COMPACT, number: int | None = None) -> DataFrame:
@@ -120,7 +125,9 @@ def write_tables(
     try:
         parts = entry_parts(locres.table_rows(rows, version, key, mark), folder, group, version, part_bytes)
         files = joined_tables(parts, folder, group, version, number)
-        return locres_format.save(files.select(F.concat(text.base_name(F.col(group)), F.lit(".locres")).alias("name"), "parts"), target, overwrite)
+        sizes = locres_format.save(files.select(F.concat(text.base_name(F.col(group)), F.lit(".locres")).alias("name"), "parts"), target, overwrite)
+        forget(parts)
+        return sizes
     finally:
         remove(spark, folder)
 
@@ -140,6 +147,7 @@ def patch_tables(
         raise ValueError(f"{broken[0].path}: {broken[0].error}")
     strings = settled(_strings(spark, templates), "strings")
     told = settled(locres.patched_from(strings, entries, catalog, key, mark), "patched")
+    forget(strings, entries)
     folder = fresh_path(spark, "patchparts")
     try:
         sealed = told.select("path", "str_idx", text.encrypt_value(F.col("value"), key, mark).alias("raw"))
@@ -163,6 +171,7 @@ def patch_tables(
 
         files = whole.select("path", "offset", "n", "own").mapInArrow(count, "path string, parts array<string>")
         sizes = locres_format.save(files.select(F.regexp_extract("path", r"[^/]*\z", 0).alias("name"), "parts"), target, overwrite)
+        forget(ranged, parts)
         return sizes, told
     finally:
         remove(spark, folder)

@@ -85,6 +85,13 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Deletes what :func:`settled` wrote for these, once nothing reads it any more."""
+    for df in frames:
+        for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            remove(df.sparkSession, path)
+
+
 def remove_cut_points(spark: SparkSession) -> None:
     """Delete every table that this application has cut off."""
     remove(spark, f"{shared_dir(spark)}/lokalith/{spark.sparkContext.applicationId}")
