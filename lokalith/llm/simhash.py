@@ -31,8 +31,8 @@ from lokalith.llm.components import components
 from lokalith.llm.shared import lookup, materialise, text_of
 
 BITS, WIDE_BITS = 64, 128
-#: Cost of comparing a pair, where emitting, moving and sorting a key is 1.
-PAIR_COST = 1 / 128
+#: Cost of comparing a pair, where counting, moving and sorting a key is 1. Measured: 20 ns a pair in keys of 64 nodes or more, 8 microseconds a key.
+PAIR_COST = 1 / 400
 #: Nodes whose pairs the plan's estimates are counted on.
 PLAN_SAMPLE = 2048
 #: Nodes of a key that are verified in one go.
