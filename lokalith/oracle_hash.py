@@ -138,7 +138,8 @@ def fallback_sql(table: str, key: str, text: str) -> str:
     """``key, key_hash``: the upper half of the hash of a text, 0 for an empty one."""
     units = f"list_transform(string_split({text}, ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + ((unicode(c) - 65536) >> 10), 56320 + ((unicode(c) - 65536) & 1023)] ELSE [unicode(c)] END)"
     digits = "array_to_string(list_reverse(list_transform(flatten(u), lambda x: format('{:04X}', CAST(x AS BIGINT)))), '')"
-    blocks = f"list_transform(range(0, CAST((n - 1) // 64 AS BIGINT)), lambda k: list_transform(range(8), lambda j: {_word('64 * k + 8 * j')}))"
+    cut = "list_reverse(regexp_extract_all(substr(r, 2 * (n - 64 * ((n - 1) // 64)) + 1), '.{128}'))"  # blocks are cut once, as each substr looks at its whole text
+    blocks = f"list_transform({cut}, lambda k: list_transform(range(8), lambda j: CAST('0x' || substr(k, 2 * (56 - 8 * j) + 1, 16) AS UBIGINT)))"
     final = _pair(_add(_pair("s[4]", "s[6]"), _mul(_mix("s[2]"), K1), "s[3]"), _add(_pair("s[5]", "s[7]"), "s[1]"))
     return f"""
 WITH u AS (SELECT {key}, {units} AS u FROM {table} WHERE {text} <> ''),
