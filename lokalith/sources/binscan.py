@@ -10,7 +10,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lokalith.functions import predicates, text
@@ -29,6 +29,9 @@ HEADER_BYTES = 1024
 #: Start, separator and filler byte of a record in a package.
 PACKAGE_START, PACKAGE_SEPARATOR, PACKAGE_FILLER = b"\x29\x01", b"\x00\x1f", b"\x1f"
 
+#: Texts of one batch of records, about.
+HELD = 8 << 20
+
 _HASH = re.compile(rb"[0-9A-Fa-f]{32}")
 
 
@@ -131,10 +134,19 @@ def tagged(files: DataFrame, kinds: tuple[str, ...] = ("export", "package")) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, kind, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [(path, kind, None, None, None, None)] if kind != "none" else [(path, what, *r) for what in kinds for r in scanners[what](content or b"")]
-                for at in range(0, len(rows), 10_000):
-                    yield _batch(rows[at : at + 10_000])
+            rows, held = [], 0
+            for n in range(batch.num_rows):  # of the contents one is held at a time
+                path, kind = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
+                content = batch.column(2)[n].as_py() or b""
+                found = [(path, kind, None, None, None, None)] if kind != "none" else ((path, what, *r) for what in kinds for r in scanners[what](content))
+                for row in found:
+                    rows.append(row)
+                    held += len(row[4] or "") + 256
+                    if held > HELD:
+                        yield _batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _batch(rows)
 
     needed = F.when(F.col("kind") == "none", F.col("content"))
     return _judged(files.select("path", "kind", needed.alias("content")).mapInArrow(run, _TAGGED))
@@ -174,29 +186,29 @@ class Span:
 
     STEP = 1 << 20
 
-    def __init__(self, read_at, size: int, start: int):
-        self.read_at, self.size, self.base, self.data = read_at, size, start, b""
+    def __init__(self, read_at, size: int, start: int, step: int = STEP):
+        self.read_at, self.size, self.base, self.data, self.step = read_at, size, start, b"", step
 
     def need(self, end: int) -> None:
         end = min(end, self.size)
         have = self.base + len(self.data)
         if end > have:
-            self.data += self.read_at(have, min(max(end, have + self.STEP), self.size) - have)
+            self.data += self.read_at(have, min(max(end, have + self.step), self.size) - have)
 
     def cut(self, start: int, end: int) -> bytes:
         self.need(end)
         return self.data[start - self.base : end - self.base]
 
-    def find(self, what: bytes, start: int) -> int:
-        """The first place at or after ``start``, -1 where there is none up to the end of the file; nothing is kept on the way."""
-        at = start
-        while at < self.size:
+    def find(self, what: bytes, start: int, before: int | None = None) -> int:
+        """The first place at or after ``start`` and, if given, before ``before``; -1 where there is none. No more is read, nothing is kept on the way."""
+        at, stop = start, self.size if before is None else min(before + len(what) - 1, self.size)
+        while at < stop:
             inside = at >= self.base and at + len(what) <= self.base + len(self.data)
-            part, base = (self.data, self.base) if inside else (self.read_at(at, self.STEP), at)
-            i = part.find(what, at - base)
+            part, base = (self.data, self.base) if inside else (self.read_at(at, min(self.step, stop - at)), at)
+            i = part.find(what, at - base, stop - base)
             if i >= 0:
                 return base + i
-            if base + len(part) >= self.size:
+            if base + len(part) >= stop:
                 return -1
             at = base + len(part) - len(what) + 1
         return -1
@@ -223,19 +235,29 @@ def export_candidates(span: Span, start: int, end: int) -> Iterator[tuple[int, i
 _ANY_HASH = re.compile(rb"(?=[0-9A-Fa-f]{32})")
 
 
-def package_candidates(span: Span, start: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+def package_candidates(span: Span, start: int, end: int, after: int | None = None) -> Iterator[tuple[int, int, int, int]]:
     """The same for package records. Of the starts that share a separator, those more than a record's tail behind the separator before
-    are left out but for the first that is accepted: nothing before them can end later."""
+    are left out but for the first that is accepted: nothing before them can end later.
+
+    ``after`` is the first separator at or behind ``end`` (-1: none), where it is known; else the file is read up to there.
+    """
+
+    def separator_from(at: int) -> int:
+        if after is None:
+            return span.find(PACKAGE_SEPARATOR, at)
+        inside = span.find(PACKAGE_SEPARATOR, at, end) if at < end else -1
+        return inside if inside >= 0 else after  # a start mark on the border leaves no room for a separator there
+
     separator = judged = early = -1
     tail, taken, valid = start + 36, False, False
     i = start - 1
-    while (i := span.find(PACKAGE_START, i + 1)) >= 0 and i < end:
+    while (i := span.find(PACKAGE_START, i + 1, end)) >= 0:
         if separator < i + 2:
-            before, separator, taken = separator, span.find(PACKAGE_SEPARATOR, i + 2), False
+            before, separator, taken = separator, separator_from(i + 2), False
             if separator < 0:
                 return
             if early < 0:  # the last one that a record of an earlier range can end at
-                early = span.find(PACKAGE_SEPARATOR, start + 1)
+                early = separator_from(start + 1)
             tail = max([start, before, *([early] if early < separator else [])]) + 36
         if not taken and separator > i + 2:
             if separator != judged:
@@ -278,11 +300,13 @@ def tagged_ranges(files: DataFrame, split_bytes: int = 128 << 20, kinds: tuple[s
     """As :func:`tagged`, of ``files(path, length)`` of any size: the records of the whole-file scan, whatever ``split_bytes`` is.
 
     Byte ranges are scanned by tasks of their own for every place where a record could begin, reading beyond the range as
-    far as one needs. Which of them a scan from the start of the file would take is found by one pass over their
+    far as one needs. Each range first tells its first separator of packages, so that none looks for the next one through the
+    ranges behind it. Which of the places a scan from the start of the file would take is found by one pass over their
     offsets, in order: the next one taken is the first behind the end of the last. Then the texts of these are read. Files are
-    opened by path, on any file system that pyarrow opens.
+    opened by path, on any file system that pyarrow opens. Ranges and places are small rows behind which there are many
+    bytes, so they are dealt to ``spark.sql.shuffle.partitions`` tasks whatever their own size is.
     """
-    finders = {"export": export_candidates, "package": package_candidates}
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split_bytes).cast("long"))
     ranges = files.select("path", "length", F.explode(starts).alias("start")).select("path", "length", "start", F.least(F.col("start") + split_bytes, "length").alias("end"))
     schema = "path string, what string, offset long, next long, low long, high long"
@@ -292,13 +316,24 @@ def tagged_ranges(files: DataFrame, split_bytes: int = 128 << 20, kinds: tuple[s
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kept, strict=True)], names=names)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def span_of(f, length: int, start: int, end: int) -> Span:
+        return Span(lambda at, n: f.read_at(n, at), length, start, min(Span.STEP, max(end - start, 4096)))
+
+    def separators(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            firsts = []
             for path, length, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with opened_file(path) as f:
+                    firsts.append(span_of(f, length, start, end).find(PACKAGE_SEPARATOR, start, end))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(firsts, pa.int64())], names=["path", "length", "start", "end", "first"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length, start, end, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with opened_file(path) as f:
                     for what in kinds:
-                        rows = []
-                        for found in finders[what](Span(lambda at, n, f=f: f.read_at(n, at), length, start), start, end):
+                        rows, span = [], span_of(f, length, start, end)
+                        for found in export_candidates(span, start, end) if what == "export" else package_candidates(span, start, end, after):
                             rows.append((path, what, *found))
                             if len(rows) >= 10_000:
                                 yield batch_of(rows)
@@ -333,8 +368,8 @@ def tagged_ranges(files: DataFrame, split_bytes: int = 128 << 20, kinds: tuple[s
                 else:
                     _, key, own, repair = next(package_records(raw))
                     rows.append((path, what, offset, key, own, repair))
-                held += len(raw)
-                if held > 32 << 20:
+                held += len(raw) + 256
+                if held > HELD:
                     yield _batch(rows)
                     rows, held = [], 0
             if rows:
@@ -342,7 +377,13 @@ def tagged_ranges(files: DataFrame, split_bytes: int = 128 << 20, kinds: tuple[s
         if f is not None:
             f.close()
 
-    places = ranges.repartition("path", "start").mapInArrow(look, schema)
+    if "package" in kinds:
+        told = ranges.repartition(tasks, "path", "start").mapInArrow(separators, "path string, length long, start long, end long, first long")
+        behind = Window.partitionBy("path").orderBy(F.desc("start")).rowsBetween(Window.unboundedPreceding, -1)
+        ranges = told.withColumn("after", F.coalesce(F.min(F.when(F.col("first") >= 0, F.col("first"))).over(behind), F.lit(-1).cast("long"))).drop("first")
+    else:
+        ranges = ranges.withColumn("after", F.lit(-1).cast("long"))
+    places = ranges.repartition(tasks, "path", "start").mapInArrow(look, schema)
     chain = places.repartition("path", "what").sortWithinPartitions("path", "what", "offset").mapInArrow(follow, schema)
-    dealt = chain.repartition("path", F.floor(F.col("offset") / split_bytes)).sortWithinPartitions("path", "offset")
+    dealt = chain.repartition(tasks, "path", F.floor(F.col("offset") / split_bytes)).sortWithinPartitions("path", "offset")
     return _judged(dealt.mapInArrow(read, _TAGGED))

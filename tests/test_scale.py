@@ -201,6 +201,36 @@ def test_ranges_of_every_size_find_the_records_of_the_whole_file(find, records):
     assert found > 100
 
 
+def test_ranges_read_no_further_than_they_reach():
+    """Work of all ranges over a file without marks, and over one with starts but a single separator, stays near its size."""
+    for data, after in ((b"-" * 300_000, -1), ((b"-" * 98 + b"\x29\x01") * 3000 + b"\x00\x1f" + b"-" * 34, 300_000)):
+        read = [0]
+
+        def read_at(at, n, data=data, read=read):
+            read[0] += len(data[at : at + n])
+            return data[at : at + n]
+
+        for start in range(0, 299_000, 1000):
+            assert not list(binscan.package_candidates(binscan.Span(read_at, len(data), start, 4096), start, start + 1000, after))
+        assert read[0] < 12 * len(data)
+    read[0] = 0
+    for start in range(0, 300_000, 1000):  # starts alone are not looked for behind the range either
+        list(binscan.package_candidates(binscan.Span(lambda at, n: read_at(at, n, b"-" * 300_000), 300_000, start), start, start + 1000))
+    assert read[0] < 2 * 300_000
+
+
+def test_known_separators_give_the_records_of_the_whole_file():
+    rng = random.Random(4)
+    for _ in range(200):
+        data = _noise(rng)
+        for split in (1, 3, 16, 50):
+            for start in range(0, len(data), split):
+                end = min(start + split, len(data))
+                span = lambda start=start: binscan.Span(lambda at, n: data[at : at + n], len(data), start)
+                known = list(binscan.package_candidates(span(), start, end, data.find(binscan.PACKAGE_SEPARATOR, end)))
+                assert known == list(binscan.package_candidates(span(), start, end))
+
+
 def test_tagged_ranges_equal_tagged_files(spark, tmp_path):
     rng = random.Random(5)
     for n in range(12):
