@@ -69,16 +69,17 @@ def asset_kind(path: Column, content: Column) -> Column:
     return binscan.export_kind(F.when(path.endswith(".uasset"), content).otherwise(F.lit(b"")), path)
 
 
-def asset_records(assets: DataFrame, large: DataFrame | None = None) -> DataFrame:
+def asset_records(assets: DataFrame | None, large: DataFrame | None = None) -> DataFrame:
     """Every record and kind of ``assets(path, content)`` in one pass over the bytes, written down: see :func:`binscan.tagged`.
 
     ``large(path, length)`` are files that do not fit into one value; of these the head is read for the kind, and ranges for the records.
     """
-    told = binscan.tagged(assets.withColumn("kind", asset_kind(F.col("path"), F.col("content"))))
+    told = None if assets is None else binscan.tagged(assets.withColumn("kind", asset_kind(F.col("path"), F.col("content"))))
     if large is not None:
         kinds = settled(binscan.with_heads(large).select("path", "length", asset_kind(F.col("path"), F.col("content")).alias("kind")), "large")
         others = kinds.where("kind <> 'none'").select("path", F.col("kind").alias("what"), *[F.lit(None).cast(t).alias(n) for n, t in (("ord", "long"), ("key", "string"), ("source", "string"), ("reason", "string"))])
-        told = told.unionByName(others).unionByName(binscan.tagged_ranges(kinds.where("kind = 'none'")))
+        ranged = others.unionByName(binscan.tagged_ranges(kinds.where("kind = 'none'")))
+        told = ranged if told is None else told.unionByName(ranged)
     return settled(told, "records")
 
 
@@ -100,6 +101,11 @@ def asset_rows(assets: DataFrame | None, exports: DataFrame | None = None, stric
     return catalog_from(records, key=F.col("key"), namespace=F.col("namespace"), source=F.col("source"), src_path=F.col("path"), ord=F.col("ord"))
 
 
+def large_rows(large: DataFrame) -> DataFrame:
+    """As :func:`asset_rows`, of ``large(path, length)``: files that are scanned by ranges."""
+    return asset_rows(None, told=asset_records(None, large))
+
+
 def scan_assets(
     assets: DataFrame | None, exports: DataFrame | None = None, tables: DataFrame | None = None, no_underscore: bool = False, no_uppercase: bool = False, told: DataFrame | None = None,
 ) -> DataFrame:

@@ -5,6 +5,7 @@ Files that fit into one value are scanned whole; larger ones by byte ranges, wit
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -296,6 +297,24 @@ def with_heads(files: DataFrame) -> DataFrame:
     return files.select("path", "length").mapInArrow(run, "path string, length long, content binary")
 
 
+def with_digests(files: DataFrame) -> DataFrame:
+    """``files(path, length)`` with their ``sha256``; a file is read as a stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                digest = hashlib.sha256()
+                with opened_file(path) as f:
+                    while data := f.read(Span.STEP):
+                        digest.update(data)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=["path", "length", "sha256"])
+
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path", "length").repartition(tasks, "path").mapInArrow(run, "path string, length long, sha256 string")
+
+
 def tagged_ranges(files: DataFrame, split_bytes: int = 128 << 20, kinds: tuple[str, ...] = ("export", "package")) -> DataFrame:
     """As :func:`tagged`, of ``files(path, length)`` of any size: the records of the whole-file scan, whatever ``split_bytes`` is.
 

@@ -435,3 +435,26 @@ def test_second_extraction_reads_changed_files_only(spark, tmp_path):
     assert counters == {"added": 1, "touched": 2, "removed": 1, "read": 3, "changed": 2}
     assert texts(rows) == texts(extract.asset_rows(extract.read_assets(spark, str(source)))) == ["changed", "new", "text 0", "text 2", "text 4", "text 5"]
     assert reextract.refresh(spark, str(source), state, read, buckets=8)[1]["read"] == 0 and seen == [6, 2]
+
+
+def test_second_extraction_reads_large_files_by_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(reextract, "WHOLE_BYTES", 200, raising=False)
+    source, state = tmp_path / "in", str(tmp_path / "state")
+    source.mkdir()
+    record = lambda n, s: b"%032X" % (n + 1000) + b"\0" + struct.pack("<i", len(s) + 1) + s + b"\0"
+    for n in range(4):
+        (source / f"f{n}.uexp").write_bytes(b"-" * (300 * (n % 2)) + record(n, b"text %d" % n))
+    seen = []
+
+    def large(found):
+        seen.append(sorted(r["path"][-7:] for r in found.collect()))
+        return extract.large_rows(found)
+
+    run = lambda: reextract.refresh(spark, str(source), state, extract.asset_rows, buckets=4, read_large=large)
+    rows, counters = run()
+    assert sorted(r["source"] for r in rows.collect()) == [f"text {n}" for n in range(4)] and (counters["read"], counters["changed"]) == (4, 4)
+    (source / "f1.uexp").write_bytes(b"-" * 400 + record(1, b"changed"))
+    os.utime(source / "f3.uexp", (1, 1))
+    rows, counters = run()
+    assert sorted(r["source"] for r in rows.collect()) == ["changed", "text 0", "text 2", "text 3"] and (counters["read"], counters["changed"]) == (2, 1)
+    assert seen == [["f1.uexp", "f3.uexp"], ["f1.uexp"]]
