@@ -16,7 +16,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lokalith.workspace import listed, remove
+from lokalith.workspace import any_matches, listed, remove
 
 PAIR = "at long, source string, translation string"
 
@@ -52,7 +52,7 @@ class Segments:
         body = self._read(f"seg-{name}.json")
         if body is not None:
             return [json.loads(line)["translation"] for line in body.splitlines()], None
-        note = self._read(f".refused-{self.run}-{name}")
+        note = self._read(f".refused-{self.run}/{name}")
         return None if note is None else (None, note)
 
     def commit(self, name: str, pairs: Iterable[tuple[str, str]]) -> None:
@@ -60,7 +60,8 @@ class Segments:
         self._write(f"seg-{name}.json", "".join(json.dumps({"at": at, "source": s, "translation": t}) + "\n" for s, t in pairs))
 
     def refuse(self, name: str, why: str) -> None:
-        self._write(f".refused-{self.run}-{name}", why)
+        self.store.create_dir(f"{self.folder}/.refused-{self.run}", recursive=True)
+        self._write(f".refused-{self.run}/{name}", why)
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -72,7 +73,7 @@ def append(rows: DataFrame, path: str) -> None:
 
 def _parts(spark: SparkSession, path: str) -> list[str]:
     path = path.rstrip("/")
-    return [f"{path}/{glob}" for glob in ("seg-*.json", "base-*/part-*") if listed(spark, f"{path}/{glob}")]
+    return [f"{path}/{glob}" for glob in ("seg-*.json", "base-*/part-*") if any_matches(spark, f"{path}/{glob}")]
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -98,5 +99,4 @@ def compact(spark: SparkSession, path: str) -> None:
 
 
 def clear_notes(spark: SparkSession, path: str, run: str) -> None:
-    for p in listed(spark, f"{path.rstrip('/')}/.refused-{run}-*"):
-        remove(spark, p)
+    remove(spark, f"{path.rstrip('/')}/.refused-{run}")

@@ -53,6 +53,13 @@ def listed(spark: SparkSession, glob: str) -> list[str]:
     return sorted(s.getPath().toString() for s in found or [])
 
 
+def any_matches(spark: SparkSession, glob: str) -> bool:
+    """Whether any path matches; the paths stay in the JVM."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return found is not None and len(found) > 0
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     stream = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).open(hadoop)

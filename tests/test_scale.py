@@ -458,3 +458,17 @@ def test_second_extraction_reads_large_files_by_ranges(spark, tmp_path, monkeypa
     rows, counters = run()
     assert sorted(r["source"] for r in rows.collect()) == ["changed", "text 0", "text 2", "text 3"] and (counters["read"], counters["changed"]) == (2, 1)
     assert seen == [["f1.uexp", "f3.uexp"], ["f1.uexp"]]
+
+
+def test_notes_and_names_of_a_journal_take_one_call(spark, tmp_path, monkeypatch):
+    segments = journal.Segments(str(tmp_path), "r")
+    for n in range(30):
+        segments.commit(f"a{n}", [(f"s{n}", f"t{n}")])
+        segments.refuse(f"b{n}", "no")
+    assert segments.known("b3") == (None, "no") and segments.known("a3") == (["t3"], None)
+    calls = []
+    monkeypatch.setattr(journal, "listed", lambda *a: calls.append(a) or [])
+    monkeypatch.setattr(journal, "remove", lambda s, p, remove=journal.remove: calls.append(p) or remove(s, p))
+    assert journal.read(spark, str(tmp_path)).count() == 30
+    journal.clear_notes(spark, str(tmp_path), "r")
+    assert len(calls) == 1 and segments.known("b3") is None
