@@ -21,10 +21,13 @@ def merge_stream(stream: DataFrame, store: str, checkpoint: str, buckets: int =
     A batch reads and writes the buckets of its keys. It is committed with its number under the name of the checkpoint, so
     a repeated batch counts once, and a new checkpoint goes on from what the store holds. Of repeated keys in a batch the
     first source and the last translation count. :meth:`Store.vacuum` removes old versions.
+
+    Rows of the batch and of the store are shuffled once each, by the key: grouping, join and buckets share that partitioning.
     """
 
     def fold(batch: DataFrame, number: int) -> None:
         kept = catalog_store(batch.sparkSession, store, buckets)
-        kept.commit(collapse_old(batch.withColumn("ord", F.monotonically_increasing_id())), merge, checkpoint, number)
+        batch.sparkSession.conf.set("spark.sql.shuffle.partitions", kept.partitions())  # the stream's own session
+        kept.commit(collapse_old(batch.withColumn("ord", F.monotonically_increasing_id())), merge, checkpoint, number, dealt=True)
 
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

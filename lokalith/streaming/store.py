@@ -8,6 +8,7 @@ changed, so readers of an older version are not disturbed; :meth:`Store.vacuum`
 from __future__ import annotations
 
 import json
+import math
 import time
 import uuid
 from collections.abc import Callable
@@ -19,6 +20,9 @@ from lokalith.workspace import listed, read_text, remove, rename, write_text
 
 Fold = Callable[[DataFrame, DataFrame], DataFrame]
 
+#: Shuffle partitions of a fold that is written where it lies, at least.
+FINE = 200
+
 
 class Conflict(Exception):
     """Another writer has committed this version."""
@@ -31,9 +35,17 @@ class Store:
         self.spark, self.path, self.schema, self.key = spark, path.rstrip("/"), schema, key
         now = self.current()
         self.buckets = now["buckets"] if now else buckets
+        self.hash = now.get("hash", "xxhash64") if now else "hash"  # stores of before deal by the other one
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.buckets)).cast("int")
+        return F.pmod(getattr(F, self.hash)(*self.key), F.lit(self.buckets)).cast("int")
+
+    def partitions(self) -> int:
+        """A number of shuffle partitions that suits the buckets: rows that Spark deals to so many by the key lie with rows of their own bucket only.
+
+        Spark deals by the remainder of the same hash, so a multiple of ``buckets`` does. At least FINE, as adaptive execution joins small ones.
+        """
+        return self.buckets * math.ceil(max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), FINE) / self.buckets)
 
     def current(self) -> dict | None:
         """The newest manifest; None where nothing was committed yet."""
@@ -49,11 +61,12 @@ class Store:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(*paths)
 
-    def commit(self, batch: DataFrame, fold: Fold, stream: str = "", number: int | None = None) -> dict:
+    def commit(self, batch: DataFrame, fold: Fold, stream: str = "", number: int | None = None, dealt: bool = False) -> dict:
         """Version ``n + 1``: in the buckets that ``batch`` touches ``fold(batch, rows there)``, the others as they are.
 
         ``number`` counts the batches of ``stream``; one that is already part of the store changes nothing, so a repeated
-        batch counts once. A stream that is new to a store that exists goes on from what it holds.
+        batch counts once. A stream that is new to a store that exists goes on from what it holds. Rows are shuffled by bucket before they
+        are written, unless the fold has ``dealt`` them by the key to :meth:`partitions`; then they are written where they lie.
         """
         now = self.current() or {"version": -1, "buckets": self.buckets, "data": {}, "streams": {}}
         if number is not None and now["streams"].get(stream, -1) >= number:
@@ -63,13 +76,15 @@ class Store:
         made = fold(batch, self.read(now, touched) if now["version"] >= 0 else self.read({"data": {}}))
         columns = [f.strip().split(" ")[0] for f in self.schema.split(",")]
         out = made.select(*columns).withColumn("_bucket", self.bucket())
-        out.hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.path}/data/{name}")
+        if not dealt or self.hash != "hash":
+            out = out.hint("rebalance", F.col("_bucket"))
+        out.write.partitionBy("_bucket").option("compression", "zstd").parquet(f"{self.path}/data/{name}")
         written = {p.rsplit("=", 1)[1]: f"{name}/_bucket={p.rsplit('=', 1)[1]}" for p in listed(self.spark, f"{self.path}/data/{name}/_bucket=*")}
         if not set(written) <= {str(b) for b in touched}:
             raise ValueError("the fold gave rows of buckets that its batch does not touch")
         kept = {b: p for b, p in now["data"].items() if int(b) not in touched}
         streams = now["streams"] | ({stream: number} if number is not None else {})
-        new = {"version": now["version"] + 1, "buckets": self.buckets, "data": kept | written, "streams": streams, "at": time.time(), "touched": touched}
+        new = {"version": now["version"] + 1, "buckets": self.buckets, "hash": self.hash, "data": kept | written, "streams": streams, "at": time.time(), "touched": touched}
         target = f"{self.path}/manifest/v-{new['version']:012d}.json"
         draft = f"{self.path}/manifest/.draft-{name}"
         write_text(self.spark, draft, json.dumps(new))

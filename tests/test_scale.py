@@ -1,5 +1,6 @@
 """What must hold at any size: journals that survive, ranges that equal whole files, stores that keep what they had."""
 
+import json
 import os
 import random
 import struct
@@ -412,6 +413,46 @@ def test_a_new_checkpoint_goes_on_from_the_store(spark, tmp_path):
     assert set(got) == {"k0", "k1", "k2", "all"}
 
 
+def _shuffled(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+
+
+def test_a_merge_shuffles_batch_and_store_once_each(spark, tmp_path):
+    """Texts that can't be compressed: two batches and the store between them are moved, each once."""
+    inbox, store, own = str(tmp_path / "in"), str(tmp_path / "store"), random.Random(7)
+    rows = [(f"k{n % 1900}", own.randbytes(500).hex(), "T" if n % 3 else "") for n in range(2000)]
+    before = _shuffled(spark)
+    for n in range(2):
+        _frame(spark, [(k, f"{n}{s}", t if n == 0 else "") for k, s, t in rows]).coalesce(1).write.mode("append").parquet(inbox)
+        merge_stream(spark.readStream.schema(SCHEMA).parquet(inbox), store, str(tmp_path / "cp"), buckets=8).awaitTermination(120)
+    shuffled, one = _shuffled(spark) - before, 1900 * 1000
+    assert shuffled < 4 * one  # three and what is around them
+    files_of = [len([f for f in os.listdir(p) if f.startswith("part-")]) for p in (tmp_path / "store" / "data").glob("*/_bucket=*")]
+    assert len(files_of) == 16 and max(files_of) <= 200 / 8
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    texts, kept = {}, {}
+    for k, s, t in rows:
+        texts.setdefault(k, s)
+        kept[k] = t or kept.get(k, "")
+    got = {r["key"]: (r["source"], r["translation"]) for r in catalog_store(spark, store).read().collect()}
+    assert got == {k: (f"1{s}", kept[k] or f"0{s}") for k, s in texts.items()}
+
+
+def test_a_store_of_before_keeps_its_hash(spark, tmp_path):
+    store, inbox = catalog_store(spark, str(tmp_path / "s"), 4), str(tmp_path / "in")
+    store.hash = "xxhash64"
+    store.commit(_frame(spark, [(f"k{n}", "a", "") for n in range(50)]), catalog.merge)
+    named = tmp_path / "s" / "manifest" / "v-000000000000.json"
+    named.write_text(json.dumps({k: v for k, v in json.loads(named.read_text()).items() if k != "hash"}))
+    (tmp_path / "s" / "manifest" / ".v-000000000000.json.crc").unlink(missing_ok=True)
+    _frame(spark, [(f"k{n}", "b", "B") for n in range(3)]).write.parquet(inbox)
+    merge_stream(spark.readStream.schema(SCHEMA).parquet(inbox), store.path, str(tmp_path / "cp"), buckets=4).awaitTermination(120)
+    got = {r["key"]: r["source"] for r in catalog_store(spark, store.path).read().collect()}
+    assert got == {f"k{n}": "b" if n < 3 else "a" for n in range(50)}
+
+
 def test_second_extraction_reads_changed_files_only(spark, tmp_path):
     source, state = tmp_path / "in", str(tmp_path / "state")
     source.mkdir()
