@@ -12,8 +12,9 @@ from pyspark.sql.types import StructType
 from lokalith.functions import predicates
 from lokalith.operators import catalog
 from lokalith.plans import catalogs, extract, reextract, translate
+from lokalith.queries import queries
 from lokalith.schema import catalog_from
-from lokalith.sources import binscan, files, journal, locres, locres_format, locres_parts
+from lokalith.sources import binscan, files, journal, locres, locres_format, locres_parts, pieces
 from lokalith.streaming.incremental import catalog_store, merge_stream
 from lokalith.streaming.store import Conflict, Store
 
@@ -364,6 +365,39 @@ def test_sink_leaves_all_or_nothing(spark, tmp_path):
     assert sorted(p.name for p in target.iterdir()) == ["_manifest.json", "n0.locres"]
 
 
+def test_skipped_lines_hand_no_file_to_a_task(spark, sf, monkeypatch):
+    """Nothing larger than one record goes to Python, neither where the files are built nor where they are scanned."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select((F.octet_length("text") + 3 + 44).alias("n"), F.expr("doc_id % 20").alias("file"))
+    record = docs.agg(F.max("n")).head()[0]
+    assert docs.groupBy("file").agg(F.sum("n").alias("n")).agg(F.max("n")).head()[0] > record
+    kind, seen = type(docs), []
+    run = kind.mapInArrow
+
+    def watched(self, *args, **kwargs):
+        held = [c for c, t in self.dtypes if t == "binary"]
+        if held:
+            seen.append(self.agg(F.max(F.greatest(*[F.octet_length(c) for c in held], F.lit(0)))).head()[0])
+        return run(self, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    lines = queries()["skipped_lines"](spark, sf)
+    assert seen and max(seen) <= record
+    assert {r["line"] for r in lines.collect()} == {"0" * 32 + ",\r"}
+
+
+def test_pieces_make_files_over_parts_and_batches(spark, tmp_path):
+    rows = spark.range(600).select((F.col("id") % 3).cast("string").alias("name"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string").cast("binary")).alias("piece"), (600 - F.col("id")).alias("ord"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = pieces.dump_pieces(rows.repartition(5), f"file://{tmp_path}/out", "name", "piece", "ord")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    wanted = {str(k): b"".join(b"%d" % n for n in reversed(range(600)) if n % 3 == k and n % 7) for k in range(3)}
+    assert {k: (tmp_path / "out" / k).read_bytes() for k in wanted} == wanted and sizes == {k: len(v) for k, v in wanted.items()}
+
+
 # -- stores -------------------------------------------------------------------------------------------------------------------
 
 SCHEMA = "key string, source string, translation string"
