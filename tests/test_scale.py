@@ -385,6 +385,34 @@ def test_skipped_lines_hand_no_file_to_a_task(spark, sf, monkeypatch):
     assert {r["line"] for r in lines.collect()} == {"0" * 32 + ",\r"}
 
 
+def test_skipped_lines_batches_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    """One file of 30 MB: what Python gets and gives at once is bounded by Arrow's limit and by that of records, not by the file."""
+    record, rows = 100_000, 300
+    docs = spark.range(rows).select((F.col("id") * 20 + 5).alias("doc_id"), F.repeat(F.lit("abcdefghij"), record // 10).alias("text"))
+    docs.write.parquet(f"{tmp_path}/in/documents.parquet")
+    seen = tmp_path / "seen"
+    seen.mkdir()
+    kind = type(docs)
+    run = kind.mapInArrow
+
+    def watched(self, function, schema, *args, **kwargs):
+        def noted(batches, what):
+            for batch in batches:
+                (seen / f"{what}-{batch.nbytes}").touch()
+                yield batch
+
+        return run(self, lambda batches: noted(function(noted(batches, "in")), "out"), schema, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    try:
+        assert [r["line"] for r in queries()["skipped_lines"](spark, f"{tmp_path}/in").collect()] == ["0" * 32 + ",\r"] * rows
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    largest = {what: max(int(p.name.split("-")[1]) for p in seen.iterdir() if p.name.startswith(what)) for what in ("in", "out")}
+    assert record < largest["in"] < (4 << 20) + 2 * record and record < largest["out"] < binscan.HELD + 2 * record
+
+
 def test_pieces_make_files_over_parts_and_batches(spark, tmp_path):
     rows = spark.range(600).select((F.col("id") % 3).cast("string").alias("name"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string").cast("binary")).alias("piece"), (600 - F.col("id")).alias("ord"))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
