@@ -17,7 +17,7 @@ from lokalith.workspace import forget, fresh_path, remove, settled
 def dump_pieces(rows: DataFrame, target: str, name: str, piece: str, *order: str) -> dict[str, int]:
     """Writes one file for each ``name`` below ``target``, its ``piece`` bytes in ``order``: sizes by name.
 
-    Rows are range-sorted; every task streams its range to one part a name, and the parts are joined through a small buffer.
+    Rows are range-sorted; every task streams its range to one part a name, compressed, and the parts are joined through a small buffer.
     Null pieces are empty.
     """
     spark = rows.sparkSession
@@ -34,8 +34,8 @@ def dump_pieces(rows: DataFrame, target: str, name: str, piece: str, *order: str
                     if out is None or own.as_py() != now:
                         if out is not None:
                             out.close()
-                        now, unique = own.as_py(), uuid.uuid4().hex  # a task that runs again leaves the first one unused
-                        out = store.open_output_stream(f"{path}/{unique}", compression=None)
+                        now, unique = own.as_py(), uuid.uuid4().hex + locres_format.PACKED  # a task that runs again leaves the first one unused
+                        out = store.open_output_stream(f"{path}/{unique}", compression="zstd")
                         made.append((now, part, f"{folder}/{unique}"))
                     out.write(raw.as_py() or b"")
                 if made:

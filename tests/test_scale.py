@@ -413,6 +413,40 @@ def test_skipped_lines_hand_no_file_to_a_task(spark, sf, monkeypatch):
     assert {r["line"] for r in lines.collect()} == {"0" * 32 + ",\r"}
 
 
+def test_package_scan_holds_no_file(spark, sf, monkeypatch):
+    """Nothing larger than one record goes to Python or is put together in the JVM."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null").select((F.octet_length("text") + 54).alias("n"), F.expr("doc_id % 50").alias("file"))
+    record = docs.agg(F.max("n")).head()[0]
+    assert docs.groupBy("file").agg(F.sum("n").alias("n")).agg(F.max("n")).head()[0] > record
+    kind, seen = type(docs), []
+    run = kind.mapInArrow
+
+    def watched(self, *args, **kwargs):
+        held = [c for c, t in self.dtypes if t == "binary"]
+        if held:
+            seen.append(self.agg(F.max(F.greatest(*[F.octet_length(c) for c in held], F.lit(0)))).head()[0])
+        return run(self, *args, **kwargs)
+
+    monkeypatch.setattr(kind, "mapInArrow", watched)
+    rows = queries()["package_scan"](spark, sf)
+    assert seen and max(seen) <= record
+    assert rows.count() > 100 and rows.select("path").distinct().count() == 50
+
+
+def test_pieces_lie_compressed_until_they_are_joined(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("f", n, b"same bytes " * 1000) for n in range(40)], "name string, at long, piece binary")
+    sizes, save = [], locres_format.save
+
+    def watched(joined, target):
+        for r in joined.collect():
+            sizes.extend(store.get_file_info(name).size for store, name in map(locres_format.opened, r["parts"]))
+        return save(joined, target)
+
+    monkeypatch.setattr(locres_format, "save", watched)
+    assert pieces.dump_pieces(rows, str(tmp_path / "made"), "name", "piece", "at") == {"f": 440_000}
+    assert (tmp_path / "made" / "f").read_bytes() == b"same bytes " * 40_000 and 0 < sum(sizes) < 44_000
+
+
 def test_skipped_lines_batches_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
     """One file of 30 MB: what Python gets and gives at once is bounded by Arrow's limit and by that of records, not by the file."""
     record, rows = 100_000, 300
