@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lokalith.functions import predicates
+from lokalith import workspace
+from lokalith.functions import predicates, text
 from lokalith.operators import catalog
 from lokalith.plans import catalogs, extract, reextract, translate
 from lokalith.queries import oracle_sql, queries
@@ -325,6 +326,28 @@ def test_patch_by_ranges_equals_the_patch_of_whole_files(spark, tmp_path):
         locres_parts.patch_tables(str(tmp_path / "t"), new, str(tmp_path / "q"), F.lit(KEY), MARK)
 
 
+def test_patching_writes_no_sealed_text_but_the_tables(spark, tmp_path, monkeypatch):
+    """Sealed texts don't compress, so what lies on disk on the way is plain, compressed or read again from the tables; shuffled files go with their query."""
+    body = "the same plain words " * 500
+    rows = spark.createDataFrame([("f", n, "ns", 7, f"k{n}", n, 3, f"{n} {body}") for n in range(40)], "src_path string, ord long, namespace string, ns_hash long, key string, key_hash long, source_crc long, value string")
+    seal = lambda value: text.encrypt_value(value, F.lit(KEY), MARK)
+    kept, settled = {}, workspace.settled
+
+    def watched(df, name):
+        out = settled(df, name)
+        folder = out.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file://")
+        kept[name] = sum(os.path.getsize(f"{folder}/{f}") for f in os.listdir(folder))
+        return out
+
+    monkeypatch.setattr(locres_parts, "settled", watched)
+    locres_parts.write_encoded(rows, str(tmp_path / "t"), version=locres.ENCRYPTED, part_bytes=100_000, seal=seal)
+    new = spark.createDataFrame([("ns::k3", "s", "neu", 1)], "key string, source string, translation string, ord long")
+    sizes, told = locres_parts.patch_tables(str(tmp_path / "t"), new, str(tmp_path / "p"), F.lit(KEY), MARK, part_bytes=100_000)
+    assert sum(sizes.values()) > 500_000 and kept and max(kept.values()) < 100_000
+    values = {r["key"]: r["value"] for r in told.collect()}
+    assert values == {f"ns::k{n}": "neu" if n == 3 else f"{n} {body}" for n in range(40)}
+
+
 def test_encoded_tables_by_ranges_are_told_by_their_group(spark, tmp_path):
     rows = [(g, n, None if n == 1 else "ns", 0, f"k{n}", 0, 1, "v" * n) for g in ("a/b %41", None) for n in range(40)]
     df = spark.createDataFrame(rows, "src_path string, ord long, namespace string, ns_hash long, key string, key_hash long, source_crc long, value string")
