@@ -7,12 +7,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lokalith.operators import catalog
 from lokalith.sources import journal as journal_files
-from lokalith.workspace import settled
+from lokalith.workspace import settled, tidy
 
 SEPARATOR = "|||"
 #: Requests of one batch, and seconds before the second one, doubled before each further one.
@@ -39,7 +39,8 @@ def ask_with_retry(ask: Callable[[str], str], payload: str, attempts: int = ATTE
 
 
 def requested(batches: DataFrame, ask: Callable[[str], str], journal: str, run: str, parallel: int = 1, attempts: int = ATTEMPTS, delay: float = FIRST_DELAY) -> DataFrame:
-    """``batches(group..., batch, n, sources, payload)`` with ``accepted, error, requests``; at most ``parallel`` requests run at once, one a partition.
+    """``batches(group..., batch, n, sources)`` with ``payload`` (made of the sources where it isn't there, behind the shuffle), ``accepted, error, requests``; at most
+    ``parallel`` requests run at once, one a partition.
 
     An answer with as many segments as sources is accepted and committed to ``journal`` before the next request; others are noted as
     refused for this ``run``. A task that is run again reads both first, so it asks only for what it had not been answered.
@@ -69,16 +70,23 @@ def requested(batches: DataFrame, ask: Callable[[str], str], journal: str, run:
             columns = [pa.array([f[k] for f in done], kind) for k, kind in enumerate((pa.bool_(), pa.string(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=names)
 
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in batches.schema)
-    return batches.repartition(parallel).mapInArrow(run_batches, f"{kept}, accepted boolean, error string, requests int")
+    dealt = batches.repartition(parallel)
+    if "payload" not in names:
+        dealt, names = dealt.withColumn("payload", payload_of(F.col("sources"))), [*batches.columns, "payload", "accepted", "error", "requests"]
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema)
+    return dealt.mapInArrow(run_batches, f"{kept}, accepted boolean, error string, requests int")
+
+
+def payload_of(sources: Column) -> Column:
+    """The request for these sources."""
+    return F.array_join(F.transform(sources, lambda s: F.replace(s, F.lit(SEPARATOR), F.lit(""))), SEPARATOR)
 
 
 def batches_with_sources(rows: DataFrame, size: int = 150, group: str = "src_path") -> DataFrame:
-    """As :func:`catalog.translation_batches`, with the sources behind the segments."""
+    """``group, batch, n, sources``: the sources behind the segments of :func:`catalog.translation_batches`."""
     numbered = catalog.running(catalog.open_rows(rows).select(group, "ord", "source"), group).withColumn("batch", F.floor(F.col("index") / size))
     parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "source"))), lambda x: x["source"])
-    own = numbered.groupBy(group, "batch").agg(F.count(F.lit(1)).alias("n"), parts.alias("sources"))
-    return own.withColumn("payload", F.array_join(F.transform("sources", lambda s: F.replace(s, F.lit(SEPARATOR), F.lit(""))), SEPARATOR))
+    return numbered.groupBy(group, "batch").agg(F.count(F.lit(1)).alias("n"), parts.alias("sources"))
 
 
 def translate(
@@ -92,11 +100,12 @@ def translate(
     """
     spark, run = rows.sparkSession, uuid.uuid4().hex
     filled = catalog.backfill(rows, journal_files.read(spark, journal))
-    waiting = catalog.unique_sources(filled)
-    # written down: what is open must not be worked out again when the journal has grown
-    asked = settled(catalog.open_rows(waiting).select("source"), "asked")
+    # written down: what is open must not be worked out again when the journal has grown, nor for each pass of the numbering
+    waiting = settled(catalog.open_rows(catalog.unique_sources(filled)).select("src_path", "ord", "source", "translation"), "asked")
+    asked = waiting.select("source")
     told = requested(batches_with_sources(waiting, size), ask, journal, run, parallel, attempts, delay)
-    done = told.agg(F.count(F.lit(1)).alias("batches"), F.count_if("accepted").alias("accepted"), F.coalesce(F.sum("requests"), F.lit(0)).alias("requests")).head()
+    with tidy(spark):
+        done = told.agg(F.count(F.lit(1)).alias("batches"), F.count_if("accepted").alias("accepted"), F.coalesce(F.sum("requests"), F.lit(0)).alias("requests")).head()
     if counters is not None:
         counters.append(done)
     journal_files.clear_notes(spark, journal, run)

@@ -62,6 +62,31 @@ def test_segments_are_read_before_asking(tmp_path):
     assert not [p for p in os.listdir(tmp_path / "j") if p.startswith(".draft")]
 
 
+def test_segments_lie_compressed_and_those_of_before_are_read(spark, tmp_path):
+    path, body = tmp_path / "j", "the same words\u2028 ü " * 500
+    own = journal.Segments(str(path), "run")
+    own.commit("new", [("a", body), ("b", "\ud800")])
+    (path / "seg-old.json").write_text(json.dumps({"at": 1, "source": "c", "translation": "old"}) + "\n" + json.dumps({"at": 1, "source": "a", "translation": "earlier"}) + "\n")
+    assert sum(f.stat().st_size for f in path.glob("seg-new*")) < len(body) / 10
+    assert own.known("new") == ([body, "\ud800"], None) and own.known("old") == (["old", "earlier"], None)
+    for _ in range(2):
+        got = {r["source"]: r["translation"] for r in journal.read(spark, str(path)).where("source <> 'b'").collect()}
+        assert got == {"a": body, "c": "old"}
+        journal.compact(spark, str(path))
+    assert not list(path.glob("seg-*"))
+
+
+def test_shuffles_go_with_a_tidy_query(spark):
+    from lokalith.workspace import tidy
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), tidy(spark):
+        assert spark.conf.get(name) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(name) == before
+
+
 def test_journal_parts_become_one(spark, tmp_path):
     path = str(tmp_path / "j")
     assert journal.read(spark, path).count() == 0
